@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vacantia.functions.keys import entity_keys
-from vacantia.operators.skew import lookup_join
+from vacantia.operators.skew import HOT_ROWS, lookup_join
 from vacantia.session import cut_lineage
 
 MATCH_KEYS = (("fingerprint", "key_fingerprint"), ("posting", "key_posting"), ("link", "key_link"))
@@ -29,23 +29,25 @@ def is_first_of_entity(rows: DataFrame, key: str, order: str = "seq") -> DataFra
     return rows.join(firsts, order, "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
 
 
-def match_existing(batch: DataFrame, queue: DataFrame) -> DataFrame:
+def match_existing(batch: DataFrame, queue: DataFrame, **hot: int) -> DataFrame:
     """(seq, entity_id, matched_by) of batch rows that match the queue on any of the three keys.
 
-    An OR condition would compare all pairs. Instead the queue is reduced to one earliest row per key
-    value and each key is one equi-join; the first matching key decides.
+    An OR condition would compare all pairs. Instead both sides become rows of single keys, the queue is
+    reduced to its earliest row per key value, and one equi-join serves all three keys; the first matching
+    key decides.
     """
-    keyed = entity_keys(queue)
-    rows = entity_keys(batch).select("seq", *[k for _, k in MATCH_KEYS])
-    for name, key in MATCH_KEYS:
-        earliest = F.min(F.struct("first_seen_at", "id")).alias("_e")
-        lookup = keyed.filter(F.col(key).isNotNull()).groupBy(key).agg(earliest).select(key, F.col("_e.id").alias(name))
-        rows = lookup_join(rows, lookup, key)
-    names = [n for n, _ in MATCH_KEYS]
-    matched_by = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names])
-    return rows.select("seq", F.coalesce(*names).alias("entity_id"), matched_by.alias("matched_by")).filter(
-        F.col("entity_id").isNotNull()
+    def single_keys(df: DataFrame, *carry: str) -> DataFrame:
+        tagged = [F.struct(F.lit(i).alias("rank"), F.col(k).alias("key")) for i, (_, k) in enumerate(MATCH_KEYS)]
+        return df.select(*carry, F.inline(F.array(*tagged))).filter(F.col("key").isNotNull())
+
+    earliest = single_keys(entity_keys(queue), "first_seen_at", "id").groupBy("key").agg(
+        F.min(F.struct("first_seen_at", "id")).alias("_e")
     )
+    rows = cut_lineage(single_keys(entity_keys(batch), "seq"))
+    found = lookup_join(rows, earliest.select("key", F.col("_e.id").alias("entity_id")), "key", row_count=rows.count(), **hot)
+    best = found.filter(F.col("entity_id").isNotNull()).groupBy("seq").agg(F.min(F.struct("rank", "entity_id")).alias("_m"))
+    names = F.array(*[F.lit(n) for n, _ in MATCH_KEYS])
+    return best.select("seq", F.col("_m.entity_id").alias("entity_id"), F.get(names, F.col("_m.rank")).alias("matched_by"))
 
 
 def _bridging_edges(keys: DataFrame) -> DataFrame:
@@ -78,6 +80,8 @@ def dedup_components(keys: DataFrame, max_rounds: int = 100, **hot: int) -> Data
         by_key = labelled.groupBy("key").agg(F.min("label").alias("_key_label"))
         spread = lookup_join(edges, by_key, "key", row_count=n, **hot).groupBy("node").agg(F.min("_key_label").alias("_least"))
         hooked = labels.join(spread, "node").select("node", F.col("label").alias("_old"), F.col("_least").alias("label"))
+        if n >= hot.get("at_least", HOT_ROWS):
+            hooked = cut_lineage(hooked)
         parent = hooked.select(F.col("node").alias("label"), F.col("label").alias("_jump"))
         jumped = lookup_join(hooked, parent, "label", row_count=n, **hot)
         least = F.least("label", F.coalesce("_jump", "label")).alias("label")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from vacantia.session import cut_lineage
+
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
 
@@ -24,10 +26,12 @@ def lookup_join(
     Rows of the hottest keys and rows without a key skip the shuffle: the first meet a broadcast of at
     most ``limit`` lookup rows, the second get nulls. All other rows take an ordinary equi-join in which
     no key holds more than the remaining share. Every row comes out exactly once. With a known
-    ``row_count`` below ``at_least`` no key can be hot and the plain join is used.
+    ``row_count`` below ``at_least`` no key can be hot and the plain join is used. Rows are read several
+    times, so pass them materialized; the lookup is materialized here.
     """
     if row_count is not None and row_count < at_least:
         return rows.join(lookup, key, "left")
+    lookup = cut_lineage(lookup)
     values = [c for c in lookup.columns if c != key]
     hot = hot_keys(rows, key, limit, at_least)
     hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))

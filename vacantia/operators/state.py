@@ -122,16 +122,16 @@ def upsert_postings(
     spans = batch_rows.groupBy("component").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     owners = members.filter(F.col("seq").isNull()).groupBy("component").agg(F.min("owner").alias("owner"))
     entities = spans.join(owners, "component", "left")
-    placed = lookup_join(batch_rows, entities, "component", row_count=n, **hot)
     if n:
-        placed = previous_value(placed, "component", "seq", F.col("admission_status"), "_before")
+        batch_rows = previous_value(batch_rows, "component", "seq", F.col("admission_status"), "_prior")
     else:
-        placed = placed.withColumn("_before", F.lit(None).cast("string"))
+        batch_rows = batch_rows.withColumn("_prior", F.lit(None).cast("string"))
+    placed = lookup_join(batch_rows, entities, "component", row_count=n, **hot)
     owner = F.col("owner")
     new_id = F.sha1(F.concat(F.col("component"), F.lit(f":{run_id}")))
     is_first = F.col("seq") == F.col("first_seq")
     before = F.when(is_first, owner["status"]).otherwise(
-        F.when(owner["status"].isin(*fv.STICKY_STATUSES), owner["status"]).otherwise(F.col("_before"))
+        F.when(owner["status"].isin(*fv.STICKY_STATUSES), owner["status"]).otherwise(F.col("_prior"))
     )
     deduped = ~is_first | owner["id"].isNotNull()
     outcome = cut_lineage(
