@@ -33,21 +33,21 @@ def day_of(ts: Column) -> Column:
     return F.date_format(ts, DAY)
 
 
+def _parse_written(c: Column) -> Column:
+    """Timestamp of a text in one of the written formats; a text that fits none of the patterns is null."""
+    return F.coalesce(*[F.try_to_timestamp(F.regexp_extract(c, pattern, 1), F.lit(fmt)) for pattern, fmt in DATE_TEXT_FORMATS])
+
+
 def parse_date_text(c: Column | str) -> Column:
     """Timestamp of a date text in one of the accepted formats, else null."""
     c = col(c)
-    tries = [
-        F.try_to_timestamp(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), F.lit(fmt))
-        for pattern, fmt in DATE_TEXT_FORMATS
-    ]
-    iso = F.when(c.rlike(ISO_DAY) | c.rlike(ISO_INSTANT), c.try_cast("timestamp"))
-    return F.coalesce(iso, *tries)
+    return F.when(c.rlike(ISO_DAY + "|" + ISO_INSTANT), c.try_cast("timestamp")).otherwise(_parse_written(c))
 
 
 def normalize_date(c: Column | str) -> Column:
     """First ten characters of an ISO text, else the UTC day of a parsable text, else null."""
-    c = F.nullif(col(c), F.lit(""))
-    return F.when(c.rlike(ISO_PREFIX), F.substring(c, 1, 10)).otherwise(day_of(parse_date_text(c)))
+    c = col(c)
+    return F.when(c.rlike(ISO_PREFIX), F.substring(c, 1, 10)).otherwise(day_of(_parse_written(c)))
 
 
 def _relative_parts(c: Column) -> tuple[Column, Column]:
@@ -82,7 +82,7 @@ def relative_date(c: Column | str, as_of: datetime, otherwise: Column | None = N
 
 
 def relative_date_or_parse(c: Column | str, as_of: datetime) -> Column:
-    return relative_date(c, as_of, otherwise=day_of(parse_date_text(F.nullif(col(c), F.lit("")))))
+    return relative_date(c, as_of, otherwise=day_of(_parse_written(col(c))))
 
 
 def epoch_ms_day(c: Column | str) -> Column:

@@ -23,10 +23,6 @@ def json_truthy(variant: Column | str, path: str) -> Column:
     return F.when(~text.isin("0", "0.0", "false") | is_text, text)
 
 
-def first_truthy(variant: Column | str, *paths: str) -> Column:
-    return F.coalesce(*[json_truthy(variant, p) for p in paths])
-
-
 def parse_json_list_safe(c: Column | str) -> Column:
     """String array of a JSON list; anything else is an empty array."""
     values = F.try_variant_get(F.try_parse_json(col(c)), "$", "array<string>")

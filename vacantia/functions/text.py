@@ -6,8 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from vacantia.fixed_values import BLANK_CHARS, BLANK_CLASS
 
-# ASCII word boundary; the JVM's own boundary also counts accented letters as word characters.
-WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 LIST_SEPARATOR = "\u001f"
 
 
@@ -65,7 +63,7 @@ def count_in_lowered(lowered: Column, keyword: str) -> Column:
     if not word:
         return F.lit(0)
     removed = F.length(lowered) - F.length(F.replace(lowered, F.lit(word), F.lit("")))
-    return F.coalesce((removed / F.lit(len(word))).cast("int"), F.lit(0))
+    return F.coalesce(F.floor(removed / F.lit(len(word))).cast("int"), F.lit(0))
 
 
 def escape_pattern(keyword: str) -> str:
@@ -73,7 +71,15 @@ def escape_pattern(keyword: str) -> str:
 
 
 def word_pattern(keyword: str) -> str:
-    return WORD_EDGE + escape_pattern(keyword.lower()) + WORD_EDGE
+    """The keyword between ASCII word boundaries. Its end characters are known, so each boundary is one look."""
+    word = keyword.lower()
+
+    def is_word(ch: str) -> bool:
+        return ch.isascii() and (ch.isalnum() or ch == "_")
+
+    before = r"(?<!\w)" if is_word(word[0]) else r"(?<=\w)"
+    after = r"(?!\w)" if is_word(word[-1]) else r"(?=\w)"
+    return before + escape_pattern(word) + after
 
 
 def count_word(text: Column | str, keyword: str) -> Column:
@@ -82,11 +88,16 @@ def count_word(text: Column | str, keyword: str) -> Column:
     return F.coalesce(F.regexp_count(F.lower(col(text)), F.lit(word_pattern(keyword))), F.lit(0))
 
 
-def has_word(lowered: Column, keyword: str) -> Column:
-    """Whether lowered text holds the keyword as a word; the plain search runs first."""
+def sql_text(value: str) -> str:
+    """The value as a Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def has_word(lowered: str, keyword: str) -> str:
+    """SQL test whether a lowered text column holds the keyword as a word; the plain search runs first."""
     if not keyword:
-        return F.lit(False)
-    return F.contains(lowered, F.lit(keyword.lower())) & lowered.rlike(word_pattern(keyword))
+        return "false"
+    return f"(contains({lowered}, {sql_text(keyword.lower())}) and rlike({lowered}, {sql_text(word_pattern(keyword))}))"
 
 
 def at_least_pattern(k: int) -> str:
@@ -102,15 +113,18 @@ def at_least_pattern(k: int) -> str:
     return rf"{tens}[{ones}-9]{higher}"
 
 
+def min_years_pattern(k: int) -> str:
+    return rf"(?<!\w)(?:{at_least_pattern(k)}){BLANK_CLASS}*\+?{BLANK_CLASS}*(?:years?|yrs?)(?!\w)"
+
+
 def min_years_hit(text: Column | str, k: int) -> Column:
     """Whether any ``N years`` in the text has N at least ``k``."""
-    pattern = rf"(?<!\w)(?:{at_least_pattern(k)}){BLANK_CLASS}*\+?{BLANK_CLASS}*(?:years?|yrs?)(?!\w)"
-    return F.coalesce(F.lower(col(text)).rlike(pattern), F.lit(False))
+    return F.coalesce(F.lower(col(text)).rlike(min_years_pattern(k)), F.lit(False))
 
 
-def compact_list(*items: Column) -> Column:
-    """Array of the non-null items, in order; plain string work keeps it in generated code."""
+def compact_list(items: list[str]) -> Column:
+    """Array of the non-null SQL text items, in order; plain string work keeps it in generated code."""
     if not items:
-        return F.array().cast("array<string>")
-    joined = F.concat_ws(LIST_SEPARATOR, *items)
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, LIST_SEPARATOR))
+        return F.expr("cast(array() as array<string>)")
+    joined = f"concat_ws({sql_text(LIST_SEPARATOR)}, {', '.join(items)})"
+    return F.expr(f"if({joined} = '', cast(array() as array<string>), split({joined}, {sql_text(LIST_SEPARATOR)}))")

@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia import fixed_values as fv
-from vacantia.functions.dates import as_utc, instant, posted_at_granularity
+from vacantia.functions.dates import ISO_DAY, as_utc, instant, parse_date_text
+from vacantia.functions.text import trim_blanks
 
 
 def reject_incomplete(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,15 +21,12 @@ def reject_incomplete(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def freshness_class(hours: int, allow_unknown: bool, as_of: datetime, post_date: str = "post_date") -> Column:
     """``kept``, ``old`` or ``unknown`` for each posting; an unparsable date is old."""
     cutoff = as_utc(as_of) - timedelta(hours=hours)
-    posted = posted_at_granularity(post_date)
-    value = F.nullif(F.col(post_date), F.lit(""))
-    is_day = posted["granularity"] == "day"
-    day_fresh = F.date_format(posted["ts"], "yyyy-MM-dd") >= F.lit(cutoff.strftime("%Y-%m-%d"))
-    exact_fresh = posted["ts"] >= instant(cutoff)
-    fresh = F.coalesce(F.when(is_day, day_fresh).otherwise(exact_fresh), F.lit(False))
-    return (
-        F.when(value.isNull(), "kept" if allow_unknown else "unknown").when(fresh, "kept").otherwise("old")
-    )
+    text = trim_blanks(post_date)
+    day_fresh = (text >= cutoff.strftime("%Y-%m-%d")) & text.try_cast("date").isNotNull()
+    exact_fresh = parse_date_text(text) >= instant(cutoff)
+    fresh = F.coalesce(F.when(text.rlike(ISO_DAY), day_fresh).otherwise(exact_fresh), F.lit(False))
+    unknown = F.coalesce(F.col(post_date), F.lit("")) == ""
+    return F.when(unknown, "kept" if allow_unknown else "unknown").when(fresh, "kept").otherwise("old")
 
 
 def freshness_filter(postings: DataFrame, hours: int, allow_unknown: bool, as_of: datetime) -> DataFrame:

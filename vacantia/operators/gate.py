@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vacantia import fixed_values as fv
 from vacantia.config import GateOptions, Profile
-from vacantia.functions.text import compact_list, has_word, min_years_hit
+from vacantia.functions.text import compact_list, has_word, min_years_pattern, sql_text
 
 GATE_COLUMNS = ("fit_score", "fit_label", "fit_source", "quality_bucket", "admitted", "needs_review", "reason_codes")
 ANSWER_SCHEMA = (
@@ -22,13 +22,14 @@ def min_years_of(keyword: str) -> int | None:
     return int(found.group(1)) if found else None
 
 
-def _excluded(text: Column, keyword: str) -> Column:
+def _excluded(text: str, keyword: str) -> str:
     years = min_years_of(keyword)
-    return has_word(text, keyword) if years is None else min_years_hit(text, years)
+    return has_word(text, keyword) if years is None else f"rlike({text}, {sql_text(min_years_pattern(years))})"
 
 
 def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> DataFrame:
-    """Add the gate columns (``GATE_COLUMNS``). One narrow stage: every list entry is a literal test."""
+    """Add the gate columns (``GATE_COLUMNS``). One narrow stage: every list entry is a literal test with a
+    column of its own, so the score and the reason codes read it instead of searching again."""
     words = (
         [("hard_exclusion", k) for k in profile.hard_exclusions]
         + [("role_match", k) for k in profile.target_roles]
@@ -37,54 +38,37 @@ def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> Dat
     )
     lowered = postings.withColumns(
         {
-            "_text": F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("jd_text", F.lit("")))),
-            "_place": F.lower(F.coalesce("location", F.lit(""))),
+            "_text": F.expr("lower(concat(coalesce(title, ''), '\n', coalesce(jd_text, '')))"),
+            "_place": F.expr("lower(coalesce(location, ''))"),
         }
     )
-    text, place = F.col("_text"), F.col("_place")
-    tests = [_excluded(text, k) if kind == "hard_exclusion" else has_word(text, k) for kind, k in words]
-    tested = lowered.withColumn("_found", F.array(*tests, F.lit(False)))
-
-    def found(i: int) -> Column:
-        return F.get(F.col("_found"), F.lit(i))
-
-    def any_of(kind: str) -> Column:
-        out: Column = F.lit(False)
-        for i, (k, _) in enumerate(words):
-            if k == kind:
-                out = out | found(i)
-        return out
-
-    points = {
-        "hard_exclusion": 0, "role_match": fv.ROLE_POINTS, "must_skill": fv.MUST_SKILL_POINTS, "nice_skill": fv.NICE_SKILL_POINTS,
+    tests = {
+        f"_w{i}": F.expr(_excluded("_text", k) if kind == "hard_exclusion" else has_word("_text", k))
+        for i, (kind, k) in enumerate(words)
     }
-    score: Column = F.lit(0)
-    for i, (kind, _) in enumerate(words):
-        if points[kind]:
-            score = score + F.when(found(i), points[kind]).otherwise(0)
-    preferred: Column = F.lit(False)
-    for wanted in profile.location_preferences:
-        preferred = preferred | F.contains(place, F.lit(wanted))
-    unknown_ok = (place == "") & F.lit(options.allow_unknown_location)
-    location_code = (
-        F.when(unknown_ok, "location:unknown_allowed").when(preferred, "location:preferred")
-        .when(place != "", "location:mismatch")
+    wanted = " or ".join(f"contains(_place, {sql_text(p)})" for p in profile.location_preferences) or "false"
+    unknown = f"_place = '' and {str(options.allow_unknown_location).lower()}"
+    place = f"case when {unknown} then 'unknown_allowed' when {wanted} then 'preferred' when _place <> '' then 'mismatch' end"
+    tested = lowered.withColumns({**tests, "_near": F.expr(place)})
+
+    def any_of(kind: str) -> str:
+        return "(" + (" or ".join(f"_w{i}" for i, (k, _) in enumerate(words) if k == kind) or "false") + ")"
+
+    points = {"role_match": fv.ROLE_POINTS, "must_skill": fv.MUST_SKILL_POINTS, "nice_skill": fv.NICE_SKILL_POINTS}
+    parts = [f"if(_w{i}, {points[kind]}, 0)" for i, (kind, _) in enumerate(words) if kind in points]
+    parts.append(
+        f"case _near when 'unknown_allowed' then {fv.UNKNOWN_LOCATION_POINTS} when 'preferred' then {fv.PREFERRED_LOCATION_POINTS}"
+        f" when 'mismatch' then {fv.MISMATCH_LOCATION_POINTS} else 0 end"
     )
-    no_role = ~any_of("role_match")
-    score = (
-        score
-        + F.when(unknown_ok, fv.UNKNOWN_LOCATION_POINTS).when(preferred, fv.PREFERRED_LOCATION_POINTS)
-        .when(place != "", fv.MISMATCH_LOCATION_POINTS).otherwise(0)
-        + F.when(no_role, fv.NO_ROLE_POINTS).otherwise(0)
-    )
-    codes = [F.when(found(i), f"{kind}:{k}") for i, (kind, k) in enumerate(words)]
-    codes += [location_code, F.when(no_role, "role:no_match")]
+    parts.append(f"if(not {any_of('role_match')}, {fv.NO_ROLE_POINTS}, 0)")
+    codes = [f"if(_w{i}, {sql_text(f'{kind}:{k}')}, null)" for i, (kind, k) in enumerate(words)]
+    codes += ["concat('location:', _near)", f"if(not {any_of('role_match')}, 'role:no_match', null)"]
     if profile.must_have_skills:
-        codes.append(F.when(~any_of("must_skill"), "must_skill:none"))
+        codes.append(f"if(not {any_of('must_skill')}, 'must_skill:none', null)")
+    low, high = options.borderline
     scored = tested.withColumns(
-        {"_score": score, "_rejected": any_of("hard_exclusion"), "reason_codes": compact_list(*codes)}
+        {"_score": F.expr(" + ".join(parts)), "_rejected": F.expr(any_of("hard_exclusion")), "reason_codes": compact_list(codes)}
     )
-    low, high = options.borderline
     s, rejected = F.col("_score"), F.col("_rejected")
     admitted = ~rejected & (s >= options.inbox_floor)
     borderline = ~rejected & ~admitted & s.between(low, high)
@@ -98,7 +82,7 @@ def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> Dat
             "admitted": admitted,
             "needs_review": borderline,
         }
-    ).drop("_text", "_place", "_found", "_score", "_rejected")
+    ).drop("_text", "_place", "_near", "_score", "_rejected", *tests)
 
 
 def without_answers(gated: DataFrame, skip_reason: str) -> DataFrame:

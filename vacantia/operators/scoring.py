@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vacantia.config import KeywordRules
 from vacantia.fixed_values import HARD_WORD_PENALTY
 from vacantia.functions.dates import epoch_seconds, posted_at_granularity
-from vacantia.functions.text import WORD_EDGE, compact_list, count_in_lowered
+from vacantia.functions.text import compact_list, escape_pattern, sql_text
 
 
 def _keyword_list(rules: KeywordRules) -> list[tuple[str, str, int]]:
@@ -21,13 +21,24 @@ def _keyword_list(rules: KeywordRules) -> list[tuple[str, str, int]]:
     )
 
 
+def _count(keyword: str) -> str:
+    word = keyword.lower()
+    if not word:
+        return "0"
+    return f"(length(_text) - length(replace(_text, {sql_text(word)}, ''))) div {len(word)}"
+
+
 def keyword_score(postings: DataFrame, rules: KeywordRules, as_of: datetime) -> DataFrame:
     """Add ``score``, ``tier`` and ordered ``hits``.
 
-    The rules are literals. Text is lowered once and each keyword counted once, in an array that the
-    next projection reads, so the plan stays one narrow stage of generated code.
+    The rules become literals. Text is lowered once and every keyword counted once, one column each, which
+    the optimizer keeps apart from the next projection because each is read several times. All of it is one
+    narrow stage of generated code.
     """
     keywords = _keyword_list(rules)
+    words = "|".join(escape_pattern(w) for w in rules.hard_words)
+    hard = f"rlike(_text, {sql_text(rf'(?<!\w)(?:{words})(?!\w)')})" if words else "false"
+    now = epoch_seconds(as_of)
     lowered = postings.withColumns(
         {
             "_text": F.lower(F.coalesce("jd_text", F.lit(""))),
@@ -35,34 +46,23 @@ def keyword_score(postings: DataFrame, rules: KeywordRules, as_of: datetime) ->
             "_posted": posted_at_granularity("post_date")["ts"],
         }
     )
-    text, title = F.col("_text"), F.col("_title")
-    counts = F.array(*[count_in_lowered(text, k) for _, k, _ in keywords], F.lit(0))
-    hard = text.rlike(WORD_EDGE + "(?:" + "|".join(rules.hard_words) + ")" + WORD_EDGE) if rules.hard_words else F.lit(False)
-    age_hours = (F.lit(epoch_seconds(as_of)) - F.unix_micros("_posted") / F.lit(1_000_000)) / F.lit(3600)
-    counted = lowered.withColumns({"_counts": counts, "_hard": hard, "_age": age_hours})
-
-    def n(i: int) -> Column:
-        return F.get(F.col("_counts"), F.lit(i))
-
-    score: Column = F.lit(0).cast("bigint")
-    for i, (_, keyword, weight) in enumerate(keywords):
-        points = F.least(n(i), F.lit(rules.hit_cap)) * F.lit(weight)
-        boost = F.when(F.contains(title, F.lit(keyword)), weight * rules.boost).otherwise(0)
-        score = score + F.when(n(i) > 0, points + boost).otherwise(0)
-    fresh = (
-        F.when(F.col("_age") <= 24, rules.fresh_day).when(F.col("_age") <= 168, rules.fresh_week).otherwise(0)
+    counts = {f"_c{i}": F.expr(_count(k)) for i, (_, k, _) in enumerate(keywords)}
+    counted = lowered.withColumns(
+        {**counts, "_hard": F.expr(hard), "_age": F.expr(f"({now} - unix_micros(_posted) / 1000000) / 3600")}
     )
-    score = score + fresh - F.when(F.col("_hard"), HARD_WORD_PENALTY).otherwise(0)
-    any_a: Column = F.lit(False)
-    for i in range(len(rules.tier_a)):
-        any_a = any_a | (n(i) > 0)
-    hits = [F.when(n(i) > 0, F.concat(F.lit(f"{label}{k}x"), n(i))) for i, (label, k, _) in enumerate(keywords)]
-    hits.append(F.when(F.col("_age") <= 24, "+fresh:24h").when(F.col("_age") <= 168, "+fresh:7d"))
-    hits.append(F.when(F.col("_hard"), "hard:senior"))
+    points = [
+        f"if(_c{i} > 0, least(_c{i}, {rules.hit_cap}) * {w} + if(contains(_title, {sql_text(k)}), {w * rules.boost}, 0), 0)"
+        for i, (_, k, w) in enumerate(keywords)
+    ]
+    fresh = f"case when _age <= 24 then {rules.fresh_day} when _age <= 168 then {rules.fresh_week} else 0 end"
+    penalty = f"if(_hard, {HARD_WORD_PENALTY}, 0)"
+    any_a = " or ".join(f"_c{i} > 0" for i in range(len(rules.tier_a))) or "false"
+    hits = [f"if(_c{i} > 0, concat({sql_text(label + k + 'x')}, _c{i}), null)" for i, (label, k, _) in enumerate(keywords)]
+    hits += ["case when _age <= 24 then '+fresh:24h' when _age <= 168 then '+fresh:7d' end", "if(_hard, 'hard:senior', null)"]
     return counted.withColumns(
         {
-            "score": score.cast("bigint"),
-            "tier": F.when(F.col("_hard"), "C").when(any_a, "A").otherwise("B"),
-            "hits": compact_list(*hits),
+            "score": F.expr(f"cast({' + '.join([*points, fresh])} - {penalty} as bigint)"),
+            "tier": F.expr(f"case when _hard then 'C' when {any_a} then 'A' else 'B' end"),
+            "hits": compact_list(hits),
         }
-    ).drop("_text", "_title", "_posted", "_counts", "_hard", "_age")
+    ).drop("_text", "_title", "_posted", "_hard", "_age", *counts)

@@ -12,6 +12,7 @@ from vacantia.functions.text import years_requirement
 from vacantia.operators.gate import fit_gate
 from vacantia.operators.scoring import keyword_score
 from vacantia.schemas import TABLES, evolve_schema
+from vacantia.session import spread
 
 AS_OF = datetime(2001, 8, 2, tzinfo=timezone.utc)
 EVENTS_AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """One posting per document; ``documents`` may be a stream. Four documents share a page link."""
-    d = table(spark, sf_dir, "documents") if documents is None else documents
+    d = spread(table(spark, sf_dir, "documents"), "doc_id") if documents is None else documents
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")

@@ -42,8 +42,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the reliable checkpoint folder and read it back from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write the frame as a table in the shared folder and read it back. Each row is computed once, later
+    readers take only the columns they need, and lost executors cost a re-read instead of a recomputation."""
+    path = work_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than the cluster has slots, shuffled by key so that costly row work uses them
+    all; a scan that already has enough splits stays as it is."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df

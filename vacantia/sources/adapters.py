@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia.fixed_values import SOURCE_TEXT_LIMIT
 from vacantia.functions.dates import epoch_ms_day, normalize_date, relative_date, relative_date_or_parse
 from vacantia.functions.links import resolve_best_link
-from vacantia.functions.payloads import first_truthy, json_list, json_text, json_truthy
+from vacantia.functions.payloads import json_list, json_text
 from vacantia.functions.text import cut_text, join_parts, strip_html_spaced, strip_tags_tight
 from vacantia.sources.pages import extract_jsonld_postings, jsonld_identifier, jsonld_location
 
 Adapter = Callable[[DataFrame, datetime], DataFrame]
-J = "_job"
 
 
 def _rows(payloads: DataFrame, *paths: str, pick: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -32,6 +31,28 @@ def _rows(payloads: DataFrame, *paths: str, pick: Callable[[Column], Column] | N
     return parsed.select(*keep, F.posexplode(lists).alias("row", "_job"))
 
 
+def _fields(rows: DataFrame, **paths: str) -> DataFrame:
+    """Add ``j_<name>``: the text at each path, null when it is missing, empty, zero or false.
+
+    Text and type are read once per path; the next projection combines them. Keeping the two apart keeps
+    the generated code small, since later expressions use a field many times.
+    """
+    read = {}
+    for name, path in paths.items():
+        read[f"_x_{name}"] = json_text("_job", path)
+        read[f"_k_{name}"] = F.schema_of_variant(F.try_variant_get("_job", path, "variant"))
+    truthy = {
+        f"j_{name}": F.expr(f"if(_x_{name} = '' or (_k_{name} <> 'STRING' and _x_{name} in ('0', '0.0', 'false')), null, _x_{name})")
+        for name in paths
+    }
+    return rows.withColumns(read).withColumns(truthy).drop(*read)
+
+
+def _j(*names: str) -> Column:
+    """First field that is there."""
+    return F.coalesce(*[F.col(f"j_{n}") for n in names])
+
+
 def _meta(**entries: Column) -> Column:
     pairs: list[Column] = []
     for name, value in entries.items():
@@ -41,41 +62,45 @@ def _meta(**entries: Column) -> Column:
 
 def _posting(rows: DataFrame, source: str, *, company: Column, title: Column, location: Column, post_date: Column,
              url: Column, jd_text: Column, meta: Column | None = None, need_title: bool = True) -> DataFrame:
-    carried = [c for c in rows.columns if c not in ("_job", "source", "slug", "site", "origin")]
+    dropped = ("_job", "source", "slug", "site", "origin")
+    carried = [c for c in rows.columns if c not in dropped and not c.startswith("j_")]
     out = rows.select(
         *carried,
         company.alias("company"), title.alias("title"), location.alias("location"), post_date.alias("post_date"),
         F.lit(source).alias("source"), url.alias("url"), jd_text.alias("jd_text"), F.lit(False).alias("is_bigtech"),
         (F.lit(None).cast("map<string,string>") if meta is None else meta).alias("meta"),
     )
-    return out.filter(F.nullif(F.col("title"), F.lit("")).isNotNull()) if need_title else out
+    return out.filter(F.col("title").isNotNull()) if need_title else out
 
 
-def _spaced(text: Column) -> Column:
-    return cut_text(strip_html_spaced(text), SOURCE_TEXT_LIMIT)
+def _spaced(*names: str) -> Column:
+    return cut_text(strip_html_spaced(_j(*names)), SOURCE_TEXT_LIMIT)
 
 
-def _date(*paths: str) -> Column:
-    return normalize_date(first_truthy(J, *paths))
+def _tight(name: str) -> Column:
+    return cut_text(strip_tags_tight(_j(name)), SOURCE_TEXT_LIMIT)
+
+
+def _date(*names: str) -> Column:
+    return normalize_date(_j(*names))
 
 
 def normalize_greenhouse(payloads: DataFrame, as_of: datetime) -> DataFrame:
+    rows = _fields(_rows(payloads, "$.jobs"), title="$.title", place="$.location.name", updated="$.updated_at", link="$.absolute_url", content="$.content")
     return _posting(
-        _rows(payloads, "$.jobs"), "greenhouse",
-        company=F.col("slug"), title=json_text(J, "$.title"), location=json_truthy(J, "$.location.name"),
-        post_date=cut_text(json_text(J, "$.updated_at"), 10), url=json_text(J, "$.absolute_url"),
-        jd_text=cut_text(strip_tags_tight(json_text(J, "$.content")), SOURCE_TEXT_LIMIT), need_title=False,
+        rows, "greenhouse", company=F.col("slug"), title=_j("title"), location=_j("place"), post_date=cut_text(_j("updated"), 10),
+        url=_j("link"), jd_text=_tight("content"), need_title=False,
     )
 
 
 def normalize_lever(payloads: DataFrame, as_of: datetime) -> DataFrame:
-    described = cut_text(strip_tags_tight(json_text(J, "$.description")), SOURCE_TEXT_LIMIT)
+    rows = _fields(
+        _rows(payloads, "$"), title="$.text", place="$.categories.location", created="$.createdAt", hosted="$.hostedUrl", apply="$.applyUrl",
+        plain="$.descriptionPlain", described="$.description",
+    )
     return _posting(
-        _rows(payloads, "$"), "lever",
-        company=F.col("slug"), title=json_text(J, "$.text"), location=json_truthy(J, "$.categories.location"),
-        post_date=epoch_ms_day(F.try_variant_get(J, "$.createdAt", "bigint")),
-        url=first_truthy(J, "$.hostedUrl", "$.applyUrl"),
-        jd_text=F.coalesce(json_truthy(J, "$.descriptionPlain"), described), need_title=False,
+        rows, "lever", company=F.col("slug"), title=_j("title"), location=_j("place"), post_date=epoch_ms_day(_j("created").try_cast("bigint")),
+        url=_j("hosted", "apply"), jd_text=F.coalesce(_j("plain"), _tight("described")), need_title=False,
     )
 
 
@@ -92,153 +117,143 @@ def _ashby_jobs(v: Column) -> Column:
 
 
 def normalize_ashby(payloads: DataFrame, as_of: datetime) -> DataFrame:
+    rows = _fields(
+        _rows(payloads, pick=_ashby_jobs), id="$.id", title="$.title", named="$.locationName", place="$.location", published="$.publishedDate",
+        posted="$.postedDate", updated="$.updatedAt", apply="$.applyUrl", link="$.jobUrl", html="$.descriptionHtml", described="$.description",
+    )
     return _posting(
-        _rows(payloads, pick=_ashby_jobs), "ashby",
-        company=F.col("slug"), title=json_truthy(J, "$.title"), location=first_truthy(J, "$.locationName", "$.location"),
-        post_date=_date("$.publishedDate", "$.postedDate", "$.updatedAt"), url=first_truthy(J, "$.applyUrl", "$.jobUrl"),
-        jd_text=_spaced(first_truthy(J, "$.descriptionHtml", "$.description")),
-        meta=_meta(ashby_job_id=json_truthy(J, "$.id")),
+        rows, "ashby", company=F.col("slug"), title=_j("title"), location=_j("named", "place"), post_date=_date("published", "posted", "updated"),
+        url=_j("apply", "link"), jd_text=_spaced("html", "described"), meta=_meta(ashby_job_id=_j("id")),
     )
 
 
 def normalize_workday(payloads: DataFrame, as_of: datetime) -> DataFrame:
     """Needs ``site`` and ``origin`` besides ``slug``."""
-    bullets = F.try_variant_get(J, "$.bulletFields", "array<string>")
-    with_r = F.get(F.filter(bullets, lambda b: F.contains(b, F.lit("R"))), F.lit(0))
-    posted = F.coalesce(
-        json_truthy(J, "$.postedOn"), F.nullif(F.get(bullets, F.lit(0)), F.lit("")), json_truthy(J, "$.publishedDate")
+    rows = _fields(
+        _rows(payloads, "$.jobPostings"), title="$.title", places="$.locationsText", place="$.location", posted="$.postedOn",
+        bullet="$.bulletFields[0]", published="$.publishedDate", path="$.externalPath", described="$.description", short="$.shortDescription",
     )
+    bullets = F.try_variant_get("_job", "$.bulletFields", "array<string>")
+    with_r = F.get(F.filter(bullets, lambda b: F.contains(b, F.lit("R"))), F.lit(0))
+    rows = rows.withColumns({"j_posted_on": _j("posted", "bullet", "published"), "j_r": with_r})
     return _posting(
-        _rows(payloads, "$.jobPostings"), "workday",
-        company=F.col("slug"), title=json_truthy(J, "$.title"), location=first_truthy(J, "$.locationsText", "$.location"),
-        post_date=relative_date_or_parse(posted, as_of), url=F.concat(F.col("origin"), json_truthy(J, "$.externalPath")),
-        jd_text=_spaced(first_truthy(J, "$.description", "$.shortDescription")),
-        meta=_meta(workday_id=with_r, tenant=F.col("slug"), site=F.col("site")),
-    )
-
-
-def _city_region_country() -> Column:
-    return join_parts(
-        json_text(J, "$.location.city"), json_text(J, "$.location.region"), json_text(J, "$.location.country")
+        rows, "workday", company=F.col("slug"), title=_j("title"), location=_j("places", "place"),
+        post_date=relative_date_or_parse("j_posted_on", as_of), url=F.concat(F.col("origin"), _j("path")), jd_text=_spaced("described", "short"),
+        meta=_meta(workday_id=_j("r"), tenant=F.col("slug"), site=F.col("site")),
     )
 
 
 def normalize_smartrecruiters(payloads: DataFrame, as_of: datetime) -> DataFrame:
-    ref = json_text(J, "$.ref")
-    built = F.concat(
-        F.lit("https://jobs.smartrecruiters.com/"), F.col("slug"), F.lit("/"), first_truthy(J, "$.id", "$.uuid", "$.ref")
+    rows = _fields(
+        _rows(payloads, "$.content"), id="$.id", uuid="$.uuid", ref="$.ref", title="$.name", city="$.location.city", region="$.location.region",
+        country="$.location.country", remote="$.location.remote", released="$.releasedDate", created="$.createdOn", updated="$.updatedDate",
+        full="$.jobAd.sections.jobDescription.text", summary="$.jobAd.summary",
     )
+    built = F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.col("slug"), F.lit("/"), _j("id", "uuid", "ref"))
     return _posting(
-        _rows(payloads, "$.content"), "smartrecruiters",
-        company=F.col("slug"), title=json_truthy(J, "$.name"),
-        location=F.coalesce(_city_region_country(), json_truthy(J, "$.location.remote")),
-        post_date=_date("$.releasedDate", "$.createdOn", "$.updatedDate"),
-        url=F.when(ref.rlike("(?i)^https?://"), ref).otherwise(built),
-        jd_text=_spaced(first_truthy(J, "$.jobAd.sections.jobDescription.text", "$.jobAd.summary")),
-        meta=_meta(smartrecruiters_id=first_truthy(J, "$.id", "$.uuid")),
+        rows, "smartrecruiters", company=F.col("slug"), title=_j("title"), location=join_parts("j_city", "j_region", "j_country", fallback="j_remote"),
+        post_date=_date("released", "created", "updated"), url=F.when(_j("ref").rlike("(?i)^https?://"), _j("ref")).otherwise(built),
+        jd_text=_spaced("full", "summary"), meta=_meta(smartrecruiters_id=_j("id", "uuid")),
     )
 
 
 def normalize_workable(payloads: DataFrame, as_of: datetime, widget: bool = False) -> DataFrame:
     """``widget`` reads the older endpoint, which prefers ``jobs`` to ``results``."""
     paths = ("$.jobs", "$.results") if widget else ("$.results", "$.jobs")
-    built = F.concat(
-        F.lit("https://apply.workable.com/"), F.col("slug"), F.lit("/j/"), json_truthy(J, "$.shortcode"), F.lit("/")
+    rows = _fields(
+        _rows(payloads, *paths), id="$.id", code="$.shortcode", title="$.title", city="$.location.city", region="$.location.region",
+        country="$.location.country", place="$.location.location_str", published="$.published", created="$.created_at", updated="$.updated_at",
+        link="$.url", described="$.description", requirements="$.requirements",
     )
+    built = F.concat(F.lit("https://apply.workable.com/"), F.col("slug"), F.lit("/j/"), _j("code"), F.lit("/"))
     return _posting(
-        _rows(payloads, *paths), "workable",
-        company=F.col("slug"), title=json_truthy(J, "$.title"),
-        location=F.coalesce(_city_region_country(), json_truthy(J, "$.location.location_str")),
-        post_date=_date("$.published", "$.created_at", "$.updated_at"), url=F.coalesce(json_truthy(J, "$.url"), built),
-        jd_text=_spaced(first_truthy(J, "$.description", "$.requirements")),
-        meta=_meta(workable_id=first_truthy(J, "$.id", "$.shortcode")),
+        rows, "workable", company=F.col("slug"), title=_j("title"), location=join_parts("j_city", "j_region", "j_country", fallback="j_place"),
+        post_date=_date("published", "created", "updated"), url=F.coalesce(_j("link"), built), jd_text=_spaced("described", "requirements"),
+        meta=_meta(workable_id=_j("id", "code")),
     )
 
 
 def normalize_recruitee(payloads: DataFrame, as_of: datetime) -> DataFrame:
-    built = F.concat(F.lit("https://"), F.col("slug"), F.lit(".recruitee.com/o/"), json_truthy(J, "$.id"))
+    rows = _fields(
+        _rows(payloads, "$.offers", "$"), id="$.id", title="$.title", city="$.city", place="$.location", country="$.country", created="$.created_at",
+        published="$.published_at", updated="$.updated_at", careers="$.careers_url", link="$.url", described="$.description", html="$.description_html",
+    )
+    built = F.concat(F.lit("https://"), F.col("slug"), F.lit(".recruitee.com/o/"), _j("id"))
     return _posting(
-        _rows(payloads, "$.offers", "$"), "recruitee",
-        company=F.col("slug"), title=json_truthy(J, "$.title"),
-        location=join_parts(first_truthy(J, "$.city", "$.location"), json_text(J, "$.country")),
-        post_date=_date("$.created_at", "$.published_at", "$.updated_at"),
-        url=F.coalesce(first_truthy(J, "$.careers_url", "$.url"), built),
-        jd_text=_spaced(first_truthy(J, "$.description", "$.description_html")),
-        meta=_meta(recruitee_id=json_truthy(J, "$.id")),
+        rows, "recruitee", company=F.col("slug"), title=_j("title"), location=join_parts(_j("city", "place"), "j_country"),
+        post_date=_date("created", "published", "updated"), url=F.coalesce(_j("careers", "link"), built), jd_text=_spaced("described", "html"),
+        meta=_meta(recruitee_id=_j("id")),
     )
 
 
 def normalize_bamboohr(payloads: DataFrame, as_of: datetime) -> DataFrame:
+    rows = _fields(
+        _rows(payloads, "$.jobs", "$.openings", "$.result", "$"), id="$.id", opening="$.jobOpeningId", name="$.jobOpeningName", title="$.title",
+        place="$.location", department="$.departmentLabel", date="$.date", published="$.datePublished", created="$.created", posted="$.postedDate",
+        opening_link="$.jobOpeningUrl", link="$.url", described="$.description", label="$.descriptionLabel",
+    )
     return _posting(
-        _rows(payloads, "$.jobs", "$.openings", "$.result", "$"), "bamboohr",
-        company=F.col("slug"), title=first_truthy(J, "$.jobOpeningName", "$.title"),
-        location=first_truthy(J, "$.location", "$.departmentLabel"),
-        post_date=_date("$.date", "$.datePublished", "$.created", "$.postedDate"),
-        url=first_truthy(J, "$.jobOpeningUrl", "$.url"),
-        jd_text=_spaced(first_truthy(J, "$.description", "$.descriptionLabel")),
-        meta=_meta(bamboohr_id=first_truthy(J, "$.id", "$.jobOpeningId")),
+        rows, "bamboohr", company=F.col("slug"), title=_j("name", "title"), location=_j("place", "department"),
+        post_date=_date("date", "published", "created", "posted"), url=_j("opening_link", "link"), jd_text=_spaced("described", "label"),
+        meta=_meta(bamboohr_id=_j("id", "opening")),
     )
 
 
 def normalize_jobvite(payloads: DataFrame, as_of: datetime) -> DataFrame:
+    rows = _fields(
+        _rows(payloads, "$.jobs", "$.requisitions", "$"), id="$.id", job="$.jobId", title="$.title", name="$.jobTitle", place="$.location",
+        job_place="$.jobLocation", date="$.postDate", posted="$.postedDate", created="$.createdDate", apply="$.applyUrl", link="$.url",
+        described="$.description", text="$.jobDescription",
+    )
     return _posting(
-        _rows(payloads, "$.jobs", "$.requisitions", "$"), "jobvite",
-        company=F.col("slug"), title=first_truthy(J, "$.title", "$.jobTitle"),
-        location=first_truthy(J, "$.location", "$.jobLocation"),
-        post_date=_date("$.postDate", "$.postedDate", "$.createdDate"), url=first_truthy(J, "$.applyUrl", "$.url"),
-        jd_text=_spaced(first_truthy(J, "$.description", "$.jobDescription")),
-        meta=_meta(jobvite_id=first_truthy(J, "$.id", "$.jobId")),
+        rows, "jobvite", company=F.col("slug"), title=_j("title", "name"), location=_j("place", "job_place"), post_date=_date("date", "posted", "created"),
+        url=_j("apply", "link"), jd_text=_spaced("described", "text"), meta=_meta(jobvite_id=_j("id", "job")),
     )
 
 
 def normalize_amazon(payloads: DataFrame, as_of: datetime) -> DataFrame:
     """Dates and texts stay as given: neither stripped nor cut."""
-    built = F.concat(F.lit("https://www.amazon.jobs"), json_truthy(J, "$.job_path"))
+    rows = _fields(
+        _rows(payloads, "$.jobs"), id="$.id", job="$.job_id", team="$.team", virtual="$.is_virtual", title="$.title", city="$.city", state="$.state",
+        country="$.country_code", place="$.location", posted="$.posting_date", updated="$.updated_time", path="$.job_path", link="$.job_url",
+        described="$.description", basic="$.basic_qualifications", preferred="$.preferred_qualifications",
+    )
     return _posting(
-        _rows(payloads, "$.jobs"), "amazon",
-        company=F.lit("amazon"), title=json_text(J, "$.title"),
-        location=join_parts(json_text(J, "$.city"), json_text(J, "$.state"), json_text(J, "$.country_code"),
-                            fallback=json_truthy(J, "$.location")),
-        post_date=first_truthy(J, "$.posting_date", "$.updated_time"),
-        url=F.coalesce(built, json_truthy(J, "$.job_url")),
-        jd_text=first_truthy(J, "$.description", "$.basic_qualifications", "$.preferred_qualifications"),
-        meta=_meta(
-            team=json_truthy(J, "$.team"), job_id=first_truthy(J, "$.id", "$.job_id"),
-            is_virtual=F.coalesce(json_truthy(J, "$.is_virtual"), F.lit("false")),
-        ),
-        need_title=False,
+        rows, "amazon", company=F.lit("amazon"), title=_j("title"), location=join_parts("j_city", "j_state", "j_country", fallback="j_place"),
+        post_date=_j("posted", "updated"), url=F.coalesce(F.concat(F.lit("https://www.amazon.jobs"), _j("path")), _j("link")),
+        jd_text=_j("described", "basic", "preferred"),
+        meta=_meta(team=_j("team"), job_id=_j("id", "job"), is_virtual=F.coalesce(_j("virtual"), F.lit("false"))), need_title=False,
     )
 
 
 def _links(path: str) -> Column:
     empty = F.array().cast("array<string>")
-    return F.coalesce(F.transform(json_list(J, path), lambda o: json_text(o, "$.link")), empty)
+    return F.coalesce(F.transform(json_list("_job", path), lambda o: json_text(o, "$.link")), empty)
 
 
 def normalize_serpapi(payloads: DataFrame, as_of: datetime) -> DataFrame:
-    rows = _rows(payloads, "$.jobs_results").withColumn(
-        "_best", resolve_best_link(_links("$.apply_options"), _links("$.related_links"), json_truthy(J, "$.share_link"))
+    rows = _fields(
+        _rows(payloads, "$.jobs_results"), company="$.company_name", title="$.title", place="$.location", posted="$.detected_extensions.posted_at",
+        described="$.description", share="$.share_link",
     )
-    best = F.col("_best")
+    listed = rows.withColumns({"j_apply": _links("$.apply_options"), "j_related": _links("$.related_links")})
+    best = listed.withColumn("j_best", resolve_best_link("j_apply", "j_related", "j_share"))
     return _posting(
-        rows, "serpapi",
-        company=F.coalesce(json_truthy(J, "$.company_name"), F.lit("Unknown")), title=json_text(J, "$.title"),
-        location=json_truthy(J, "$.location"),
-        post_date=relative_date(json_text(J, "$.detected_extensions.posted_at"), as_of), url=best["url"],
-        jd_text=cut_text(json_text(J, "$.description"), SOURCE_TEXT_LIMIT),
-        meta=_meta(url_resolution=best["resolution"], url_source=best["source"]), need_title=False,
-    ).drop("_best")
+        best, "serpapi", company=F.coalesce(_j("company"), F.lit("Unknown")), title=_j("title"), location=_j("place"),
+        post_date=relative_date("j_posted", as_of), url=F.col("j_best.url"), jd_text=cut_text("j_described", SOURCE_TEXT_LIMIT),
+        meta=_meta(url_resolution=F.col("j_best.resolution"), url_source=F.col("j_best.source")), need_title=False,
+    )
 
 
 def normalize_page(payloads: DataFrame, source: str) -> DataFrame:
-    """Fallback of four sources: postings embedded in an HTML page."""
+    """Fallback of four sources: postings embedded in an HTML page. Rows keep ``block`` and ``node`` as their order."""
     found = extract_jsonld_postings(payloads, "body").withColumnRenamed("posting", "_job")
-    rows = found.withColumn("row", F.col("block") * 1_000_000 + F.element_at(F.split("node", r"\."), -1).cast("int"))
+    rows = _fields(found, title="$.title", posted="$.datePosted", valid="$.validFrom", link="$.url", described="$.description").withColumns(
+        {"j_place": jsonld_location("_job"), "j_id": jsonld_identifier("_job")}
+    )
     return _posting(
-        rows.drop("block", "node"), source,
-        company=F.col("slug"), title=json_truthy(J, "$.title"), location=jsonld_location(J),
-        post_date=_date("$.datePosted", "$.validFrom"), url=json_truthy(J, "$.url"),
-        jd_text=_spaced(json_truthy(J, "$.description")), meta=_meta(**{f"{source}_id": jsonld_identifier(J)}),
+        rows, source, company=F.col("slug"), title=_j("title"), location=_j("place"), post_date=_date("posted", "valid"), url=_j("link"),
+        jd_text=_spaced("described"), meta=_meta(**{f"{source}_id": _j("id")}),
     )
 
 

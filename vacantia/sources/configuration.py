@@ -29,17 +29,14 @@ def keyword_rows(documents: DataFrame, body: str = "body") -> DataFrame:
     parsed = documents.withColumn("_r", F.from_json(body, RULE_SCHEMA)).drop(body)
     keep = [c for c in parsed.columns if c != "_r"]
     classes = {"A": "_r.tiers.A.keywords", "B": "_r.tiers.B.keywords", "negative": "_r.negative"}
-    entries = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.map_entries(F.col(path)), F.array().cast("array<struct<key:string,value:int>>")),
-                lambda e, i, name=name: F.struct(
-                    F.lit(name).alias("class"), i.alias("position"), e["key"].alias("keyword"), e["value"].alias("weight")
-                ),
-            )
-            for name, path in classes.items()
-        ]
-    )
+    def entries_of(name: str, path: str) -> Column:
+        entries = F.coalesce(F.map_entries(F.col(path)), F.array().cast("array<struct<key:string,value:int>>"))
+        return F.transform(
+            entries,
+            lambda e, i: F.struct(F.lit(name).alias("class"), i.alias("position"), e["key"].alias("keyword"), e["value"].alias("weight")),
+        )
+
+    entries = F.concat(*[entries_of(name, path) for name, path in classes.items()])
     return parsed.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
 
 

@@ -32,12 +32,11 @@ def is_ok(status: Column | str = "http_status") -> Column:
 
 def valid_json_responses(payloads: DataFrame) -> DataFrame:
     """Successful responses that say they are JSON and do parse to something."""
-    parsed = F.try_parse_json(F.col("body"))
     return payloads.filter(
         is_ok()
         & F.contains(F.lower("content_type"), F.lit("json"))
-        & parsed.isNotNull()
-        & ~F.coalesce(F.is_variant_null(parsed), F.lit(True))
+        & F.try_parse_json(F.col("body")).isNotNull()
+        & ~trim_blanks("body").isin("null", "false", "0", '""')
     )
 
 
