@@ -123,13 +123,14 @@ EVENTS_PER_POSTING = 100
 REQUEUE_LIMIT = 500
 ACTIVE_BATCH_LIMIT = 30
 
-# Date texts accepted besides ISO: (pattern whose group holds the date, Spark format of the group).
-DATE_TEXT_FORMATS = (
-    (r"^[A-Z][a-z]{2}, (\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$", "d MMM yyyy HH:mm:ss"),
-    (r"^((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4})$", "MMMM d, yyyy"),
-    (r"^([A-Z][a-z]{2} \d{1,2}, \d{4})$", "MMM d, yyyy"),
-    (r"^(\d{1,2}/\d{1,2}/\d{4})$", "M/d/yyyy"),
+# Date texts accepted besides ISO; the group holds the date, the format has one optional part per shape
+# and a mark that only a matching text gets.
+DATE_TEXT_PATTERN = (
+    r"^(?:[A-Z][a-z]{2}, )?"
+    r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}|[A-Z][a-z]{2,8} \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{4})"
+    r"(?: GMT)?$"
 )
+DATE_TEXT_FORMAT = "[d MMM yyyy HH:mm:ss][MMMM d, yyyy][MMM d, yyyy][M/d/yyyy]' @'"
 
 # Order of the sources within a run.
 SOURCE_ORDER = (

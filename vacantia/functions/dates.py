@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
 
-from vacantia.fixed_values import BLANK_CLASS, DATE_TEXT_FORMATS
+from vacantia.fixed_values import BLANK_CLASS, DATE_TEXT_FORMAT, DATE_TEXT_PATTERN
 from vacantia.functions.text import col, trim_blanks
 
 DAY = "yyyy-MM-dd"
@@ -34,8 +34,8 @@ def day_of(ts: Column) -> Column:
 
 
 def _parse_written(c: Column) -> Column:
-    """Timestamp of a text in one of the written formats; a text that fits none of the patterns is null."""
-    return F.coalesce(*[F.try_to_timestamp(F.regexp_extract(c, pattern, 1), F.lit(fmt)) for pattern, fmt in DATE_TEXT_FORMATS])
+    """Timestamp of a text in one of the written formats; a text of another shape is null."""
+    return F.try_to_timestamp(F.regexp_replace(c, DATE_TEXT_PATTERN, "$1 @"), F.lit(DATE_TEXT_FORMAT))
 
 
 def parse_date_text(c: Column | str) -> Column:

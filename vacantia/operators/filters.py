@@ -21,10 +21,10 @@ def reject_incomplete(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def freshness_class(hours: int, allow_unknown: bool, as_of: datetime, post_date: str = "post_date") -> Column:
     """``kept``, ``old`` or ``unknown`` for each posting; an unparsable date is old."""
     cutoff = as_utc(as_of) - timedelta(hours=hours)
+    day_cutoff = cutoff.replace(hour=0, minute=0, second=0, microsecond=0)
     text = trim_blanks(post_date)
-    day_fresh = (text >= cutoff.strftime("%Y-%m-%d")) & text.try_cast("date").isNotNull()
-    exact_fresh = parse_date_text(text) >= instant(cutoff)
-    fresh = F.coalesce(F.when(text.rlike(ISO_DAY), day_fresh).otherwise(exact_fresh), F.lit(False))
+    bound = F.when(text.rlike(ISO_DAY), instant(day_cutoff)).otherwise(instant(cutoff))
+    fresh = F.coalesce(parse_date_text(text) >= bound, F.lit(False))
     unknown = F.coalesce(F.col(post_date), F.lit("")) == ""
     return F.when(unknown, "kept" if allow_unknown else "unknown").when(fresh, "kept").otherwise("old")
 

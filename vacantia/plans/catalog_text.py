@@ -146,7 +146,7 @@ HASH_BODY = " || ".join(
 )
 
 
-def _linked(spark, sf_dir):
+def linked_pages(spark, sf_dir):
     """Apply, related and share links of a page: plain, redirect, double-encoded redirect or search-only."""
     g = b.table(spark, sf_dir, "pages")
     k, url = F.col("page_id"), F.col("url")
@@ -164,7 +164,7 @@ def _linked(spark, sf_dir):
 
 def resolve_best_link(spark, sf_dir):
     best = links.resolve_best_link("apply_links", "related_links", "share_link")
-    return _linked(spark, sf_dir).select("page_id", best.alias("b")).select("page_id", "b.url", "b.resolution", "b.source")
+    return linked_pages(spark, sf_dir).select("page_id", best.alias("b")).select("page_id", "b.url", "b.resolution", "b.source")
 
 
 BEST_LINK_SQL = """select page_id, case when page_id % 5 <> 4 then url end as url,

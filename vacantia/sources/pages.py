@@ -13,7 +13,7 @@ NESTING = 3
 
 def _as_nodes(v: Column) -> Column:
     """One level of flattening: the array itself, the graph of an object, or the object alone."""
-    return F.coalesce(json_list(v, "$"), json_list(v, "$.['@graph']"), F.array(v))
+    return F.coalesce(json_list(v, "$"), json_list(v, "$['@graph']"), F.array(v))
 
 
 def extract_jsonld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -34,8 +34,8 @@ def extract_jsonld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
         nodes = nodes.withColumn("node", F.concat_ws(".", F.nullif(F.col("_path"), F.lit("")), F.lpad(F.col("_pos").cast("string"), 6, "0")))
         nodes = nodes.drop("_path", "_pos")
     types = F.coalesce(
-        F.try_variant_get("posting", "$.['@type']", "array<string>"),
-        F.array(json_text(F.col("posting"), "$.['@type']")),
+        F.try_variant_get("posting", "$['@type']", "array<string>"),
+        F.array(json_text(F.col("posting"), "$['@type']")),
     )
     names = F.concat(F.lit("\n"), F.lower(F.array_join(types, "\n")), F.lit("\n"))
     return nodes.filter(F.contains(names, F.lit("\njobposting\n")))
