@@ -223,10 +223,12 @@ def reconcile_results(results: DataFrame, items: DataFrame) -> DataFrame:
 def apply_llm_results(
     queue: DataFrame, results: DataFrame, threshold: int, as_of: datetime
 ) -> tuple[DataFrame, DataFrame]:
-    """(next queue, events) from completed results (seq, job_id, run_id, answer); the last of a posting wins."""
-    done = results.filter(F.col("state") == "completed").select("seq", "job_id", "run_id", "answer")
-    newest = latest_wins(done, "job_id").select(
-        F.col("job_id").alias("id"), F.col("answer").alias("_a"), F.col("run_id").alias("_run")
+    """(next queue, events) from completed results (seq, custom_id, job_id, run_id, answer); the last of a
+    posting by seq, then custom id, wins."""
+    done = results.filter(F.col("state") == "completed").select("seq", "custom_id", "job_id", "run_id", "answer")
+    last = F.max_by(F.struct("answer", "run_id"), F.struct("seq", "custom_id")).alias("_last")
+    newest = done.groupBy(F.col("job_id").alias("id")).agg(last).select(
+        "id", F.col("_last.answer").alias("_a"), F.col("_last.run_id").alias("_run")
     )
     joined = queue.join(newest, "id", "left")
     a, hit, now = F.col("_a"), F.col("_a").isNotNull(), instant(as_of)

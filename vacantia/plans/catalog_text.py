@@ -135,13 +135,13 @@ def payload_hash(spark, sf_dir):
     return keys.payload_hash(keys.normalize_posting(b.postings(spark, sf_dir))).select("seq", "payload_hash")
 
 
-def _json_text(x: str) -> str:
+def json_value(x: str) -> str:
     return f"coalesce(to_json({x})::varchar, 'null')"
 
 
 HASH_BODY = " || ".join(
-    [f"'{{\"company\":' || {_json_text('company')}"]
-    + [f"',\"{f}\":' || {_json_text(f)}" for f in ("title", "location", "post_date", "source", "url", "jd_text")]
+    [f"'{{\"company\":' || {json_value('company')}"]
+    + [f"',\"{f}\":' || {json_value(f)}" for f in ("title", "location", "post_date", "source", "url", "jd_text")]
     + ["',\"is_bigtech\":false,\"meta\":null}'"]
 )
 
@@ -247,9 +247,9 @@ def fit_cache_key(spark, sf_dir):
 
 
 CACHE_BODY = " || ".join(
-    [f"'{{\"title\":' || {_json_text('title')}", f"',\"location\":' || {_json_text(chr(99) + 'oalesce(location,' + chr(39) * 2 + ')')}"]
-    + [f"',\"jdText\":' || {_json_text('substr(jd_text,1,6000)')}", f"',\"source\":' || {_json_text('source')}"]
-    + [f"',\"url\":' || {_json_text('coalesce(url,' + chr(39) * 2 + ')')} || '}}'"]
+    [f"'{{\"title\":' || {json_value('title')}", f"',\"location\":' || {json_value(chr(99) + 'oalesce(location,' + chr(39) * 2 + ')')}"]
+    + [f"',\"jdText\":' || {json_value('substr(jd_text,1,6000)')}", f"',\"source\":' || {json_value('source')}"]
+    + [f"',\"url\":' || {json_value('coalesce(url,' + chr(39) * 2 + ')')} || '}}'"]
 )
 
 

@@ -22,6 +22,12 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return reader.load(path)
 
 
+def result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value) stream of result files, one JSON answer per line; later files count as later."""
+    lines = spark.readStream.format("text").load(path)
+    return lines.select(F.unix_micros("_metadata.file_modification_time").alias("seq"), "value")
+
+
 def stream_ingest(
     postings: DataFrame, root: str, checkpoint: str, rules: KeywordRules, profile: Profile, options: GateOptions,
     as_of: datetime | None = None, interval: str | None = None,
