@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from vacantia import fixed_values as fv
 from vacantia.config import GateOptions, Profile
 from vacantia.functions.text import compact_list, has_word, min_years_pattern, sql_text
+from vacantia.session import hold_filters
 
 GATE_COLUMNS = ("fit_score", "fit_label", "fit_source", "quality_bucket", "admitted", "needs_review", "reason_codes")
 ANSWER_SCHEMA = (
@@ -72,7 +73,7 @@ def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> Dat
     s, rejected = F.col("_score"), F.col("_rejected")
     admitted = ~rejected & (s >= options.inbox_floor)
     borderline = ~rejected & ~admitted & s.between(low, high)
-    return scored.withColumns(
+    gated = scored.withColumns(
         {
             "fit_score": F.when(rejected, F.greatest(F.lit(0), s + fv.HARD_EXCLUSION_POINTS))
             .when(admitted | borderline, s).otherwise(F.greatest(F.lit(0), s)).cast("int"),
@@ -82,7 +83,8 @@ def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> Dat
             "admitted": admitted,
             "needs_review": borderline,
         }
-    ).drop("_text", "_place", "_near", "_score", "_rejected", *tests)
+    )
+    return hold_filters(gated.drop("_text", "_place", "_near", "_score", "_rejected", *tests))
 
 
 def without_answers(gated: DataFrame, skip_reason: str) -> DataFrame:

@@ -10,6 +10,7 @@ from vacantia.config import KeywordRules
 from vacantia.fixed_values import HARD_WORD_PENALTY
 from vacantia.functions.dates import epoch_seconds, posted_at_granularity
 from vacantia.functions.text import compact_list, escape_pattern, sql_text
+from vacantia.session import hold_filters
 
 
 def _keyword_list(rules: KeywordRules) -> list[tuple[str, str, int]]:
@@ -59,10 +60,11 @@ def keyword_score(postings: DataFrame, rules: KeywordRules, as_of: datetime) ->
     any_a = " or ".join(f"_c{i} > 0" for i in range(len(rules.tier_a))) or "false"
     hits = [f"if(_c{i} > 0, concat({sql_text(label + k + 'x')}, _c{i}), null)" for i, (label, k, _) in enumerate(keywords)]
     hits += ["case when _age <= 24 then '+fresh:24h' when _age <= 168 then '+fresh:7d' end", "if(_hard, 'hard:senior', null)"]
-    return counted.withColumns(
+    scored = counted.withColumns(
         {
             "score": F.expr(f"cast({' + '.join([*points, fresh])} - {penalty} as bigint)"),
             "tier": F.expr(f"case when _hard then 'C' when {any_a} then 'A' else 'B' end"),
             "hits": compact_list(hits),
         }
-    ).drop("_text", "_title", "_posted", "_hard", "_age", *counts)
+    )
+    return hold_filters(scored.drop("_text", "_title", "_posted", "_hard", "_age", *counts))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -54,3 +54,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     all; a scan that already has enough splits stays as it is."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
+def hold_filters(df: DataFrame) -> DataFrame:
+    """Keep later filters on computed columns above their computation, by an observed row count.
+
+    Pushed below, such a filter would repeat the computation, here dozens of text searches, and outgrow
+    generated code. Columns nobody reads are still pruned down to the scan.
+    """
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))

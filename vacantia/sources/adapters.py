@@ -17,6 +17,7 @@ from vacantia.functions.dates import epoch_ms_day, normalize_date, relative_date
 from vacantia.functions.links import resolve_best_link
 from vacantia.functions.payloads import json_list, json_text
 from vacantia.functions.text import cut_text, join_parts, strip_html_spaced, strip_tags_tight
+from vacantia.session import hold_filters
 from vacantia.sources.pages import extract_jsonld_postings, jsonld_identifier, jsonld_location
 
 Adapter = Callable[[DataFrame, datetime], DataFrame]
@@ -70,7 +71,7 @@ def _posting(rows: DataFrame, source: str, *, company: Column, title: Column, lo
         F.lit(source).alias("source"), url.alias("url"), jd_text.alias("jd_text"), F.lit(False).alias("is_bigtech"),
         (F.lit(None).cast("map<string,string>") if meta is None else meta).alias("meta"),
     )
-    return out.filter(F.col("title").isNotNull()) if need_title else out
+    return hold_filters(out.filter(F.col("title").isNotNull()) if need_title else out)
 
 
 def _spaced(*names: str) -> Column:
