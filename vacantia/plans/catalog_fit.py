@@ -55,7 +55,7 @@ def not_already_queued(spark, sf_dir):
     return fr.not_already_queued(rows, items)
 
 
-def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def results_and_items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Result lines and items from the conversations: assistants answer well, users badly, some lines are cut."""
     c = b.table(spark, sf_dir, "conversations")
     ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -80,12 +80,12 @@ RESULTS = """res as (select conv_id as batch_id, conv_id * 1000 + turn as seq, c
 
 
 def reconcile_results(spark, sf_dir):
-    rows = fr.reconcile_results(*_results(spark, sf_dir))
+    rows = fr.reconcile_results(*results_and_items(spark, sf_dir))
     return rows.select("seq", "custom_id", "batch_id", "state", "error_text", "answer.fit_label", "answer.fit_score", "tokens_prompt", "tokens_completion")
 
 
 def batch_outcome(spark, sf_dir):
-    return fr.batch_outcome(fr.reconcile_results(*_results(spark, sf_dir)))
+    return fr.batch_outcome(fr.reconcile_results(*results_and_items(spark, sf_dir)))
 
 
 def attach_batch_id(spark, sf_dir):
@@ -112,7 +112,7 @@ def upsert_fit_cache(spark, sf_dir):
 
 
 def _applied(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return fr.apply_llm_results(b.queue(spark, sf_dir), fr.reconcile_results(*_results(spark, sf_dir)), 65, b.AS_OF)
+    return fr.apply_llm_results(b.queue(spark, sf_dir), fr.reconcile_results(*results_and_items(spark, sf_dir)), 65, b.AS_OF)
 
 
 def apply_llm_results(spark, sf_dir):

@@ -1 +1,98 @@
-CASES = {}
+"""Queries of the streaming jobs; each runs its stream to the end and returns what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vacantia.functions import keys
+from vacantia.operators.snapshots import read_snapshot, write_snapshot
+from vacantia.plans import bindings as b
+from vacantia.plans.catalog_entities import COMPONENTS, EVALUATED
+from vacantia.plans.catalog_fit import APPLIED, results_and_items
+from vacantia.plans.sql_text import BASE, GATED, TB, ts_text
+from vacantia.session import work_dir
+from vacantia.streaming import jobs
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a file stream; its zoneless times are UTC. A stream reads folders or patterns."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    df = jobs.file_stream(spark, f"{sf_dir}/{name}*.parquet", schema)
+    zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+
+
+def _posting_stream(spark, sf_dir) -> DataFrame:
+    return b.postings(spark, sf_dir, _stream(spark, sf_dir, "documents"))
+
+
+def _append_to_files(df: DataFrame, root: str) -> DataFrame:
+    """Run an append stream to the end into Parquet files and read them."""
+    query = df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def _complete_to_files(df: DataFrame, root: str) -> DataFrame:
+    """Run an aggregation to the end; every micro-batch replaces the result files."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out")
+
+    query = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def stream_ingest(spark, sf_dir):
+    root = work_dir(spark, "ingest")
+    jobs.stream_ingest(_posting_stream(spark, sf_dir), f"{root}/tables", f"{root}/cp", b.RULES, b.PROFILE, b.OPTIONS, b.AS_OF).awaitTermination()
+    queue = read_snapshot(spark, f"{root}/tables", "job_queue")
+    return queue.select("id", "company", "title", "location", "post_date", "url", "score", "tier", "status", "canonical_fingerprint", "fit_score", "quality_bucket", "last_run_id")
+
+
+def stream_dedup(spark, sf_dir):
+    rows = keys.fingerprint(keys.normalize_posting(_posting_stream(spark, sf_dir))).withColumn("seen_at", b.minutes_after("2001-01-01 00:00:00", "seq"))
+    out = _append_to_files(jobs.stream_dedup(rows.select("canonical_fingerprint", "seen_at"), "seen_at"), work_dir(spark, "dedup"))
+    return out.select("canonical_fingerprint")
+
+
+def late_rows(spark, sf_dir):
+    rows = jobs.late_rows(_posting_stream(spark, sf_dir), b.FRESH_HOURS, False, b.AS_OF).select("seq", "source", "freshness")
+    return _append_to_files(rows, work_dir(spark, "late"))
+
+
+def usage_windows(spark, sf_dir):
+    usage = _stream(spark, sf_dir, "events").select(F.col("value").cast("bigint").alias("calls"), F.col("ts").alias("created_at"))
+    out = _complete_to_files(jobs.usage_windows(usage, "calls"), work_dir(spark, "usage"))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "used")
+
+
+def seen_state(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("seen_at"))
+    out = _complete_to_files(jobs.seen_state(rows, "key", "seen_at"), work_dir(spark, "seen"))
+    return out.select("key", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen_at", "last_seen_at")], "n_seen")
+
+
+def stream_llm_results(spark, sf_dir):
+    root = work_dir(spark, "results")
+    lines, items = results_and_items(spark, sf_dir)
+    write_snapshot(b.queue(spark, sf_dir), f"{root}/tables", "job_queue", 1)
+    write_snapshot(items, f"{root}/tables", "llm_batch_items", 1)
+    lines.select("value").coalesce(1).write.text(f"{root}/landed")
+    jobs.stream_llm_results(jobs.result_lines(spark, f"{root}/landed"), f"{root}/tables", f"{root}/cp", 65, b.AS_OF).awaitTermination()
+    queue = read_snapshot(spark, f"{root}/tables", "job_queue_reviewed")
+    return queue.select("id", "status", "fit_source", "llm_review_state")
+
+
+CASES = {
+    "stream_ingest": (stream_ingest, f"""with recursive {GATED}, {COMPONENTS}, {EVALUATED},
+        w as (select component, max(seq) as seq from keyed join comp on fp = canonical_fingerprint group by component)
+        select sha1(component || ':1') as id, company, title, location, post_date, url, score, tier, admission_status as status, canonical_fingerprint, fit_score, quality_bucket, 1 as last_run_id
+        from evaluated join w using (seq)"""),
+    "stream_dedup": (stream_dedup, f"with {BASE} select distinct canonical_fingerprint from keyed"),
+    "late_rows": (late_rows, f"with {TB} select seq, source, case when post_date is null then 'unknown' when post_date >= '1999-08-03' then 'kept' else 'old' end as freshness from tb"),
+    "usage_windows": (usage_windows, "select strftime(ts, '%Y-%m-%d') as day, cast(sum(cast(trunc(value) as bigint)) as bigint) as used from events group by 1"),
+    "seen_state": (seen_state, f"select user_id as key, {ts_text('min(ts)')} as first_seen_at, {ts_text('max(ts)')} as last_seen_at, count(*) as n_seen from events group by user_id"),
+    "stream_llm_results": (stream_llm_results, f"""with {APPLIED} select id, case when not hit or status in ('approved','applied','skipped') then status when ok then 'inbox' else 'filtered' end as status,
+        case when hit then 'llm' else fit_source end as fit_source, case when hit then 'completed' else llm_review_state end as llm_review_state from j"""),
+}
