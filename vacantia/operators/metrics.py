@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia import fixed_values as fv
 from vacantia.functions.dates import as_utc, instant
 from vacantia.operators.filters import freshness_class
-from vacantia.operators.skew import running_max
+from vacantia.operators.skew import HOT_ROWS, chunk_width, running_max
 
 
 def freshness_stats(postings: DataFrame, hours: int, allow_unknown: bool, as_of: datetime) -> DataFrame:
@@ -115,15 +115,20 @@ def run_warnings(source_meta: DataFrame) -> DataFrame:
     return rows.select("seq", "source", "w.position", "w.warning")
 
 
-def error_text(errors: DataFrame, key: str) -> DataFrame:
+def error_text(errors: DataFrame, key: str, target_rows: int = HOT_ROWS) -> DataFrame:
     """(key, n_errors, error_text): messages (key, seq, source, message) in order, joined by a bar.
 
-    Errors are one per source and row failure. The text of a key stays whole; the caller groups by run.
+    The text of a key is whole by definition. Ranges of ``seq`` are sorted and joined first, so no task sorts
+    all messages of one key; the last step only joins the finished pieces.
     """
-    message = F.concat_ws(": ", "source", "message")
-    listed = F.array_sort(F.collect_list(F.struct("seq", message.alias("m"))))
-    grouped = errors.groupBy(key).agg(F.count("*").alias("n_errors"), listed.alias("_l"))
-    return grouped.select(key, "n_errors", F.concat_ws(" | ", F.transform("_l", lambda x: x["m"])).alias("error_text"))
+    width = chunk_width(errors, "seq", target_rows)
+    chunk = F.floor(F.col("seq") / F.lit(width)).alias("_chunk")
+    listed = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(": ", "source", "message").alias("m"))))
+    pieces = errors.groupBy(key, chunk).agg(F.count("*").alias("_n"), listed.alias("_l")).select(
+        key, "_chunk", "_n", F.concat_ws(" | ", F.transform("_l", lambda x: x["m"])).alias("_text")
+    )
+    whole = pieces.groupBy(key).agg(F.sum("_n").alias("n_errors"), F.array_sort(F.collect_list(F.struct("_chunk", "_text"))).alias("_l"))
+    return whole.select(key, "n_errors", F.concat_ws(" | ", F.transform("_l", lambda x: x["_text"])).alias("error_text"))
 
 
 def month_bounds(as_of: datetime) -> tuple[datetime, datetime]:

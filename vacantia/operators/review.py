@@ -125,12 +125,10 @@ def provenance(ids: DataFrame, queue: DataFrame, sources: DataFrame, events: Dat
     The parts stay rows instead of lists, so a posting seen in very many runs never becomes one value.
     An unknown id gives no row.
     """
-    asked = ids.select("id").distinct()
-    wanted = asked.withColumnRenamed("id", "job_id")
-    job = list_projection(queue.join(asked, "id", "left_semi"), "provenance")
+    job = list_projection(queue.join(ids.select("id").distinct(), "id", "left_semi"), "provenance")
     found = job.select(F.col("id").alias("job_id"))
-    lineage = sources.join(wanted, "job_id", "left_semi").join(found, "job_id", "left_semi")
-    newest = latest_events_per_job(events.join(wanted, "job_id", "left_semi").join(found, "job_id", "left_semi"))
+    lineage = sources.join(found, "job_id", "left_semi")
+    newest = latest_events_per_job(events.join(found, "job_id", "left_semi"))
 
     def part(df: DataFrame, name: str, key: str, at: str) -> DataFrame:
         fields = F.struct(*[F.col(c) for c in df.columns if c not in (key, at)])

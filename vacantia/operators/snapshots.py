@@ -1,41 +1,82 @@
-"""Durable tables: versioned Parquet folders and a manifest row that makes a version visible."""
+"""Durable tables: versioned Parquet folders in hash buckets, and manifest rows that make a version visible."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
-
-MANIFEST_SCHEMA = "name string, version bigint, path string"
+from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-def _manifest_path(root: str) -> str:
-    return f"{root.rstrip('/')}/_manifest"
+MANIFEST_SCHEMA = "name string, version bigint, path string, bucket int, buckets int"
+BUCKETS = 32
 
 
-def latest_version(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
-    """(version, path) of the newest visible version; the manifest has one row per version."""
+def _manifest(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     try:
-        rows = spark.read.schema(MANIFEST_SCHEMA).json(_manifest_path(root))
+        rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{root.rstrip('/')}/_manifest")
     except AnalysisException:
         return None
-    newest = rows.filter(F.col("name") == name).agg(F.max(F.struct("version", "path")).alias("m")).first()["m"]
-    return (newest["version"], newest["path"]) if newest else None
+    return rows.filter(F.col("name") == name)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
 
+def latest_version(spark: SparkSession, root: str, name: str) -> int:
+    """Newest visible version, 0 when there is none."""
+    rows = _manifest(spark, root, name)
+    return (rows.agg(F.max("version")).first()[0] or 0) if rows is not None else 0
 
-def write_snapshot(df: DataFrame, root: str, name: str, version: int, sort_by: str | None = None) -> None:
-    """Write the version's files, then its manifest row. A repeated version is written again in full; a job
-    that dies in between leaves files nobody reads. ``sort_by`` clusters rows inside files for scan pruning."""
+
+def touched_buckets(ids: DataFrame, key: str, buckets: int = BUCKETS) -> list[int]:
+    """Buckets that hold any of the ids: at most ``buckets`` numbers."""
+    return sorted(r[0] for r in ids.select(bucket_of(key, buckets)).distinct().collect())
+
+
+def write_snapshot(
+    df: DataFrame, root: str, name: str, version: int, key: str | None = None, buckets: int = BUCKETS,
+    touched: Sequence[int] | None = None, sort_by: str | None = None, files_per_bucket: int = 1,
+) -> None:
+    """Write the version's files, then its manifest rows, which make it visible.
+
+    With a ``key`` rows go to hash buckets; ``touched`` names the buckets that ``df`` holds in full, and the
+    other buckets keep their older files. A repeated version is written again in full; a job that dies in
+    between leaves files nobody reads. ``sort_by`` clusters rows inside files for scan pruning.
+    """
     path = f"{root.rstrip('/')}/{name}/v={version}"
-    out = df.sortWithinPartitions(sort_by) if sort_by else df
-    out.write.mode("overwrite").parquet(path)
     spark = df.sparkSession
-    row = spark.createDataFrame([(name, version, path)], MANIFEST_SCHEMA)
-    row.coalesce(1).write.mode("append").json(_manifest_path(root))
+    if key is None:
+        df.write.mode("overwrite").parquet(path)
+        entries = [(name, version, path, 0, 1)]
+    else:
+        placed = df.drop("bucket").withColumn("bucket", bucket_of(key, buckets))
+        if touched is not None:
+            placed = placed.filter(F.col("bucket").isin(*touched)) if touched else placed.limit(0)
+        split = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(files_per_bucket)))
+        clustered = split.sortWithinPartitions("bucket", *([sort_by] if sort_by else []))
+        clustered.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        entries = [(name, version, path, n, buckets) for n in (range(buckets) if touched is None else touched)]
+    if entries:
+        spark.createDataFrame(entries, MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/_manifest")
 
 
-def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    found = latest_version(spark, root, name)
-    return spark.read.parquet(found[1]) if found else None
+def read_snapshot(spark: SparkSession, root: str, name: str, only: Sequence[int] | None = None) -> DataFrame | None:
+    """Newest version of every bucket, or of the buckets asked for; the scan skips the other bucket folders."""
+    rows = _manifest(spark, root, name)
+    if rows is None:
+        return None
+    newest = rows.groupBy("bucket").agg(F.max(F.struct("version", "path", "buckets")).alias("m"))
+    by_path = newest.groupBy("m.path").agg(F.max("m.buckets").alias("buckets"), F.collect_list("bucket").alias("list")).collect()
+    parts = []
+    for row in sorted(by_path, key=lambda r: r["path"]):
+        wanted = [n for n in row["list"] if only is None or n in only]
+        df = spark.read.parquet(row["path"])
+        if "bucket" in df.columns:
+            df = df.filter(F.col("bucket").isin(*wanted)).drop("bucket")
+        parts.append(df)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def append_rows(df: DataFrame, root: str, name: str, version: int) -> None:

@@ -93,17 +93,13 @@ def _queue_row(scored: DataFrame, run_id: int, as_of: datetime) -> DataFrame:
     return evolve_schema(rows, QUEUE)
 
 
-def upsert_postings(
-    queue: DataFrame, scored: DataFrame, run_id: int, as_of: datetime, **hot: int
-) -> tuple[DataFrame, DataFrame]:
-    """(next queue, outcome) of one ingest run; ``scored`` comes from ``evaluate_postings``.
+def place_batch(queue: DataFrame, scored: DataFrame, run_id: int, **hot: int) -> DataFrame:
+    """Outcome of a batch against the queue, one row per batch row: its entity and what the row-by-row order
+    would have reported. Only key columns of the queue are read.
 
-    Entities are connected components over the three keys across queue and batch. The earliest existing
-    row of an entity is rewritten from the entity's newest batch row and keeps id, created_at, first_seen_at
-    and a sticky status; an entity without one is inserted. Other queue rows stay as they are. The outcome
-    has one row per batch row, with what the row-by-row order would have reported.
+    Entities are connected components over the three keys across queue and batch. The earliest existing row
+    of an entity owns it; an entity without one gets a new id.
     """
-    scored = cut_lineage(scored)
     key_columns = ["canonical_fingerprint", "company_key", "title_key", "location_key", "post_date_key", "company", "title", "url"]
     owner_type = "struct<first_seen_at:timestamp,id:string,status:string,created_at:timestamp>"
     of_batch = scored.select(
@@ -134,14 +130,19 @@ def upsert_postings(
         F.when(owner["status"].isin(*fv.STICKY_STATUSES), owner["status"]).otherwise(F.col("_prior"))
     )
     deduped = ~is_first | owner["id"].isNotNull()
-    outcome = cut_lineage(
+    back = deduped & (before == "filtered") & (F.col("admission_status") == "inbox")
+    return cut_lineage(
         placed.select(
             "seq", F.coalesce(owner["id"], new_id).alias("job_id"), F.when(deduped, "deduped").otherwise("inserted").alias("result"),
-            before.alias("previous_status"), "admission_status",
-            (deduped & (before == "filtered") & (F.col("admission_status") == "inbox")).alias("_resurfaced"),
+            before.alias("previous_status"), F.coalesce(back, F.lit(False)).alias("resurfaced"),
             (F.col("seq") == F.col("last_seq")).alias("is_winner"), "owner",
-        ).withColumn("resurfaced", F.coalesce("_resurfaced", F.lit(False))).drop("_resurfaced")
+        )
     )
+
+
+def next_queue(queue: DataFrame, scored: DataFrame, outcome: DataFrame, run_id: int, as_of: datetime) -> DataFrame:
+    """Queue after a batch: owners rewritten from the newest batch row of their entity, new entities added,
+    other rows as they are. A rewritten row keeps id, created_at, first_seen_at and a sticky status."""
     now = instant(as_of)
     winners = outcome.filter("is_winner").select("seq", F.col("job_id").alias("id"), "owner")
     written = scored.join(winners, "seq").withColumns(
@@ -152,18 +153,29 @@ def upsert_postings(
         }
     )
     rewritten = winners.filter(F.col("owner.id").isNotNull()).select("id")
-    if n <= SMALL_ROWS:
+    if rewritten.count() <= SMALL_ROWS:
         rewritten = F.broadcast(rewritten)
     untouched = evolve_schema(queue, QUEUE).join(rewritten, "id", "left_anti")
-    detail = outcome.drop("owner", "is_winner", "admission_status").join(
-        scored.select(
-            "seq", "source", "source_job_key", "post_date", "payload_hash", "canonical_fingerprint", "dedup_reason",
-            "quality_bucket", "admitted", "admission_status", "reason_codes", "llm_used", "llm_eligible", "llm_attempted",
-            "llm_skipped_reason", "llm_queued",
-        ),
-        "seq",
+    return untouched.unionByName(_queue_row(written, run_id, as_of))
+
+
+def outcome_detail(scored: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Outcome rows with what lineage, events and counters need of the posting; both sides have ``seq`` once."""
+    short = scored.select(
+        "seq", "source", "source_job_key", "post_date", "payload_hash", "canonical_fingerprint", "dedup_reason",
+        "quality_bucket", "admitted", "admission_status", "reason_codes", "llm_used", "llm_eligible", "llm_attempted",
+        "llm_skipped_reason", "llm_queued",
     )
-    return untouched.unionByName(_queue_row(written, run_id, as_of)), detail
+    return outcome.drop("owner", "is_winner").join(short, "seq")
+
+
+def upsert_postings(
+    queue: DataFrame, scored: DataFrame, run_id: int, as_of: datetime, **hot: int
+) -> tuple[DataFrame, DataFrame]:
+    """(next queue, outcome detail) of one ingest run; ``scored`` comes from ``evaluate_postings``."""
+    scored = cut_lineage(scored)
+    outcome = place_batch(queue, scored, run_id, **hot)
+    return next_queue(queue, scored, outcome, run_id, as_of), outcome_detail(scored, outcome)
 
 
 def append_lineage(outcome: DataFrame, run_id: int, as_of: datetime) -> DataFrame:

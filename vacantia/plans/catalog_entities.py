@@ -258,11 +258,13 @@ def requeue_failed(spark, sf_dir):
 
 
 def snapshot_roundtrip(spark, sf_dir):
-    """Two versions written, the newest read back."""
+    """A full version, then one that replaces every other bucket with the same rows, read back together."""
     root = work_dir(spark, "snapshots")
     rows = _keyed(spark, sf_dir).select("seq", "company", "title", "canonical_fingerprint")
-    snapshots.write_snapshot(rows.limit(0), root, "postings", 1)
-    snapshots.write_snapshot(rows, root, "postings", 2, sort_by="company")
+    snapshots.write_snapshot(rows, root, "postings", 1, key="seq", buckets=8)
+    half = [0, 2, 4, 6]
+    part = snapshots.read_snapshot(spark, root, "postings", half)
+    snapshots.write_snapshot(part, root, "postings", 2, key="seq", buckets=8, touched=half, sort_by="company")
     return snapshots.read_snapshot(spark, root, "postings")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vacantia.functions.links import link_host, path_segment
 from vacantia.functions.text import col, trim_blanks
@@ -115,19 +115,17 @@ def first_success_endpoint(payloads: DataFrame) -> DataFrame:
 def stitch_pages(payloads: DataFrame, page_size: int, max_pages: int) -> DataFrame:
     """Pages of each target up to the first failed, empty, missing or short one; a short page is kept.
 
-    Expects ``target``, ``page`` (from 0), ``usable`` and ``n_rows``. A page belongs when every page
-    before it was full, so the lowest page that is not full decides, found by one aggregate per
-    target. ``max_pages`` bounds the pages of a target, hence the window over the missing ones.
+    Expects ``target``, ``page`` (from 0), ``usable`` and ``n_rows``. A page belongs when every page before
+    it was full. Full pages are bits of one number per target, combined before the shuffle and without the
+    bodies; ``max_pages`` is at most 60.
     """
+    if max_pages > 60:
+        raise ValueError("max_pages is at most 60")
     asked = payloads.filter((F.col("page") >= 0) & (F.col("page") < max_pages))
-    full = F.coalesce(F.col("usable") & (F.col("n_rows") >= page_size), F.lit(False))
-    by_target = W.partitionBy("target").orderBy("page")
-    gap = F.col("page") != F.row_number().over(by_target) - 1
-    marked = asked.withColumn("_gap", gap).withColumn("_full", full)
-    stop = marked.groupBy("target").agg(
-        F.coalesce(F.min(F.when(~F.col("_full") | F.col("_gap"), F.col("page"))), F.lit(max_pages)).alias("_stop")
-    )
-    kept = marked.join(stop, "target")
-    return kept.filter(
-        (F.col("page") <= F.col("_stop")) & ~F.col("_gap") & F.coalesce(F.col("usable"), F.lit(False)) & (F.col("n_rows") > 0)
-    ).drop("_stop", "_gap", "_full")
+    usable = F.coalesce("usable", F.lit(False))
+    bit = F.expr("shiftleft(1L, cast(page as int))")
+    full = F.bit_or(F.when(usable & (F.col("n_rows") >= page_size), bit).otherwise(F.lit(0).cast("bigint")))
+    masks = asked.groupBy("target").agg(full.alias("_full"))
+    before = bit - 1
+    kept = asked.filter(usable & (F.col("n_rows") > 0)).join(masks, "target")
+    return kept.filter(F.col("_full").bitwiseAND(before) == before).drop("_full")

@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from vacantia.config import GateOptions, KeywordRules, Profile
 from vacantia.operators.filters import freshness_class
 from vacantia.operators.fit_review import apply_llm_results, batch_outcome, reconcile_results
-from vacantia.operators.snapshots import append_rows, latest_version, read_snapshot, write_snapshot
-from vacantia.operators.state import append_events, append_lineage, evaluate_postings, upsert_postings
+from vacantia.operators.snapshots import append_rows, latest_version, read_snapshot, touched_buckets, write_snapshot
+from vacantia.operators.state import append_events, append_lineage, evaluate_postings, next_queue, outcome_detail, place_batch
 from vacantia.schemas import empty_table
+from vacantia.session import cut_lineage
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -34,24 +35,29 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Every micro-batch is one ingest run into the snapshot tables below ``root``.
 
-    A micro-batch writes lineage and events under its own number, then the queue version, which becomes
-    visible last. A replayed micro-batch rewrites the same folders, or is skipped when its version is visible.
-    Without ``interval`` the stream processes what is there and stops.
+    A micro-batch matches against the key columns of the whole queue, then reads and rewrites only the hash
+    buckets its entities fall into. It writes lineage and events under its own number, then the queue buckets,
+    which become visible last. A replayed micro-batch rewrites the same folders, or is skipped when its version
+    is visible. Without ``interval`` the stream processes what is there and stops.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
         seen = latest_version(spark, root, "job_queue")
-        if seen and seen[0] >= version:
+        if seen >= version:
             return
         now = as_of or datetime.now().astimezone()
         queue = read_snapshot(spark, root, "job_queue") if seen else empty_table(spark, "job_queue")
-        scored = evaluate_postings(batch, rules, profile, options, now)
-        following, outcome = upsert_postings(queue, scored, version, now)
-        append_rows(append_lineage(outcome, version, now), root, "job_sources", version)
-        append_rows(append_events(outcome, version, now), root, "job_events", version)
-        write_snapshot(following, root, "job_queue", version, sort_by="status")
+        scored = cut_lineage(evaluate_postings(batch, rules, profile, options, now))
+        outcome = place_batch(queue, scored, version)
+        touched = touched_buckets(outcome, "job_id")
+        part = read_snapshot(spark, root, "job_queue", touched) if seen else queue
+        detail = outcome_detail(scored, outcome)
+        append_rows(append_lineage(detail, version, now), root, "job_sources", version)
+        append_rows(append_events(detail, version, now), root, "job_events", version)
+        following = next_queue(part, scored, outcome, version, now)
+        write_snapshot(following, root, "job_queue", version, key="id", touched=touched, sort_by="status")
 
     writer = postings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -87,7 +93,7 @@ def stream_llm_results(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base, _ = latest_version(spark, root, "job_queue_reviewed") or (0, "")
+        base = latest_version(spark, root, "job_queue_reviewed")
         if base >= batch_id + 1:
             return
         now = as_of or datetime.now().astimezone()
