@@ -71,23 +71,25 @@ def dedup_components(keys: DataFrame, max_rounds: int = 100, **hot: int) -> Data
     """
     edges = cut_lineage(_bridging_edges(keys))
     n = edges.count()
-    labels = edges.select("node").distinct().withColumn("label", F.col("node"))
+    large = n >= hot.get("at_least", HOT_ROWS)
+    labelled = edges.withColumn("label", F.col("node"))
+    labels = labelled.select("node", "label")
     changed = n
     for _ in range(max_rounds):
         if not changed:
             break
-        labelled = lookup_join(edges, labels, "node", row_count=n, **hot)
         by_key = labelled.groupBy("key").agg(F.min("label").alias("_key_label"))
-        spread = lookup_join(edges, by_key, "key", row_count=n, **hot).groupBy("node").agg(F.min("_key_label").alias("_least"))
-        hooked = labels.join(spread, "node").select("node", F.col("label").alias("_old"), F.col("_least").alias("label"))
-        if n >= hot.get("at_least", HOT_ROWS):
-            hooked = cut_lineage(hooked)
+        spread = lookup_join(labelled, by_key, "key", row_count=n, **hot)
+        hooked = spread.groupBy("node").agg(F.min("label").alias("_old"), F.min("_key_label").alias("label"))
+        hooked = cut_lineage(hooked) if large else hooked
         parent = hooked.select(F.col("node").alias("label"), F.col("label").alias("_jump"))
         jumped = lookup_join(hooked, parent, "label", row_count=n, **hot)
         least = F.least("label", F.coalesce("_jump", "label")).alias("label")
         step = cut_lineage(jumped.select("node", least, "_old"))
         changed = step.filter(F.col("label") != F.col("_old")).limit(1).count()
         labels = step.select("node", "label")
+        labelled = lookup_join(edges, labels, "node", row_count=n, **hot)
+        labelled = cut_lineage(labelled) if large else labelled
     if changed:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = keys.select("node").distinct()

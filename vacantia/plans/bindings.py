@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from vacantia.config import GateOptions, KeywordRules, Profile
 from vacantia.functions.keys import fingerprint, normalize_posting, posting_keys
@@ -27,11 +28,15 @@ PROFILE = Profile(
 )
 OPTIONS = GateOptions(min_inbox_score=45, borderline_min=20, borderline_max=44)
 PAYLOAD_ROWS = 20
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its zoneless times are UTC."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
@@ -48,7 +53,7 @@ def postings(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
         .join(p, F.col("p_partkey") == F.col("doc_id"))
         .join(n, F.col("n_nationkey") == F.col("doc_id") % 25)
         .join(o, F.col("o_orderkey") == F.col("doc_id"))
-        .join(g, F.col("page_id") == F.floor(F.col("doc_id") / 4))
+        .join(g, F.col("page_id") == F.expr("doc_id div 4"))
     )
     return joined.select(
         F.col("doc_id").alias("seq"), F.col("source").alias("company"), F.col("p_name").alias("title"),

@@ -21,7 +21,7 @@ def ts(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-def _keyed(spark, sf_dir) -> DataFrame:
+def keyed_postings(spark, sf_dir) -> DataFrame:
     return keys.fingerprint(keys.posting_keys(keys.normalize_posting(b.postings(spark, sf_dir))))
 
 
@@ -46,18 +46,18 @@ def match_existing(spark, sf_dir):
 
 
 def latest_wins(spark, sf_dir):
-    rows = _keyed(spark, sf_dir).withColumn("first_seen", F.col("seq"))
+    rows = keyed_postings(spark, sf_dir).withColumn("first_seen", F.col("seq"))
     out = en.latest_wins(rows, "canonical_fingerprint", first_seen="first_seen")
     return out.select("seq", "first_seen", "canonical_fingerprint", "company", "title", "post_date")
 
 
 def is_first_of_entity(spark, sf_dir):
-    rows = en.is_first_of_entity(_keyed(spark, sf_dir), "canonical_fingerprint")
+    rows = en.is_first_of_entity(keyed_postings(spark, sf_dir), "canonical_fingerprint")
     return rows.select("seq", F.col("is_first").cast("int").alias("is_first"))
 
 
 def dedup_components(spark, sf_dir):
-    rows = _keyed(spark, sf_dir).withColumn("node_id", F.col("seq").cast("string"))
+    rows = keyed_postings(spark, sf_dir).withColumn("node_id", F.col("seq").cast("string"))
     return en.resolve_entities(rows, ["seq", "canonical_fingerprint"])
 
 
@@ -260,7 +260,7 @@ def requeue_failed(spark, sf_dir):
 def snapshot_roundtrip(spark, sf_dir):
     """A full version, then one that replaces every other bucket with the same rows, read back together."""
     root = work_dir(spark, "snapshots")
-    rows = _keyed(spark, sf_dir).select("seq", "company", "title", "canonical_fingerprint")
+    rows = keyed_postings(spark, sf_dir).select("seq", "company", "title", "canonical_fingerprint")
     snapshots.write_snapshot(rows, root, "postings", 1, key="seq", buckets=8)
     half = [0, 2, 4, 6]
     part = snapshots.read_snapshot(spark, root, "postings", half)
