@@ -61,35 +61,44 @@ def _bridging_edges(keys: DataFrame) -> DataFrame:
     return pairs.join(shared, "key", "left_semi")
 
 
-def dedup_components(keys: DataFrame, max_rounds: int = 100, **hot: int) -> DataFrame:
+def dedup_components(keys: DataFrame, max_rounds: int = 50, **hot: int) -> DataFrame:
     """(node, component) for every node; input (node, key_posting, key_link), node = digest of a fingerprint.
+    The component is its smallest node.
 
-    Rows with one fingerprint collapse to one node first. Only nodes that share a further key with another
-    node enter the rounds. A round passes the smallest label over each key and back, then lets every label
-    take the label of its own node (pointer jumping), so long chains close in few rounds. Each round is cut
-    with a reliable checkpoint and ends with one probe; hot keys go through ``lookup_join``.
+    Rows with one fingerprint collapse to one node first, and only nodes that share a further key with another
+    node enter the rounds. A round takes the smallest label-of-label over each key and gives it to the nodes of
+    the key and to the nodes they are labelled with, so trees hook onto trees and chains close in a number of
+    rounds that grows with the logarithm of their length. Each round is written out and ends with one probe.
+    Aggregates combine before their shuffle; joins with a possibly hot key go through ``lookup_join``.
     """
     edges = cut_lineage(_bridging_edges(keys))
     n = edges.count()
     large = n >= hot.get("at_least", HOT_ROWS)
-    labelled = edges.withColumn("label", F.col("node"))
+
+    def settle(df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if large else df
+
+    labelled = edges.withColumns({"label": F.col("node"), "grand": F.col("node")})
     labels = labelled.select("node", "label")
     changed = n
     for _ in range(max_rounds):
         if not changed:
             break
-        by_key = labelled.groupBy("key").agg(F.min("label").alias("_key_label"))
-        spread = lookup_join(labelled, by_key, "key", row_count=n, **hot)
-        hooked = spread.groupBy("node").agg(F.min("label").alias("_old"), F.min("_key_label").alias("label"))
-        hooked = cut_lineage(hooked) if large else hooked
-        parent = hooked.select(F.col("node").alias("label"), F.col("label").alias("_jump"))
-        jumped = lookup_join(hooked, parent, "label", row_count=n, **hot)
-        least = F.least("label", F.coalesce("_jump", "label")).alias("label")
-        step = cut_lineage(jumped.select("node", least, "_old"))
-        changed = step.filter(F.col("label") != F.col("_old")).limit(1).count()
+        by_key = labelled.groupBy("key").agg(F.min("grand").alias("_least"))
+        spread = lookup_join(labelled, by_key, "key", row_count=n, **hot).groupBy("node").agg(
+            F.min("label").alias("label"), F.min("grand").alias("grand"), F.min("_least").alias("_least")
+        )
+        own = F.struct("node", F.least("label", "grand", "_least").alias("new"), F.col("label").alias("old"))
+        of_label = F.struct(F.col("label").alias("node"), F.col("_least").alias("new"), F.lit(None).cast("string").alias("old"))
+        step = cut_lineage(
+            spread.select(F.inline(F.array(own, of_label))).groupBy("node").agg(F.min("new").alias("label"), F.max("old").alias("old"))
+        )
+        changed = step.filter(F.col("label") != F.col("old")).limit(1).count()
         labels = step.select("node", "label")
-        labelled = lookup_join(edges, labels, "node", row_count=n, **hot)
-        labelled = cut_lineage(labelled) if large else labelled
+        if changed:
+            parents = labels.select(F.col("node").alias("label"), F.col("label").alias("grand"))
+            full = settle(lookup_join(labels, parents, "label", row_count=n, **hot))
+            labelled = settle(lookup_join(edges, full, "node", row_count=n, **hot))
     if changed:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = keys.select("node").distinct()
