@@ -50,15 +50,16 @@ def match_existing(batch: DataFrame, queue: DataFrame, **hot: int) -> DataFrame:
     return best.select("seq", F.col("_m.entity_id").alias("entity_id"), F.get(names, F.col("_m.rank")).alias("matched_by"))
 
 
-def _bridging_edges(keys: DataFrame) -> DataFrame:
+def _bridging_edges(keys: DataFrame, **hot: int) -> DataFrame:
     """(node, key): fingerprints and those further keys that touch more than one fingerprint."""
-    pairs = (
+    pairs = cut_lineage(
         keys.select("node", F.explode(F.array("key_posting", "key_link")).alias("key"))
         .filter(F.col("key").isNotNull())
         .distinct()
     )
-    shared = pairs.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    return pairs.join(shared, "key", "left_semi")
+    shared = pairs.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    found = lookup_join(pairs, shared, "key", row_count=pairs.count(), **hot)
+    return found.filter(F.col("_n").isNotNull()).select("node", "key")
 
 
 def dedup_components(keys: DataFrame, max_rounds: int = 50, **hot: int) -> DataFrame:
@@ -71,7 +72,7 @@ def dedup_components(keys: DataFrame, max_rounds: int = 50, **hot: int) -> DataF
     rounds that grows with the logarithm of their length. Each round is written out and ends with one probe.
     Aggregates combine before their shuffle; joins with a possibly hot key go through ``lookup_join``.
     """
-    edges = cut_lineage(_bridging_edges(keys))
+    edges = cut_lineage(_bridging_edges(keys, **hot))
     n = edges.count()
     large = n >= hot.get("at_least", HOT_ROWS)
 

@@ -15,11 +15,12 @@ from vacantia.functions.dates import epoch_seconds, instant
 from vacantia.functions.keys import fit_cache_key
 from vacantia.functions.payloads import json_text, normalize_fit_payload
 from vacantia.operators.entities import latest_wins
+from vacantia.operators.skew import checked_join, lookup_join
 from vacantia.operators.state import sticky_status
+from vacantia.session import cut_lineage
 
 Classifier = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 ANSWER_FIELDS = ("fit_label", "fit_score", "confidence", "reason_codes", "missing_must_have")
-MAX_CAP = 1_000_000
 
 
 def join_fit_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
@@ -32,17 +33,18 @@ def join_fit_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
             *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("reason_codes", "missing_must_have")],
         ).alias("answer"),
     )
-    return rows.join(known, "cache_key", "left")
+    rows = cut_lineage(rows)
+    return lookup_join(rows, known, "cache_key", row_count=rows.count())
 
 
 def llm_budget_cap(misses: DataFrame, day_left: int, run_left: int) -> DataFrame:
     """Add ``allowed`` and ``skip_reason`` to (seq, cache_key, …): the first distinct keys by ``seq`` up to the
-    smaller budget may be asked. The allowed keys are at most that many, so they are broadcast."""
-    cap = max(0, min(day_left, run_left, MAX_CAP))
+    smaller budget may be asked."""
+    cap = max(0, min(day_left, run_left))
     reason = "daily_cap_reached" if day_left <= run_left else "run_cap_reached"
     first = misses.groupBy("cache_key").agg(F.min("seq").alias("_seq"))
     chosen = first.orderBy("_seq").limit(cap).select("cache_key", F.lit(True).alias("allowed"))
-    marked = misses.join(F.broadcast(chosen), "cache_key", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    marked = checked_join(misses, chosen, "cache_key").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
     return marked.withColumn("skip_reason", F.when(~F.col("allowed"), reason))
 
 
@@ -88,8 +90,8 @@ def review_answers(
         misses.select("seq", "cache_key", "title", "company", "location", "jd_text", "fit_score"),
         options.daily_cap - day_used, options.run_cap - run_used,
     )
-    fresh = classify(capped, classifier)
-    asked = capped.filter("allowed").select("seq", "cache_key").join(fresh, "cache_key").select("seq", "answer")
+    fresh = cut_lineage(classify(capped, classifier))
+    asked = checked_join(capped.filter("allowed").select("seq", "cache_key"), fresh, "cache_key").select("seq", "answer")
     waiting = capped.filter(~F.col("allowed")).select("seq", "skip_reason")
     new_cache = fresh.select("cache_key", "answer.*")
     return _answer_rows(hits.select("seq", "answer"), asked, waiting), new_cache
@@ -258,7 +260,8 @@ def fail_batches(
     batches: DataFrame, items: DataFrame, queue: DataFrame, failures: DataFrame, as_of: datetime
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(batches, items, queue) after failures (batch_id, new_status, errors): the batch, its queued items and its
-    waiting postings fail. One row per failed batch, so each join adds at most one match."""
+    waiting postings fail. One row per failed batch; most postings wait for none, which a plain join on the batch
+    would send to one task."""
     dead = failures.filter(F.col("new_status").isin(*fv.DEAD_BATCH_STATUSES))
     now = instant(as_of)
     hit = F.col("new_status").isNotNull()
@@ -271,7 +274,7 @@ def fail_batches(
         }
     ).select(*batches.columns)
     stopped = hit & (F.col("state") == "queued")
-    i = items.join(dead, "batch_id", "left").withColumns(
+    i = checked_join(items, dead, "batch_id").withColumns(
         {
             "error_text": F.when(stopped, F.col("new_status")).otherwise(F.col("error_text")),
             "updated_at": F.when(stopped, now).otherwise(F.col("updated_at")),
@@ -279,7 +282,7 @@ def fail_batches(
         }
     ).select(*items.columns)
     by_batch = dead.withColumnRenamed("batch_id", "llm_pending_batch_id")
-    q = queue.join(by_batch, "llm_pending_batch_id", "left").withColumns(
+    q = checked_join(queue, by_batch, "llm_pending_batch_id").withColumns(
         {
             "llm_review_state": F.when(hit, "failed").otherwise(F.col("llm_review_state")),
             "llm_review_error": F.when(hit, F.col("new_status")).otherwise(F.col("llm_review_error")),

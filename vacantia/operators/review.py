@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vacantia import fixed_values as fv
 from vacantia.operators import filters as flt
+from vacantia.operators.skew import checked_semi_join
 
 LIST_COLUMNS = (
     "id", "company", "title", "location", "post_date", "source", "url", "score", "tier", "status", "hits", "years_req",
@@ -108,7 +109,7 @@ def stage_counts(queue: DataFrame, f: ReviewFilters, as_of: datetime, events: Da
 
 def job_source_history(sources: DataFrame, ids: DataFrame) -> DataFrame:
     """Lineage rows of the asked postings, newest first within each."""
-    asked = sources.join(ids.select(F.col("id").alias("job_id")).distinct(), "job_id", "left_semi")
+    asked = checked_semi_join(sources, ids.select(F.col("id").alias("job_id")).distinct(), "job_id")
     return asked.orderBy("job_id", F.desc("ingested_at"), F.desc("source_job_key"))
 
 
@@ -127,8 +128,8 @@ def provenance(ids: DataFrame, queue: DataFrame, sources: DataFrame, events: Dat
     """
     job = list_projection(queue.join(ids.select("id").distinct(), "id", "left_semi"), "provenance")
     found = job.select(F.col("id").alias("job_id"))
-    lineage = sources.join(found, "job_id", "left_semi")
-    newest = latest_events_per_job(events.join(found, "job_id", "left_semi"))
+    lineage = checked_semi_join(sources, found, "job_id")
+    newest = latest_events_per_job(checked_semi_join(events, found, "job_id"))
 
     def part(df: DataFrame, name: str, key: str, at: str) -> DataFrame:
         fields = F.struct(*[F.col(c) for c in df.columns if c not in (key, at)])

@@ -8,6 +8,7 @@ from vacantia.session import cut_lineage
 
 HOT_KEYS = 1000
 HOT_ROWS = 100_000
+SMALL_ROWS = 100_000
 
 
 def hot_keys(rows: DataFrame, key: str, limit: int = HOT_KEYS, at_least: int = HOT_ROWS) -> DataFrame:
@@ -47,6 +48,20 @@ def lookup_join(
     return by_broadcast.unionByName(by_shuffle).unionByName(without)
 
 
+def checked_join(rows: DataFrame, lookup: DataFrame, key: str, small: int = SMALL_ROWS) -> DataFrame:
+    """Left join with a lookup that has each key once: broadcast when a count shows it is small, else
+    ``lookup_join``."""
+    if lookup.count() <= small:
+        return rows.join(F.broadcast(lookup), key, "left")
+    return lookup_join(cut_lineage(rows), lookup, key)
+
+
+def checked_semi_join(rows: DataFrame, keys: DataFrame, key: str, small: int = SMALL_ROWS) -> DataFrame:
+    """Rows whose key is among distinct ``keys``, however many rows one key has."""
+    marked = checked_join(rows, keys.withColumn("_found", F.lit(True)), key, small)
+    return marked.filter(F.col("_found").isNotNull()).select(*rows.columns)
+
+
 def chunk_width(rows: DataFrame, order: str, target_rows: int) -> int:
     """Width of order-value ranges that hold about ``target_rows`` rows when values are spread evenly.
     Only the width depends on that; results do not."""

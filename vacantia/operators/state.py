@@ -228,8 +228,9 @@ def append_events(outcome: DataFrame, run_id: int, as_of: datetime) -> DataFrame
 def set_status(queue: DataFrame, changes: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """(next queue, events) for changes (seq, id, status). A change with another status or an unknown id does
     nothing; the last change of an id wins; no transition is forbidden."""
-    valid = changes.filter(F.col("status").isin(*fv.WORKFLOW_STATUSES))
-    known = valid.join(queue.select("id"), "id", "left_semi")
+    valid = cut_lineage(changes.filter(F.col("status").isin(*fv.WORKFLOW_STATUSES)))
+    ids = queue.select("id", F.lit(True).alias("_known"))
+    known = lookup_join(valid, ids, "id", row_count=valid.count()).filter("_known").drop("_known")
     last = known.groupBy("id").agg(F.max_by("status", "seq").alias("_next"))
     changed = queue.join(last, "id", "left").withColumns(
         {

@@ -63,9 +63,17 @@ def stream_ingest(
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def stream_dedup(postings: DataFrame, event_time: str, key: str = "canonical_fingerprint", delay: str = "30 days") -> DataFrame:
-    """First posting of each key while the key is within the watermark; state stays bounded by the delay."""
-    return postings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def stream_dedup(
+    postings: DataFrame, event_time: str, key: str = "canonical_fingerprint", delay: str = "30 days", salts: int = 16
+) -> DataFrame:
+    """First posting of each key while the key is within the watermark; state stays bounded by the delay.
+
+    A first pass drops repeats per key and salt, so a key with very many postings is spread over tasks and
+    leaves at most ``salts`` rows for the pass per key.
+    """
+    timed = postings.withWatermark(event_time, delay)
+    salted = timed.withColumn("_salt", F.pmod(F.xxhash64(event_time), F.lit(salts)))
+    return salted.dropDuplicatesWithinWatermark([key, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark([key])
 
 
 def late_rows(postings: DataFrame, hours: int, allow_unknown: bool, as_of: datetime) -> DataFrame:
