@@ -26,7 +26,7 @@ llm_budget_cap latest_events_per_job run_progress llm_progress sort_postings pag
 active_batches job_source_history union_sources distinct_queries target_aliases table_schemas evolve_schema backfill_keys upsert_postings
 sticky_status append_lineage append_events set_status skip_company upsert_fit_cache apply_llm_results fail_batches submit_batch cleanup_inbox
 requeue_failed finalize_run check_uniqueness ingest_manual run_detail stream_ingest stream_dedup late_rows usage_windows seen_state
-stream_llm_results transform_hook source_registry review_answers dedup_components""".split()
+stream_llm_results transform_hook source_registry review_answers dedup_components landed_postings""".split()
 SAMPLE = ("top_postings", "normalize_lever", "normalize_page", "resolve_best_link", "final_fit_batch", "stage_counts", "provenance", "run_progress", "reconcile_results", "late_rows")
 
 

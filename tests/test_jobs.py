@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vacantia.config import GateOptions, KeywordRules, Profile
 from vacantia.operators import fit_review, review, runs, snapshots, state
 from vacantia.operators.metrics import run_detail
-from vacantia.plans.ingest import ingest_run
+from vacantia.plans.ingest import ingest_run, landed_postings
 from vacantia.schemas import DEFAULTS, TABLES, empty_table, evolve_schema
 from vacantia.session import cut_lineage, work_dir
 from vacantia.sources import configuration
@@ -117,3 +117,15 @@ def test_configuration_files(spark):
     assert loaded.tier_a == (("z", 3), ("a", 2)) and loaded.boost == 2 and loaded.fresh_day == 5
     profile = configuration.load_profile(spark, f"{root}/profile")
     assert profile.target_roles == ("engineer",) and profile.must_have_skills == ("sql",) and profile.hard_exclusions[0] == "senior"
+
+
+def test_paged_source_stops_after_the_first_short_page(spark):
+    def page(n, first):
+        return json.dumps({"content": [{"id": str(first + i), "name": f"Job {first + i}"} for i in range(n)]})
+
+    landed = [("a", 0, 200, page(100, 0)), ("a", 1, 200, page(3, 100)), ("a", 2, 200, page(100, 200)), ("b", 0, 500, page(100, 0)), ("b", 1, 200, page(100, 0)), ("c", 1, 200, page(9, 0))]
+    df = spark.createDataFrame(landed, "slug string, page bigint, http_status int, body string").withColumns(
+        {"target": F.col("slug"), "source": F.lit("smartrecruiters"), "content_type": F.lit("application/json"), "priority": F.lit(0)}
+    )
+    out = landed_postings(df, "smartrecruiters", NOW).collect()
+    assert sorted(int(r["meta"]["smartrecruiters_id"]) for r in out) == list(range(103)) and {r["company"] for r in out} == {"a"}

@@ -148,3 +148,9 @@ REVIEW_OUTPUT_SCHEMA = (
     '"reason_codes":["short_code"],"missing_must_have":["skill"]}'
 )
 REVIEW_ENDPOINT = "/v1/chat/completions"
+
+# Sources that answer in pages: (path of the rows, rows of a full page, pages asked).
+PAGED_SOURCES = {
+    "smartrecruiters": ("$.content", 100, 5),
+    "workday": ("$.jobPostings", 20, 5),
+}

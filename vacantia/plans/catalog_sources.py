@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia.plans import bindings as b
 from vacantia.plans.catalog_scoring import joined
-from vacantia.plans.ingest import fetch_sources, union_sources as unite
+from vacantia.plans.ingest import fetch_sources, landed_postings as land, union_sources as unite
 from vacantia.plans.sql_text import TB, cut, spaced, ts_text
 from vacantia.session import work_dir
 from vacantia.sources import adapters as ad, configuration, landing, search
@@ -265,6 +265,30 @@ def normalize_page(spark, sf_dir):
     return rows.select(K, "company", "title", "location", "post_date", "source", "url", "jd_text", F.col("meta")["workable_id"].alias("workable_id"))
 
 
+def landed_postings(spark, sf_dir):
+    """Responses of a target by its number: a good list; an empty list after a failure; a page after a failure."""
+    tb = _tb(spark, sf_dir)
+    job = _json(title=F.col("title"), location=F.col("location"), date=F.col("post_date"), url=F.col("url"))
+    lists = b.payloads(tb, "bamboohr", job, '{"jobs":{jobs}}').withColumn("target", F.col("slug"))
+    part = F.col("batch_seq") % 3
+    node = F.to_json(_json(**{"@type": F.lit("JobPosting")}, title=F.col("title"), datePosted=F.col("post_date"), url=F.col("url")))
+    script = F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>"))
+    scripts = tb.groupBy(F.floor(F.col(K) / 20).alias("batch_seq")).agg(F.array_join(F.collect_list(script), "").alias("html"))
+    both = lists.join(scripts, "batch_seq")
+
+    def response(priority: int, status: Column, kind: str, body: Column) -> Column:
+        return F.struct(F.lit(priority).alias("priority"), status.alias("http_status"), F.lit(kind).alias("content_type"), body.alias("body"))
+
+    ok = F.lit(200)
+    responses = F.array(
+        response(0, F.when(part == 0, 200).otherwise(503), "application/json", F.col("body")),
+        response(1, F.when(part == 1, 200).otherwise(404), "application/json", F.lit('{"jobs":[]}')),
+        response(2, ok, "text/html", F.lit("<p>no postings here</p>")), response(3, ok, "text/html", F.col("html")),
+    )
+    landed_rows = both.select("batch_seq", "source", "slug", "target", F.inline(responses))
+    return land(landed_rows, "bamboohr", b.AS_OF).select("target", "kind", "priority", "company", "title", "location", "post_date", "url")
+
+
 def registered_source(spark, sf_dir):
     """An adapter added under a new name is used like the built-in ones."""
     ad.register_source("board", lambda payloads, as_of: ad.normalize_bamboohr(payloads, as_of).withColumn("source", F.lit("board")))
@@ -391,6 +415,9 @@ CASES = {
     "jsonld_location": (jsonld_location, f"with {TB} select seq, {LD_PLACE} as location from tb"),
     "normalize_page": (normalize_page, f"""with {TB} select seq, 'org-' || seq as company, title, {LD_PLACE} as location, post_date, 'workable' as source, url, title as jd_text,
         'i' || seq as workable_id from tb"""),
+    "landed_postings": (landed_postings, f"""with {TB} select 'org-' || (seq // 20) as target, case when seq // 20 % 3 = 0 then 'json' else 'html' end as kind,
+        case when seq // 20 % 3 = 0 then 0 else 3 end as priority, 'org-' || (seq // 20) as company, title, case when seq // 20 % 3 = 0 then location end as location, post_date, url
+        from tb where seq // 20 % 3 <> 1"""),
     "source_registry": (registered_source, f"""with {TB} select seq // 20 as batch_seq, seq % 20 as row, 'org-' || (seq // 20) as company, title, location, post_date, 'board' as source, url from tb"""),
     "transform_hook": (transform_hook, f"""with {TB} select 0 as source_rank, seq // 20 as batch_seq, seq % 20 as row, 'lever' as source, title, url from tb where url is not null
         union all select 1, seq // 20, seq % 20, 'jobvite', title, url from tb where url is not null and post_date >= '1999-08-03'"""),

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.config import Profile
 from vacantia.fixed_values import BLANK_CLASS
 from vacantia.functions import dates, keys, links, payloads, text
 from vacantia.operators.review import event_payload_view, list_projection
 from vacantia.plans import bindings as b
-from vacantia.plans.sql_text import BASE, EVENT_ROWS, KEYED, NORM, QUEUED, TB, YEARS, cut, link_key, quote, spaced, trimmed, ts_text
+from vacantia.plans.sql_text import BASE, EVENT_ROWS, NORM, QUEUED, TB, YEARS, cut, link_key, quote, spaced, trimmed, ts_text
 
 
 def _rough(spark: SparkSession, sf_dir: str) -> DataFrame:

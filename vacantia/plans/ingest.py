@@ -9,9 +9,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from vacantia.config import GateOptions, KeywordRules, Profile
+from vacantia.fixed_values import PAGED_SOURCES
+from vacantia.functions.payloads import json_list
 from vacantia.operators.filters import freshness_filter
 from vacantia.operators.state import append_events, append_lineage, evaluate_postings, upsert_postings
-from vacantia.sources.adapters import ADAPTERS
+from vacantia.session import cut_lineage
+from vacantia.sources.adapters import ADAPTERS, normalize_page
+from vacantia.sources.landing import classify_payloads, first_success_endpoint, stitch_pages
 
 FRESHNESS_EXEMPT = ("greenhouse", "lever", "amazon")
 
@@ -25,6 +29,20 @@ def union_sources(frames: Sequence[DataFrame], order: Sequence[str] = ("batch_se
     return out
 
 
+def landed_postings(payloads: DataFrame, source: str, as_of: datetime) -> DataFrame:
+    """Postings of one source from everything that landed for it (``target``, ``slug``, ``priority`` and the
+    response): per target the first usable JSON response, else the first page with embedded postings."""
+    marked = classify_payloads(payloads.filter(F.col("source") == source))
+    embedded = cut_lineage(normalize_page(marked.filter((F.col("kind") == "html") & F.col("usable")), source))
+    counts = embedded.groupBy("target", "priority").agg(F.count("*").alias("n_postings"))
+    counted = marked.join(counts, ["target", "priority"], "left").withColumn("n_postings", F.coalesce("n_postings", F.lit(0)))
+    winners = first_success_endpoint(counted)
+    from_json = ADAPTERS[source](winners.filter(F.col("kind") == "json"), as_of)
+    chosen_pages = winners.filter(F.col("kind") == "html").select("target", "priority")
+    from_pages = embedded.join(chosen_pages, ["target", "priority"], "left_semi")
+    return from_json.drop("n_postings").unionByName(from_pages, allowMissingColumns=True)
+
+
 @dataclass(frozen=True)
 class IngestResult:
     queue: DataFrame

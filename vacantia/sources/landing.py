@@ -40,6 +40,16 @@ def valid_json_responses(payloads: DataFrame) -> DataFrame:
     )
 
 
+def classify_payloads(payloads: DataFrame) -> DataFrame:
+    """Add ``kind`` (json or html by content type) and ``usable``: successful, and parsing or not empty."""
+    is_json = F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("json"))
+    parses = F.try_parse_json("body").isNotNull() & ~trim_blanks("body").isin("null", "false", "0", '""')
+    filled = F.when(is_json, parses).otherwise(F.coalesce("body", F.lit("")) != "")
+    return payloads.withColumns(
+        {"kind": F.when(is_json, "json").otherwise("html"), "usable": F.coalesce(is_ok() & filled, F.lit(False))}
+    )
+
+
 def _slug_or_site(target: Column, on_site: Column, otherwise: Column | None = None) -> Column:
     slug = F.when(~F.contains(target, F.lit("://")), target)
     return F.coalesce(slug, on_site if otherwise is None else F.coalesce(on_site, otherwise))
