@@ -31,8 +31,15 @@ def union_sources(frames: Sequence[DataFrame], order: Sequence[str] = ("batch_se
 
 def landed_postings(payloads: DataFrame, source: str, as_of: datetime) -> DataFrame:
     """Postings of one source from everything that landed for it (``target``, ``slug``, ``priority`` and the
-    response): per target the first usable JSON response, else the first page with embedded postings."""
+    response): per target the first usable JSON response, else the first HTML page with embedded postings. A source
+    that answers in pages (``page`` from 0) gives its pages up to the first one that is not full.
+    """
     marked = classify_payloads(payloads.filter(F.col("source") == source))
+    if source in PAGED_SOURCES:
+        path, page_size, max_pages = PAGED_SOURCES[source]
+        listed = json_list(F.try_parse_json("body"), path)
+        sized = marked.withColumn("n_rows", F.coalesce(F.size(listed), F.lit(0)))
+        return ADAPTERS[source](stitch_pages(sized, page_size, max_pages), as_of)
     embedded = cut_lineage(normalize_page(marked.filter((F.col("kind") == "html") & F.col("usable")), source))
     counts = embedded.groupBy("target", "priority").agg(F.count("*").alias("n_postings"))
     counted = marked.join(counts, ["target", "priority"], "left").withColumn("n_postings", F.coalesce("n_postings", F.lit(0)))
