@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import chat_format, decontaminate, line_dedup, source_mix, sql_text, token_files
+from vacantia.llm import chat_format, decontaminate, line_dedup, minhash_dedup, source_mix, sql_text, token_files
 from vacantia.llm.common import table
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -22,6 +22,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(conversations.unionByName(planted)))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path(TOKENIZER)
     return token_files.token_table(spark, token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer, END_ID))
@@ -47,6 +51,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CASES: dict[str, Case] = {
     "op1_chat_format": (op1_chat_format, sql_text.CHAT),
+    "op2_minhash_dedup": (op2_minhash_dedup, sql_text.NEAR),
     "op4_token_files": (op4_token_files, None),
     "op5_decontaminate": (op5_decontaminate, sql_text.DECONTAMINATE),
     "op9_line_dedup": (op9_line_dedup, sql_text.LINES),

@@ -63,3 +63,15 @@ queue as (select *, sum(size) over (order by time, rank, key, doc_id, size, turn
 served as (select doc_id, rank, key, size, count(*) as copies from queue where used <= (select sum(size) from sized) group by all)
 select doc_id, size, source_size, target, cast(size * coalesce(copies, 0) as bigint) as taken
 from rows left join served using (doc_id, rank, key, size)"""
+
+NEAR = r"""with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+shingles as (select distinct doc_id, array_to_string(words[i:i + 2], ' ') as shingle
+  from docs, unnest(range(1, greatest(len(words) - 1, 2))) as t(i) where len(words) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (select a.doc_id as a, b.doc_id as b from shingles a join shingles b using (shingle)
+  join sizes s on s.doc_id = a.doc_id join sizes t on t.doc_id = b.doc_id where a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, s.n, t.n having 100 * count(*) >= 85 * (s.n + t.n - count(*))),
+reached as (select doc_id as a, doc_id as b from documents union select reached.a, links.b from reached join links on links.a = reached.b)
+select docs.doc_id, coalesce(n, 0) as n_shingles, min(b) as component_id, docs.doc_id = min(b) as kept
+from docs left join sizes using (doc_id) join reached on reached.a = docs.doc_id group by docs.doc_id, n"""
