@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import chat_format, decontaminate, line_dedup, minhash_dedup, source_mix, sql_text, token_files
+from vacantia.llm import chat_format, decontaminate, kmeans_tree, line_dedup, minhash_dedup, source_mix, sql_text, token_files
 from vacantia.llm.common import table
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -39,6 +39,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
@@ -54,6 +58,7 @@ CASES: dict[str, Case] = {
     "op2_minhash_dedup": (op2_minhash_dedup, sql_text.NEAR),
     "op4_token_files": (op4_token_files, None),
     "op5_decontaminate": (op5_decontaminate, sql_text.DECONTAMINATE),
+    "op8_kmeans_tree": (op8_kmeans_tree, None),
     "op9_line_dedup": (op9_line_dedup, sql_text.LINES),
     "op10_source_mix": (op10_source_mix, sql_text.MIX),
 }
