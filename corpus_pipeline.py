@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from vacantia.llm import decontaminate, source_mix, token_files
+from vacantia.llm import decontaminate, line_quality, minhash_dedup, source_mix, token_files
 from vacantia.llm.common import cut_lineage, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.deduplicated(docs, size=5, percent=80, bands=24)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +35,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.token_table(spark, path)
 
 
-STAGES: list[tuple[str, Stage]] = [("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
 ORACLE_SQL = None
 
 

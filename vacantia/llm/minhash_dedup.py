@@ -4,16 +4,8 @@ Each text becomes the set of its distinct word shingles. One random permutation
 minimum and the maximum over the set, so ``2 * permutations`` values cost ``permutations`` hash evaluations. A band takes both values of
 two permutations. At similarity 0.85 a band agrees with probability 0.52, and a pair misses all 20 bands with less than 10^-6.
 
-Texts with equal sets form one class first, so copies cost nothing further. Classes that share a band are candidates:
-
-1. each class of a bucket against the bucket's smallest class, all confirmed on full sets; components of the confirmed links;
-2. in buckets that still hold several components, each class outside the largest against the classes of the other components.
-
-A pair of one bucket is skipped only when its classes are already in one component, so the components are those of all links between
-candidates, without all pairs of a bucket. Sets carry 48 bits of each shingle's hash.
-
-Only counts, minima and single rows are broadcast or collected. Joins on a class meet it once on one side; a hot class on the other
-side goes through ``lookup_join`` or is split by Spark's skew join.
+Texts with equal sets form one class first, so copies cost nothing further. Classes that share a band are compared on full sets
+(48 bits of each shingle's hash), as ``similar`` describes, and components are taken over all links.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; copies with one doc_id are one class; a null
 doc_id takes the smallest known doc_id of its component, or stays null; no documents give no rows.
@@ -23,62 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from vacantia.llm import similar
 from vacantia.llm.common import cut_lineage, free_name
 from vacantia.llm.shingles import shingle_sets
-from vacantia.operators.entities import dedup_components
 from vacantia.operators.skew import lookup_join
 
 SHINGLE = 3
 #: A link: 100 * intersection >= 85 * union.
 PERCENT = 85
 BANDS = 20
-PERMUTATIONS_PER_BAND = 2
-_RANDOM = np.random.Generator(np.random.PCG64(71))
-_FACTORS = _RANDOM.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 64, 1024, np.uint64)
-_SET_BYTES = 6
-
-
-def min_max(values: np.ndarray, permutations: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum and maximum of the set under each permutation x -> a*x + b modulo 2^64."""
-    low = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(permutations, np.uint64)
-    for at in range(0, len(values), 2048):
-        hashed = np.multiply.outer(_FACTORS[:permutations], values[at : at + 2048])
-        hashed += _SHIFTS[:permutations, None]
-        np.minimum(low, hashed.min(axis=1), out=low)
-        np.maximum(high, hashed.max(axis=1), out=high)
-    return low, high
-
-
-def band_hashes(values: np.ndarray, bands: int) -> list[int]:
-    low, high = min_max(values, bands * PERMUTATIONS_PER_BAND)
-    rows = np.stack([low, high], axis=1).reshape(bands, -1)
-    return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(rows)]
-
-
-def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, 8 - _SET_BYTES :].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // _SET_BYTES, 8), np.uint8)
-    wide[:, :_SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _SET_BYTES)
-    return wide.view("<u8").ravel()
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def class_of(values: np.ndarray) -> str | None:
-    return xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None
 
 
 def signatures(documents: DataFrame, size: int, bands: int) -> DataFrame:
@@ -89,8 +37,8 @@ def signatures(documents: DataFrame, size: int, bands: int) -> DataFrame:
             counts, nodes, hashes = [], [], []
             for values in shingle_sets(batch.column(1).to_pylist(), size):
                 counts.append(len(values))
-                nodes.append(class_of(values))
-                hashes.append(band_hashes(values, bands) if len(values) else None)
+                nodes.append(similar.class_of(values))
+                hashes.append(similar.band_hashes(values, bands) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "node", "bands"],
@@ -100,49 +48,20 @@ def signatures(documents: DataFrame, size: int, bands: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id bigint, n_shingles bigint, node string, bands array<bigint>")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are linked. Texts are read again for the classes in question only, and each set travels once
-    for each of its partners ``a``."""
-    wanted = pairs.select(F.col("b").alias("node"), "a").unionByName(pairs.select(F.col("a").alias("node"), "a").distinct())
-    partners = wanted.groupBy("node").agg(F.collect_set("a").alias("partners"))
-    asked = partners.join(classes.select("node", "doc_id"), "node").where("doc_id is not null")
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").join(asked, "doc_id")
+def _texts_of(documents: DataFrame, classes: DataFrame, size: int) -> similar.Fetch:
+    """Reads the texts of the classes in question again, one document for each class."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, data = [], [], []
             nodes, partners = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for node, others, values in zip(nodes, partners, shingle_sets(batch.column(0).to_pylist(), size), strict=True):
-                if class_of(values) == node:
-                    a += others
-                    b += [node] * len(others)
-                    data += [packed(values)] * len(others)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(data, pa.binary())], ["a", "b", "data"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for row in batch.to_pylist():
-                if linked(unpacked(row["data"]), unpacked(row["other"]), percent):
-                    a.append(row["a"])
-                    b.append(row["b"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-
-    sent = cut_lineage(texts.select("text", "node", "partners").mapInArrow(sets, "a string, b string, data binary"))
-    own = sent.where("a = b").dropDuplicates(["a"]).select("a", F.col("data").alias("other"))
-    met = sent.where("a <> b").join(own, "a")
-    return cut_lineage(met.mapInArrow(compare, "a string, b string"))
+            yield similar.sent_sets(partners, nodes, shingle_sets(batch.column(0).to_pylist(), size))
 
+    def fetch(wanted: DataFrame) -> DataFrame:
+        asked = wanted.join(classes.select("node", "doc_id"), "node").where("doc_id is not null")
+        texts = documents.select(F.col("doc_id").cast("bigint"), "text").join(asked, "doc_id")
+        return texts.select("text", "node", "partners").mapInArrow(sets, similar.SENT)
 
-def components_of(links: DataFrame) -> DataFrame:
-    """(node, component) of the nodes in links (a, b)."""
-    shared = F.lit(None).cast("string").alias("key_link")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("key_posting"), shared)
-    return dedup_components(ends)
-
-
-def _similar_size(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return fetch
 
 
 def near_duplicates(
@@ -154,19 +73,7 @@ def near_duplicates(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     classes = cut_lineage(classes)
-    entries = cut_lineage(classes.select(F.explode("bands").alias("bucket"), "node", "n"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
-    found = lookup_join(entries, shared, "bucket", row_count=entries.count())
-    members = cut_lineage(found.where("first is not null").select("bucket", "node", "n", "first"))
-    sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    firsts = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"), "n").distinct()
-    pairs = cut_lineage(firsts.join(sizes, "a").where(_similar_size("n", "n_a", percent)).select("a", "b"))
-    links = confirmed(pairs, documents, classes, size, percent)
-    labels = components_of(links)
-    more = _open_pairs(members, cut_lineage(labels), pairs, percent)
-    if more.limit(1).count():
-        links = links.unionByName(confirmed(more, documents, classes, size, percent))
-        labels = components_of(links)
+    labels = similar.link_classes(classes, _texts_of(documents, classes, size), percent)
     owners = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     owners = cut_lineage(owners)
     least = owners.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -177,22 +84,6 @@ def near_duplicates(
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of one bucket in different components that have not been compared yet."""
-    placed = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("label"))
-    by_label = placed.groupBy("bucket", "label").agg(F.count("*").alias("members"))
-    split = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("top")).where("labels > 1")
-    placed = cut_lineage(placed.join(split.select("bucket", F.col("top.label").alias("top")), "bucket"))
-    minor = placed.where("label <> top").select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"), "top")
-    other = placed.select("bucket", "node", "n", "label")
-    met = minor.join(other, "bucket").where(
-        (F.col("label_x") != F.col("label")) & _similar_size("n_x", "n", percent)
-        & ((F.col("label") == F.col("top")) | (F.col("x") < F.col("node")))
-    )
-    pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    return cut_lineage(pairs.join(done, ["a", "b"], "left_anti"))
-
-
 def deduplicated(documents: DataFrame, **options) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns. Rows with one doc_id are kept or dropped together,
     but for repeated rows, of which one stays."""
