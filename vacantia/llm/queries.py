@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import chat_format, decontaminate, kmeans_tree, line_dedup, line_quality, minhash_dedup, source_mix, sql_text, token_files
+from vacantia.llm import chat_format, decontaminate, kmeans_tree, line_dedup, line_quality, minhash_dedup, paragraph_dedup, source_mix, sql_text, token_files
 from vacantia.llm.common import table
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -45,6 +45,10 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", line_quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,6 +69,7 @@ CASES: dict[str, Case] = {
     "op4_token_files": (op4_token_files, None),
     "op5_decontaminate": (op5_decontaminate, sql_text.DECONTAMINATE),
     "op6_line_quality": (op6_line_quality, None),
+    "op7_paragraph_dedup": (op7_paragraph_dedup, None),
     "op8_kmeans_tree": (op8_kmeans_tree, None),
     "op9_line_dedup": (op9_line_dedup, sql_text.LINES),
     "op10_source_mix": (op10_source_mix, sql_text.MIX),

@@ -39,19 +39,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text)."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+def words_with_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, stop) of each word, in bytes."""
+    data = np.frombuffer(b" " + data + b" ", np.uint8)
     blank = _BLANK[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, stops = edges[::2], edges[1::2]
     sums = _LETTERS[data]
     sums *= _power(_BASE, len(data))
     np.add.accumulate(sums, out=sums)
-    words = mixed((sums[stops - 1] - sums[starts - 1]) * _power(_INVERSE, len(data))[starts])
+    return mixed((sums[stops - 1] - sums[starts - 1]) * _power(_INVERSE, len(data))[starts]), starts - 1, stops - 1
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text)."""
+    words, starts, _ = words_with_places(b" ".join(texts))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, ends), prepend=0) if texts else np.zeros(0, np.int64)
-    return words, counts
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0) if texts else np.zeros(0, np.int64)
+
+
+def rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the shingle that begins at each word."""
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for j in range(size):
+        out += words[j : j + len(out)] * _PLACES[j]
+    return mixed(out)
 
 
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -71,14 +83,10 @@ def _sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     if not texts:
         return
     words, counts = word_hashes(texts)
-    rolled = np.zeros(max(0, len(words) - size + 1), np.uint64)
-    for j in range(size):
-        rolled += words[j : j + len(rolled)] * _PLACES[j]
-    rolled = mixed(rolled)
-    at = 0
+    every, at = rolled(words, size), 0
     for n in counts.tolist():
         if n >= size:
-            yield np.unique(rolled[at : at + n - size + 1])
+            yield np.unique(every[at : at + n - size + 1])
         elif n:
             yield mixed((words[at : at + n] * _PLACES[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n) * _PLACES[63])
         else:
