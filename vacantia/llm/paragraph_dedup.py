@@ -8,7 +8,8 @@ A passage may also stand inside a longer paragraph that is otherwise new, where
 than ``LONG_WORDS`` words are also cut into pieces at sentence ends, each of at least ``PIECE_WORDS`` words; the cuts of two copies of a passage
 fall together again after a sentence or two. Pieces take part in the first step only, the classes of equal texts.
 
-In each component the occurrence in the smallest (doc_id, place) stays and all others are removed.
+In each component the occurrence in the smallest (doc_id, place) stays and all others are removed. Components that lie within one
+document are left alone unless ``within_documents`` is set.
 
 Defined results: null, empty and short-lined text has no paragraphs and stays as it is; a null doc_id comes last, so its
 paragraphs are removed before others; rows with one doc_id are one document, in which later repeats go too; no documents give no rows.
@@ -27,7 +28,7 @@ from vacantia.llm import shingles, similar
 from vacantia.llm.common import cut_lineage, free_name
 from vacantia.operators.skew import lookup_join
 
-MIN_WORDS = 40
+MIN_WORDS = 20
 LONG_WORDS = 60
 PIECE_WORDS = 12
 SHINGLE = 5
@@ -48,10 +49,10 @@ def places_of(text: str, words: np.ndarray, starts: np.ndarray, stops: np.ndarra
                 cut = a
                 ends = np.flatnonzero(np.isin(np.frombuffer(data, np.uint8)[stops[a:b] - 1], (33, 46, 63))) + a + 1
                 for end in ends.tolist():
-                    if end - cut >= PIECE_WORDS:
+                    if end - cut >= PIECE_WORDS and (cut, end) != (a, b):
                         out.append((cut, end, False))
                         cut = end
-                if b - cut >= PIECE_WORDS:
+                if cut > a and b - cut >= PIECE_WORDS:
                     out.append((cut, b, False))
     return out
 
@@ -114,18 +115,23 @@ def _texts_of(documents: DataFrame, classes: DataFrame) -> similar.Fetch:
     return fetch
 
 
-def repeated_paragraphs(documents: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+def repeated_paragraphs(
+    documents: DataFrame, percent: int = PERCENT, bands: int = BANDS, within_documents: bool = False
+) -> DataFrame:
     """(doc_id, start, stop, n_words, is_piece, first_doc_id, first_start, kept): every paragraph or piece that occurs again, with the
     occurrence of its component that stays."""
     found = cut_lineage(units(documents, bands))
     first = F.min(F.struct("doc_id", "start", "stop")).alias("first")
-    classes = found.groupBy("node").agg(first, F.count("*").alias("places"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    last = F.max("doc_id").alias("last_doc")
+    classes = found.groupBy("node").agg(first, last, F.count("*").alias("places"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
     classes = cut_lineage(classes.where("places > 1 or bands is not null"))
     labels = similar.link_classes(classes.where("bands is not null").select("node", "n", "bands"), _texts_of(documents, classes), percent)
     owners = classes.join(labels, "node", "left").where("component is not null or places > 1")
-    owners = cut_lineage(owners.select("node", "first", F.coalesce("component", "node").alias("component")))
-    stays = owners.groupBy("component").agg(F.min("first").alias("stays"))
-    lookup = owners.join(stays, "component").select("node", "stays")
+    owners = cut_lineage(owners.select("node", "first", "last_doc", F.coalesce("component", "node").alias("component")))
+    stays = owners.groupBy("component").agg(F.min("first").alias("stays"), F.max("last_doc").alias("last_doc"))
+    if not within_documents:
+        stays = stays.where("last_doc <> stays.doc_id")
+    lookup = owners.join(stays.drop("last_doc"), "component").select("node", "stays")
     slim = found.select("node", "doc_id", "start", "stop", "n_words", F.col("bands").isNull().alias("is_piece"))
     rows = lookup_join(slim, lookup, "node", row_count=slim.count()).where("stays is not null")
     kept = (F.col("doc_id") == F.col("stays.doc_id")) & (F.col("start") == F.col("stays.start"))
