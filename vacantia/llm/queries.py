@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import chat_format, decontaminate, kmeans_tree, line_dedup, line_quality, minhash_dedup, paragraph_dedup, source_mix, sql_text, token_files
+from vacantia.llm import chat_format, decontaminate, kmeans_tree, line_dedup, line_quality, minhash_dedup, paragraph_dedup, pitman_yor, source_mix, sql_text, token_files
 from vacantia.llm.common import table
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -26,6 +26,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path(TOKENIZER)
     return token_files.token_table(spark, token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer, END_ID))
@@ -66,6 +70,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASES: dict[str, Case] = {
     "op1_chat_format": (op1_chat_format, sql_text.CHAT),
     "op2_minhash_dedup": (op2_minhash_dedup, sql_text.NEAR),
+    "op3_pitman_yor": (op3_pitman_yor, None),
     "op4_token_files": (op4_token_files, None),
     "op5_decontaminate": (op5_decontaminate, sql_text.DECONTAMINATE),
     "op6_line_quality": (op6_line_quality, None),
