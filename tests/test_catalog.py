@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.compare import TABLES, rows_of
+from vacantia.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 EXPECTED = """scan_landed_payloads valid_json_responses resolve_targets first_success_endpoint stitch_pages normalize_greenhouse
@@ -33,7 +34,7 @@ SAMPLE = ("top_postings", "normalize_lever", "normalize_page", "resolve_best_lin
 def test_every_operator_is_registered_with_sql():
     names, sql = entry.queries(), entry.oracle_sql()
     assert [n for n in EXPECTED if n not in names] == []
-    assert [n for n in names if n not in sql] == []
+    assert [n for n in catalog.cases() if n not in sql] == []
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")

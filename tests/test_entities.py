@@ -58,7 +58,7 @@ def test_a_long_chain_closes(spark, hot):
     order = list(range(64))
     random.Random(3).shuffle(order)
     rows = [(f"n{order[i]:03d}", f"k{i}", f"k{i + 1}") for i in range(64)]
-    out = entities.dedup_components(spark.createDataFrame(rows, "node string, key_posting string, key_link string"), max_rounds=30, **hot)
+    out = entities.dedup_components(spark.createDataFrame(rows, "node string, key_posting string, key_link string"), **hot)
     assert {r["component"] for r in out.collect()} == {"n000"}
 
 

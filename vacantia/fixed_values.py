@@ -106,22 +106,12 @@ STAGE_STATUS = (
 # Words that keep a posting in the big-company run.
 REGION_WORDS = ("toronto", "gta", "ontario", "canada", "remote", "hybrid")
 
-# Text limits, in characters.
-SOURCE_TEXT_LIMIT = 2000
-CACHE_TEXT_LIMIT = 6000
-PROMPT_TEXT_LIMIT = 7000
-REVIEW_ERROR_LIMIT = 400
-MAX_ANSWER_CODES = 20
-SHOWN_CODES = 6
-
 # Page limits.
 REVIEW_PAGE_SIZE = 50
 REVIEW_PAGE_MAX = 200
 RUN_LIST_SIZE = 20
 RUN_LIST_MAX = 100
 EVENTS_PER_POSTING = 100
-REQUEUE_LIMIT = 500
-ACTIVE_BATCH_LIMIT = 30
 
 # Date texts accepted besides ISO; the group holds the date, the format has one optional part per shape
 # and a mark that only a matching text gets.
@@ -149,8 +139,8 @@ REVIEW_OUTPUT_SCHEMA = (
 )
 REVIEW_ENDPOINT = "/v1/chat/completions"
 
-# Sources that answer in pages: (path of the rows, rows of a full page, pages asked).
+# Sources that answer in pages: (path of the rows, rows of a full page).
 PAGED_SOURCES = {
-    "smartrecruiters": ("$.content", 100, 5),
-    "workday": ("$.jobPostings", 20, 5),
+    "smartrecruiters": ("$.content", 100),
+    "workday": ("$.jobPostings", 20),
 }

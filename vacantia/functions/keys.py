@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia.config import Profile
-from vacantia.fixed_values import CACHE_TEXT_LIMIT
 from vacantia.functions.links import url_key
 from vacantia.functions.text import LIST_SEPARATOR, col, trim_blanks, truthy_coalesce
 
@@ -94,7 +93,7 @@ def fit_cache_key(df: DataFrame, profile: Profile) -> DataFrame:
         F.struct(
             text("title").alias("title"),
             text("location").alias("location"),
-            F.substring(text("jd_text"), 1, CACHE_TEXT_LIMIT).alias("jdText"),
+            text("jd_text").alias("jdText"),
             text("source").alias("source"),
             text("url").alias("url"),
         )

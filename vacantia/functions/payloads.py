@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from vacantia.fixed_values import FIT_LABELS, MAX_ANSWER_CODES, SHOWN_CODES
+from vacantia.fixed_values import FIT_LABELS
 from vacantia.functions.text import col
 
 
@@ -29,8 +29,9 @@ def parse_json_list_safe(c: Column | str) -> Column:
     return F.coalesce(values, F.array().cast("array<string>"))
 
 
-def shown_codes(codes: Column | str) -> Column:
-    return F.slice(col(codes), 1, SHOWN_CODES)
+def shown_codes(codes: Column | str, most: int | None = None) -> Column:
+    """All codes, or the first ``most`` for a narrow view."""
+    return col(codes) if most is None else F.slice(col(codes), 1, most)
 
 
 def leading_int(text: Column) -> Column:
@@ -39,7 +40,7 @@ def leading_int(text: Column) -> Column:
 
 
 def normalize_fit_payload(c: Column | str) -> Column:
-    """Classifier answer as a struct of checked values; see ``FIT_LABELS`` and the limits."""
+    """Classifier answer as a struct of checked values; see ``FIT_LABELS``."""
     v = F.try_parse_json(col(c))
     label = F.lower(json_text(v, "$.fit_label"))
     score = F.coalesce(leading_int(json_text(v, "$.fit_score")), F.lit(0).cast("bigint"))
@@ -52,6 +53,6 @@ def normalize_fit_payload(c: Column | str) -> Column:
         F.when(label.isin(*FIT_LABELS), label).otherwise("low").alias("fit_label"),
         F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int").alias("fit_score"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"),
-        F.slice(codes, 1, MAX_ANSWER_CODES).alias("reason_codes"),
-        F.slice(missing, 1, MAX_ANSWER_CODES).alias("missing_must_have"),
+        codes.alias("reason_codes"),
+        missing.alias("missing_must_have"),
     )

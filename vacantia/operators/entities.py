@@ -62,7 +62,7 @@ def _bridging_edges(keys: DataFrame, **hot: int) -> DataFrame:
     return found.filter(F.col("_n").isNotNull()).select("node", "key")
 
 
-def dedup_components(keys: DataFrame, max_rounds: int = 50, **hot: int) -> DataFrame:
+def dedup_components(keys: DataFrame, **hot: int) -> DataFrame:
     """(node, component) for every node; input (node, key_posting, key_link), node = digest of a fingerprint.
     The component is its smallest node.
 
@@ -82,9 +82,7 @@ def dedup_components(keys: DataFrame, max_rounds: int = 50, **hot: int) -> DataF
     labelled = edges.withColumns({"label": F.col("node"), "grand": F.col("node")})
     labels = labelled.select("node", "label")
     changed = n
-    for _ in range(max_rounds):
-        if not changed:
-            break
+    while changed:
         by_key = labelled.groupBy("key").agg(F.min("grand").alias("_least"))
         spread = lookup_join(labelled, by_key, "key", row_count=n, **hot).groupBy("node").agg(
             F.min("label").alias("label"), F.min("grand").alias("grand"), F.min("_least").alias("_least")
@@ -100,8 +98,6 @@ def dedup_components(keys: DataFrame, max_rounds: int = 50, **hot: int) -> DataF
             parents = labels.select(F.col("node").alias("label"), F.col("label").alias("grand"))
             full = settle(lookup_join(labels, parents, "label", row_count=n, **hot))
             labelled = settle(lookup_join(edges, full, "node", row_count=n, **hot))
-    if changed:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = keys.select("node").distinct()
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 

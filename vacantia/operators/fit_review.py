@@ -129,7 +129,7 @@ def fit_request_rows(rows: DataFrame, profile: Profile, model: str) -> DataFrame
     job = F.to_json(
         F.struct(
             text("title").alias("title"), text("company").alias("company"), text("location").alias("location"),
-            F.substring(text("jd_text"), 1, fv.PROMPT_TEXT_LIMIT).alias("description"),
+            text("jd_text").alias("description"),
         )
     )
     prompt = F.concat(

@@ -145,6 +145,6 @@ def admission_status(fitted: DataFrame) -> DataFrame:
             "admission_status": F.when(in_inbox, "inbox").otherwise("filtered"),
             "rejected_by_quality": ~F.col("admitted"),
             "llm_review_state": F.when(F.col("llm_queued"), "pending").when(F.col("llm_used"), "completed").otherwise("none"),
-            "llm_review_error": F.substring("llm_skipped_reason", 1, fv.REVIEW_ERROR_LIMIT),
+            "llm_review_error": F.col("llm_skipped_reason"),
         }
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from vacantia import fixed_values as fv
 from vacantia.operators import filters as flt
 from vacantia.operators.skew import checked_semi_join
+from vacantia.session import cut_lineage
 
 LIST_COLUMNS = (
     "id", "company", "title", "location", "post_date", "source", "url", "score", "tier", "status", "hits", "years_req",
@@ -67,20 +68,58 @@ def list_total(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 
 
-def sort_order(mode: str | None) -> list[Column]:
+def sort_columns(mode: str | None) -> list[tuple[str, bool]]:
+    """(column, descending) of an order; a null is the lowest value."""
     orders = {
-        "newest": [F.desc_nulls_last("post_date"), F.desc("score")],
-        "oldest": [F.asc_nulls_first("post_date"), F.desc("score")],
-        "score": [F.desc("score"), F.desc_nulls_last("post_date")],
-        "company": [F.asc("company"), F.desc("score")],
+        "newest": [("post_date", True), ("score", True)],
+        "oldest": [("post_date", False), ("score", True)],
+        "score": [("score", True), ("post_date", True)],
+        "company": [("company", False), ("score", True)],
     }
-    return orders.get(mode or "newest", orders["newest"]) + [F.asc("id")]
+    return orders.get(mode or "newest", orders["newest"]) + [("id", False)]
+
+
+def sort_order(mode: str | None) -> list[Column]:
+    return [F.desc_nulls_last(c) if descending else F.asc_nulls_first(c) for c, descending in sort_columns(mode)]
 
 
 def sort_postings(rows: DataFrame, mode: str | None = None) -> DataFrame:
     return rows.orderBy(*sort_order(mode))
 
 
+def ranked_postings(rows: DataFrame, mode: str | None = None) -> DataFrame:
+    """Add ``place``, the position from 1 of every row in the order, from range partitions and their sizes."""
+    order = sort_order(mode)
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("place", inside).join(starts, "_part").withColumn("place", F.col("place") + F.col("_start")).drop("_part", "_start")
+
+
+def page_after(rows: DataFrame, last: dict | None, size: int | None = None, mode: str | None = None) -> DataFrame:
+    """The page that follows the row ``last`` (its order columns and id), or the first page: a filter and a top-k, however deep the page."""
+    if last is not None:
+        rows = rows.filter(_comes_after(last, mode))
+    return sort_postings(rows, mode).limit(page_bounds(1, size)[1])
+
+
+def _comes_after(last: dict, mode: str | None) -> Column:
+    """The order as a condition, one column after the other."""
+    after, equal = F.lit(False), F.lit(True)
+    for name, descending in sort_columns(mode):
+        own, value = F.col(name), last[name]
+        if value is None:
+            beyond = F.lit(False) if descending else own.isNotNull()
+        else:
+            beyond = F.coalesce(own < value, F.lit(True)) if descending else F.coalesce(own > value, F.lit(False))
+        after = after | (equal & beyond)
+        equal = equal & own.eqNullSafe(F.lit(value))
+    return after
+
+
 def page_bounds(page: int | None, size: int | None) -> tuple[int, int]:
     """(offset, size): page from 1, size 1 to 200, default 50."""
     page = max(page or 1, 1)
@@ -156,10 +195,13 @@ def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
     return runs.orderBy(F.desc("id")).limit(min(max(limit or fv.RUN_LIST_SIZE, 1), fv.RUN_LIST_MAX))
 
 
-def requeue_candidates(queue: DataFrame, limit: int = fv.REQUEUE_LIMIT) -> DataFrame:
+def requeue_candidates(queue: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every failed review, or the ``limit`` newest."""
     failed = queue.filter(flt.filter_review_failed())
-    return failed.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    return failed if limit is None else failed.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def active_batches(batches: DataFrame, limit: int = fv.ACTIVE_BATCH_LIMIT, statuses=fv.ACTIVE_BATCH_STATUSES) -> DataFrame:
-    return batches.filter(flt.filter_active_batches(statuses)).orderBy(F.desc("id")).limit(limit)
+def active_batches(batches: DataFrame, limit: int | None = None, statuses=fv.ACTIVE_BATCH_STATUSES) -> DataFrame:
+    """Every unfinished batch, or the ``limit`` newest."""
+    active = batches.filter(flt.filter_active_batches(statuses))
+    return active if limit is None else active.orderBy(F.desc("id")).limit(limit)

@@ -16,7 +16,7 @@ from vacantia.operators.filters import reject_incomplete
 from vacantia.operators.gate import admission_status, final_fit, fit_gate, without_answers
 from vacantia.operators.review import requeue_candidates
 from vacantia.operators.scoring import keyword_score
-from vacantia.operators.skew import lookup_join, previous_value
+from vacantia.operators.skew import checked_join, lookup_join, previous_value
 from vacantia.schemas import TABLES, evolve_schema
 from vacantia.session import cut_lineage
 
@@ -324,16 +324,15 @@ def cleanup_inbox(
 
 
 def requeue_failed(
-    queue: DataFrame, profile: Profile, options: GateOptions, as_of: datetime, limit: int = fv.REQUEUE_LIMIT
+    queue: DataFrame, profile: Profile, options: GateOptions, as_of: datetime, limit: int | None = None
 ) -> DataFrame:
-    """Failed reviews that the gate still finds borderline wait again; at most ``limit`` newest are tried."""
+    """Failed reviews that the gate still finds borderline wait again; with a ``limit`` only the newest are tried."""
     tried = requeue_candidates(queue, limit).select("id", "company", "title", "location", "post_date", "source", "url", "jd_text", "is_bigtech", "last_run_id")
     eligible = fit_gate(normalize_posting(tried), profile, options).filter("needs_review")
     custom = F.concat(
         F.lit("run_"), F.coalesce(F.col("last_run_id").cast("string"), F.lit("null")), F.lit("_job_"), F.col("id"),
     )
-    again = F.broadcast(eligible.select("id", custom.alias("_custom")))
-    joined = queue.join(again, "id", "left")
+    joined = checked_join(queue, cut_lineage(eligible.select("id", custom.alias("_custom"))), "id")
     hit = F.col("_custom").isNotNull()
     return joined.withColumns(
         {

@@ -163,7 +163,7 @@ def fit_request_rows(spark, sf_dir):
 
 PROMPT = (
     quote(f'{{"task":"{fv.REVIEW_TASK}","rules":"{fv.REVIEW_RULES}","profile":{b.PROFILE.to_json()},"job":{{"title":') + f" || {json_text('title')} || ',\"company\":' || {json_text('company')}"
-    + f" || ',\"location\":' || {json_text('coalesce(location, ' + chr(39) * 2 + ')')} || ',\"description\":' || {json_text('substr(jd_text, 1, 7000)')} || "
+    + f" || ',\"location\":' || {json_text('coalesce(location, ' + chr(39) * 2 + ')')} || ',\"description\":' || {json_text('jd_text')} || "
     + quote(f'}},"output_schema":{fv.REVIEW_OUTPUT_SCHEMA}}}')
 )
 REQUEST_SQL = f"""with {TB}, {NORM}, p as (select seq, {PROMPT} as prompt from norm),

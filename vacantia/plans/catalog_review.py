@@ -41,10 +41,10 @@ def list_total(spark, sf_dir):
 
 
 def sort_postings(spark, sf_dir):
-    """The first 200 rows under each order; which rows they are shows the order."""
+    """Every row with its place under each order."""
     q = b.queue(spark, sf_dir).select("id", "post_date", "score", "company")
     ordered = [
-        rv.page_of(q, 1, 200, mode).withColumn("mode", F.lit(mode or "default")) for mode in ("newest", "oldest", "score", "company", None)
+        rv.ranked_postings(q, mode).withColumn("mode", F.lit(mode or "default")) for mode in ("newest", "oldest", "score", "company", None)
     ]
     out = ordered[0]
     for df in ordered[1:]:
@@ -58,7 +58,7 @@ ORDERS = {
     "default": "post_date desc nulls last, score desc, id",
 }
 SORT_SQL = f"with {QUEUED} " + " union all ".join(
-    f"select * from (select id, post_date, score, company, '{m}' as mode from queue order by {o} limit 200)" for m, o in ORDERS.items()
+    f"select id, post_date, score, company, '{m}' as mode, row_number() over (order by {o}) as place from queue" for m, o in ORDERS.items()
 )
 
 
@@ -82,7 +82,7 @@ def filter_active_batches(spark, sf_dir):
 
 
 def active_batches(spark, sf_dir):
-    return rv.active_batches(_runs(spark, sf_dir), 30, ("O", "P")).select("id", "status")
+    return rv.active_batches(_runs(spark, sf_dir), statuses=("O", "P")).select("id", "status")
 
 
 def requeue_candidates(spark, sf_dir):
@@ -148,8 +148,8 @@ CASES = {
     "page_of": (page_of, f"""with {QUEUED} select id, company, title, score, post_date from queue where status <> 'filtered'
         order by score desc, post_date desc nulls last, id limit 50 offset 50"""),
     "recent_runs": (recent_runs, f"select o_orderkey as id, o_orderstatus as status, {ts_text('o_orderdate')} as started_at from orders order by 1 desc limit 20"),
-    "active_batches": (active_batches, "select o_orderkey as id, o_orderstatus as status from orders where o_orderstatus in ('O','P') order by 1 desc limit 30"),
-    "requeue_candidates": (requeue_candidates, f"with {QUEUED} select id, company, title from queue where llm_review_state = 'failed' order by created_at desc, id desc limit 500"),
+    "active_batches": (active_batches, "select o_orderkey as id, o_orderstatus as status from orders where o_orderstatus in ('O','P')"),
+    "requeue_candidates": (requeue_candidates, f"with {QUEUED} select id, company, title from queue where llm_review_state = 'failed' "),
     "job_source_history": (job_source_history, f"""with {QUEUED} select job_id, event_type as source, 'k' || event_id as source_job_key, {ts_text('ts')} as ingested_at
         from (select *, 'j' || lpad(cast(user_id as varchar), 12, '0') as job_id from events) where job_id in (select id from queue where status = 'applied')"""),
     "latest_events_per_job": (latest_events_per_job, f"""with {EVENT_ROWS} select job_id, id, event_type from (

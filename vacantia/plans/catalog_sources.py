@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia.plans import bindings as b
 from vacantia.plans.catalog_scoring import joined
 from vacantia.plans.ingest import fetch_sources, landed_postings as land, union_sources as unite
-from vacantia.plans.sql_text import TB, cut, spaced, ts_text
+from vacantia.plans.sql_text import TB, spaced, ts_text
 from vacantia.session import work_dir
 from vacantia.sources import adapters as ad, configuration, landing, search
 from vacantia.sources.pages import extract_jsonld_postings as jsonld, jsonld_location as place_of
@@ -107,7 +107,7 @@ def stitch_pages(spark, sf_dir):
         "event_id", F.floor(k / 8).alias("target"), (k % 8).alias("page"), (F.col("event_type") != "error").alias("usable"),
         F.when(F.col("value") > 40, 3).otherwise(F.when(k % 9 == 0, 0).otherwise(20)).alias("n_rows"),
     )
-    return landing.stitch_pages(rows, 20, 5).select("event_id", "target", "page", "n_rows")
+    return landing.stitch_pages(rows, 20).select("event_id", "target", "page", "n_rows")
 
 
 def _json(**fields: Column) -> Column:
@@ -142,8 +142,8 @@ def _stamp() -> Column:
 
 
 HTML_SQL = "'<p>' || jd_text || '</p> <br/>'"
-SPACED = cut(spaced(HTML_SQL), 2000)
-TIGHT = cut(f"regexp_replace({HTML_SQL}, '<[^>]*>', '', 'g')", 2000)
+SPACED = spaced(HTML_SQL)
+TIGHT = f"regexp_replace({HTML_SQL}, '<[^>]*>', '', 'g')"
 
 
 def _when(n: int, value: Column, every: int = 3) -> Column:
@@ -298,11 +298,24 @@ def registered_source(spark, sf_dir):
 
 
 def transform_hook(spark, sf_dir):
-    """Two sources fetched, one of them by freshness, and a caller's transform over the union."""
+    """Two sources fetched, one of them by freshness, and a caller's transform over the union. Each response also landed as an older
+    copy, as a failure and as a less preferred one; only the chosen one counts."""
     tb = _tb(spark, sf_dir)
     jobvite = b.payloads(tb, "jobvite", _json(title=F.col("title"), location=F.col("location"), postDate=_stamp(), url=F.col("url")), '{"jobs":{jobs}}')
     lever = b.payloads(tb, "lever", _json(text=F.col("title"), categories=_json(location=F.col("location")), hostedUrl=F.col("url")), None)
-    both = jobvite.unionByName(lever)
+    def response(priority: int, status: int, day: str, body: Column) -> Column:
+        return F.struct(
+            F.lit(priority).alias("priority"), F.lit(status).alias("http_status"), F.lit("application/json").alias("content_type"),
+            F.lit(day).cast("timestamp").alias("fetched_at"), body.alias("body"),
+        )
+
+    older = F.when(F.col("source") == "lever", F.lit("[]")).otherwise(F.lit('{"jobs":[]}'))
+    responses = F.array(
+        response(0, 200, "2001-08-02", F.col("body")), response(0, 200, "2001-08-01", older), response(0, 503, "2001-08-02", F.col("body")),
+        response(1, 200, "2001-08-02", F.col("body")),
+    )
+    chosen = jobvite.unionByName(lever).withColumn("target", F.col("slug"))
+    both = chosen.select(*[c for c in chosen.columns if c != "body"], F.inline(responses))
     out = fetch_sources(both, ["lever", "jobvite"], b.AS_OF, b.FRESH_HOURS, False, lambda df: df.filter(F.col("url").isNotNull()))
     return out.select("source_rank", "batch_seq", "row", "source", "title", "url")
 
@@ -383,7 +396,7 @@ CASES = {
         from (select *, row_number() over (partition by page_id // 5 order by page_id % 5) as n from pages
           where (page_id * 7) % 3 <> 0 and (page_id % 5 < 3 or (page_id * 3) % 4 > 0)) where n = 1"""),
     "stitch_pages": (stitch_pages, """with r as (select event_id, event_id // 8 as target, event_id % 8 as page, event_type <> 'error' as usable,
-          case when value > 40 then 3 when event_id % 9 = 0 then 0 else 20 end as n_rows from events where event_id % 8 < 5),
+          case when value > 40 then 3 when event_id % 9 = 0 then 0 else 20 end as n_rows from events),
         p as (select *, coalesce(bool_and(usable and n_rows >= 20) over (partition by target order by page rows between unbounded preceding and 1 preceding), true) as before_full from r)
         select event_id, target, page, n_rows from p where before_full and usable and n_rows > 0"""),
     "normalize_greenhouse": (normalize_greenhouse, _sql("greenhouse", jd_text=TIGHT)),
@@ -408,7 +421,7 @@ CASES = {
         job_id="case when seq <> 0 then cast(seq as varchar) end", is_virtual="case when seq % 2 = 0 then 'true' else 'false' end")),
     "normalize_serpapi": (normalize_serpapi, _sql("serpapi", company="case when seq % 3 = 0 then company else 'Unknown' end",
         post_date="case when seq % 20 > 0 then strftime(timestamp '2001-08-02' - to_days(cast(seq % 20 as int)), '%Y-%m-%d') end",
-        url="case when seq % 3 < 2 then url end", jd_text=cut("jd_text", 2000),
+        url="case when seq % 3 < 2 then url end", jd_text="jd_text",
         url_resolution="case when url is null or seq % 3 = 2 then 'unavailable' when seq % 3 = 0 then 'direct' else 'decoded_redirect' end",
         url_source="case when url is null or seq % 3 = 2 then 'none' when seq % 3 = 0 then 'apply_options' else 'related_links' end")),
     "extract_jsonld_postings": (extract_jsonld_postings, f"with {TB} select seq, 0 as block, title, 'i' || seq as identifier from tb"),

@@ -247,7 +247,7 @@ def fit_cache_key(spark, sf_dir):
 
 CACHE_BODY = " || ".join(
     [f"'{{\"title\":' || {json_value('title')}", f"',\"location\":' || {json_value(chr(99) + 'oalesce(location,' + chr(39) * 2 + ')')}"]
-    + [f"',\"jdText\":' || {json_value('substr(jd_text,1,6000)')}", f"',\"source\":' || {json_value('source')}"]
+    + [f"',\"jdText\":' || {json_value('jd_text')}", f"',\"source\":' || {json_value('source')}"]
     + [f"',\"url\":' || {json_value('coalesce(url,' + chr(39) * 2 + ')')} || '}}'"]
 )
 
@@ -343,7 +343,7 @@ CASES = {
         array_to_string(reason_codes, '|') as reason_codes, array_to_string(missing_must_have, '|') as missing_must_have from fit"""),
     "fit_cache_key": (fit_cache_key, f"with {TB}, {NORM} select seq, sha1({CACHE_BODY}) || ':' || sha1({quote(b.PROFILE.to_json())}) as cache_key from norm"),
     "parse_json_list_safe": (parse_json_list_safe, """select doc_id, case when doc_id % 13 = 0 or doc_id % 5 = 0 or doc_id % 7 = 0 then ''
-        else array_to_string(['x' || (doc_id + 0), 'x' || (doc_id + 1), 'x' || (doc_id + 2), 'x' || (doc_id + 3), 'x' || (doc_id + 4), 'x' || (doc_id + 5)], '|') end as shown from labels"""),
+        else array_to_string(['x' || (doc_id + 0), 'x' || (doc_id + 1), 'x' || (doc_id + 2), 'x' || (doc_id + 3), 'x' || (doc_id + 4), 'x' || (doc_id + 5), 'x' || (doc_id + 6), 'x' || (doc_id + 7)], '|') end as shown from labels"""),
     "truthy_coalesce": (truthy_coalesce, f"""with {TB} select seq, coalesce(nullif(case when seq % 3 = 0 then '' else url end, ''), post_date, 'none') as first_text,
         case when seq % 4 = 0 then -1 else seq % 4 end as first_number from tb"""),
     "event_payload_view": (event_payloads, f"""with {EVENT_ROWS} select job_id, id as event_id, event_type, message, run_id, {ts_text('created_at')} as created_at,

@@ -36,10 +36,10 @@ def landed_postings(payloads: DataFrame, source: str, as_of: datetime) -> DataFr
     """
     marked = classify_payloads(payloads.filter(F.col("source") == source))
     if source in PAGED_SOURCES:
-        path, page_size, max_pages = PAGED_SOURCES[source]
+        path, page_size = PAGED_SOURCES[source]
         listed = json_list(F.try_parse_json("body"), path)
         sized = marked.withColumn("n_rows", F.coalesce(F.size(listed), F.lit(0)))
-        return ADAPTERS[source](stitch_pages(sized, page_size, max_pages), as_of)
+        return ADAPTERS[source](stitch_pages(sized, page_size), as_of)
     embedded = cut_lineage(normalize_page(marked.filter((F.col("kind") == "html") & F.col("usable")), source))
     counts = embedded.groupBy("target", "priority").agg(F.count("*").alias("n_postings"))
     counted = marked.join(counts, ["target", "priority"], "left").withColumn("n_postings", F.coalesce("n_postings", F.lit(0)))
@@ -61,12 +61,16 @@ class IngestResult:
 
 def fetch_sources(
     payloads: DataFrame, names: Sequence[str], as_of: datetime, hours: int = 24, allow_unknown: bool = False,
-    transform: Callable[[DataFrame], DataFrame] | None = None,
+    transform: Callable[[DataFrame], DataFrame] | None = None, landed: bool = True,
 ) -> DataFrame:
-    """Postings of the named sources in task order, stale ones dropped, then the caller's ``transform``."""
+    """Postings of the named sources in task order, stale ones dropped, then the caller's ``transform``.
+
+    Failed, repeated and lower-priority responses are left out first; ``landed=False`` says that ``payloads`` are already
+    the chosen ones.
+    """
     frames = []
     for name in names:
-        found = ADAPTERS[name](payloads.filter(F.col("source") == name), as_of)
+        found = landed_postings(payloads, name, as_of) if landed else ADAPTERS[name](payloads.filter(F.col("source") == name), as_of)
         frames.append(found if name in FRESHNESS_EXEMPT else freshness_filter(found, hours, allow_unknown, as_of))
     united = union_sources(frames)
     return united.transform(transform) if transform else united

@@ -12,7 +12,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia.fixed_values import SOURCE_TEXT_LIMIT
 from vacantia.functions.dates import epoch_ms_day, normalize_date, relative_date, relative_date_or_parse
 from vacantia.functions.links import resolve_best_link
 from vacantia.functions.payloads import json_list, json_text
@@ -75,11 +74,11 @@ def _posting(rows: DataFrame, source: str, *, company: Column, title: Column, lo
 
 
 def _spaced(*names: str) -> Column:
-    return cut_text(strip_html_spaced(_j(*names)), SOURCE_TEXT_LIMIT)
+    return strip_html_spaced(_j(*names))
 
 
 def _tight(name: str) -> Column:
-    return cut_text(strip_tags_tight(_j(name)), SOURCE_TEXT_LIMIT)
+    return strip_tags_tight(_j(name))
 
 
 def _date(*names: str) -> Column:
@@ -241,7 +240,7 @@ def normalize_serpapi(payloads: DataFrame, as_of: datetime) -> DataFrame:
     best = listed.withColumn("j_best", resolve_best_link("j_apply", "j_related", "j_share"))
     return _posting(
         best, "serpapi", company=F.coalesce(_j("company"), F.lit("Unknown")), title=_j("title"), location=_j("place"),
-        post_date=relative_date("j_posted", as_of), url=F.col("j_best.url"), jd_text=cut_text("j_described", SOURCE_TEXT_LIMIT),
+        post_date=relative_date("j_posted", as_of), url=F.col("j_best.url"), jd_text=F.col("j_described"),
         meta=_meta(url_resolution=F.col("j_best.resolution"), url_source=F.col("j_best.source")), need_title=False,
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from vacantia.functions.links import link_host, path_segment
 from vacantia.functions.text import col, trim_blanks
@@ -110,7 +110,8 @@ def resolve_targets(targets: DataFrame) -> DataFrame:
 
 def first_success_endpoint(payloads: DataFrame) -> DataFrame:
     """The winning payload of each (source, target): lowest-priority-number usable JSON response,
-    even an empty one; an HTML page only when no JSON was usable and it holds postings.
+    even an empty one; an HTML page only when no JSON was usable and it holds postings. Of two fetches
+    with the same rank the newest wins, and of equal times the one with the greater body digest.
 
     Expects ``kind`` (``json`` or ``html``), ``usable`` and ``n_postings``. Only the small rank
     columns are aggregated; the bodies stay where they are and meet the winners in a semi join.
@@ -118,24 +119,29 @@ def first_success_endpoint(payloads: DataFrame) -> DataFrame:
     eligible = payloads.filter(
         F.col("usable") & ((F.col("kind") == "json") | (F.col("n_postings") > 0))
     ).withColumn("_rank", F.when(F.col("kind") == "json", 0).otherwise(1_000_000) + F.col("priority"))
-    winners = eligible.groupBy("source", "target").agg(F.min("_rank").alias("_rank"))
-    return eligible.join(winners, ["source", "target", "_rank"], "left_semi").drop("_rank")
+    ages = [F.col(c) for c in ("fetched_at",) if c in payloads.columns]
+    ties = [F.sha1("body")] if "body" in payloads.columns else []
+    eligible = eligible.withColumn("_key", F.struct((-F.col("_rank")).alias("rank"), *ages, *ties)).drop("_rank")
+    winners = eligible.groupBy("source", "target").agg(F.max("_key").alias("_key"))
+    return eligible.join(winners, ["source", "target", "_key"], "left_semi").drop("_key")
 
 
-def stitch_pages(payloads: DataFrame, page_size: int, max_pages: int) -> DataFrame:
-    """Pages of each target up to the first failed, empty, missing or short one; a short page is kept.
+def stitch_pages(payloads: DataFrame, page_size: int) -> DataFrame:
+    """Pages of each target up to the first failed, empty, missing or short one; a short page is kept. There is no limit on their number.
 
-    Expects ``target``, ``page`` (from 0), ``usable`` and ``n_rows``. A page belongs when every page before
-    it was full. Full pages are bits of one number per target, combined before the shuffle and without the
-    bodies; ``max_pages`` is at most 60.
+    Expects ``target``, ``page`` (from 0), ``usable`` and ``n_rows``; pages of different sources, and of different fetches where a
+    ``fetch_id`` is given, are stitched apart. A page belongs when every page before it was full: the first page that is not full, or that the
+    page after it is missing, is a minimum per target, combined before the shuffle and without the bodies.
     """
-    if max_pages > 60:
-        raise ValueError("max_pages is at most 60")
-    asked = payloads.filter((F.col("page") >= 0) & (F.col("page") < max_pages))
+    group = [c for c in ("source", "target", "fetch_id") if c in payloads.columns]
+    asked = payloads.filter(F.col("page") >= 0)
     usable = F.coalesce("usable", F.lit(False))
-    bit = F.expr("shiftleft(1L, cast(page as int))")
-    full = F.bit_or(F.when(usable & (F.col("n_rows") >= page_size), bit).otherwise(F.lit(0).cast("bigint")))
-    masks = asked.groupBy("target").agg(full.alias("_full"))
-    before = bit - 1
-    kept = asked.filter(usable & (F.col("n_rows") > 0)).join(masks, "target")
-    return kept.filter(F.col("_full").bitwiseAND(before) == before).drop("_full")
+    full = usable & (F.col("n_rows") >= page_size)
+    pages = asked.groupBy(*group, "page").agg(F.max(full).alias("_full"))
+    short = pages.groupBy(*group).agg(F.min(F.when(~F.col("_full"), F.col("page"))).alias("_short"))
+    order = Window.partitionBy(*group).orderBy("page")
+    gaps = pages.withColumn("_at", F.row_number().over(order) - 1).filter(F.col("page") != F.col("_at"))
+    missing = gaps.groupBy(*group).agg(F.min("_at").alias("_missing"))
+    last = short.join(missing, group, "left").select(*group, F.least("_short", F.col("_missing") - 1).alias("_last"))
+    kept = asked.filter(usable & (F.col("n_rows") > 0)).join(last, group)
+    return kept.filter(F.col("_last").isNull() | (F.col("page") <= F.col("_last"))).drop("_last")

@@ -6,33 +6,46 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia.functions.payloads import json_list, json_text, json_truthy
 from vacantia.functions.text import col, join_parts
+from vacantia.session import cut_lineage
 
 BLOCK_PATTERN = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-NESTING = 3
-
 
 def _as_nodes(v: Column) -> Column:
     """One level of flattening: the array itself, the graph of an object, or the object alone."""
     return F.coalesce(json_list(v, "$"), json_list(v, "$['@graph']"), F.array(v))
 
 
+def _is_list(v: Column) -> Column:
+    """An array, or an object with a graph."""
+    return F.coalesce(json_list(v, "$"), json_list(v, "$['@graph']")).isNotNull()
+
+
+def _one_level(nodes: DataFrame) -> DataFrame:
+    """Every node replaced by its elements, or by itself; the path grows by the position."""
+    others = [c for c in nodes.columns if c not in ("posting", "node")]
+    nodes = nodes.select(*others, F.col("node").alias("_path"), F.posexplode(_as_nodes(F.col("posting"))).alias("_pos", "posting"))
+    path = F.concat_ws(".", F.nullif(F.col("_path"), F.lit("")), F.lpad(F.col("_pos").cast("string"), 6, "0"))
+    return nodes.withColumn("node", path).drop("_path", "_pos")
+
+
 def extract_jsonld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per job posting node: the input columns, ``block``, ``node`` (path text) and ``posting``.
 
-    Arrays and graphs are flattened level by level; ``NESTING`` levels cover arrays of graphs of arrays.
+    Arrays and graphs are flattened level by level until none is left; each level goes on with the nested nodes only, which few pages have.
     """
     blocks = pages.select(
         "*", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(BLOCK_PATTERN), F.lit(1))).alias("block", "_raw")
     ).drop(html)
-    nodes = blocks.withColumn("posting", F.try_parse_json("_raw")).drop("_raw").withColumn("node", F.lit(""))
-    for _ in range(NESTING):
-        nodes = nodes.select(
-            *[c for c in nodes.columns if c not in ("posting", "node")],
-            F.col("node").alias("_path"),
-            F.posexplode(_as_nodes(F.col("posting"))).alias("_pos", "posting"),
-        )
-        nodes = nodes.withColumn("node", F.concat_ws(".", F.nullif(F.col("_path"), F.lit("")), F.lpad(F.col("_pos").cast("string"), 6, "0")))
-        nodes = nodes.drop("_path", "_pos")
+    open_nodes = blocks.withColumn("posting", F.try_parse_json("_raw")).drop("_raw").withColumn("node", F.lit(""))
+    settled: DataFrame | None = None
+    while True:
+        open_nodes = cut_lineage(_one_level(open_nodes).withColumn("_more", _is_list(F.col("posting"))))
+        done = open_nodes.filter(~F.col("_more")).drop("_more")
+        settled = done if settled is None else settled.unionByName(done)
+        open_nodes = open_nodes.filter("_more").drop("_more")
+        if not open_nodes.limit(1).count():
+            break
+    nodes = settled
     types = F.coalesce(
         F.try_variant_get("posting", "$['@type']", "array<string>"),
         F.array(json_text(F.col("posting"), "$['@type']")),
