@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -16,7 +15,7 @@ from vacantia.functions.keys import fit_cache_key
 from vacantia.functions.payloads import json_text, normalize_fit_payload
 from vacantia.operators.entities import latest_wins
 from vacantia.operators.skew import checked_join, lookup_join
-from vacantia.operators.state import sticky_status
+from vacantia.operators.state import event_id, sticky_status
 from vacantia.session import cut_lineage
 
 Classifier = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -24,7 +23,8 @@ ANSWER_FIELDS = ("fit_label", "fit_score", "confidence", "reason_codes", "missin
 
 
 def join_fit_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
-    """Add ``answer`` from the cache by ``cache_key``; null where it is unknown."""
+    """Add ``answer`` from the cache by ``cache_key``; null where it is unknown. Only (seq, cache_key) meets the cache; the wide rows
+    join back on their unique ``seq``."""
     known = cache.select(
         "cache_key",
         F.struct(
@@ -34,7 +34,8 @@ def join_fit_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
         ).alias("answer"),
     )
     rows = cut_lineage(rows)
-    return lookup_join(rows, known, "cache_key", row_count=rows.count())
+    found = lookup_join(rows.select("seq", "cache_key"), known, "cache_key", row_count=rows.count())
+    return rows.join(found.drop("cache_key"), "seq")
 
 
 def llm_budget_cap(misses: DataFrame, day_left: int, run_left: int) -> DataFrame:
@@ -48,31 +49,27 @@ def llm_budget_cap(misses: DataFrame, day_left: int, run_left: int) -> DataFrame
     return marked.withColumn("skip_reason", F.when(~F.col("allowed"), reason))
 
 
-def rule_classifier(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stand-in for a model: the gate's score decides, so runs need no network."""
-    for batch in batches:
-        answers = [
-            json.dumps(
-                {
-                    "fit_label": "high" if score >= fv.MIN_INBOX_SCORE else "medium" if score >= fv.BORDERLINE_MIN else "low",
-                    "fit_score": int(min(100, score)), "confidence": 0.5, "reason_codes": ["rule_based"], "missing_must_have": [],
-                }
-            )
-            for score in batch["fit_score"]
-        ]
-        yield pd.DataFrame({"cache_key": batch["cache_key"], "answer_json": answers})
+def rule_answers(rows: DataFrame) -> DataFrame:
+    """(cache_key, answer_json) from the gate's score alone, so runs need no model and no network."""
+    score = F.col("fit_score")
+    label = F.when(score >= fv.MIN_INBOX_SCORE, "high").when(score >= fv.BORDERLINE_MIN, "medium").otherwise("low")
+    answer = F.struct(
+        label.alias("fit_label"), F.least(F.lit(100), score).cast("int").alias("fit_score"), F.lit(0.5).alias("confidence"),
+        F.array(F.lit("rule_based")).alias("reason_codes"), F.array().cast("array<string>").alias("missing_must_have"),
+    )
+    return rows.select("cache_key", F.to_json(answer).alias("answer_json"))
 
 
-def classify(misses: DataFrame, classifier: Classifier = rule_classifier) -> DataFrame:
-    """(cache_key, answer) of one row per allowed key; the classifier sees Arrow batches of posting rows."""
+def classify(misses: DataFrame, classifier: Classifier | None = None) -> DataFrame:
+    """(cache_key, answer) of one row per allowed key; a classifier of the caller sees Arrow batches of posting rows."""
     wanted = latest_wins(misses.filter("allowed"), "cache_key")
-    answered = wanted.mapInPandas(classifier, "cache_key string, answer_json string")
+    answered = rule_answers(wanted) if classifier is None else wanted.mapInPandas(classifier, "cache_key string, answer_json string")
     return answered.select("cache_key", normalize_fit_payload("answer_json").alias("answer"))
 
 
 def review_answers(
     gated: DataFrame, cache: DataFrame, profile: Profile, options: GateOptions, day_used: int, run_used: int,
-    classifier: Classifier = rule_classifier,
+    classifier: Classifier | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers by seq, new cache rows) for the borderline rows of a gated batch: the cache first, then the
     classifier within the budget. In batch mode misses are queued instead of asked."""
@@ -165,7 +162,7 @@ def submit_batch(
     """
     spark = queue.sparkSession
     keyed = fit_cache_key(pending, profile).withColumn("run_id", F.lit(run_id).cast("bigint"))
-    fresh = not_already_queued(keyed, items).withColumn("custom_id", custom_id(run_id, "job_id", as_of))
+    fresh = cut_lineage(not_already_queued(keyed, items).withColumn("custom_id", custom_id(run_id, "job_id", as_of)))
     lines = fit_request_rows(fresh, profile, options.model)
     lines.write.mode("overwrite").text(path)
     now = instant(as_of)
@@ -248,8 +245,8 @@ def apply_llm_results(
     d = F.col("answer")
     taken = (d["fit_label"] == "high") | (d["fit_score"] >= threshold)
     events = done.select(
-        "job_id", "run_id", F.lit("llm_batch_completed").alias("event_type"),
-        F.format_string("Applied batch LLM fit (label=%s, score=%s)", d["fit_label"], d["fit_score"].cast("string")).alias("message"),
+        event_id(as_of, F.lit("llm_batch_completed"), "custom_id", "seq").alias("id"), "job_id", "run_id", F.lit("llm_batch_completed").alias("event_type"),
+        F.format_string("Review result applied: %s, %s", d["fit_label"], d["fit_score"].cast("string")).alias("message"),
         F.to_json(F.struct(d["fit_label"].alias("fitLabel"), d["fit_score"].alias("fitScore"), taken.alias("admitted"))).alias("payload_json"),
         now.alias("created_at"),
     )

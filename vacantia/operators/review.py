@@ -153,9 +153,9 @@ def job_source_history(sources: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def latest_events_per_job(events: DataFrame, n: int = fv.EVENTS_PER_POSTING) -> DataFrame:
-    """Newest ``n`` events of each posting. Spark keeps only the best ``n`` of a posting in each task
+    """Newest ``n`` events of each posting, by time, then id. Spark keeps only the best ``n`` of a posting in each task
     before the shuffle, so a posting with very many events does not reach one task whole."""
-    newest = W.partitionBy("job_id").orderBy(F.desc("id"))
+    newest = W.partitionBy("job_id").orderBy(F.desc("created_at"), F.desc("id"))
     return events.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia import fixed_values as fv
 from vacantia.config import GateOptions, KeywordRules, Profile
-from vacantia.functions.dates import instant
+from vacantia.functions.dates import epoch_seconds, instant
 from vacantia.functions.keys import fingerprint, normalize_posting, payload_hash, posting_keys, source_job_key, text_key
 from vacantia.functions.text import years_requirement
 from vacantia.operators.entities import resolve_entities
@@ -23,19 +23,17 @@ from vacantia.session import cut_lineage
 QUEUE = TABLES["job_queue"]
 EVENT = TABLES["job_events"]
 SMALL_ROWS = 500_000
-EVENT_SLOTS = 8
-RUN_SHIFT = 2**40
 
 # Messages of the event log.
 MESSAGES = {
-    "ingested": "Inserted as new job",
-    "deduped": "Matched existing job via canonical fingerprint",
-    "resurfaced": "Previously filtered listing resurfaced to inbox after fresh ingest",
-    "manual": "Manually ingested through /jobs/ingest",
-    "cleanup_kept": "Manual inbox cleanup kept this listing in inbox",
-    "cleanup_filtered": "Manual inbox cleanup moved listing to filtered",
-    "synced_pd": "Synced to personal dashboard",
-    "sync_failed": "Failed to sync to personal dashboard",
+    "ingested": "New posting",
+    "deduped": "Known posting seen again",
+    "resurfaced": "Back in the inbox: a filtered posting was found again",
+    "manual": "Added by hand",
+    "cleanup_kept": "Inbox check: stays",
+    "cleanup_filtered": "Inbox check: filtered",
+    "synced_pd": "Delivered to the dashboard",
+    "sync_failed": "Delivery to the dashboard failed",
 }
 
 
@@ -187,12 +185,12 @@ def append_lineage(outcome: DataFrame, run_id: int, as_of: datetime) -> DataFram
     )
 
 
-def _event_id(run_id: int | Column, seq: Column | str, slot: int | Column = 0) -> Column:
-    """Ordered by run, row and slot; a run holds up to 2**37 rows."""
-    run = F.lit(run_id) if isinstance(run_id, int) else run_id
-    position = F.col(seq) if isinstance(seq, str) else seq
-    place = F.lit(slot) if isinstance(slot, int) else slot
-    return (run * F.lit(RUN_SHIFT) + position * F.lit(EVENT_SLOTS) + place).cast("bigint")
+def event_id(as_of: datetime, event_type: Column, *parts: Column | str) -> Column:
+    """60 bits of a digest of time, kind and what tells the event apart from others: a replay gives the same id, another call
+    another one. Events are ordered by time, then id."""
+    told = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    digest = F.sha1(F.concat_ws("|", F.lit(str(epoch_seconds(as_of))), event_type, *told))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def _payload(**fields: Column) -> Column:
@@ -212,15 +210,15 @@ def append_events(outcome: DataFrame, run_id: int, as_of: datetime) -> DataFrame
     back = _payload(
         previousStatus=c("previous_status"), nextStatus=c("admission_status"), qualityBucket=c("quality_bucket")
     )
-    first = F.struct(F.lit(0).alias("slot"), kind.alias("event_type"), message.alias("message"), stored.alias("payload_json"))
+    first = F.struct(kind.alias("event_type"), message.alias("message"), stored.alias("payload_json"))
     second = F.struct(
-        F.lit(1).alias("slot"), F.lit("resurfaced").alias("event_type"), F.lit(MESSAGES["resurfaced"]).alias("message"),
+        F.lit("resurfaced").alias("event_type"), F.lit(MESSAGES["resurfaced"]).alias("message"),
         back.alias("payload_json"),
     )
     both = F.when(c("resurfaced"), F.array(first, second)).otherwise(F.array(first))
     rows = outcome.select("seq", "job_id", F.explode(both).alias("e"))
     return rows.select(
-        _event_id(run_id, "seq", c("e.slot")).alias("id"), "job_id", F.lit(run_id).cast("bigint").alias("run_id"),
+        event_id(as_of, c("e.event_type"), F.lit(run_id), "seq").alias("id"), "job_id", F.lit(run_id).cast("bigint").alias("run_id"),
         "e.event_type", "e.message", "e.payload_json", instant(as_of).alias("created_at"),
     )
 
@@ -239,8 +237,8 @@ def set_status(queue: DataFrame, changes: DataFrame, as_of: datetime) -> tuple[D
         }
     )
     events = known.select(
-        _event_id(0, "seq").alias("id"), F.col("id").alias("job_id"), F.lit(None).cast("bigint").alias("run_id"),
-        F.lit("status_changed").alias("event_type"), F.concat(F.lit("Status changed to "), F.col("status")).alias("message"),
+        event_id(as_of, F.lit("status_changed"), "id", "seq").alias("id"), F.col("id").alias("job_id"), F.lit(None).cast("bigint").alias("run_id"),
+        F.lit("status_changed").alias("event_type"), F.concat(F.lit("Status is now "), F.col("status")).alias("message"),
         _payload(status=F.col("status")).alias("payload_json"), instant(as_of).alias("created_at"),
     )
     return changed.select(*queue.columns), events
@@ -261,7 +259,7 @@ def skip_company(queue: DataFrame, company: str, as_of: datetime) -> tuple[DataF
 def sync_outbox(applied: DataFrame, as_of: datetime, application: str = "vacantia") -> DataFrame:
     """Outbound rows of newly applied postings; delivering them is the caller's sink."""
     note = F.format_string(
-        f"Auto-synced from {application}. Tier %s. Score %s. Source: %s.",
+        f"Sent by {application}: tier %s, score %s, source %s",
         F.col("tier"), F.col("score").cast("string"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")),
     )
     return applied.select(
@@ -275,8 +273,10 @@ def sync_outbox(applied: DataFrame, as_of: datetime, application: str = "vacanti
 def sync_events(outbox: DataFrame, as_of: datetime) -> DataFrame:
     """One event per outbound row; ``error`` holds the delivery error, null when delivered."""
     ok = F.col("error").isNull()
+    kind = F.when(ok, "synced_pd").otherwise("sync_failed")
     return outbox.select(
-        F.col("external_id").alias("job_id"), F.when(ok, "synced_pd").otherwise("sync_failed").alias("event_type"),
+        event_id(as_of, kind, "external_id").alias("id"), F.col("external_id").alias("job_id"), F.lit(None).cast("bigint").alias("run_id"),
+        kind.alias("event_type"),
         F.when(ok, MESSAGES["synced_pd"]).otherwise(MESSAGES["sync_failed"]).alias("message"),
         F.when(~ok, _payload(error=F.col("error"))).alias("payload_json"), instant(as_of).alias("created_at"),
     )
@@ -309,9 +309,10 @@ def cleanup_inbox(
         "admitted", "llm_used", "llm_eligible", "llm_attempted", "llm_queued", F.col("reason_codes").alias("codes"),
     )
     c = F.col
+    kind = F.when(c("admitted"), "cleanup_kept").otherwise("cleanup_filtered")
     events = evaluated.select(
-        c("id").alias("job_id"), F.lit(run_id).cast("bigint").alias("run_id"),
-        F.when(c("admitted"), "cleanup_kept").otherwise("cleanup_filtered").alias("event_type"),
+        event_id(as_of, kind, F.lit(run_id), "id").alias("id"), c("id").alias("job_id"), F.lit(run_id).cast("bigint").alias("run_id"),
+        kind.alias("event_type"),
         F.when(c("admitted"), MESSAGES["cleanup_kept"]).otherwise(MESSAGES["cleanup_filtered"]).alias("message"),
         _payload(
             fitScore=c("fit_score"), fitLabel=c("fit_label"), fitSource=c("fit_source"), qualityBucket=c("quality_bucket"),
@@ -358,7 +359,7 @@ def ingest_manual(queue: DataFrame, rows: DataFrame, rules: KeywordRules, as_of:
         }
     )
     events = added.select(
-        _event_id(0, "seq").alias("id"), F.col("id").alias("job_id"), F.lit(None).cast("bigint").alias("run_id"),
+        event_id(as_of, F.lit("ingested"), F.lit("manual"), "seq").alias("id"), F.col("id").alias("job_id"), F.lit(None).cast("bigint").alias("run_id"),
         F.lit("ingested").alias("event_type"), F.lit(MESSAGES["manual"]).alias("message"),
         _payload(source=F.coalesce("source", F.lit("manual"))).alias("payload_json"), now.alias("created_at"),
     )

@@ -10,7 +10,7 @@ from vacantia.operators.runs import finalize_run, run_summary, start_run
 from vacantia.plans import bindings as b
 from vacantia.plans.catalog_scoring import joined
 from vacantia.plans.catalog_text import HASH_BODY
-from vacantia.plans.sql_text import BASE, NORM, QUEUED, TB, YEARS, scored_cte, ts_text
+from vacantia.plans.sql_text import BASE, NORM, QUEUED, TB, YEARS, event_id, scored_cte, ts_text
 from vacantia.schemas import DEFAULTS, TABLES, evolve_schema as conform, table_schemas
 from vacantia.session import work_dir
 
@@ -297,12 +297,12 @@ CASES = {
     "upsert_outcome": (upsert_outcome, f"{UPSERT_ODD} select seq, job_id, result, previous_status, cast(resurfaced as int) as resurfaced, admission_status from outcomes"),
     "append_lineage": (append_lineage, f"""{UPSERT_ODD} select job_id, {RUN} as run_id, source, {SOURCE_KEY} as source_job_key, post_date as raw_post_date,
         post_date as normalized_post_date, '2001-08-02 00:00:00' as ingested_at, sha1({HASH_BODY}) as payload_hash from outcomes"""),
-    "append_events": (append_events, f"""{UPSERT_ODD} select {RUN} * 1099511627776 + seq * 8 as id, job_id, {RUN} as run_id,
+    "append_events": (append_events, f"""{UPSERT_ODD} select {event_id("case result when 'deduped' then 'deduped' else 'ingested' end", RUN, 'seq')} as id, job_id, {RUN} as run_id,
         case result when 'deduped' then 'deduped' else 'ingested' end as event_type,
-        case result when 'deduped' then 'Matched existing job via canonical fingerprint' else 'Inserted as new job' end as message,
+        case result when 'deduped' then 'Known posting seen again' else 'New posting' end as message,
         cast(json_object('fingerprint', canonical_fingerprint, 'dedupReason', dedup_reason, 'source', source, 'sourceJobKey', {SOURCE_KEY},
           'qualityBucket', quality_bucket, 'admittedToInbox', admitted, 'llmQueued', false) as varchar) as payload_json, '2001-08-02 00:00:00' as created_at from outcomes
-        union all select {RUN} * 1099511627776 + seq * 8 + 1, job_id, {RUN}, 'resurfaced', 'Previously filtered listing resurfaced to inbox after fresh ingest',
+        union all select {event_id("'resurfaced'", RUN, 'seq')}, job_id, {RUN}, 'resurfaced', 'Back in the inbox: a filtered posting was found again',
         cast(json_object('previousStatus', previous_status, 'nextStatus', admission_status, 'qualityBucket', quality_bucket) as varchar), '2001-08-02 00:00:00' from outcomes where resurfaced"""),
     "evolve_schema": (evolve_schema, f"""with {TB}, {NORM} select company, title, 0 as score, 'B' as tier, 'inbox' as status, 0 as is_bigtech, cast(null as int) as fit_score,
         0 as rejected_by_quality, post_date from norm"""),
@@ -312,8 +312,8 @@ CASES = {
         case when seq % 10 % 3 = 0 then {ts_text('updated_at')} else {ts_text('last_seen_at')} end as last_seen_at from queue"""),
     "set_status": (set_status, f"""with {QUEUED}, {CHANGES} select q.id, coalesce(next, status) as status,
         case when next is null then {ts_text('updated_at')} else '2001-08-02 00:00:00' end as updated_at from queue q left join last l on l.id = q.id"""),
-    "set_status_events": (set_status_events, f"""with {QUEUED}, {CHANGES} select seq * 8 as id, id as job_id, 'status_changed' as event_type,
-        'Status changed to ' || status as message, cast(json_object('status', status) as varchar) as payload_json from known"""),
+    "set_status_events": (set_status_events, f"""with {QUEUED}, {CHANGES} select {event_id("'status_changed'", 'id', 'seq')} as id, id as job_id, 'status_changed' as event_type,
+        'Status is now ' || status as message, cast(json_object('status', status) as varchar) as payload_json from known"""),
     "sticky_status": (sticky_status, f"""with {QUEUED} select id, status, case when status in ('approved','applied','skipped') then status
         when score > 0 then 'inbox' else 'filtered' end as next_status from queue"""),
     "skip_company": (skip_company, f"""with {QUEUED} select id, company, case when company = 'src8' then 'skipped' else status end as status,
@@ -325,19 +325,20 @@ CASES = {
         union all select 'fingerprint', canonical_fingerprint, count(*) from queue group by canonical_fingerprint) where n > 1"""),
     "ingest_manual": (ingest_manual, f"""with {QUEUED}, {scored_cte(source="tb", name="manual")} select company, title, status, score, tier, company_key, url, post_date, fit_label, {ts_text('created_at')} as created_at from queue
         union all select company, title, 'inbox', score, tier, null, url, post_date, null, '2001-08-02 00:00:00' from manual where seq % 10 <> 0"""),
-    "ingest_manual_events": (ingest_manual_events, f"""with {TB} select seq * 8 as id, 'ingested' as event_type, 'Manually ingested through /jobs/ingest' as message,
+    "ingest_manual_events": (ingest_manual_events, f"""with {TB} select {event_id("'ingested'", "'manual'", 'seq')} as id, 'ingested' as event_type, 'Added by hand' as message,
         cast(json_object('source', source) as varchar) as payload_json, '2001-08-02 00:00:00' as created_at from tb"""),
     "sync_outbox": (sync_outbox, f"""with {QUEUED} select company, title as position, 'applied' as status, location, '2001-08-02' as applied_date,
-        'Auto-synced from vacantia. Tier ' || tier || '. Score ' || score || '. Source: ' || source || '.' as notes, url, id as external_id from queue where status = 'applied'"""),
-    "sync_events": (sync_events, f"""with {QUEUED} select id as job_id, case when url is null then 'sync_failed' else 'synced_pd' end as event_type,
-        case when url is null then 'Failed to sync to personal dashboard' else 'Synced to personal dashboard' end as message,
+        'Sent by vacantia: tier ' || tier || ', score ' || score || ', source ' || source as notes, url, id as external_id from queue where status = 'applied'"""),
+    "sync_events": (sync_events, f"""with {QUEUED} select {event_id("case when url is null then 'sync_failed' else 'synced_pd' end", 'id')} as id, id as job_id, cast(null as bigint) as run_id,
+        case when url is null then 'sync_failed' else 'synced_pd' end as event_type,
+        case when url is null then 'Delivery to the dashboard failed' else 'Delivered to the dashboard' end as message,
         case when url is null then '{{"error":"no link"}}' end as payload_json, '2001-08-02 00:00:00' as created_at from queue where status = 'applied'"""),
     "cleanup_inbox": (cleanup_inbox, f"""with {CLEANUP} select id, case when status = 'inbox' and not admitted then 'filtered' else status end as status, fit_score, fit_label,
         array_to_string(case when status = 'inbox' then codes else fit_reason_codes end, '|') as fit_reason_codes, quality_bucket, llm_review_state,
         case when status = 'inbox' then {RUN} else last_run_id end as last_run_id,
         case when status = 'inbox' then '2001-08-02 00:00:00' else {ts_text('updated_at')} end as updated_at from again"""),
-    "cleanup_inbox_events": (cleanup_inbox_events, f"""with {CLEANUP} select id as job_id, {RUN} as run_id, case when admitted then 'cleanup_kept' else 'cleanup_filtered' end as event_type,
-        case when admitted then 'Manual inbox cleanup kept this listing in inbox' else 'Manual inbox cleanup moved listing to filtered' end as message,
+    "cleanup_inbox_events": (cleanup_inbox_events, f"""with {CLEANUP} select {event_id("case when admitted then 'cleanup_kept' else 'cleanup_filtered' end", RUN, 'id')} as id, id as job_id, {RUN} as run_id, case when admitted then 'cleanup_kept' else 'cleanup_filtered' end as event_type,
+        case when admitted then 'Inbox check: stays' else 'Inbox check: filtered' end as message,
         cast(json_object('fitScore', fit_score, 'fitLabel', fit_label, 'fitSource', fit_source, 'qualityBucket', quality_bucket, 'reasonCodes', codes, 'llmUsed', false) as varchar) as payload_json,
         '2001-08-02 00:00:00' as created_at from again where status = 'inbox'"""),
     "requeue_failed": (requeue_failed, f"""with {QUEUED}, c as (select q.id, q.last_run_id from queue q join gated g using (seq) where q.llm_review_state = 'failed' and g.needs_review)

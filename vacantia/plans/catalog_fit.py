@@ -10,7 +10,7 @@ from vacantia.operators import fit_review as fr, gate
 from vacantia.plans import bindings as b
 from vacantia.plans.catalog_scoring import joined
 from vacantia.plans.catalog_text import CACHE_BODY, json_value as json_text
-from vacantia.plans.sql_text import GATED, NORM, QUEUED, TB, quote, ts_text
+from vacantia.plans.sql_text import GATED, NORM, QUEUED, TB, event_id, quote, ts_text
 from vacantia.session import work_dir
 from vacantia import fixed_values as fv
 
@@ -217,7 +217,7 @@ CASES = {
         case when not hit then quality_bucket when ok then 'high' else 'filtered' end as quality_bucket, case when hit then 'completed' else llm_review_state end as llm_review_state,
         case when not hit then llm_pending_batch_id end as llm_pending_batch_id, case when hit then r else last_run_id end as last_run_id,
         case when hit then '2001-08-02 00:00:00' else {ts_text('updated_at')} end as updated_at from j"""),
-    "apply_llm_events": (apply_llm_events, f"""with {RESULTS} select job_id, run_id, 'llm_batch_completed' as event_type, 'Applied batch LLM fit (label=' || fit_label || ', score=' || fit_score || ')' as message,
+    "apply_llm_events": (apply_llm_events, f"""with {RESULTS} select {event_id("'llm_batch_completed'", 'custom_id', 'seq')} as id, job_id, run_id, 'llm_batch_completed' as event_type, 'Review result applied: ' || fit_label || ', ' || fit_score as message,
         cast(json_object('fitLabel', fit_label, 'fitScore', fit_score, 'admitted', fit_label = 'high' or fit_score >= 65) as varchar) as payload_json, '2001-08-02 00:00:00' as created_at from res where good"""),
     "fail_batches": (fail_batches, """select 'b' || n_nationkey as batch_id, case n_nationkey % 3 when 0 then 'failed' when 1 then 'expired' else 'in_progress' end as status,
         case when n_nationkey % 3 < 2 and n_nationkey % 2 = 0 then '[]' end as error_text, case when n_nationkey % 3 < 2 then '2001-08-02 00:00:00' end as failed_at from nation"""),

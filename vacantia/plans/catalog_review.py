@@ -112,7 +112,7 @@ PROVENANCE_SQL = f"""with {QUEUED}, {EVENT_ROWS}, found as (select id, title, la
   select id, 'job' as part, {ts_text('last_seen_at')} as at, title as key from found
   union all select job_id, 'source', {ts_text('ts')}, 'k' || event_id from (select *, 'j' || lpad(cast(user_id as varchar), 12, '0') as job_id from events) where job_id in (select id from found)
   union all select job_id, 'event', {ts_text('created_at')}, cast(id as varchar) from (
-    select *, row_number() over (partition by job_id order by id desc) as n from event_rows where job_id in (select id from found)) where n <= 100"""
+    select *, row_number() over (partition by job_id order by created_at desc, id desc) as n from event_rows where job_id in (select id from found)) where n <= 100"""
 
 CASES = {
     "filter_tier": (_where(lambda: flt.filter_tier("A")), _sql("tier = 'A'")),
@@ -153,6 +153,6 @@ CASES = {
     "job_source_history": (job_source_history, f"""with {QUEUED} select job_id, event_type as source, 'k' || event_id as source_job_key, {ts_text('ts')} as ingested_at
         from (select *, 'j' || lpad(cast(user_id as varchar), 12, '0') as job_id from events) where job_id in (select id from queue where status = 'applied')"""),
     "latest_events_per_job": (latest_events_per_job, f"""with {EVENT_ROWS} select job_id, id, event_type from (
-        select *, row_number() over (partition by job_id order by id desc) as n from event_rows) where n <= 20"""),
+        select *, row_number() over (partition by job_id order by created_at desc, id desc) as n from event_rows) where n <= 20"""),
     "provenance": (provenance, PROVENANCE_SQL),
 }

@@ -168,3 +168,9 @@ QUEUED = GATED + ",\n" + QUEUE
 
 def ts_text(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+
+
+def event_id(kind: str, *parts: object) -> str:
+    """SQL of an event's id at the fixed time of the queries (2001-08-02 UTC)."""
+    told = ", ".join(f"coalesce(cast({p} as varchar), '')" for p in parts)
+    return f"('0x' || substr(sha1(concat_ws('|', '996710400', {kind}, {told})), 1, 15))::bigint"
