@@ -219,6 +219,33 @@ def reconcile_results(results: DataFrame, items: DataFrame) -> DataFrame:
     ).drop("_content")
 
 
+def settle_items(items: DataFrame, matched: DataFrame, as_of: datetime) -> DataFrame:
+    """Items with the state and error of their last result."""
+    last = F.max(F.struct("seq", "state", "error_text")).alias("_last")
+    newest = matched.groupBy("custom_id").agg(last)
+    hit = F.col("_last").isNotNull()
+    return items.join(newest, "custom_id", "left").withColumns(
+        {
+            "state": F.when(hit, F.col("_last.state")).otherwise(F.col("state")),
+            "error_text": F.when(hit, F.col("_last.error_text")).otherwise(F.col("error_text")),
+            "updated_at": F.when(hit, instant(as_of)).otherwise(F.col("updated_at")),
+        }
+    ).select(*items.columns)
+
+
+def complete_batches(batches: DataFrame, matched: DataFrame, as_of: datetime) -> DataFrame:
+    """Batches that got results are completed."""
+    done = matched.groupBy("batch_id").agg(F.lit(True).alias("_done"))
+    hit = F.col("_done").isNotNull()
+    return batches.join(done, "batch_id", "left").withColumns(
+        {
+            "status": F.when(hit, "completed").otherwise(F.col("status")),
+            "completed_at": F.when(hit, instant(as_of)).otherwise(F.col("completed_at")),
+            "updated_at": F.when(hit, instant(as_of)).otherwise(F.col("updated_at")),
+        }
+    ).select(*batches.columns)
+
+
 def apply_llm_results(
     queue: DataFrame, results: DataFrame, threshold: int, as_of: datetime
 ) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-MANIFEST_SCHEMA = "name string, version bigint, path string, bucket int, buckets int"
+MANIFEST_SCHEMA = "name string, version bigint, path string, bucket int, buckets int, stream string, batch bigint"
 BUCKETS = 32
 
 
@@ -30,6 +30,21 @@ def latest_version(spark: SparkSession, root: str, name: str) -> int:
     return (rows.agg(F.max("version")).first()[0] or 0) if rows is not None else 0
 
 
+def latest_batch(spark: SparkSession, root: str, name: str, stream: str) -> int:
+    """Newest micro-batch of the stream that is visible in the table, -1 when there is none. Versions belong to the table and grow with any
+    writer; batch numbers belong to the stream."""
+    rows = _manifest(spark, root, name)
+    found = rows.filter(F.col("stream") == stream).agg(F.max("batch")).first()[0] if rows is not None else None
+    return -1 if found is None else found
+
+
+def bucket_count(spark: SparkSession, root: str, name: str, default: int = BUCKETS) -> int:
+    """Number of buckets the table was written with; 1 for a table without a key."""
+    rows = _manifest(spark, root, name)
+    newest = rows.agg(F.max(F.struct("version", "buckets")).alias("m")).first()["m"] if rows is not None else None
+    return newest["buckets"] if newest else default
+
+
 def touched_buckets(ids: DataFrame, key: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets that hold any of the ids: at most ``buckets`` numbers."""
     return sorted(r[0] for r in ids.select(bucket_of(key, buckets)).distinct().collect())
@@ -37,19 +52,21 @@ def touched_buckets(ids: DataFrame, key: str, buckets: int = BUCKETS) -> list[in
 
 def write_snapshot(
     df: DataFrame, root: str, name: str, version: int, key: str | None = None, buckets: int = BUCKETS,
-    touched: Sequence[int] | None = None, sort_by: str | None = None, files_per_bucket: int = 1,
+    touched: Sequence[int] | None = None, sort_by: str | None = None, files_per_bucket: int = 1, stream: str | None = None,
+    batch: int | None = None,
 ) -> None:
     """Write the version's files, then its manifest rows, which make it visible.
 
     With a ``key`` rows go to hash buckets; ``touched`` names the buckets that ``df`` holds in full, and the
     other buckets keep their older files. A repeated version is written again in full; a job that dies in
-    between leaves files nobody reads. ``sort_by`` clusters rows inside files for scan pruning.
+    between leaves files nobody reads. ``sort_by`` clusters rows inside files for scan pruning. ``stream`` and ``batch`` name
+    the micro-batch that the version holds; a micro-batch that touches nothing still leaves its mark.
     """
     path = f"{root.rstrip('/')}/{name}/v={version}"
     spark = df.sparkSession
     if key is None:
         df.write.mode("overwrite").parquet(path)
-        entries = [(name, version, path, 0, 1)]
+        places = [(0, 1)]
     else:
         placed = df.drop("bucket").withColumn("bucket", bucket_of(key, buckets))
         if touched is not None:
@@ -57,8 +74,11 @@ def write_snapshot(
         split = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(files_per_bucket)))
         clustered = split.sortWithinPartitions("bucket", *([sort_by] if sort_by else []))
         clustered.write.mode("overwrite").partitionBy("bucket").parquet(path)
-        entries = [(name, version, path, n, buckets) for n in (range(buckets) if touched is None else touched)]
-    if entries:
+        places = [(n, buckets) for n in (range(buckets) if touched is None else touched)]
+    if not places and stream is not None:
+        places = [(None, buckets)]
+    if places:
+        entries = [(name, version, path, n, count, stream, batch) for n, count in places]
         spark.createDataFrame(entries, MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/_manifest")
 
 
@@ -67,7 +87,7 @@ def read_snapshot(spark: SparkSession, root: str, name: str, only: Sequence[int]
     rows = _manifest(spark, root, name)
     if rows is None:
         return None
-    newest = rows.groupBy("bucket").agg(F.max(F.struct("version", "path", "buckets")).alias("m"))
+    newest = rows.filter("bucket is not null").groupBy("bucket").agg(F.max(F.struct("version", "path", "buckets")).alias("m"))
     by_path = newest.groupBy("m.path").agg(F.max("m.buckets").alias("buckets"), F.collect_list("bucket").alias("list")).collect()
     parts = []
     for row in sorted(by_path, key=lambda r: r["path"]):
@@ -79,9 +99,25 @@ def read_snapshot(spark: SparkSession, root: str, name: str, only: Sequence[int]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
-def append_rows(df: DataFrame, root: str, name: str, version: int) -> None:
-    """Append-only facts: one folder per version, so repeating a version replaces its own rows only."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/version={version}")
+def append_rows(df: DataFrame, root: str, name: str, version: int, writer: str = "run") -> None:
+    """Append-only facts: one folder per writer and version, so repeating a version replaces its own rows only."""
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/writer={writer}/version={version}")
+
+
+def change_table(
+    spark: SparkSession, root: str, name: str, key: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame], stream: str, batch: int,
+    schema: T.StructType, sort_by: str | None = None,
+) -> None:
+    """Apply ``change`` to the buckets that hold the ids, once for each micro-batch of the stream; ``change`` may add rows of those
+    ids. A table without buckets is written whole and gets them."""
+    if latest_batch(spark, root, name, stream) >= batch:
+        return
+    version = latest_version(spark, root, name)
+    buckets = bucket_count(spark, root, name)
+    touched = touched_buckets(ids, key, buckets) if version and buckets > 1 else None
+    part = read_snapshot(spark, root, name, touched) if version else None
+    part = spark.createDataFrame([], schema) if part is None else part
+    write_snapshot(change(part), root, name, version + 1, key, BUCKETS if buckets == 1 else buckets, touched, sort_by, stream=stream, batch=batch)
 
 
 def read_rows(spark: SparkSession, root: str, name: str) -> DataFrame:

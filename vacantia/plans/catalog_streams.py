@@ -10,6 +10,7 @@ from vacantia.plans import bindings as b
 from vacantia.plans.catalog_entities import COMPONENTS, EVALUATED
 from vacantia.plans.catalog_fit import APPLIED, results_and_items
 from vacantia.plans.sql_text import BASE, GATED, TB, ts_text
+from vacantia.schemas import TABLES, evolve_schema
 from vacantia.session import work_dir
 from vacantia.streaming import jobs
 
@@ -76,11 +77,11 @@ def seen_state(spark, sf_dir):
 def stream_llm_results(spark, sf_dir):
     root = work_dir(spark, "results")
     lines, items = results_and_items(spark, sf_dir)
-    write_snapshot(b.queue(spark, sf_dir), f"{root}/tables", "job_queue", 1)
-    write_snapshot(items, f"{root}/tables", "llm_batch_items", 1)
+    write_snapshot(b.queue(spark, sf_dir), f"{root}/tables", "job_queue", 1, key="id")
+    write_snapshot(evolve_schema(items, TABLES["llm_batch_items"]), f"{root}/tables", "llm_batch_items", 1, key="custom_id")
     lines.select("value").coalesce(1).write.text(f"{root}/landed")
     jobs.stream_llm_results(jobs.result_lines(spark, f"{root}/landed"), f"{root}/tables", f"{root}/cp", 65, b.AS_OF).awaitTermination()
-    queue = read_snapshot(spark, f"{root}/tables", "job_queue_reviewed")
+    queue = read_snapshot(spark, f"{root}/tables", "job_queue")
     return queue.select("id", "status", "fit_source", "llm_review_state")
 
 

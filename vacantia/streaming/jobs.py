@@ -9,10 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.config import GateOptions, KeywordRules, Profile
 from vacantia.operators.filters import freshness_class
-from vacantia.operators.fit_review import apply_llm_results, batch_outcome, reconcile_results
-from vacantia.operators.snapshots import append_rows, latest_version, read_snapshot, touched_buckets, write_snapshot
+from vacantia.operators.fit_review import (
+    apply_llm_results, batch_outcome, complete_batches, reconcile_results, settle_items, upsert_fit_cache,
+)
+from vacantia.operators.snapshots import (
+    BUCKETS, append_rows, bucket_count, change_table, latest_batch, latest_version, read_snapshot, touched_buckets, write_snapshot,
+)
 from vacantia.operators.state import append_events, append_lineage, evaluate_postings, next_queue, outcome_detail, place_batch
-from vacantia.schemas import empty_table
+from vacantia.schemas import TABLES, empty_table
 from vacantia.session import cut_lineage
 
 
@@ -24,40 +28,42 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
 
 
 def result_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value) stream of result files, one JSON answer per line; later files count as later."""
+    """(seq, value) stream of result files, one JSON answer per line; later files count as later. Lines of one file share ``seq``: of two answers
+    for a posting in one file the one with the greater custom id counts, whatever the order in which tasks read them."""
     lines = spark.readStream.format("text").load(path)
     return lines.select(F.unix_micros("_metadata.file_modification_time").alias("seq"), "value")
 
 
 def stream_ingest(
     postings: DataFrame, root: str, checkpoint: str, rules: KeywordRules, profile: Profile, options: GateOptions,
-    as_of: datetime | None = None, interval: str | None = None,
+    as_of: datetime | None = None, interval: str | None = None, name: str = "ingest",
 ) -> StreamingQuery:
     """Every micro-batch is one ingest run into the snapshot tables below ``root``.
 
     A micro-batch matches against the key columns of the whole queue, then reads and rewrites only the hash
     buckets its entities fall into. It writes lineage and events under its own number, then the queue buckets,
-    which become visible last. A replayed micro-batch rewrites the same folders, or is skipped when its version
-    is visible. Without ``interval`` the stream processes what is there and stops.
+    which become visible last, as the table's next version whoever wrote the last one. A replayed micro-batch rewrites the same
+    folders, or is skipped when the table already shows this batch of the stream ``name``. Without ``interval`` the stream processes what is there and stops.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = batch_id + 1
-        seen = latest_version(spark, root, "job_queue")
-        if seen >= version:
+        if latest_batch(spark, root, "job_queue", name) >= batch_id:
             return
+        seen = latest_version(spark, root, "job_queue")
+        version, buckets = seen + 1, bucket_count(spark, root, "job_queue")
         now = as_of or datetime.now().astimezone()
         queue = read_snapshot(spark, root, "job_queue") if seen else empty_table(spark, "job_queue")
         scored = cut_lineage(evaluate_postings(batch, rules, profile, options, now))
         outcome = place_batch(queue, scored, version)
-        touched = touched_buckets(outcome, "job_id")
-        part = read_snapshot(spark, root, "job_queue", touched) if seen else queue
+        touched = touched_buckets(outcome, "job_id", buckets) if seen and buckets > 1 else None
+        part = queue if touched is None else read_snapshot(spark, root, "job_queue", touched)
         detail = outcome_detail(scored, outcome)
-        append_rows(append_lineage(detail, version, now), root, "job_sources", version)
-        append_rows(append_events(detail, version, now), root, "job_events", version)
+        append_rows(append_lineage(detail, version, now), root, "job_sources", batch_id, name)
+        append_rows(append_events(detail, version, now), root, "job_events", batch_id, name)
         following = next_queue(part, scored, outcome, version, now)
-        write_snapshot(following, root, "job_queue", version, key="id", touched=touched, sort_by="status")
+        count = BUCKETS if buckets == 1 else buckets
+        write_snapshot(following, root, "job_queue", version, "id", count, touched, "status", stream=name, batch=batch_id)
 
     writer = postings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -95,22 +101,27 @@ def seen_state(postings: DataFrame, key: str, event_time: str) -> DataFrame:
 
 
 def stream_llm_results(
-    results: DataFrame, root: str, checkpoint: str, threshold: int, as_of: datetime | None = None
+    results: DataFrame, root: str, checkpoint: str, threshold: int, as_of: datetime | None = None, name: str = "results"
 ) -> StreamingQuery:
-    """Apply result files (seq, value) to the queue and items below ``root``; one version per micro-batch."""
+    """Apply result files (seq, value) to the tables below ``root``: the answers go to the cache, items and batches are settled, usage and events are
+    appended, and the postings in ``job_queue`` get their verdict, each table in its touched buckets. The queue comes last. Every table
+    remembers the last micro-batch of the stream it holds, so a replay changes only what is missing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = latest_version(spark, root, "job_queue_reviewed")
-        if base >= batch_id + 1:
-            return
         now = as_of or datetime.now().astimezone()
-        queue = read_snapshot(spark, root, "job_queue_reviewed" if base else "job_queue")
         items = read_snapshot(spark, root, "llm_batch_items")
-        matched = reconcile_results(batch, items)
-        following, events = apply_llm_results(queue, matched, threshold, now)
-        append_rows(events, root, "review_events", batch_id + 1)
-        append_rows(batch_outcome(matched), root, "llm_usage", batch_id + 1)
-        write_snapshot(following, root, "job_queue_reviewed", batch_id + 1)
+        matched = cut_lineage(reconcile_results(batch, items if items is not None else empty_table(spark, "llm_batch_items")))
+        answers = matched.filter(F.col("answer").isNotNull()).select("seq", "cache_key", "answer.*")
+        append_rows(batch_outcome(matched), root, "llm_usage", batch_id, name)
+        append_rows(apply_llm_results(empty_table(spark, "job_queue"), matched, threshold, now)[1], root, "job_events", batch_id, name)
+        changes = (
+            ("llm_fit_cache", "cache_key", answers, lambda df: upsert_fit_cache(df, answers, now)),
+            ("llm_batch_items", "custom_id", matched, lambda df: settle_items(df, matched, now)),
+            ("llm_batches", "batch_id", matched, lambda df: complete_batches(df, matched, now)),
+            ("job_queue", "id", matched.select(F.col("job_id").alias("id")), lambda df: apply_llm_results(df, matched, threshold, now)[0]),
+        )
+        for table, key, ids, change in changes:
+            change_table(spark, root, table, key, ids, change, name, batch_id, TABLES[table])
 
     return results.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
