@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacantia.session import cut_lineage, work_dir
 
@@ -23,8 +23,28 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+#: Bits of the filter of ``likely``: 8 MB whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key may be among ``keys`` (same column name), before a shuffle that would carry all of them.
+
+    A bitmap of fixed size goes to every task, so a join or grouping that follows still has to decide; it gets fewer rows, or
+    in the worst case all of them.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = keys.select(slot.alias("slot_")).groupBy(F.bitmap_bucket_number("slot_").alias("bucket_"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot_")).alias("map_"))
+    marked = rows.withColumn("slot_", slot).withColumns({"bucket_": F.bitmap_bucket_number("slot_"), "bit_": F.bitmap_bit_position("slot_")})
+    met = marked.join(F.broadcast(maps), "bucket_")
+    byte = F.conv(F.hex(F.substring("map_", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit_ % 8 as int))")) != 0
+    return met.where(is_set).select(*rows.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["BLANKS", "WORD", "cut_lineage", "free_name", "partitions", "table", "work_dir"]
+__all__ = ["BLANKS", "WORD", "cut_lineage", "free_name", "likely", "partitions", "table", "work_dir"]

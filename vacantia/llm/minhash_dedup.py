@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vacantia.llm import similar
-from vacantia.llm.common import cut_lineage, free_name
+from vacantia.llm.common import cut_lineage, free_name, likely
 from vacantia.llm.shingles import shingle_sets
 from vacantia.operators.skew import lookup_join
 
@@ -57,8 +57,9 @@ def _texts_of(documents: DataFrame, classes: DataFrame, size: int) -> similar.Fe
             yield similar.sent_sets(partners, nodes, shingle_sets(batch.column(0).to_pylist(), size))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        asked = wanted.join(classes.select("node", "doc_id"), "node").where("doc_id is not null")
-        texts = documents.select(F.col("doc_id").cast("bigint"), "text").join(asked, "doc_id")
+        asked = cut_lineage(wanted.join(classes.select("node", "doc_id"), "node").where("doc_id is not null"))
+        texts = documents.select(F.col("doc_id").cast("bigint"), "text")
+        texts = likely(texts, "doc_id", asked).join(asked, "doc_id")
         return texts.select("text", "node", "partners").mapInArrow(sets, similar.SENT)
 
     return fetch

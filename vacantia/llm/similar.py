@@ -2,11 +2,13 @@
 
 Classes that share a band are candidates:
 
-1. each class of a bucket against the bucket's smallest class, all confirmed on full sets; components of the confirmed links;
-2. in buckets that still hold several components, each class outside the largest against the classes of the other components.
+1. each class of a bucket against the bucket's centre, all compared on full sets; components of the links; the same again among the classes
+   that stayed outside their star's largest component, as long as that links many;
+2. around centres that still hold several components, each class outside the largest against those classes of other components that share
+   enough of its first tokens (a prefix and position filter: it passes every linked pair), again compared on full sets.
 
-A pair of one bucket is skipped only when its classes are already in one component, so the components are those of all links between
-candidates. Joins on a class meet it once on one side; a hot class or bucket on the other side goes through ``lookup_join`` or is split by
+A pair of one bucket is skipped only when its classes are already in one component or cannot be linked, so the components are those of all
+links between candidates. Joins on a class meet it once on one side; a hot class or bucket on the other side goes through ``lookup_join`` or is split by
 Spark's skew join.
 """
 
@@ -17,13 +19,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from vacantia.llm.common import cut_lineage
+from vacantia.llm.common import cut_lineage, likely
 from vacantia.operators.entities import dedup_components
 from vacantia.operators.skew import lookup_join
 
 PERMUTATIONS_PER_BAND = 2
+#: Further stars are tried while at least one pair in so many is a link; what they leave goes to the exact step.
+STILL_WORTH = 10
 _RANDOM = np.random.Generator(np.random.PCG64(71))
 _FACTORS = _RANDOM.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 64, 1024, np.uint64)
@@ -44,8 +48,9 @@ def min_max(values: np.ndarray, permutations: int) -> tuple[np.ndarray, np.ndarr
     return low, high
 
 
-def band_hashes(values: np.ndarray, bands: int) -> list[int]:
-    low, high = min_max(values, bands * PERMUTATIONS_PER_BAND)
+def band_hashes(values: np.ndarray, bands: int, permutations: int = PERMUTATIONS_PER_BAND) -> list[int]:
+    """One hash for each band, of the minima and maxima of its permutations."""
+    low, high = min_max(values, bands * permutations)
     rows = np.stack([low, high], axis=1).reshape(bands, -1)
     return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(rows)]
 
@@ -83,23 +88,42 @@ def sent_sets(batch_nodes: list[list[str]], nodes: list[str], sets: Iterator[np.
 SENT = "a string, b string, data binary"
 
 
-def confirmed(pairs: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are linked; each set travels once for each of its partners ``a``."""
+_COMPARED = "a string, b string, linked boolean, n bigint, outside array<bigint>, inside array<bigint>"
+
+
+def needed(n: int, percent: int) -> int:
+    """How many first tokens, in any common order, a linked set must share one of."""
+    return n + percent * n // -100 + 1
+
+
+def around(own: np.ndarray, centre: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens outside the centre, as many of those inside as fill up the needed first tokens)."""
+    inside = np.isin(own, centre, assume_unique=True)
+    outside = own[~inside]
+    return outside, own[inside][: max(0, needed(len(own), percent) - len(outside))]
+
+
+def compared(pairs: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
+    """Every pair with whether its full sets are linked, the size of b's set and its tokens around a; each set travels once for
+    each of its partners ``a``."""
     wanted = pairs.select(F.col("b").alias("node"), "a").unionByName(pairs.select(F.col("a").alias("node"), "a").distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            out: list[list] = [[] for _ in range(6)]
             for row in batch.to_pylist():
-                if linked(unpacked(row["data"]), unpacked(row["other"]), percent):
-                    a.append(row["a"])
-                    b.append(row["b"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+                centre, own = unpacked(row["other"]), unpacked(row["data"])
+                values = (row["a"], row["b"], linked(centre, own, percent), len(own), *(x.astype(np.int64) for x in around(own, centre, percent)))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            types = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            names = [c.split()[0] for c in _COMPARED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     sent = cut_lineage(fetch(wanted.groupBy("node").agg(F.collect_set("a").alias("partners"))))
     own = sent.where("a = b").dropDuplicates(["a"]).select("a", F.col("data").alias("other"))
     met = sent.where("a <> b").join(own, "a")
-    return cut_lineage(met.mapInArrow(compare, "a string, b string"))
+    return cut_lineage(met.mapInArrow(compare, _COMPARED))
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -109,39 +133,84 @@ def components_of(links: DataFrame) -> DataFrame:
     return dedup_components(ends)
 
 
-def _similar_size(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def members_of(classes: DataFrame) -> DataFrame:
+    """(bucket, node) of the buckets that hold several classes; input (node, bands)."""
+    entries = classes.select(F.explode("bands").alias("bucket"), "node")
+    shared = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    entries = cut_lineage(likely(entries, "bucket", shared))
+    found = lookup_join(entries, shared, "bucket", row_count=entries.count())
+    return cut_lineage(found.where("members is not null").select("bucket", "node"))
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """(a, b): each class of a bucket against the bucket's centre, the class whose buckets hold most classes in all."""
+    n = members.count()
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("members"))
+    weights = lookup_join(members, sizes, "bucket", row_count=n).groupBy("node").agg(F.sum("members").alias("weight"))
+    centres = members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("centre"))
+    pairs = lookup_join(members, centres.select("bucket", F.col("centre.node").alias("a")), "bucket", row_count=n)
+    return cut_lineage(pairs.where("a <> node").select("a", F.col("node").alias("b")).distinct())
+
+
+def _placed(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the stars that hold several components, with the component of b and the star's largest one."""
+    placed = star.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("component", "b"))
+    centre = star.select("a").distinct().join(labels.withColumnRenamed("node", "a"), "a", "left")
+    centre = centre.select("a", F.coalesce("component", "a").alias("label"))
+    by_label = placed.select("a", "label").unionByName(centre).groupBy("a", "label").agg(F.count("*").alias("members"))
+    split = by_label.groupBy("a").agg(F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("top")).where("labels > 1")
+    return placed.drop("component").join(split.select("a", F.col("top.label").alias("top")), "a")
+
+
+def _first_tokens(placed: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label, top, n, rest) of the first tokens of each class: those outside the centre from rare to frequent among the classes of
+    the star, then those inside. ``key`` names star and token; ``rest`` counts the tokens from this one on."""
+    own = [F.col("b").alias("node"), "a", "label", "top", "n"]
+    outside = placed.select(*own, F.explode("outside").alias("token")).withColumn("key", F.xxhash64("a", "token"))
+    outside = cut_lineage(outside)
+    counts = outside.groupBy("key").agg(F.count("*").alias("classes"))
+    order = Window.partitionBy("a", "node").orderBy("classes", "token")
+    ranked = outside.join(counts, "key").withColumn("place", F.row_number().over(order) - 1)
+    ranked = ranked.where((F.col("classes") > 1) & (F.col("place") < F.col("n") - F.ceil(percent * F.col("n") / 100) + 1))
+    inside = placed.select(*own, F.size("outside").alias("before"), F.posexplode("inside").alias("at", "token"))
+    inside = inside.withColumns({"key": F.xxhash64("a", "token"), "place": F.col("before") + F.col("at")})
+    columns = ["key", "node", "label", "top", "n", (F.col("n") - F.col("place")).alias("rest")]
+    return ranked.select(*columns).unionByName(inside.select(*columns))
+
+
+def _open_pairs(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs around one centre that are in different components and may still be linked.
+
+    Two linked sets x and y share one of their first tokens, and from the first shared one on both hold at least the intersection. Tokens that no
+    other class of the star has come first, so a class far from the others meets nobody.
+    """
+    tokens = cut_lineage(_first_tokens(_placed(star, labels), percent))
+    minor = tokens.where("label <> top").select("key", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "rest")))
+    enough = (100 + percent) * F.least("rest", "rest_x") >= percent * (F.col("n") + F.col("n_x"))
+    once = (F.col("label") == F.col("top")) | (F.col("node_x") < F.col("node"))
+    met = minor.join(tokens, "key").where((F.col("label_x") != F.col("label")) & enough & once)
+    return cut_lineage(met.select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct())
 
 
 def link_classes(classes: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
-    """(node, component) of the classes that are linked with another one; input (node, n, bands), n the size of the set."""
-    entries = cut_lineage(classes.select(F.explode("bands").alias("bucket"), "node", "n"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
-    found = lookup_join(entries, shared, "bucket", row_count=entries.count())
-    members = cut_lineage(found.where("first is not null").select("bucket", "node", "n", "first"))
-    sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    firsts = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"), "n").distinct()
-    pairs = cut_lineage(firsts.join(sizes, "a").where(_similar_size("n", "n_a", percent)).select("a", "b"))
-    links = confirmed(pairs, fetch, percent)
+    """(node, component) of the classes that are linked with another one; input (node, bands)."""
+    members = members_of(classes)
+    star = compared(stars(members), fetch, percent)
+    links = star.where("linked").select("a", "b")
     labels = cut_lineage(components_of(links))
-    more = _open_pairs(members, labels, pairs, percent)
+    while True:  # smaller clusters around a centre: stars among the classes that are left, as long as they link
+        left = _placed(star.select("a", "b"), labels).where("label <> top").select(F.col("b").alias("node")).distinct()
+        again = stars(cut_lineage(members.join(left, "node").select("bucket", "node")))
+        tried = again.count()
+        found = compared(again, fetch, percent).where("linked").select("a", "b")
+        gained = found.count()
+        if gained:
+            links = links.unionByName(found)
+            labels = cut_lineage(components_of(links))
+        if gained * STILL_WORTH < tried or not tried:
+            break
+    more = _open_pairs(star, labels, percent)
     if more.limit(1).count():
-        links = links.unionByName(confirmed(more, fetch, percent))
-        labels = cut_lineage(components_of(links))
+        found = compared(more, fetch, percent).where("linked").select("a", "b")
+        labels = cut_lineage(components_of(links.unionByName(found)))
     return labels
-
-
-def _open_pairs(members: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of one bucket in different components that have not been compared yet."""
-    placed = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("label"))
-    by_label = placed.groupBy("bucket", "label").agg(F.count("*").alias("members"))
-    split = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("top")).where("labels > 1")
-    placed = cut_lineage(placed.join(split.select("bucket", F.col("top.label").alias("top")), "bucket"))
-    minor = placed.where("label <> top").select("bucket", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("label_x"), "top")
-    other = placed.select("bucket", "node", "n", "label")
-    met = minor.join(other, "bucket").where(
-        (F.col("label_x") != F.col("label")) & _similar_size("n_x", "n", percent)
-        & ((F.col("label") == F.col("top")) | (F.col("x") < F.col("node")))
-    )
-    pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    return cut_lineage(pairs.join(done, ["a", "b"], "left_anti"))
