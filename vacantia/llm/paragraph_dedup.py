@@ -2,7 +2,7 @@
 
 A paragraph is a line of at least ``MIN_WORDS`` words. Its set holds the distinct shingles of five words; paragraphs of equal sets form a
 class, classes that share a band are compared on full sets (Jaccard 0.8 or more), and components are taken over all links
-(``similar``). Twelve bands of four values: a pair at similarity 0.8 shares one with probability 0.998, an equal pair always.
+(``similar``). Six bands of two values: a pair at similarity 0.8 shares one with probability 0.998.
 
 A passage may also stand inside a longer paragraph that is otherwise new, where no measure of the whole paragraph sees it. So paragraphs of more
 than ``LONG_WORDS`` words are also cut into pieces at sentence ends, each of at least ``PIECE_WORDS`` words; the cuts of two copies of a passage
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vacantia.llm import shingles, similar
-from vacantia.llm.common import cut_lineage, free_name
+from vacantia.llm.common import cut_lineage, free_name, likely
 from vacantia.operators.skew import lookup_join
 
 MIN_WORDS = 20
@@ -33,9 +33,10 @@ LONG_WORDS = 60
 PIECE_WORDS = 12
 SHINGLE = 5
 PERCENT = 80
-BANDS = 12
+BANDS = 6
+PERMUTATIONS_PER_BAND = 1
 NO_ID = (1 << 63) - 1
-_UNIT = "doc_id bigint, start bigint, stop bigint, n_words bigint, n bigint, node string, bands array<bigint>"
+_UNIT = "doc_id bigint, start bigint, stop bigint, n_words bigint, node binary, bands array<bigint>"
 
 
 def places_of(text: str, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, data: bytes) -> list[tuple[int, int, bool]]:
@@ -58,7 +59,7 @@ def places_of(text: str, words: np.ndarray, starts: np.ndarray, stops: np.ndarra
 
 
 def units(documents: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(doc_id, start, stop, n_words, n, node, bands) of every paragraph and piece; start and stop are character offsets; pieces have no bands."""
+    """(doc_id, start, stop, n_words, node, bands) of every paragraph and piece; start and stop are character offsets; pieces have no bands."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,8 +75,8 @@ def units(documents: DataFrame, bands: int = BANDS) -> DataFrame:
 
 
 def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int64())]
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _UNIT.split(", ")])
 
 
@@ -92,7 +93,8 @@ def _units_of(doc_id: int, text: str, bands: int) -> list[tuple]:
         start, stop = int(starts[a]), int(stops[b - 1])
         if chars is not None:
             start, stop = int(chars[start]), int(chars[stop])
-        out.append((doc_id, start, stop, b - a, len(values), similar.class_of(values), similar.band_hashes(values, bands) if whole else None))
+        hashes = similar.band_hashes(values, bands, PERMUTATIONS_PER_BAND) if whole else None
+        out.append((doc_id, start, stop, b - a, bytes.fromhex(similar.class_of(values)), hashes))
     return out
 
 
@@ -106,11 +108,11 @@ def _texts_of(documents: DataFrame, classes: DataFrame) -> similar.Fetch:
                 yield similar.sent_sets([w["partners"] for w in asked], [w["node"] for w in asked], found)
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        asked = wanted.join(classes.select("node", "first"), "node")
+        asked = wanted.join(classes, "node")
         place = F.struct(F.col("first.start").alias("start"), F.col("first.stop").alias("stop"), "node", "partners")
-        by_doc = asked.groupBy(F.col("first.doc_id").alias("owner")).agg(F.collect_list(place).alias("asked"))
+        by_doc = cut_lineage(asked.groupBy(F.col("first.doc_id").alias("owner")).agg(F.collect_list(place).alias("asked")))
         texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
-        return texts.join(by_doc, "owner").select("text", "asked").mapInArrow(sets, similar.SENT)
+        return likely(texts, "owner", by_doc).join(by_doc, "owner").select("text", "asked").mapInArrow(sets, similar.SENT)
 
     return fetch
 
@@ -121,18 +123,22 @@ def repeated_paragraphs(
     """(doc_id, start, stop, n_words, is_piece, first_doc_id, first_start, kept): every paragraph or piece that occurs again, with the
     occurrence of its component that stays."""
     found = cut_lineage(units(documents, bands))
+    repeated = cut_lineage(found.groupBy("node").agg(F.count("*").alias("places")).where("places > 1").select("node"))
+    candidates = found.where("bands is not null").unionByName(likely(found.where("bands is null"), "node", repeated))
     first = F.min(F.struct("doc_id", "start", "stop")).alias("first")
-    last = F.max("doc_id").alias("last_doc")
-    classes = found.groupBy("node").agg(first, last, F.count("*").alias("places"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
-    classes = cut_lineage(classes.where("places > 1 or bands is not null"))
-    labels = similar.link_classes(classes.where("bands is not null").select("node", "n", "bands"), _texts_of(documents, classes), percent)
+    last, hashes = F.max("doc_id").alias("last_doc"), F.first("bands", ignorenulls=True).alias("bands")
+    classes = cut_lineage(candidates.groupBy("node").agg(first, last, F.count("*").alias("places"), hashes).where("places > 1 or bands is not null"))
+    named = classes.where("bands is not null").select(F.lower(F.hex("node")).alias("node"), "first", "bands")
+    labels = similar.link_classes(named.select("node", "bands"), _texts_of(documents, named.select("node", "first")), percent)
+    labels = labels.select(F.unhex("node").alias("node"), F.unhex("component").alias("component"))
     owners = classes.join(labels, "node", "left").where("component is not null or places > 1")
     owners = cut_lineage(owners.select("node", "first", "last_doc", F.coalesce("component", "node").alias("component")))
     stays = owners.groupBy("component").agg(F.min("first").alias("stays"), F.max("last_doc").alias("last_doc"))
     if not within_documents:
         stays = stays.where("last_doc <> stays.doc_id")
-    lookup = owners.join(stays.drop("last_doc"), "component").select("node", "stays")
+    lookup = cut_lineage(owners.join(stays.drop("last_doc"), "component").select("node", "stays"))
     slim = found.select("node", "doc_id", "start", "stop", "n_words", F.col("bands").isNull().alias("is_piece"))
+    slim = cut_lineage(likely(slim, "node", lookup))
     rows = lookup_join(slim, lookup, "node", row_count=slim.count()).where("stays is not null")
     kept = (F.col("doc_id") == F.col("stays.doc_id")) & (F.col("start") == F.col("stays.start"))
 
