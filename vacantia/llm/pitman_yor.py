@@ -38,9 +38,9 @@ from vacantia.llm.line_quality import remainder
 
 RESTAURANTS = 1 << 16
 #: Text bytes whose words one shard holds, text bytes of a batch, and tokens scored by one task.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 20 << 20
 BATCH_BYTES = 6 << 20
-TASK_TOKENS = 24_000_000
+TASK_TOKENS = 10_000_000
 STRENGTH = 1.0
 EXACT = 64
 BURN_IN, SAMPLES = 2, 3
@@ -230,7 +230,7 @@ def seat(shard: tuple[np.ndarray, ...], totals: Totals, seed: list[int], burn_in
     words, sizes, contexts, counts = shard
     counts, random = counts.astype(np.int64), np.random.default_rng(seed)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.uint32), sizes)
     stirling, root_stirling = log_stirling(totals.discount, EXACT), log_stirling(totals.root_discount, EXACT)
     new = STRENGTH + totals.discount * totals.tables[contexts]
     root_new = (STRENGTH + totals.root_discount * totals.root_tables) / (totals.known + 1)
@@ -347,7 +347,7 @@ class ShardModel:
         empty = {c: b"" for c in (*_COUNTS, "tables", "root_customers", "root_tables")}
         row = empty if row is None else row
         self.words, sizes, contexts, counts = _unpack(*(row[c] for c in _COUNTS))
-        owner = np.repeat(np.arange(len(self.words)), sizes)
+        owner = np.repeat(np.arange(len(self.words), dtype=np.uint32), sizes)
         self.keys = owner.astype(np.uint64) << np.uint64(16) | contexts
         seen = counts - totals.discount * _all_tables(counts, row["tables"])
         self.own = seen / (STRENGTH + totals.customers[contexts])
