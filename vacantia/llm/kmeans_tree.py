@@ -29,7 +29,9 @@ from vacantia.llm.common import cut_lineage
 SAMPLE_BYTES = 16 << 20
 SAMPLE_ROWS = 65_536
 BRANCHES = 16
+#: Sampled rows of a leaf at least, and rows a leaf is meant to have: leaves of fewer rows cost more in queries sent to them than they save.
 LEAF_SAMPLE = 48
+LEAF_ROWS = 1500
 #: Rows of a block, and queries compared with a block at once.
 BLOCK_ROWS = 1024
 QUERY_ROWS = 256
@@ -49,7 +51,7 @@ class Tree:
         centres = [points.mean(axis=0) if len(points) else np.zeros(points.shape[1])]
         while open_nodes:
             node, own = open_nodes.pop()
-            parts = _k_means(own, branches, random) if len(own) > leaf_rows else []
+            parts = _k_means(own, min(branches, -(-len(own) // leaf_rows)), random) if len(own) > leaf_rows else []
             if len(parts) < 2:
                 tree.leaf[node] = leaves
                 leaves += 1
@@ -227,13 +229,14 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, wanted: float =
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``is_query`` (over vec_id) holds."""
     rows = usable(embeddings)
     spark = rows.sparkSession
-    known = rows.agg(F.max(_squares("v")).alias("norm2"), F.max(F.size("v")).alias("width")).first()
+    known = rows.agg(F.max(_squares("v")).alias("norm2"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
     if known["norm2"] is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     norm2, width = known["norm2"], known["width"]
     bound = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))
     sample = rows.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(bound).select("v").collect()
-    tree = Tree.fit(lifted(np.array([r["v"] for r in sample], np.float64), norm2))
+    leaf_rows = max(LEAF_SAMPLE, LEAF_ROWS * len(sample) // known["n"])
+    tree = Tree.fit(lifted(np.array([r["v"] for r in sample], np.float64), norm2), leaf_rows=leaf_rows)
     visits = calibrated_visits(tree, norm2, rows, k, wanted, is_query)
     held = spark.sparkContext.broadcast(tree)
 
