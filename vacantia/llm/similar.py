@@ -204,13 +204,12 @@ def link_classes(classes: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
         tried = again.count()
         found = compared(again, fetch, percent).where("linked").select("a", "b")
         gained = found.count()
-        if gained:
-            links = links.unionByName(found)
-            labels = cut_lineage(components_of(links))
+        links = links.unionByName(found)
         if gained * STILL_WORTH < tried or not tried:
-            break
+            break  # the few new links are joined with the last ones below
+        labels = cut_lineage(components_of(links))
     more = _open_pairs(star, labels, percent)
-    if more.limit(1).count():
-        found = compared(more, fetch, percent).where("linked").select("a", "b")
-        labels = cut_lineage(components_of(links.unionByName(found)))
-    return labels
+    opened = more.limit(1).count()
+    if opened:
+        links = links.unionByName(compared(more, fetch, percent).where("linked").select("a", "b"))
+    return cut_lineage(components_of(links)) if opened or gained else labels
