@@ -35,6 +35,8 @@ LEAF_ROWS = 1500
 #: Rows of a block, and queries compared with a block at once.
 BLOCK_ROWS = 1024
 QUERY_ROWS = 256
+#: Queries whose best rows a task holds before it passes them on.
+HELD_QUERIES = 50_000
 CALIBRATION_QUERIES = 200
 RECALL = 0.96
 
@@ -258,12 +260,23 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, wanted: float =
                 yield pa.RecordBatch.from_arrays(columns, ["leaf", "query_ids", "queries"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the best of each query over the blocks of the task
         for batch in batches:
             for row in batch.to_pylist():
                 ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
                 points = np.frombuffer(row["points"]).reshape(len(ids), width)
                 queries = np.frombuffer(row["queries"]).reshape(len(query_ids), width)
-                yield _found_batch([(int(query_ids[i]), a, b) for i, a, b in best(ids, points, queries, query_ids, k)])
+                for i, own, scores in best(ids, points, queries, query_ids, k):
+                    query = int(query_ids[i])
+                    if query in held:
+                        own, scores = (np.concatenate(x) for x in zip(held[query], (own, scores), strict=True))
+                        order = np.lexsort((own, -scores))[:k]
+                        own, scores = own[order], scores[order]
+                    held[query] = own, scores
+                if len(held) >= HELD_QUERIES:
+                    yield _found_batch([(q, *x) for q, x in held.items()])
+                    held = {}
+        yield _found_batch([(q, *x) for q, x in held.items()])
 
     asked = rows.where(is_query).mapInArrow(route, "leaf bigint, query_ids binary, queries binary")
     met = _blocks(rows, held, norm2, k).join(asked, "leaf")
