@@ -105,6 +105,37 @@ def test_hot_bucket_with_two_components(spark):
     assert sorted(map(str, rows(m.near_duplicates(documents(spark, given))))) == sorted(map(str, brute(given)))
 
 
+def given_sets(spark, sets):
+    """A fetch of sets held by the test, each sent ``times`` times."""
+    def fetch(wanted, times=1):
+        asked = [(r["node"], p) for r in wanted.collect() for p in r["partners"]]
+        return spark.createDataFrame([(p, n, similar.packed(sets[n])) for n, p in asked] * times, similar.SENT)
+
+    return fetch
+
+
+def grouped(labels):
+    groups = {}
+    for r in labels.collect():
+        groups.setdefault(r["component"], set()).add(r["node"])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_star_rounds_end_with_the_links_they_find(spark, monkeypatch):
+    """One bucket of two clusters that are not linked: the second is joined in the second round, and a third has nothing to try."""
+    sets = {f"{c}{i}": np.arange(k, k + 100, dtype=np.uint64) << np.uint64(16) for k, c in ((0, "a"), (5000, "b")) for i in range(6)}
+    calls, compare = [], similar.compared
+
+    def counting(*args):
+        calls.append(1)
+        assert len(calls) < 5, "the rounds do not end"
+        return compare(*args)
+
+    monkeypatch.setattr(similar, "compared", counting)
+    classes = spark.createDataFrame([(n, [1]) for n in sets], "node string, bands array<bigint>")
+    assert grouped(similar.link_classes(classes, given_sets(spark, sets), 85)) == [[f"{c}{i}" for i in range(6)] for c in "ab"]
+
+
 def test_one_document_of_each_group_stays(spark):
     base = prose(4, 100)
     near = [*base[:50], "changed", *base[51:]]

@@ -3,7 +3,7 @@
 Classes that share a band are candidates:
 
 1. each class of a bucket against the bucket's centre, all compared on full sets; components of the links; the same again among the classes
-   that stayed outside their star's largest component, as long as that links many;
+   that stayed outside their star's largest component, then without the components of the centres tried, as long as that joins many;
 2. around centres that still hold several components, each class outside the largest against those classes of other components that share
    enough of its first tokens (a prefix and position filter: it passes every linked pair), again compared on full sets.
 
@@ -26,7 +26,7 @@ from vacantia.operators.entities import dedup_components
 from vacantia.operators.skew import lookup_join
 
 PERMUTATIONS_PER_BAND = 2
-#: Further stars are tried while at least one pair in so many is a link; what they leave goes to the exact step.
+#: Further stars are tried while at least one pair in so many is a link between components; what they leave goes to the exact step.
 STILL_WORTH = 10
 _RANDOM = np.random.Generator(np.random.PCG64(71))
 _FACTORS = _RANDOM.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
@@ -142,16 +142,37 @@ def members_of(classes: DataFrame) -> DataFrame:
     return cut_lineage(found.where("members is not null").select("bucket", "node"))
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """(a, b): each class of a bucket against the bucket's centre, the class whose buckets hold most classes in all."""
+def centres_of(members: DataFrame) -> DataFrame:
+    """(bucket, a): the centre of each bucket, the class whose buckets hold most classes in all."""
     n = members.count()
     sizes = members.groupBy("bucket").agg(F.count("*").alias("members"))
     weights = lookup_join(members, sizes, "bucket", row_count=n).groupBy("node").agg(F.sum("members").alias("weight"))
     centres = members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("centre"))
-    pairs = lookup_join(members, centres.select("bucket", F.col("centre.node").alias("a")), "bucket", row_count=n)
+    return cut_lineage(centres.select("bucket", F.col("centre.node").alias("a")))
+
+
+def stars(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """(a, b): each class of a bucket against the bucket's centre."""
+    pairs = lookup_join(members, centres, "bucket", row_count=members.count())
     return cut_lineage(pairs.where("a <> node").select("a", F.col("node").alias("b")).distinct())
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"label_{end}"))
+        pairs = pairs.join(named, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    return pairs.where("label_a <> label_b").select("a", "b")
+
+
+def _beyond(members: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the buckets without the component of the bucket's centre."""
+    placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    own = centres.join(labels.withColumnRenamed("node", "a"), "a", "left").select("bucket", F.coalesce("component", "a").alias("own"))
+    placed = cut_lineage(placed)
+    return cut_lineage(lookup_join(placed, own, "bucket", row_count=placed.count()).where("label <> own").select("bucket", "node"))
+
+
 def _placed(star: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the stars that hold several components, with the component of b and the star's largest one."""
     placed = star.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("component", "b"))
@@ -195,19 +216,22 @@ def _open_pairs(star: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def link_classes(classes: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
     """(node, component) of the classes that are linked with another one; input (node, bands)."""
     members = members_of(classes)
-    star = compared(stars(members), fetch, percent)
+    star = compared(stars(members, centres_of(members)), fetch, percent)
     links = star.where("linked").select("a", "b")
     labels = cut_lineage(components_of(links))
-    while True:  # smaller clusters around a centre: stars among the classes that are left, as long as they link
-        left = _placed(star.select("a", "b"), labels).where("label <> top").select(F.col("b").alias("node")).distinct()
-        again = stars(cut_lineage(members.join(left, "node").select("bucket", "node")))
+    left = _placed(star.select("a", "b"), labels).where("label <> top").select(F.col("b").alias("node")).distinct()
+    rest = cut_lineage(members.join(left, "node").select("bucket", "node"))
+    while True:  # smaller clusters around a centre: stars among the classes that are left, as long as they join components
+        centres = centres_of(rest)
+        again = stars(rest, centres)
         tried = again.count()
-        found = compared(again, fetch, percent).where("linked").select("a", "b")
+        found = compared(cut_lineage(between(again, labels)), fetch, percent).where("linked").select("a", "b")
         gained = found.count()
         links = links.unionByName(found)
         if gained * STILL_WORTH < tried or not tried:
             break  # the few new links are joined with the last ones below
         labels = cut_lineage(components_of(links))
+        rest = _beyond(rest, centres, labels)  # loses every bucket's centre at least, so the rounds end
     more = _open_pairs(star, labels, percent)
     opened = more.limit(1).count()
     if opened:
