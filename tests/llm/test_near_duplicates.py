@@ -146,6 +146,19 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "7", "8", "None"]
 
 
+def test_centre_without_id(spark):
+    """A class held only by rows without doc_id joins two documents that are not linked with each other, and is the centre of their buckets."""
+    base = prose(6, 200)
+    left, right = [*base[:60], *prose(7, 8), *base[68:]], [*base[:130], *prose(8, 8), *base[138:]]
+    alone = prose(9, 50)
+    given = [(1, " ".join(left)), (None, " ".join(base)), (None, " ".join(base)), (2, " ".join(right))]
+    given += [(None, " ".join(alone)), (None, " ".join(alone).upper()), (None, " ".join([*alone[:49], "end"]))]
+    docs = documents(spark, given)
+    assert sorted(map(str, rows(m.near_duplicates(docs)))) == sorted(map(str, brute(given)))
+    assert len({r[2] for r in brute(given)[:4]}) == 1 and {r[2] for r in brute([given[0], given[3]])} == {1, 2}
+    assert sorted(str(r["doc_id"]) for r in m.deduplicated(docs).collect()) == ["1", "None"]
+
+
 def test_no_documents(spark):
     assert rows(m.near_duplicates(documents(spark, []))) == []
     assert m.deduplicated(documents(spark, [])).count() == 0

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,8 +49,20 @@ def signatures(documents: DataFrame, size: int, bands: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id bigint, n_shingles bigint, node string, bands array<bigint>")
 
 
+def node_of(size: int):
+    """Column function: the class of a text."""
+
+    @F.pandas_udf("string")
+    def named(texts: pd.Series) -> pd.Series:
+        return pd.Series([similar.class_of(v) for v in shingle_sets([None if pd.isna(t) else t for t in texts], size)], dtype="object")
+
+    return named
+
+
 def _texts_of(documents: DataFrame, classes: DataFrame, size: int) -> similar.Fetch:
-    """Reads the texts of the classes in question again, one document for each class."""
+    """Reads the texts of the classes in question again, one document for each class; texts of classes without any doc_id are found by the class."""
+    unnamed = classes.where("doc_id is null").limit(1).count()
+    texts = documents.select(F.col("doc_id").cast("bigint"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,18 +70,20 @@ def _texts_of(documents: DataFrame, classes: DataFrame, size: int) -> similar.Fe
             yield similar.sent_sets(partners, nodes, shingle_sets(batch.column(0).to_pylist(), size))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        asked = cut_lineage(wanted.join(classes.select("node", "doc_id"), "node").where("doc_id is not null"))
-        texts = documents.select(F.col("doc_id").cast("bigint"), "text")
-        texts = likely(texts, "doc_id", asked).join(asked, "doc_id")
-        return texts.select("text", "node", "partners").mapInArrow(sets, similar.SENT)
+        every = cut_lineage(wanted.join(classes.select("node", "doc_id"), "node"))
+        asked = every.where("doc_id is not null")
+        found = likely(texts, "doc_id", asked).join(asked, "doc_id").select("text", "node", "partners")
+        if unnamed:
+            asked = every.where("doc_id is null").select("node", "partners")
+            named = likely(texts.where("doc_id is null").select("text", node_of(size)("text").alias("node")), "node", asked)
+            found = found.unionByName(named.groupBy("node").agg(F.min("text").alias("text")).join(asked, "node").select("text", "node", "partners"))
+        return found.mapInArrow(sets, similar.SENT)
 
     return fetch
 
 
-def near_duplicates(
-    documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
+def _components(documents: DataFrame, size: int, percent: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (node, component, component_id) of their classes."""
     signed = cut_lineage(signatures(documents, size, bands))
     classes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
@@ -78,18 +93,33 @@ def near_duplicates(
     owners = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     owners = cut_lineage(owners)
     least = owners.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    lookup = owners.join(least, "component").select("node", "component_id")
+    return signed, owners.join(least, "component").select("node", "component", "component_id")
+
+
+def _labelled(signed: DataFrame, lookup: DataFrame) -> DataFrame:
     slim = signed.select("doc_id", "n_shingles", "node")
-    rows = lookup_join(slim, lookup, "node", row_count=slim.count())
+    rows = lookup_join(slim, lookup.select("node", "component_id"), "node", row_count=slim.count())
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(documents: DataFrame, **options) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
+    return _labelled(*_components(documents, size, percent, bands))
+
+
+def deduplicated(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns. Rows with one doc_id are kept or dropped together,
-    but for repeated rows, of which one stays."""
-    kept = near_duplicates(documents, **options).where("kept").select("doc_id").distinct()
+    but for repeated rows, of which one stays. Rows without doc_id are judged one by one: they go if their component has a doc_id, else one
+    of the component stays; rows without doc_id and words count as repeated when their texts are equal."""
+    signed, lookup = _components(documents, size, percent, bands)
+    lookup = cut_lineage(lookup)
     key = free_name(documents, "kept_id")
-    kept = kept.select(F.col("doc_id").alias(key))
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(F.col(key)), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    kept = _labelled(signed, lookup).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    rows = documents.join(kept, documents["doc_id"].cast("bigint") == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
+    without = documents.where(F.col("doc_id").cast("bigint").isNull()).withColumn(key, node_of(size)("text"))
+    blank = without.where(F.col(key).isNull()).drop(key).dropDuplicates(["doc_id", "text"])
+    own = lookup.where("component_id is null").groupBy("component").agg(F.min("node").alias(key)).select(key)
+    return rows.unionByName(blank).unionByName(without.join(own, key, "left_semi").dropDuplicates([key]).drop(key))
