@@ -136,6 +136,15 @@ def test_star_rounds_end_with_the_links_they_find(spark, monkeypatch):
     assert grouped(similar.link_classes(classes, given_sets(spark, sets), 85)) == [[f"{c}{i}" for i in range(6)] for c in "ab"]
 
 
+def test_exact_step_with_every_row_repeated(spark):
+    """x and y are linked near the threshold and meet no centre that is linked with them, so only their first tokens join them."""
+    sets = {c: np.arange(k, k + 100, dtype=np.uint64) << np.uint64(16) for c, k in (("z", 9000), ("w", 7000), ("x", 0), ("y", 8))}
+    fetch, classes = given_sets(spark, sets), spark.createDataFrame([(n, [1]) for n in sets], "node string, bands array<bigint>")
+    assert similar.linked(sets["x"], sets["y"], 85)
+    for times in (1, 2):
+        assert grouped(similar.link_classes(classes, lambda wanted, k=times: fetch(wanted, k), 85)) == [["x", "y"]]
+
+
 def test_one_document_of_each_group_stays(spark):
     base = prose(4, 100)
     near = [*base[:50], "changed", *base[51:]]

@@ -103,6 +103,12 @@ def around(own: np.ndarray, centre: np.ndarray, percent: int) -> tuple[np.ndarra
     return outside, own[inside][: max(0, needed(len(own), percent) - len(outside))]
 
 
+def _once(sent: DataFrame) -> DataFrame:
+    """One row for each (a, b): a document that stands in several rows sends its set from each of them."""
+    repeated = sent.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1").limit(1).count()
+    return cut_lineage(sent.dropDuplicates(["a", "b"])) if repeated else sent
+
+
 def compared(pairs: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
     """Every pair with whether its full sets are linked, the size of b's set and its tokens around a; each set travels once for
     each of its partners ``a``."""
@@ -120,7 +126,7 @@ def compared(pairs: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
             names = [c.split()[0] for c in _COMPARED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    sent = cut_lineage(fetch(wanted.groupBy("node").agg(F.collect_set("a").alias("partners"))))
+    sent = _once(cut_lineage(fetch(wanted.groupBy("node").agg(F.collect_set("a").alias("partners")))))
     own = sent.where("a = b").dropDuplicates(["a"]).select("a", F.col("data").alias("other"))
     met = sent.where("a <> b").join(own, "a")
     return cut_lineage(met.mapInArrow(compare, _COMPARED))
