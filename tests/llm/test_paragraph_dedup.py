@@ -34,6 +34,27 @@ def test_repeats_are_found_and_the_first_stays(spark):
     assert sorted(r["kept"] for r in within) == [False, False, True]
 
 
+def test_shared_runs_of_fifty_words(spark):
+    """Hard-wrapped lines, short passages in longer lines, text without sentence ends and a changed word: 50 shared words are found."""
+    def plain(seed, n):
+        return [w.strip(".") for w in prose(seed, n)]
+
+    def wrapped(words):
+        return "\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8))
+
+    passages = [plain(100 + i, n) for i, n in enumerate((70, 52, 90, 120))]
+    changed = [*passages[3][:60], "changed", *passages[3][61:]]
+    parts = [
+        (plain(1, 30), passages[0], plain(2, 37)), (plain(3, 41), passages[0], plain(4, 90)), (plain(5, 4), passages[1], plain(6, 4)),
+        (plain(7, 40), passages[1], plain(8, 40)), (plain(9, 200), passages[2], plain(10, 200)), (plain(11, 80), passages[2], plain(12, 300)),
+        (plain(13, 200), passages[3], plain(14, 200)), (plain(15, 80), changed, plain(16, 300)), (plain(17, 90), passages[1][:49], plain(18, 90)),
+    ]
+    given = [(i, "é\n\n" + (wrapped if i < 3 else " ".join)([*a, *b, *c])) for i, (a, b, c) in enumerate(parts, 1)]
+    after = {r["doc_id"]: r["text"].split() for r in p.without_repeats(documents(spark, given)).collect()}
+    left = {2: [], 4: [], 6: [], 8: ["changed"]}
+    assert after == {i: ["é", *a, *left.get(i, b), *c] for i, (a, b, c) in enumerate(parts, 1)}
+
+
 def test_links_equal_all_pairs(spark):
     base = prose(7, 60)
     given = [(i, " ".join(edited(base, i, 0.015))) for i in range(40)]

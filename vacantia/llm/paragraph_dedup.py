@@ -1,6 +1,6 @@
 """Substring dedup by paragraphs: min-max hash banding, exact confirmation, removal by components.
 
-A paragraph is a line of at least ``MIN_WORDS`` words. Its set holds the distinct shingles of five words; paragraphs of equal sets form a
+A paragraph is a line of at least ``MIN_WORDS`` words, or shorter lines that follow each other without a blank line and have as many together. Its set holds the distinct shingles of five words; paragraphs of equal sets form a
 class, classes that share a band are compared on full sets (Jaccard 0.8 or more), and components are taken over all links
 (``similar``). Six bands of two values: a pair at similarity 0.8 shares one with probability 0.998.
 
@@ -8,6 +8,11 @@ A passage may also stand inside a longer paragraph that is otherwise new, where
 than ``LONG_WORDS`` words are also cut into pieces at sentence ends, each of at least ``PIECE_WORDS`` words; the cuts of two copies of a passage
 fall together again after a sentence or two. Pieces take part in the first step only, the classes of equal texts.
 
+In what the paragraphs leave, every run of ``RUN_WORDS`` words that stands in several documents is found, whatever lines and sentences it lies in
+(``repeated_runs``): the smallest hash of the ``PIECE_WORDS``-word shingles of such a window depends on the window alone, so documents that share
+a window share it; only windows whose smallest hash repeats are then compared by a 128-bit hash of all their words, and adjoining ones are joined
+to the whole run. Text that repeats fewer than ``SHINGLE`` words over and over is no run and no paragraph of joined lines.
+
 In each component the occurrence in the smallest (doc_id, place) stays and all others are removed. Components that lie within one
 document are left alone unless ``within_documents`` is set.
 
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vacantia.llm import shingles, similar
 from vacantia.llm.common import cut_lineage, free_name, likely
@@ -31,6 +36,7 @@ from vacantia.operators.skew import lookup_join
 MIN_WORDS = 20
 LONG_WORDS = 60
 PIECE_WORDS = 12
+RUN_WORDS = 50
 SHINGLE = 5
 PERCENT = 80
 BANDS = 6
@@ -42,8 +48,12 @@ _UNIT = "doc_id bigint, start bigint, stop bigint, n_words bigint, node binary,
 def places_of(text: str, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, data: bytes) -> list[tuple[int, int, bool]]:
     """(first word, end word, is a whole paragraph) of each paragraph and piece; starts and stops are byte offsets of the words."""
     lines = np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
-    out = []
+    out, joined = [], 0
     for a, b in zip([0, *lines.tolist()], [*lines.tolist(), len(words)], strict=True):
+        if not 0 < b - a < MIN_WORDS:
+            if a - joined >= MIN_WORDS and not is_periodic(words[joined:a], a - joined).any():
+                out.append((joined, a, True))
+            joined = b
         if b - a >= MIN_WORDS:
             out.append((a, b, True))
             if b - a > LONG_WORDS:
@@ -55,9 +65,30 @@ def places_of(text: str, words: np.ndarray, starts: np.ndarray, stops: np.ndarra
                         cut = end
                 if cut > a and b - cut >= PIECE_WORDS:
                     out.append((cut, b, False))
+    if len(words) - joined >= MIN_WORDS and not is_periodic(words[joined:], len(words) - joined).any():
+        out.append((joined, len(words), True))
     return out
 
 
+def is_periodic(words: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of ``size`` words repeats fewer than SHINGLE words over and over."""
+    out = np.zeros(max(0, len(words) - size + 1), bool)
+    for period in range(1, min(SHINGLE, size)):
+        same = np.concatenate([[0], np.cumsum(words[period:] == words[:-period])])
+        out |= same[size - period :][: len(out)] - same[: len(out)] == size - period
+    return out
+
+
+def least_hashes(words: np.ndarray) -> np.ndarray:
+    """The smallest hash of the shingles of PIECE_WORDS words in each window of RUN_WORDS words."""
+    low, width, size = shingles.rolled(words, PIECE_WORDS), 1, RUN_WORDS - PIECE_WORDS + 1
+    while width < size:
+        step = min(width, size - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return low
+
+
 def units(documents: DataFrame, bands: int = BANDS) -> DataFrame:
     """(doc_id, start, stop, n_words, node, bands) of every paragraph and piece; start and stop are character offsets; pieces have no bands."""
 
@@ -111,17 +142,95 @@ def _texts_of(documents: DataFrame, classes: DataFrame) -> similar.Fetch:
         asked = wanted.join(classes, "node")
         place = F.struct(F.col("first.start").alias("start"), F.col("first.stop").alias("stop"), "node", "partners")
         by_doc = cut_lineage(asked.groupBy(F.col("first.doc_id").alias("owner")).agg(F.collect_list(place).alias("asked")))
-        texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
-        return likely(texts, "owner", by_doc).join(by_doc, "owner").select("text", "asked").mapInArrow(sets, similar.SENT)
+        return likely(_by_owner(documents), "owner", by_doc).join(by_doc, "owner").select("text", "asked").mapInArrow(sets, similar.SENT)
 
     return fetch
 
 
+def _by_owner(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _marks(documents: DataFrame) -> DataFrame:
+    """(owner, mark): the distinct least hashes of each text's windows."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = shingles.words_with_places(text.encode("utf-8", "surrogatepass").lower())[0]
+                if len(words) >= RUN_WORDS:
+                    marks = np.unique(least_hashes(words)[~is_periodic(words, RUN_WORDS)]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), owner)), pa.array(marks)], ["owner", "mark"])
+
+    return _by_owner(documents).mapInArrow(find, "owner bigint, mark bigint")
+
+
+_WINDOW = "node binary, owner bigint, at bigint, start bigint, stop bigint"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of (owner, text, marks, gone) with one of the marks and outside the spans that are gone."""
+    for batch in batches:
+        for owner, text, marks, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = text.encode("utf-8", "surrogatepass").lower()
+            words, starts, stops = shingles.words_with_places(data)
+            if len(words) < RUN_WORDS:
+                continue
+            if len(data) != len(text):
+                chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+                starts, stops = chars[starts], chars[stops]
+            free = np.zeros(len(words) + 1, np.int64)
+            for span in gone or []:
+                free[np.searchsorted(starts, span["start"])] += 1
+                free[np.searchsorted(starts, span["stop"])] -= 1
+            taken = np.concatenate([[0], np.cumsum(np.cumsum(free[:-1]) > 0)])
+            asked = np.isin(least_hashes(words).astype(np.int64), marks) & ~is_periodic(words, RUN_WORDS)
+            at = np.flatnonzero(asked & (taken[RUN_WORDS:] == taken[:-RUN_WORDS]))
+            both = np.stack([shingles.rolled(w, RUN_WORDS)[at] for w in (words, shingles.mixed(words))], axis=1)
+            for a in range(0, len(at), 10_000):
+                own = at[a : a + 10_000]
+                columns = [pa.array([x.tobytes() for x in both[a : a + 10_000]], pa.binary()), pa.array(np.full(len(own), owner))]
+                columns += [pa.array(x.astype(np.int64)) for x in (own, starts[own], stops[own + RUN_WORDS - 1])]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _WINDOW.split(", ")])
+
+
+def repeated_runs(documents: DataFrame, gone: DataFrame, within_documents: bool = False) -> DataFrame:
+    """(owner, start, stop, n_words, first_owner, first_start, kept): the longest runs of words, RUN_WORDS or more, whose windows all repeat and
+    have their first places side by side too. ``gone`` (owner, start, stop) is left out of account."""
+    several = "times > 1" if within_documents else "low <> high"
+    marks = cut_lineage(_marks(documents))
+    known = marks.groupBy("mark").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("times"))
+    # one document has each of its marks once, so repeats inside it show only in its windows
+    known = known.select("mark", F.lit(True).alias("met")) if within_documents else cut_lineage(known.where(several).select("mark", F.lit(True).alias("met")))
+    met = cut_lineage(likely(marks, "mark", known))
+    met = lookup_join(met, known, "mark", row_count=met.count()).where("met")
+    asked = cut_lineage(met.groupBy("owner").agg(F.collect_set("mark").alias("marks")))
+    spans = gone.groupBy("owner").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    asked = cut_lineage(asked.join(spans, "owner", "left"))
+    texts = likely(_by_owner(documents), "owner", asked).join(asked, "owner").select("owner", "text", "marks", "gone")
+    windows = cut_lineage(texts.mapInArrow(_windows, _WINDOW))
+    first = windows.groupBy("node").agg(
+        F.min(F.struct("owner", "at", "start")).alias("first"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("times")
+    )
+    first = cut_lineage(first.where(several).select("node", "first"))
+    rows = cut_lineage(likely(windows, "node", first))
+    rows = lookup_join(rows, first, "node", row_count=rows.count()).where("first is not null")
+    rows = rows.select("owner", "at", "start", "stop", F.col("first.owner").alias("first_owner"), F.col("first.start").alias("first_start"), (F.col("first.at") - F.col("at")).alias("shift"))
+    rows = rows.distinct()
+    side = ["owner", "first_owner", "shift"]
+    place = F.row_number().over(Window.partitionBy(*side).orderBy("at"))
+    runs = rows.withColumn("run", F.col("at") - place).groupBy(*side, "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.count("*") + RUN_WORDS - 1).alias("n_words"), F.min("first_start").alias("first_start")
+    )
+    kept = (F.col("owner") == F.col("first_owner")) & (F.col("shift") == 0)
+    return cut_lineage(runs.select("owner", "start", "stop", "n_words", "first_owner", "first_start", kept.alias("kept")))
+
+
 def repeated_paragraphs(
     documents: DataFrame, percent: int = PERCENT, bands: int = BANDS, within_documents: bool = False
 ) -> DataFrame:
-    """(doc_id, start, stop, n_words, is_piece, first_doc_id, first_start, kept): every paragraph or piece that occurs again, with the
-    occurrence of its component that stays."""
+    """(doc_id, start, stop, n_words, is_piece, first_doc_id, first_start, kept): every paragraph, piece or run that occurs again, with the
+    occurrence of its component that stays. Runs count as pieces; a piece inside a run of its document is left to the run."""
     found = cut_lineage(units(documents, bands))
     repeated = cut_lineage(found.groupBy("node").agg(F.count("*").alias("places")).where("places > 1").select("node"))
     candidates = found.where("bands is not null").unionByName(likely(found.where("bands is null"), "node", repeated))
@@ -145,10 +254,19 @@ def repeated_paragraphs(
     def known(c: str):
         return F.when(F.col(c) != NO_ID, F.col(c))
 
-    return rows.select(
+    repeats = cut_lineage(rows.withColumn("kept", kept))
+    gone = repeats.where("not kept and not is_piece").select(F.col("doc_id").alias("owner"), "start", "stop")
+    runs = repeated_runs(documents, gone, within_documents)
+    inside = runs.select(F.col("owner").alias("doc_id"), F.col("start").alias("from_"), F.col("stop").alias("to_"))
+    covered = repeats.where("is_piece").join(inside, "doc_id").where("from_ <= start and stop <= to_").select("doc_id", "start", "stop", "is_piece").distinct()
+    repeats = repeats.join(covered, ["doc_id", "start", "stop", "is_piece"], "left_anti")
+    found_runs = runs.select(
+        known("owner").alias("doc_id"), "start", "stop", "n_words", F.lit(True).alias("is_piece"), known("first_owner").alias("first_doc_id"), "first_start", "kept"
+    )
+    return repeats.select(
         known("doc_id").alias("doc_id"), "start", "stop", "n_words", "is_piece", known("stays.doc_id").alias("first_doc_id"),
-        F.col("stays.start").alias("first_start"), kept.alias("kept"),
-    )
+        F.col("stays.start").alias("first_start"), "kept",
+    ).unionByName(found_runs)
 
 
 def without_repeats(documents: DataFrame, **options) -> DataFrame:
