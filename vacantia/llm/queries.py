@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import chat_format, decontaminate, kmeans_tree, line_dedup, line_quality, minhash_dedup, paragraph_dedup, pitman_yor, source_mix, sql_text, token_files
+from vacantia.llm import (
+    chat_format, decontaminate, filter_audit, kmeans_tree, line_dedup, line_quality, minhash_dedup, paragraph_dedup, pitman_yor, pivot_search, source_mix,
+    sql_text, token_alignment, token_files,
+)
 from vacantia.llm.common import table
 
 Case = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -67,6 +70,20 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = token_alignment.stored(token_alignment.digest(token_alignment.align(table(spark, sf_dir, "documents"), *files)))
+    return token_alignment.with_link_counts(aligned, token_alignment.vocabulary(*files)[0])
+
+
+def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 CASES: dict[str, Case] = {
     "op1_chat_format": (op1_chat_format, sql_text.CHAT),
     "op2_minhash_dedup": (op2_minhash_dedup, sql_text.NEAR),
@@ -78,4 +95,7 @@ CASES: dict[str, Case] = {
     "op8_kmeans_tree": (op8_kmeans_tree, None),
     "op9_line_dedup": (op9_line_dedup, sql_text.LINES),
     "op10_source_mix": (op10_source_mix, sql_text.MIX),
+    "op11_token_alignment": (op11_token_alignment, None),
+    "op12_pivot_search": (op12_pivot_search, sql_text.PIVOT),
+    "op13_filter_audit": (op13_filter_audit, sql_text.AUDIT),
 }

@@ -75,3 +75,33 @@ links as (select a.doc_id as a, b.doc_id as b from shingles a join shingles b us
 reached as (select doc_id as a, doc_id as b from documents union select reached.a, links.b from reached join links on links.a = reached.b)
 select docs.doc_id, coalesce(n, 0) as n_shingles, min(b) as component_id, docs.doc_id = min(b) as kept
 from docs left join sizes using (doc_id) join reached on reached.a = docs.doc_id group by docs.doc_id, n"""
+
+PIVOT = r"""with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from e q join e c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v))
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from pairs qualify rank <= 5"""
+
+AUDIT = r"""with docs as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+worded as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+  min(doc_id) over (partition by text) as first_id from docs),
+failed as (select part, doc_id, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first_id, false)] as fails from worded),
+marks as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+told as (select part, fails, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n
+  from failed left join marks using (doc_id) group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, step, ascii(filter_order[step]) - 64 as own, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) as earlier
+  from orders, range(1, 6) as t(step)),
+seen as (select part, filter_order, step, own, n, good, toxic, fails[own] as hit,
+  len(list_filter(earlier, lambda i: fails[i])) > 0 as gone, len(list_filter(fails, lambda x: x)) = 1 as alone from told, steps),
+summed as (select part, filter_order, cast(step as integer) as step, own,
+  cast(sum(case when hit and not gone then n else 0 end) as bigint) as removed, cast(sum(case when hit and gone then n else 0 end) as bigint) as redundant,
+  cast(sum(case when not hit and not gone then n else 0 end) as bigint) as kept, cast(sum(case when hit and alone then n else 0 end) as bigint) as unique_fails,
+  cast(sum(case when hit and not gone and good then n else 0 end) as bigint) as good_lost,
+  cast(sum(case when hit and not gone and toxic then n else 0 end) as bigint) as toxic_lost from seen group by part, filter_order, step, own)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) as shapley from summed"""
