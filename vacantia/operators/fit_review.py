@@ -94,6 +94,12 @@ def review_answers(
     return _answer_rows(hits.select("seq", "answer"), asked, waiting), new_cache
 
 
+def unknown_answers(gated: DataFrame, cache: DataFrame, profile: Profile) -> int:
+    """Number of distinct borderline postings that the cache does not know."""
+    keys = fit_cache_key(gated.filter("needs_review"), profile).select("cache_key").distinct()
+    return keys.join(cache.select("cache_key"), "cache_key", "left_anti").count()
+
+
 def _answer_rows(hits: DataFrame, asked: DataFrame | None, waiting: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string").alias("skip_reason")
     out = hits.select("seq", "answer", F.lit(True).alias("answer_cached"), none)

@@ -1,48 +1,42 @@
-"""Durable tables: versioned Parquet folders in hash buckets, and manifest rows that make a version visible."""
+"""Durable tables: Parquet folders in hash buckets, made visible by the commit log of their root folder.
+
+Every attempt writes to a folder of its own, so writers never touch each other's files and a job that dies leaves files nobody reads. A commit
+makes the new buckets of one or several tables, and appended rows, visible at once. Of two writers that read the same version, the second
+one's buckets go on top of the first one's if they are others; if they are the same, it gets WriteConflict and computes its change again.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-MANIFEST_SCHEMA = "name string, version bigint, path string, bucket int, buckets int, stream string, batch bigint"
-BUCKETS = 32
-
+from vacantia.operators.commits import Change, CommitLog, State, TableState, WriteConflict
 
-def _manifest(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    try:
-        rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{root.rstrip('/')}/_manifest")
-    except AnalysisException:
-        return None
-    return rows.filter(F.col("name") == name)
+BUCKETS = 32
+ATTEMPTS = 20
 
 
 def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def table_state(spark: SparkSession, root: str) -> State:
+    return CommitLog(spark, root).state()
+
+
 def latest_version(spark: SparkSession, root: str, name: str) -> int:
     """Newest visible version, 0 when there is none."""
-    rows = _manifest(spark, root, name)
-    return (rows.agg(F.max("version")).first()[0] or 0) if rows is not None else 0
+    return table_state(spark, root).table(name).version
 
 
-def latest_batch(spark: SparkSession, root: str, name: str, stream: str) -> int:
-    """Newest micro-batch of the stream that is visible in the table, -1 when there is none. Versions belong to the table and grow with any
+def latest_batch(spark: SparkSession, root: str, stream: str) -> int:
+    """Newest micro-batch of the stream that is visible, -1 when there is none. Versions belong to a table and grow with any
     writer; batch numbers belong to the stream."""
-    rows = _manifest(spark, root, name)
-    found = rows.filter(F.col("stream") == stream).agg(F.max("batch")).first()[0] if rows is not None else None
-    return -1 if found is None else found
-
-
-def bucket_count(spark: SparkSession, root: str, name: str, default: int = BUCKETS) -> int:
-    """Number of buckets the table was written with; 1 for a table without a key."""
-    rows = _manifest(spark, root, name)
-    newest = rows.agg(F.max(F.struct("version", "buckets")).alias("m")).first()["m"] if rows is not None else None
-    return newest["buckets"] if newest else default
+    return table_state(spark, root).marks.get(stream, -1)
 
 
 def touched_buckets(ids: DataFrame, key: str, buckets: int = BUCKETS) -> list[int]:
@@ -50,75 +44,120 @@ def touched_buckets(ids: DataFrame, key: str, buckets: int = BUCKETS) -> list[in
     return sorted(r[0] for r in ids.select(bucket_of(key, buckets)).distinct().collect())
 
 
+def staged(
+    df: DataFrame, root: str, name: str, version: int, key: str | None = None, buckets: int = BUCKETS, touched: Sequence[int] | None = None,
+    sort_by: str | None = None, files_per_bucket: int = 1, read: Sequence[int] = (), same_keys: bool = False, split_by: str | None = None,
+) -> Change:
+    """Write the files of a change that is to become ``version`` and was computed from the one before; a commit makes them visible.
+
+    With a ``key`` rows go to hash buckets; ``touched`` names the buckets that ``df`` holds in full, and the other buckets keep their older
+    files. ``sort_by`` clusters rows inside files for scan pruning. A bucket has ``files_per_bucket`` files, dealt by ``split_by``, by default the key.
+    """
+    path = f"{root.rstrip('/')}/{name}/v={version}-{uuid.uuid4().hex}"
+    schema = json.loads(T.StructType([f for f in df.schema.fields if f.name != "bucket" or key is None]).json())
+    if key is None:
+        df.write.parquet(path)
+        return Change(name, version, {0: path}, None, 1, schema, True)
+    placed = df.drop("bucket").withColumn("bucket", bucket_of(key, buckets))
+    if touched is not None:
+        placed = placed.filter(F.col("bucket").isin(*touched)) if touched else placed.limit(0)
+    split = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.lit(1), F.col(split_by or key)), F.lit(files_per_bucket)))
+    clustered = split.sortWithinPartitions("bucket", *([sort_by] if sort_by else []))
+    clustered.write.partitionBy("bucket").parquet(path)
+    held = range(buckets) if touched is None else touched
+    return Change(name, version, dict.fromkeys(held, path), key, buckets, schema, touched is None, read, same_keys)
+
+
 def write_snapshot(
     df: DataFrame, root: str, name: str, version: int, key: str | None = None, buckets: int = BUCKETS,
     touched: Sequence[int] | None = None, sort_by: str | None = None, files_per_bucket: int = 1, stream: str | None = None,
-    batch: int | None = None,
-) -> None:
-    """Write the version's files, then its manifest rows, which make it visible.
-
-    With a ``key`` rows go to hash buckets; ``touched`` names the buckets that ``df`` holds in full, and the
-    other buckets keep their older files. A repeated version is written again in full; a job that dies in
-    between leaves files nobody reads. ``sort_by`` clusters rows inside files for scan pruning. ``stream`` and ``batch`` name
-    the micro-batch that the version holds; a micro-batch that touches nothing still leaves its mark.
-    """
-    path = f"{root.rstrip('/')}/{name}/v={version}"
-    spark = df.sparkSession
-    if key is None:
-        df.write.mode("overwrite").parquet(path)
-        places = [(0, 1)]
-    else:
-        placed = df.drop("bucket").withColumn("bucket", bucket_of(key, buckets))
-        if touched is not None:
-            placed = placed.filter(F.col("bucket").isin(*touched)) if touched else placed.limit(0)
-        split = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(files_per_bucket)))
-        clustered = split.sortWithinPartitions("bucket", *([sort_by] if sort_by else []))
-        clustered.write.mode("overwrite").partitionBy("bucket").parquet(path)
-        places = [(n, buckets) for n in (range(buckets) if touched is None else touched)]
-    if not places and stream is not None:
-        places = [(None, buckets)]
-    if places:
-        entries = [(name, version, path, n, count, stream, batch) for n, count in places]
-        spark.createDataFrame(entries, MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/_manifest")
+    batch: int | None = None, same_keys: bool = False,
+) -> int:
+    """Write a version computed from the one before and make it visible; gives the number it got, which is higher when others came
+    first and changed other buckets. ``stream`` and ``batch`` name the micro-batch that the version holds. Raises WriteConflict."""
+    log = CommitLog(df.sparkSession, root)
+    base = log.state()
+    change = staged(df, root, name, version, key, buckets, touched, sort_by, files_per_bucket, same_keys=same_keys)
+    return log.commit(base, [change], stream=stream, batch=batch).table(name).version
+
+
+def read_parts(spark: SparkSession, table: TableState, only: Sequence[int] | None = None) -> DataFrame:
+    """Rows of the buckets asked for, or of all; the scan skips the other bucket folders. An empty frame when there are none."""
+    schema = T.StructType.fromJson(table.schema)
+    by_path: dict[str, list[int]] = {}
+    for bucket, (_, path) in table.parts.items():
+        if only is None or table.key is None or bucket in only:
+            by_path.setdefault(path, []).append(bucket)
+    if not by_path:
+        return spark.createDataFrame([], schema)
+    if table.key is None:
+        return spark.read.schema(schema).parquet(*by_path)
+    placed = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    parts = [spark.read.schema(placed).parquet(path).filter(F.col("bucket").isin(*held)).drop("bucket") for path, held in sorted(by_path.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str, only: Sequence[int] | None = None) -> DataFrame | None:
-    """Newest version of every bucket, or of the buckets asked for; the scan skips the other bucket folders."""
-    rows = _manifest(spark, root, name)
-    if rows is None:
-        return None
-    newest = rows.filter("bucket is not null").groupBy("bucket").agg(F.max(F.struct("version", "path", "buckets")).alias("m"))
-    by_path = newest.groupBy("m.path").agg(F.max("m.buckets").alias("buckets"), F.collect_list("bucket").alias("list")).collect()
-    parts = []
-    for row in sorted(by_path, key=lambda r: r["path"]):
-        wanted = [n for n in row["list"] if only is None or n in only]
-        df = spark.read.parquet(row["path"])
-        if "bucket" in df.columns:
-            df = df.filter(F.col("bucket").isin(*wanted)).drop("bucket")
-        parts.append(df)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+    """Newest version of every bucket, or of the buckets asked for; None when there is no such table."""
+    table = table_state(spark, root).table(name)
+    return read_parts(spark, table, only) if table.version else None
+
+
+def staged_rows(df: DataFrame, root: str, name: str, writer: str, version: int) -> str:
+    """Write rows that a commit may append; gives their folder. Writer and version become columns."""
+    path = f"{root.rstrip('/')}/{name}/writer={writer}/version={version}/attempt={uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def append_rows(df: DataFrame, root: str, name: str, version: int, writer: str = "run") -> None:
-    """Append-only facts: one folder per writer and version, so repeating a version replaces its own rows only."""
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/writer={writer}/version={version}")
+    """Append-only facts. Versions of a writer grow; a version that is visible already is not appended again."""
+    log = CommitLog(df.sparkSession, root)
+    base, stream = log.state(), f"{name}/{writer}"
+    if base.marks.get(stream, -1) < version:
+        log.commit(base, [], {name: [staged_rows(df, root, name, writer, version)]}, stream, version)
+
+
+def read_rows(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """All visible appended rows with their ``writer`` and ``version``; None when there are none."""
+    paths = CommitLog(spark, root).appended(name)
+    return spark.read.option("basePath", f"{root.rstrip('/')}/{name}").parquet(*paths).drop("attempt") if paths else None
+
+
+def retried(work: Callable[[State], State | None], spark: SparkSession, root: str) -> State | None:
+    """Run ``work``, which computes from a state and commits, again from the newest state while other writers get in its way."""
+    for attempt in range(ATTEMPTS):
+        try:
+            return work(table_state(spark, root))
+        except WriteConflict:
+            if attempt == ATTEMPTS - 1:
+                raise
+    return None
+
+
+def staged_change(
+    spark: SparkSession, root: str, table: TableState, name: str, key: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame],
+    schema: T.StructType, sort_by: str | None = None, same_keys: bool = False,
+) -> Change:
+    """Write ``change`` of the buckets that hold the ids; it may add rows of those ids. A table without buckets is written whole and gets
+    them."""
+    fresh = not table.version or table.key is None
+    buckets = BUCKETS if fresh else table.buckets
+    touched = None if fresh else touched_buckets(ids, key, buckets)
+    part = read_parts(spark, table, touched) if table.version else spark.createDataFrame([], schema)
+    return staged(change(part), root, name, table.version + 1, key, buckets, touched, sort_by, same_keys=same_keys and not fresh)
 
 
 def change_table(
-    spark: SparkSession, root: str, name: str, key: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame], stream: str, batch: int,
-    schema: T.StructType, sort_by: str | None = None,
-) -> None:
-    """Apply ``change`` to the buckets that hold the ids, once for each micro-batch of the stream; ``change`` may add rows of those
-    ids. A table without buckets is written whole and gets them."""
-    if latest_batch(spark, root, name, stream) >= batch:
-        return
-    version = latest_version(spark, root, name)
-    buckets = bucket_count(spark, root, name)
-    touched = touched_buckets(ids, key, buckets) if version and buckets > 1 else None
-    part = read_snapshot(spark, root, name, touched) if version else None
-    part = spark.createDataFrame([], schema) if part is None else part
-    write_snapshot(change(part), root, name, version + 1, key, BUCKETS if buckets == 1 else buckets, touched, sort_by, stream=stream, batch=batch)
-
-
-def read_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    spark: SparkSession, root: str, name: str, key: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame], schema: T.StructType,
+    stream: str | None = None, batch: int | None = None, sort_by: str | None = None, same_keys: bool = False,
+) -> State | None:
+    """Apply ``change`` to the buckets that hold the ids, on top of whatever other writers do meanwhile; with a stream once for each of its
+    micro-batches."""
+    def work(state: State) -> State | None:
+        if stream is not None and state.marks.get(stream, -1) >= batch:
+            return None
+        done = staged_change(spark, root, state.table(name), name, key, ids, change, schema, sort_by, same_keys)
+        return CommitLog(spark, root).commit(state, [done], stream=stream, batch=batch)
+
+    return retried(work, spark, root)

@@ -56,16 +56,17 @@ def sticky_status(old: Column, new: Column) -> Column:
     return F.when(old.isin(*fv.STICKY_STATUSES), old).otherwise(new)
 
 
-def evaluate_postings(
-    batch: DataFrame, rules: KeywordRules, profile: Profile, options: GateOptions, as_of: datetime,
-    answers: DataFrame | None = None,
-) -> DataFrame:
-    """Normalize, score and gate a batch (``seq`` plus posting fields); one narrow stage unless there are
-    review ``answers`` (seq, answer, answer_cached, skip_reason), which join on the unique ``seq``."""
+def gate_postings(batch: DataFrame, rules: KeywordRules, profile: Profile, options: GateOptions, as_of: datetime) -> DataFrame:
+    """Normalize, score and gate a batch (``seq`` plus posting fields) in one narrow stage."""
     kept, _ = reject_incomplete(normalize_posting(batch))
     keyed = payload_hash(source_job_key(fingerprint(posting_keys(kept))))
     scored = keyword_score(keyed.withColumn("years_req", years_requirement("jd_text")), rules, as_of)
-    gated = fit_gate(scored, profile, options)
+    return fit_gate(scored, profile, options)
+
+
+def settle_postings(gated: DataFrame, options: GateOptions, answers: DataFrame | None = None) -> DataFrame:
+    """Final fit and admission of a gated batch; review ``answers`` (seq, answer, answer_cached, skip_reason) join on the unique
+    ``seq``."""
     if answers is None:
         settled = without_answers(gated, "disabled_or_missing_key")
     else:
@@ -73,6 +74,14 @@ def evaluate_postings(
     return admission_status(final_fit(settled, options))
 
 
+def evaluate_postings(
+    batch: DataFrame, rules: KeywordRules, profile: Profile, options: GateOptions, as_of: datetime,
+    answers: DataFrame | None = None,
+) -> DataFrame:
+    """Normalize, score, gate and settle a batch."""
+    return settle_postings(gate_postings(batch, rules, profile, options, as_of), options, answers)
+
+
 def _queue_row(scored: DataFrame, run_id: int, as_of: datetime) -> DataFrame:
     """Queue columns of evaluated rows that already carry id, status, created_at and first_seen_at."""
     now = instant(as_of)

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.config import GateOptions, KeywordRules, Profile
+from vacantia.functions.dates import instant
+from vacantia.operators.commits import CommitLog, State
 from vacantia.operators.filters import freshness_class
 from vacantia.operators.fit_review import (
     apply_llm_results, batch_outcome, complete_batches, reconcile_results, settle_items, upsert_fit_cache,
 )
-from vacantia.operators.snapshots import (
-    BUCKETS, append_rows, bucket_count, change_table, latest_batch, latest_version, read_snapshot, touched_buckets, write_snapshot,
-)
-from vacantia.operators.state import append_events, append_lineage, evaluate_postings, next_queue, outcome_detail, place_batch
-from vacantia.schemas import TABLES, empty_table
+from vacantia.operators.snapshots import read_parts, retried, staged_change, staged_rows
+from vacantia.plans.table_run import RunSettings, run_on_tables
+from vacantia.schemas import TABLES, empty_table, evolve_schema
 from vacantia.session import cut_lineage
 
 
@@ -36,34 +36,15 @@ def result_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_ingest(
     postings: DataFrame, root: str, checkpoint: str, rules: KeywordRules, profile: Profile, options: GateOptions,
-    as_of: datetime | None = None, interval: str | None = None, name: str = "ingest",
+    as_of: datetime | None = None, interval: str | None = None, name: str = "ingest", **settings,
 ) -> StreamingQuery:
-    """Every micro-batch is one ingest run into the snapshot tables below ``root``.
-
-    A micro-batch matches against the key columns of the whole queue, then reads and rewrites only the hash
-    buckets its entities fall into. It writes lineage and events under its own number, then the queue buckets,
-    which become visible last, as the table's next version whoever wrote the last one. A replayed micro-batch rewrites the same
-    folders, or is skipped when the table already shows this batch of the stream ``name``. Without ``interval`` the stream processes what is there and stops.
-    """
+    """Every micro-batch is one ingest run (``run_on_tables``) into the tables below ``root``, visible by one commit with its run row; more
+    ``settings`` are those of ``RunSettings``. The clock is read for each micro-batch. A replayed micro-batch is skipped when it is visible and run again when it
+    is not. Without ``interval`` the stream processes what is there and stops."""
+    told = RunSettings(rules, profile, options, **settings)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if latest_batch(spark, root, "job_queue", name) >= batch_id:
-            return
-        seen = latest_version(spark, root, "job_queue")
-        version, buckets = seen + 1, bucket_count(spark, root, "job_queue")
-        now = as_of or datetime.now().astimezone()
-        queue = read_snapshot(spark, root, "job_queue") if seen else empty_table(spark, "job_queue")
-        scored = cut_lineage(evaluate_postings(batch, rules, profile, options, now))
-        outcome = place_batch(queue, scored, version)
-        touched = touched_buckets(outcome, "job_id", buckets) if seen and buckets > 1 else None
-        part = queue if touched is None else read_snapshot(spark, root, "job_queue", touched)
-        detail = outcome_detail(scored, outcome)
-        append_rows(append_lineage(detail, version, now), root, "job_sources", batch_id, name)
-        append_rows(append_events(detail, version, now), root, "job_events", batch_id, name)
-        following = next_queue(part, scored, outcome, version, now)
-        count = BUCKETS if buckets == 1 else buckets
-        write_snapshot(following, root, "job_queue", version, "id", count, touched, "status", stream=name, batch=batch_id)
+        run_on_tables(batch.sparkSession, root, batch, told, as_of or datetime.now().astimezone(), name, batch_id)
 
     writer = postings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -104,24 +85,36 @@ def stream_llm_results(
     results: DataFrame, root: str, checkpoint: str, threshold: int, as_of: datetime | None = None, name: str = "results"
 ) -> StreamingQuery:
     """Apply result files (seq, value) to the tables below ``root``: the answers go to the cache, items and batches are settled, usage and events are
-    appended, and the postings in ``job_queue`` get their verdict, each table in its touched buckets. The queue comes last. Every table
-    remembers the last micro-batch of the stream it holds, so a replay changes only what is missing."""
+    appended, and the postings in ``job_queue`` get their verdict, each table in its touched buckets and all by one commit. A replayed
+    micro-batch is skipped when it is visible; when another writer changed the same buckets, it is applied to their new rows."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = as_of or datetime.now().astimezone()
-        items = read_snapshot(spark, root, "llm_batch_items")
-        matched = cut_lineage(reconcile_results(batch, items if items is not None else empty_table(spark, "llm_batch_items")))
-        answers = matched.filter(F.col("answer").isNotNull()).select("seq", "cache_key", "answer.*")
-        append_rows(batch_outcome(matched), root, "llm_usage", batch_id, name)
-        append_rows(apply_llm_results(empty_table(spark, "job_queue"), matched, threshold, now)[1], root, "job_events", batch_id, name)
-        changes = (
-            ("llm_fit_cache", "cache_key", answers, lambda df: upsert_fit_cache(df, answers, now)),
-            ("llm_batch_items", "custom_id", matched, lambda df: settle_items(df, matched, now)),
-            ("llm_batches", "batch_id", matched, lambda df: complete_batches(df, matched, now)),
-            ("job_queue", "id", matched.select(F.col("job_id").alias("id")), lambda df: apply_llm_results(df, matched, threshold, now)[0]),
-        )
-        for table, key, ids, change in changes:
-            change_table(spark, root, table, key, ids, change, name, batch_id, TABLES[table])
+        lines = cut_lineage(batch)
+
+        def work(state: State) -> State | None:
+            if state.marks.get(name, -1) >= batch_id:
+                return None
+            items = read_parts(spark, state.table("llm_batch_items")) if state.table("llm_batch_items").version else empty_table(spark, "llm_batch_items")
+            matched = cut_lineage(reconcile_results(lines, items))
+            answers = matched.filter(F.col("answer").isNotNull()).select("seq", "cache_key", "answer.*")
+            changes = (
+                ("llm_fit_cache", "cache_key", answers, lambda df: upsert_fit_cache(df, answers, now)),
+                ("llm_batch_items", "custom_id", matched, lambda df: settle_items(df, matched, now)),
+                ("llm_batches", "batch_id", matched, lambda df: complete_batches(df, matched, now)),
+                ("job_queue", "id", matched.select(F.col("job_id").alias("id")), lambda df: apply_llm_results(df, matched, threshold, now)[0]),
+            )
+            staged = [
+                staged_change(spark, root, state.table(t), t, key, ids, change, TABLES[t], same_keys=t == "job_queue") for t, key, ids, change in changes
+            ]
+            rows = {
+                "llm_usage": evolve_schema(batch_outcome(matched).withColumn("created_at", instant(now)), TABLES["llm_usage"]),
+                "job_events": apply_llm_results(empty_table(spark, "job_queue"), matched, threshold, now)[1],
+            }
+            appended = {t: [staged_rows(df, root, t, name, batch_id)] for t, df in rows.items()}
+            return CommitLog(spark, root).commit(state, staged, appended, name, batch_id)
+
+        retried(work, spark, root)
 
     return results.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
