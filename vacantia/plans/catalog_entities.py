@@ -61,8 +61,7 @@ def dedup_components(spark, sf_dir):
     return en.resolve_entities(rows, ["seq", "canonical_fingerprint"])
 
 
-def upsert_postings(spark, sf_dir):
-    queue, _ = upserted(spark, sf_dir)
+def queue_columns(queue: DataFrame) -> DataFrame:
     return queue.select(
         "id", "company", "title", "location", "post_date", "source", "url", F.length("jd_text").alias("n_text"), "score", "tier", "status",
         joined("hits"), "years_req", "canonical_fingerprint", "dedup_reason", ts("created_at"), ts("updated_at"), ts("first_seen_at"),
@@ -71,6 +70,10 @@ def upsert_postings(spark, sf_dir):
     )
 
 
+def upsert_postings(spark, sf_dir):
+    return queue_columns(upserted(spark, sf_dir)[0])
+
+
 def upsert_outcome(spark, sf_dir):
     _, outcome = upserted(spark, sf_dir)
     return outcome.select("seq", "job_id", "result", "previous_status", F.col("resurfaced").cast("int").alias("resurfaced"), "admission_status")
@@ -131,6 +134,8 @@ NEXT_QUEUE = f"""next_queue as (
     coalesce({ts_text('owner_first')}, '2001-08-02 00:00:00'), '2001-08-02 00:00:00', {RUN}, fit_score, fit_label, fit_source,
     array_to_string(reason_codes, '|'), quality_bucket, cast(not admitted as int), 'none', skipped_reason from outcomes where rd = 1)"""
 
+UPSERTED = f"{UPSERT_ODD}, {NEXT_QUEUE} select * from next_queue"
+
 SOURCE_KEY = "source || ':' || coalesce(url, concat_ws('|', company_key, title_key, coalesce(post_date,'')))"
 
 
@@ -293,7 +298,7 @@ CASES = {
         select seq, first_seen, canonical_fingerprint, company, title, post_date from keyed join w using (canonical_fingerprint, seq)"""),
     "is_first_of_entity": (is_first_of_entity, f"with {BASE} select seq, cast(row_number() over (partition by canonical_fingerprint order by seq) = 1 as int) as is_first from keyed"),
     "dedup_components": (dedup_components, f"with recursive {BASE}, {COMPONENTS} select seq, canonical_fingerprint, component from keyed join comp on fp = canonical_fingerprint"),
-    "upsert_postings": (upsert_postings, f"{UPSERT_ODD}, {NEXT_QUEUE} select * from next_queue"),
+    "upsert_postings": (upsert_postings, UPSERTED),
     "upsert_outcome": (upsert_outcome, f"{UPSERT_ODD} select seq, job_id, result, previous_status, cast(resurfaced as int) as resurfaced, admission_status from outcomes"),
     "append_lineage": (append_lineage, f"""{UPSERT_ODD} select job_id, {RUN} as run_id, source, {SOURCE_KEY} as source_job_key, post_date as raw_post_date,
         post_date as normalized_post_date, '2001-08-02 00:00:00' as ingested_at, sha1({HASH_BODY}) as payload_hash from outcomes"""),
