@@ -170,3 +170,26 @@ def test_match_existing_equals_an_or_condition(spark, hot):
         if hit:
             expected[r["seq"]] = hit
     assert got == expected
+
+
+def test_ranges_hold_even_shares_of_bunched_values(spark):
+    from vacantia.operators.metrics import error_text
+
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 100 > 0, 10_000_000 + F.col("id")).otherwise(F.col("id") * 1_000_000).alias("seq"), F.lit("hot").alias("g"),
+        (F.col("id") % 97).alias("v"),
+    ).distinct()
+    sizes = [r["count"] for r in skew.in_ranges(rows, "seq", 500).groupBy("_chunk").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    w = W.partitionBy("g").orderBy("seq")
+    expected = rows.withColumns({"prev": F.lag("v").over(w), "top": F.max("v").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    got = skew.running_max(skew.previous_value(rows, "g", "seq", F.col("v"), "prev", 500), "g", "seq", F.col("v"), "top", 700)
+    assert sorted(map(str, got.select("seq", "prev", "top").collect())) == sorted(map(str, expected.select("seq", "prev", "top").collect()))
+    told = error_text(rows.select("g", "seq", F.lit("s").alias("source"), F.col("v").cast("string").alias("message")), "g", 500).first()
+    assert told["error_text"] == " | ".join(f"s: {r['v']}" for r in rows.orderBy("seq").collect())
+
+
+def test_ranges_of_equal_and_no_values(spark):
+    same = spark.range(50).select(F.lit(3).cast("bigint").alias("seq"))
+    assert skew.in_ranges(same, "seq", 5).select("_chunk").distinct().count() == 1
+    assert skew.in_ranges(same.limit(0), "seq", 5).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia import fixed_values as fv
 from vacantia.functions.dates import as_utc, instant
 from vacantia.operators.filters import freshness_class
-from vacantia.operators.skew import HOT_ROWS, chunk_width, running_max
+from vacantia.operators.skew import HOT_ROWS, in_ranges, running_max
 
 
 def freshness_stats(postings: DataFrame, hours: int, allow_unknown: bool, as_of: datetime) -> DataFrame:
@@ -121,10 +121,8 @@ def error_text(errors: DataFrame, key: str, target_rows: int = HOT_ROWS) -> Data
     The text of a key is whole by definition. Ranges of ``seq`` are sorted and joined first, so no task sorts
     all messages of one key; the last step only joins the finished pieces.
     """
-    width = chunk_width(errors, "seq", target_rows)
-    chunk = F.floor(F.col("seq") / F.lit(width)).alias("_chunk")
     listed = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(": ", "source", "message").alias("m"))))
-    pieces = errors.groupBy(key, chunk).agg(F.count("*").alias("_n"), listed.alias("_l")).select(
+    pieces = in_ranges(errors, "seq", target_rows).groupBy(key, "_chunk").agg(F.count("*").alias("_n"), listed.alias("_l")).select(
         key, "_chunk", "_n", F.concat_ws(" | ", F.transform("_l", lambda x: x["m"])).alias("_text")
     )
     whole = pieces.groupBy(key).agg(F.sum("_n").alias("n_errors"), F.array_sort(F.collect_list(F.struct("_chunk", "_text"))).alias("_l"))

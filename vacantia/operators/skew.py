@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vacantia.session import cut_lineage
@@ -62,13 +63,23 @@ def checked_semi_join(rows: DataFrame, keys: DataFrame, key: str, small: int = S
     return marked.filter(F.col("_found").isNotNull()).select(*rows.columns)
 
 
-def chunk_width(rows: DataFrame, order: str, target_rows: int) -> int:
-    """Width of order-value ranges that hold about ``target_rows`` rows when values are spread evenly.
-    Only the width depends on that; results do not."""
-    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    if not n:
-        return 1
-    return max(1, (high - low + 1) * target_rows // n)
+def in_ranges(rows: DataFrame, order: str, target_rows: int, name: str = "_chunk") -> DataFrame:
+    """Add the number of the order-value range that a row lies in; each range holds about ``target_rows`` rows however the values are spread.
+
+    The ends come from a quantile sketch, so values that bunch up get narrow ranges. Rows of equal order stay together. Only the sizes of the
+    ranges depend on the sketch; what is computed from them does not.
+    """
+    n = rows.count()
+    k = -(-n // max(1, target_rows))
+    if k <= 1:
+        return rows.withColumn(name, F.lit(0))
+    probabilities = [i / k for i in range(1, k)]
+    ends = sorted(set(rows.withColumn("_order", F.col(order).cast("double")).approxQuantile("_order", probabilities, 1 / (5 * k))))
+    if not ends:
+        return rows.withColumn(name, F.lit(0))
+    cut = Bucketizer(splits=[float("-inf"), *ends, float("inf")], inputCol="_order", outputCol=name, handleInvalid="keep")
+    placed = cut.transform(rows.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+    return placed.withColumn(name, F.col(name).cast("int"))
 
 
 def previous_value(
@@ -79,8 +90,7 @@ def previous_value(
     Each group is cut into ranges of the order column. Inside a range a window gives the predecessor; the
     first row of a range takes the last value of the range before it, from a table of one row per range.
     """
-    width = chunk_width(rows, order, target_rows)
-    cut = rows.withColumns({"_chunk": F.floor(F.col(order) / F.lit(width)).cast("bigint"), "_value": value})
+    cut = in_ranges(rows.withColumn("_value", value), order, target_rows)
     inside = W.partitionBy(group, "_chunk").orderBy(order)
     marked = cut.withColumns({"_prev": F.lag("_value").over(inside), "_first": F.row_number().over(inside) == 1})
     lasts = cut.groupBy(group, "_chunk").agg(F.max_by("_value", order).alias("_last"))
@@ -95,8 +105,7 @@ def running_max(
     rows: DataFrame, group: str, order: str, value: Column, name: str, target_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add the highest value up to each row of its group, cut into order ranges like ``previous_value``."""
-    width = chunk_width(rows, order, target_rows)
-    cut = rows.withColumns({"_chunk": F.floor(F.col(order) / F.lit(width)).cast("bigint"), "_value": value})
+    cut = in_ranges(rows.withColumn("_value", value), order, target_rows)
     so_far = W.partitionBy(group, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     inside = cut.withColumn("_inside", F.max("_value").over(so_far))
     tops = cut.groupBy(group, "_chunk").agg(F.max("_value").alias("_top"))
