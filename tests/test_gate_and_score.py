@@ -127,3 +127,55 @@ def test_falsy_payload_fields_fall_through(spark):
     body = '[{"id":0,"title":"T","city":"","location":"Here","country":false,"created_at":0,"published_at":"2026-02-01T01:00:00Z","url":""}]'
     r = ad.normalize_recruitee(spark.createDataFrame([("recruitee", "acme", body)], "source string, slug string, body string"), NOW).first()
     assert (r["location"], r["post_date"], r["url"], r["meta"]["recruitee_id"]) == ("Here", "2026-02-01", None, None)
+
+
+def many_words(n, seed):
+    """Random words over few letters, so that they overlap, begin one another and repeat themselves; some with marks, blanks and capitals."""
+    import random
+
+    random_ = random.Random(seed)
+    words = {"".join(random_.choice("ab+ .A") for _ in range(random_.randrange(1, 6))).strip() for _ in range(n)}
+    return sorted(w for w in words if w) + ["c++", ".net", "node", "node.js", "aa", "aba", "é", "don't", "\\d", "a|b", "x'y"]
+
+
+def scored_both_ways(spark, monkeypatch, rows, schema, work, module):
+    df = spark.createDataFrame(rows, schema)
+    out = []
+    for many in (0, 10**9):
+        monkeypatch.setattr(module, "MANY", many)
+        out.append([tuple(r) for r in work(df).collect()])
+    return out
+
+
+def texts(words, n=60):
+    import random
+
+    random_ = random.Random(5)
+    return [" ".join(random_.choice(words) + random_.choice(["", ",", "a", "B", " 9 years", " 3+ yrs"]) for _ in range(random_.randrange(0, 30))) for _ in range(n)] + [None, "", "aaaaa abababa"]
+
+
+def test_many_keywords_in_one_pass_score_the_same(spark, monkeypatch):
+    from vacantia.operators import scoring
+
+    words = many_words(400, 1)
+    rules = KeywordRules(tuple((w, i % 7) for i, w in enumerate(words[:150])), tuple((w, 2) for w in words[100:]), (("aa", 3), ("", 5), *((w, 1) for w in words[::9])))
+    rows = [(t[:40] if t else None, t, d) for t, d in zip(texts(words), ["2026-02-09", None, "2026-02-04"] * 30)]
+    a, b = scored_both_ways(spark, monkeypatch, rows, "title string, jd_text string, post_date string", lambda df: keyword_score(df, rules, NOW), scoring)
+    assert a == b and any(len(r[-1]) > 20 for r in a)
+
+
+def test_many_profile_entries_in_one_pass_gate_the_same(spark, monkeypatch):
+    words = many_words(400, 2)
+    profile = Profile(tuple(words[:90]), tuple(words[60:200]), tuple(words[150:]), ("toronto",), hard_exclusions=("9+ years", "aab", "3+ years", "node.js", "3+ yrs"))
+    rows = [(t[:30] if t else None, p, t) for t, p in zip(texts(words), ["Toronto", "", "Ottawa", None] * 20)]
+    a, b = scored_both_ways(spark, monkeypatch, rows, POSTING, lambda df: gate.fit_gate(df, profile, GateOptions()), gate)
+    assert a == b and any("hard_exclusion:3+ yrs" in str(r) for r in a)
+
+
+def test_two_thousand_rules_plan_and_run(spark):
+    rules = KeywordRules(tuple((f"word{i}", 1) for i in range(2000)), (), ())
+    profile = Profile(tuple(f"word{i}" for i in range(2000)), (), (), ("toronto",), hard_exclusions=())
+    df = spark.createDataFrame([("t", "Toronto", "word7 word77 word777 word1999", None)] * 50, POSTING + ", post_date string")
+    r = gate.fit_gate(keyword_score(df, rules, NOW), profile, GateOptions()).first()
+    assert r["hits"] == ["+A:word1x1", "+A:word7x3", "+A:word19x1", "+A:word77x2", "+A:word199x1", "+A:word777x1", "+A:word1999x1"] and r["score"] == 9
+    assert r["reason_codes"][:4] == ["role_match:word7", "role_match:word77", "role_match:word777", "role_match:word1999"]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia import fixed_values as fv
 from vacantia.config import GateOptions, Profile
+from vacantia.functions.keywords import MANY, rules_present
 from vacantia.functions.text import compact_list, has_word, min_years_pattern, sql_text
 from vacantia.session import hold_filters
 
@@ -28,9 +29,57 @@ def _excluded(text: str, keyword: str) -> str:
     return has_word(text, keyword) if years is None else f"rlike({text}, {sql_text(min_years_pattern(years))})"
 
 
+POINTS = {"role_match": fv.ROLE_POINTS, "must_skill": fv.MUST_SKILL_POINTS, "nice_skill": fv.NICE_SKILL_POINTS}
+
+
+def _tested_one_by_one(rows: DataFrame, words: list[tuple[str, str]], profile: Profile) -> DataFrame:
+    """Add ``_points``, ``_rejected`` and ``reason_codes``, every entry tested in a column of its own."""
+    tests = {
+        f"_w{i}": F.expr(_excluded("_text", k) if kind == "hard_exclusion" else has_word("_text", k))
+        for i, (kind, k) in enumerate(words)
+    }
+
+    def any_of(kind: str) -> str:
+        return "(" + (" or ".join(f"_w{i}" for i, (k, _) in enumerate(words) if k == kind) or "false") + ")"
+
+    parts = [f"if(_w{i}, {POINTS[kind]}, 0)" for i, (kind, _) in enumerate(words) if kind in POINTS]
+    parts.append(f"if(not {any_of('role_match')}, {fv.NO_ROLE_POINTS}, 0)")
+    codes = [f"if(_w{i}, {sql_text(f'{kind}:{k}')}, null)" for i, (kind, k) in enumerate(words)]
+    codes += ["concat('location:', _near)", f"if(not {any_of('role_match')}, 'role:no_match', null)"]
+    if profile.must_have_skills:
+        codes.append(f"if(not {any_of('must_skill')}, 'must_skill:none', null)")
+    return rows.withColumns(tests).withColumns(
+        {"_points": F.expr(" + ".join(parts)), "_rejected": F.expr(any_of("hard_exclusion")), "reason_codes": compact_list(codes)}
+    ).drop(*tests)
+
+
+def _tested_at_once(rows: DataFrame, words: list[tuple[str, str]], profile: Profile) -> DataFrame:
+    """The same from one search for all words; entries of the form ``N+ years`` are patterns of their own, at most one for each N."""
+    years = {i: min_years_of(k) for i, (kind, k) in enumerate(words) if kind == "hard_exclusion" and min_years_of(k) is not None}
+    fields = [{"kind": kind, "keyword": k, "points": POINTS.get(kind, 0)} for kind, k in words]
+    found = rules_present(F.col("_text"), [("" if i in years else k.lower(), fields[i]) for i, (_, k) in enumerate(words)], bounded=True)
+    for n in sorted(set(years.values())):
+        own = [F.struct(F.lit(i).cast("bigint").alias("place"), *[F.lit(fields[i][c]).cast(t).alias(c) for c, t in (("kind", "string"), ("keyword", "string"), ("points", "bigint"))]) for i in years if years[i] == n]
+        found = F.concat(found, F.when(F.expr(f"rlike(_text, {sql_text(min_years_pattern(n))})"), F.array(*own)).otherwise(F.array(*own[:0]).cast("array<struct<place: bigint, kind: string, keyword: string, points: bigint>>")))
+    listed = rows.withColumn("_found", F.array_sort(found))
+
+    def any_of(kind: str) -> Column:
+        return F.exists("_found", lambda r: r["kind"] == kind)
+
+    codes = [F.concat(F.lit("location:"), F.col("_near")), F.when(~any_of("role_match"), "role:no_match")]
+    if profile.must_have_skills:
+        codes.append(F.when(~any_of("must_skill"), "must_skill:none"))
+    points = F.aggregate("_found", F.lit(0).cast("bigint"), lambda a, r: a + r["points"]) + F.when(~any_of("role_match"), fv.NO_ROLE_POINTS).otherwise(0)
+    told = F.transform("_found", lambda r: F.concat(r["kind"], F.lit(":"), r["keyword"]))
+    return listed.withColumns(
+        {"_points": points.cast("int"), "_rejected": any_of("hard_exclusion"), "reason_codes": F.concat(told, F.array_compact(F.array(*codes)))}
+    ).drop("_found")
+
+
 def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> DataFrame:
     """Add the gate columns (``GATE_COLUMNS``). One narrow stage: every list entry is a literal test with a
-    column of its own, so the score and the reason codes read it instead of searching again."""
+    column of its own, so the score and the reason codes read it instead of searching again. More than ``MANY`` entries are
+    searched in one pass instead."""
     words = (
         [("hard_exclusion", k) for k in profile.hard_exclusions]
         + [("role_match", k) for k in profile.target_roles]
@@ -43,33 +92,16 @@ def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> Dat
             "_place": F.expr("lower(coalesce(location, ''))"),
         }
     )
-    tests = {
-        f"_w{i}": F.expr(_excluded("_text", k) if kind == "hard_exclusion" else has_word("_text", k))
-        for i, (kind, k) in enumerate(words)
-    }
     wanted = " or ".join(f"contains(_place, {sql_text(p)})" for p in profile.location_preferences) or "false"
     unknown = f"_place = '' and {str(options.allow_unknown_location).lower()}"
     place = f"case when {unknown} then 'unknown_allowed' when {wanted} then 'preferred' when _place <> '' then 'mismatch' end"
-    tested = lowered.withColumns({**tests, "_near": F.expr(place)})
-
-    def any_of(kind: str) -> str:
-        return "(" + (" or ".join(f"_w{i}" for i, (k, _) in enumerate(words) if k == kind) or "false") + ")"
-
-    points = {"role_match": fv.ROLE_POINTS, "must_skill": fv.MUST_SKILL_POINTS, "nice_skill": fv.NICE_SKILL_POINTS}
-    parts = [f"if(_w{i}, {points[kind]}, 0)" for i, (kind, _) in enumerate(words) if kind in points]
-    parts.append(
+    tested = (_tested_at_once if len(words) > MANY else _tested_one_by_one)(lowered.withColumn("_near", F.expr(place)), words, profile)
+    low, high = options.borderline
+    location = F.expr(
         f"case _near when 'unknown_allowed' then {fv.UNKNOWN_LOCATION_POINTS} when 'preferred' then {fv.PREFERRED_LOCATION_POINTS}"
         f" when 'mismatch' then {fv.MISMATCH_LOCATION_POINTS} else 0 end"
     )
-    parts.append(f"if(not {any_of('role_match')}, {fv.NO_ROLE_POINTS}, 0)")
-    codes = [f"if(_w{i}, {sql_text(f'{kind}:{k}')}, null)" for i, (kind, k) in enumerate(words)]
-    codes += ["concat('location:', _near)", f"if(not {any_of('role_match')}, 'role:no_match', null)"]
-    if profile.must_have_skills:
-        codes.append(f"if(not {any_of('must_skill')}, 'must_skill:none', null)")
-    low, high = options.borderline
-    scored = tested.withColumns(
-        {"_score": F.expr(" + ".join(parts)), "_rejected": F.expr(any_of("hard_exclusion")), "reason_codes": compact_list(codes)}
-    )
+    scored = tested.withColumn("_score", F.col("_points") + location)
     s, rejected = F.col("_score"), F.col("_rejected")
     admitted = ~rejected & (s >= options.inbox_floor)
     borderline = ~rejected & ~admitted & s.between(low, high)
@@ -84,7 +116,7 @@ def fit_gate(postings: DataFrame, profile: Profile, options: GateOptions) -> Dat
             "needs_review": borderline,
         }
     )
-    return hold_filters(gated.drop("_text", "_place", "_near", "_score", "_rejected", *tests))
+    return hold_filters(gated.drop("_text", "_place", "_near", "_points", "_score", "_rejected"))
 
 
 def without_answers(gated: DataFrame, skip_reason: str) -> DataFrame:
