@@ -177,5 +177,5 @@ def test_two_thousand_rules_plan_and_run(spark):
     profile = Profile(tuple(f"word{i}" for i in range(2000)), (), (), ("toronto",), hard_exclusions=())
     df = spark.createDataFrame([("t", "Toronto", "word7 word77 word777 word1999", None)] * 50, POSTING + ", post_date string")
     r = gate.fit_gate(keyword_score(df, rules, NOW), profile, GateOptions()).first()
-    assert r["hits"] == ["+A:word1x1", "+A:word7x3", "+A:word19x1", "+A:word77x2", "+A:word199x1", "+A:word777x1", "+A:word1999x1"] and r["score"] == 9
+    assert r["hits"] == ["+A:word1x1", "+A:word7x3", "+A:word19x1", "+A:word77x2", "+A:word199x1", "+A:word777x1", "+A:word1999x1"] and r["score"] == 10
     assert r["reason_codes"][:4] == ["role_match:word7", "role_match:word77", "role_match:word777", "role_match:word1999"]
