@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 from datetime import timedelta
 
 import pytest
@@ -306,3 +307,36 @@ def test_overlapping_runs_share_the_days_calls(spark):
     state = snapshots.table_state(spark, root)
     commits.CommitLog(spark, root).commit(state, [reservations.settled(spark, root, state, first)])
     assert reservations.used_today(spark, root, snapshots.table_state(spark, root), NOW) == 2
+
+
+def payload_rows(spark):
+    def board(jobs_):
+        return json.dumps({"jobs": jobs_})
+
+    lever = [{"text": f"Engineer {i}", "categories": {"location": "Toronto"}, "hostedUrl": f"https://l.com/{i}", "createdAt": 1, "descriptionPlain": "engineer"} for i in range(3)]
+    bamboo = [{"id": str(i), "jobOpeningName": f"Engineer {i}", "location": "Toronto", "date": day, "url": f"https://b.com/{i}", "description": "engineer"}
+              for i, day in enumerate(["2026-02-08", "2026-01-01", "2026-02-07"])]
+    landed_rows = [("lever", "a", "a", json.dumps(lever)), ("bamboohr", "b", "b", board(bamboo)), ("bamboohr", "c", "c", "{}")]
+    df = spark.createDataFrame(landed_rows, "source string, slug string, target string, body string")
+    return df.withColumns({"http_status": F.lit(200), "content_type": F.lit("application/json"), "priority": F.lit(0), "batch_seq": F.lit(0).cast("bigint"), "site": F.lit(None).cast("string")})
+
+
+def test_a_run_from_payloads_to_the_run_row(spark):
+    root = work_dir(spark, "p")
+    options = GateOptions(90, 5, 89, review_mode="batch")
+    told = settings(options, fresh_hours=72)
+    handed = []
+    run_ = lambda: table_run.run_payloads(spark, root, payload_rows(spark), ["lever", "bamboohr"], told, NOW, "core", 0, hand_over=lambda p: handed.append(p) or "b1")
+    assert run_() is not None
+    queue = queue_of(spark, root)
+    row = snapshots.read_rows(spark, root, "ingestion_runs").first()
+    summary = json.loads(row["summary_json"])
+    n = queue.count()
+    assert row["status"] == "success" and summary["requestedSources"] == ["lever", "bamboohr"] and summary["totals"]["fetched"] == n == summary["totals"]["inserted"]
+    assert {r["source"] for r in queue.collect()} == {"lever", "bamboohr"} and queue.filter("source = 'lever'").count() == 3
+    counts = {r["source"]: (r["raw_fetched"], r["kept_fresh"], r["dropped_old"]) for r in snapshots.read_rows(spark, root, "freshness_counts").collect()}
+    assert counts["bamboohr"][0] == 3 and counts["bamboohr"][1] == n - 3 and "lever" not in counts
+    assert summary["llm"]["batchQueued"] == spark.read.text(handed[0]).count() > 0
+    version = snapshots.table_state(spark, root).number
+    run_()
+    assert snapshots.table_state(spark, root).number == version and len(handed) == 1

@@ -60,10 +60,10 @@ class IngestResult:
 
 
 def fetch_sources(
-    payloads: DataFrame, names: Sequence[str], as_of: datetime, hours: int = 24, allow_unknown: bool = False,
+    payloads: DataFrame, names: Sequence[str], as_of: datetime, hours: int | None = 24, allow_unknown: bool = False,
     transform: Callable[[DataFrame], DataFrame] | None = None, landed: bool = True,
 ) -> DataFrame:
-    """Postings of the named sources in task order, stale ones dropped, then the caller's ``transform``.
+    """Postings of the named sources in task order, stale ones dropped unless ``hours`` is None, then the caller's ``transform``.
 
     Failed, repeated and lower-priority responses are left out first; ``landed=False`` says that ``payloads`` are already
     the chosen ones.
@@ -71,7 +71,8 @@ def fetch_sources(
     frames = []
     for name in names:
         found = landed_postings(payloads, name, as_of) if landed else ADAPTERS[name](payloads.filter(F.col("source") == name), as_of)
-        frames.append(found if name in FRESHNESS_EXEMPT else freshness_filter(found, hours, allow_unknown, as_of))
+        exempt = hours is None or name in FRESHNESS_EXEMPT
+        frames.append(found if exempt else freshness_filter(found, hours, allow_unknown, as_of))
     united = union_sources(frames)
     return united.transform(transform) if transform else united
 

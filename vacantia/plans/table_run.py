@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,8 +17,9 @@ from vacantia.operators.metrics import freshness_stats
 from vacantia.operators.reservations import Reservation, reserve_calls, settled
 from vacantia.operators.runs import finalize_run, run_summary, start_run
 from vacantia.operators.skew import checked_semi_join
-from vacantia.operators.snapshots import BUCKETS, read_parts, retried, staged, staged_change, staged_rows, table_state, touched_buckets
+from vacantia.operators.snapshots import BUCKETS, read_parts, read_rows, retried, staged, staged_change, staged_rows, table_state, touched_buckets
 from vacantia.operators.state import append_events, append_lineage, gate_postings, next_queue, outcome_detail, place_batch, settle_postings
+from vacantia.plans.ingest import FRESHNESS_EXEMPT, fetch_sources
 from vacantia.schemas import TABLES, empty_table, evolve_schema
 from vacantia.session import cut_lineage, work_dir
 
@@ -27,7 +28,7 @@ CACHE, ITEMS, BATCHES = "llm_fit_cache", "llm_batch_items", "llm_batches"
 
 @dataclass(frozen=True)
 class RunSettings:
-    """What a run needs besides its postings. ``fresh_hours`` of None keeps postings of any age."""
+    """What a run needs besides its postings. ``fresh_hours`` of None keeps postings of any age, as do the sources in ``fresh_exempt``."""
 
     rules: KeywordRules
     profile: Profile
@@ -37,6 +38,7 @@ class RunSettings:
     requested: tuple[str, ...] = ()
     fresh_hours: int | None = None
     allow_unknown_date: bool = False
+    fresh_exempt: tuple[str, ...] = ()
     classifier: Classifier | None = None
     buckets: int = BUCKETS
 
@@ -63,8 +65,9 @@ def run_on_tables(
     counts = None
     if settings.fresh_hours is not None:
         hours, unknown = settings.fresh_hours, settings.allow_unknown_date
-        counts = cut_lineage(freshness_stats(numbered, hours, unknown, as_of))
-        numbered = numbered.filter(freshness_class(hours, unknown, as_of) == "kept")
+        exempt = F.coalesce(F.col("source").isin(*settings.fresh_exempt), F.lit(False))
+        counts = cut_lineage(freshness_stats(numbered.filter(~exempt), hours, unknown, as_of))
+        numbered = numbered.filter(exempt | (freshness_class(hours, unknown, as_of) == "kept"))
     gated = cut_lineage(gate_postings(numbered, settings.rules, settings.profile, settings.options, as_of))
     answers, new_cache, reservation = _reviewed(spark, root, gated, settings, as_of, f"{writer}/{batch}")
     scored = cut_lineage(settle_postings(gated, settings.options, answers))
@@ -135,6 +138,23 @@ def _reviewed(
     return cut_lineage(answers), cut_lineage(new_cache), reservation
 
 
+def run_payloads(
+    spark: SparkSession, root: str, payloads: DataFrame, names: Sequence[str], settings: RunSettings, as_of: datetime, writer: str, batch: int,
+    transform: Callable[[DataFrame], DataFrame] | None = None, hand_over: Callable[[str], str] | None = None,
+) -> State | None:
+    """A whole run from landed payloads to the run row: the named sources' postings in task order, through ``transform``, into the tables; in batch
+    review the waiting postings are handed over afterwards. A replay that finds the run visible only hands over what still waits."""
+    postings = fetch_sources(payloads, names, as_of, None, settings.allow_unknown_date, transform)
+    order = [c for c in ("source_rank", "target", "batch_seq", "page", "row", "block", "node") if c in postings.columns]
+    exempt = tuple(dict.fromkeys((*settings.fresh_exempt, *FRESHNESS_EXEMPT)))
+    told = replace(settings, requested=settings.requested or tuple(names), fresh_exempt=exempt)
+    done = run_on_tables(spark, root, postings, told, as_of, writer, batch, order)
+    if settings.options.batch_mode:
+        run = read_rows(spark, root, "ingestion_runs").filter((F.col("writer") == writer) & (F.col("version") == batch)).first()
+        done = flush_review_batch(spark, root, run["id"], told, as_of, hand_over) or done
+    return done
+
+
 def flush_review_batch(
     spark: SparkSession, root: str, run_id: int, settings: RunSettings, as_of: datetime, hand_over: Callable[[str], str] | None = None
 ) -> State | None:
