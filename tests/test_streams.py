@@ -119,13 +119,14 @@ def test_deep_postings_long_page_runs_and_keyset_pages(spark):
 
     node = '{"@type":"JobPosting","title":"t%d"}'
     blocks = []
-    for depth in range(8):
+    for depth in range(11):
         body = node % depth
         for level in range(depth):
             body = f"[{body}]" if level % 2 else f'{{"@graph":[{body}]}}'
         blocks.append((depth, f'<script type="application/ld+json">{body}</script>'))
     found = extract_jsonld_postings(spark.createDataFrame(blocks, "page_id long, html string"))
-    assert sorted(r[0] for r in found.select("page_id").collect()) == list(range(8))
+    assert sorted(r[0] for r in found.select("page_id").collect()) == list(range(11))
+    assert {r["page_id"]: r["node"].count(".") for r in found.select("page_id", "node").collect()} == {d: max(0, d - 1) for d in range(11)}
     pages = [("s", "long", i, True, 20 if i < 130 else 3) for i in range(140)] + [("s", "gap", i, True, 20) for i in range(9) if i != 4] + [("z", "gap", i, True, 20) for i in range(9)]
     kept = stitch_pages(spark.createDataFrame(pages, "source string, target string, page long, usable boolean, n_rows int"), 20)
     assert {(r["source"], r["target"]): r["n"] for r in kept.groupBy("source", "target").agg(F.count("*").alias("n")).collect()} == {("s", "long"): 131, ("s", "gap"): 4, ("z", "gap"): 9}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # executors of local-cluster are processes of their own
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     return tempfile.mkdtemp(prefix="vacantia-")
 
