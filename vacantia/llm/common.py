@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacantia.session import cut_lineage, work_dir
@@ -43,8 +48,55 @@ def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS)
     return met.where(is_set).select(*rows.columns)
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold but do not use back to the system; Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The work of a task on batches, releasing memory when it ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, rows go to Python workers in batches of at most so many, for steps that run to their end there: Spark's default holds tens of MB
+    of texts or sets in the executor and in the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+#: Text or rows that are turned into Python values at once.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, nbytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes, one row at least: a batch of Spark may hold 64 MB and far more as Python values."""
+    step = max(1, int(len(batch) * nbytes / max(1, batch.nbytes)))
+    for at in range(0, len(batch), step):
+        yield batch.slice(at, step)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["BLANKS", "WORD", "cut_lineage", "free_name", "likely", "partitions", "table", "work_dir"]
+__all__ = ["BLANKS", "WORD", "cut_lineage", "free_name", "lean", "likely", "partitions", "release", "slices", "small_batches", "table", "work_dir"]

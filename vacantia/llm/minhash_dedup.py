@@ -15,12 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vacantia.llm import similar
-from vacantia.llm.common import cut_lineage, free_name, likely
+from vacantia.llm.common import cut_lineage, free_name, lean, likely, slices, small_batches
 from vacantia.llm.shingles import shingle_sets
 from vacantia.operators.skew import lookup_join
 
@@ -34,7 +33,7 @@ def signatures(documents: DataFrame, size: int, bands: int) -> DataFrame:
     """(doc_id, n_shingles, node, bands) for each row; node names the class of equal sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             counts, nodes, hashes = [], [], []
             for values in shingle_sets(batch.column(1).to_pylist(), size):
                 counts.append(len(values))
@@ -46,15 +45,15 @@ def signatures(documents: DataFrame, size: int, bands: int) -> DataFrame:
             )
 
     rows = documents.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(sign, "doc_id bigint, n_shingles bigint, node string, bands array<bigint>")
+    return rows.mapInArrow(lean(sign), "doc_id bigint, n_shingles bigint, node string, bands array<bigint>")
 
 
 def node_of(size: int):
     """Column function: the class of a text."""
 
-    @F.pandas_udf("string")
-    def named(texts: pd.Series) -> pd.Series:
-        return pd.Series([similar.class_of(v) for v in shingle_sets([None if pd.isna(t) else t for t in texts], size)], dtype="object")
+    @F.arrow_udf("string")
+    def named(texts: pa.Array) -> pa.Array:
+        return pa.array((similar.class_of(v) for v in shingle_sets(texts.to_pylist(), size)), pa.string())
 
     return named
 
@@ -65,9 +64,9 @@ def _texts_of(documents: DataFrame, classes: DataFrame, size: int) -> similar.Fe
     texts = documents.select(F.col("doc_id").cast("bigint"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             nodes, partners = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            yield similar.sent_sets(partners, nodes, shingle_sets(batch.column(0).to_pylist(), size))
+            yield from similar.sent_sets(partners, nodes, shingle_sets(batch.column(0).to_pylist(), size))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         every = cut_lineage(wanted.join(classes.select("node", "doc_id"), "node"))
@@ -77,14 +76,15 @@ def _texts_of(documents: DataFrame, classes: DataFrame, size: int) -> similar.Fe
             asked = every.where("doc_id is null").select("node", "partners")
             named = likely(texts.where("doc_id is null").select("text", node_of(size)("text").alias("node")), "node", asked)
             found = found.unionByName(named.groupBy("node").agg(F.min("text").alias("text")).join(asked, "node").select("text", "node", "partners"))
-        return found.mapInArrow(sets, similar.SENT)
+        return found.mapInArrow(lean(sets), similar.SENT)
 
     return fetch
 
 
 def _components(documents: DataFrame, size: int, percent: int, bands: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and (node, component, component_id) of their classes."""
-    signed = cut_lineage(signatures(documents, size, bands))
+    with small_batches(documents.sparkSession):
+        signed = cut_lineage(signatures(documents, size, bands))
     classes = signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )

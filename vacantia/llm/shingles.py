@@ -18,7 +18,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text hashed at once; a longer text is hashed alone.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 

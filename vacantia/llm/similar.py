@@ -14,14 +14,14 @@ Spark's skew join.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vacantia.llm.common import cut_lineage, likely
+from vacantia.llm.common import cut_lineage, lean, likely, small_batches
 from vacantia.operators.entities import dedup_components
 from vacantia.operators.skew import lookup_join
 
@@ -32,10 +32,17 @@ _RANDOM = np.random.Generator(np.random.PCG64(71))
 _FACTORS = _RANDOM.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 64, 1024, np.uint64)
 _SET_BYTES = 6
+#: Bytes of sets in one batch that leaves a worker; a larger set is a batch alone.
+BATCH_BYTES = 4 << 20
 #: Fetches the full sets: from (node, partners) to (a, b, data), a row for each node b and each of its partners a.
 Fetch = Callable[[DataFrame], DataFrame]
 
 
+def permuted(values: np.ndarray, i: int) -> np.ndarray:
+    """The values under permutation ``i``."""
+    return _FACTORS[i] * values + _SHIFTS[i]
+
+
 def min_max(values: np.ndarray, permutations: int) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the set under each permutation x -> a*x + b modulo 2^64."""
     low = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
@@ -74,15 +81,27 @@ def class_of(values: np.ndarray) -> str | None:
     return xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None
 
 
-def sent_sets(batch_nodes: list[list[str]], nodes: list[str], sets: Iterator[np.ndarray]) -> pa.RecordBatch:
-    """The batch of (a, b, data) for nodes with their partners; a text whose set is not the node's is passed over."""
-    a, b, data = [], [], []
+def sent_sets(batch_nodes: Iterable[list[str]], nodes: Iterable[str], sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Batches of (a, b, data) for nodes with their partners, of about BATCH_BYTES each; a text whose set is not the node's is passed
+    over."""
+    a, b, data, held = [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(data, pa.binary())], ["a", "b", "data"])
+
     for node, partners, values in zip(nodes, batch_nodes, sets, strict=True):
-        if class_of(values) == node:
-            a += partners
-            b += [node] * len(partners)
-            data += [packed(values)] * len(partners)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(data, pa.binary())], ["a", "b", "data"])
+        if class_of(values) != node:
+            continue
+        own = packed(values)
+        for partner in partners:
+            a.append(partner)
+            b.append(node)
+            data.append(own)
+            held += len(own) + 64
+            if held >= BATCH_BYTES:
+                yield batch()
+                a, b, data, held = [], [], [], 0
+    yield batch()
 
 
 SENT = "a string, b string, data binary"
@@ -114,22 +133,38 @@ def compared(pairs: DataFrame, fetch: Fetch, percent: int) -> DataFrame:
     each of its partners ``a``."""
     wanted = pairs.select(F.col("b").alias("node"), "a").unionByName(pairs.select(F.col("a").alias("node"), "a").distinct())
 
+    types = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = [c.split()[0] for c in _COMPARED.split(", ")]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+        held, name, centre = 0, None, np.zeros(0, np.uint64)
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for row in batch.to_pylist():
-                centre, own = unpacked(row["other"]), unpacked(row["data"])
-                values = (row["a"], row["b"], linked(centre, own, percent), len(own), *(x.astype(np.int64) for x in around(own, centre, percent)))
+            places = {c: batch.schema.get_field_index(c) for c in ("a", "b", "data", "other")}
+            for i in range(len(batch)):
+                row = {c: batch.column(k)[i] for c, k in places.items()}
+                a, own = row["a"].as_py(), unpacked(row["data"].as_py())
+                if a != name:
+                    name, centre = a, unpacked(row["other"].as_py())
+                values = (a, row["b"].as_py(), linked(centre, own, percent), len(own), *(x.astype(np.int64) for x in around(own, centre, percent)))
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            types = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            names = [c.split()[0] for c in _COMPARED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    sent = _once(cut_lineage(fetch(wanted.groupBy("node").agg(F.collect_set("a").alias("partners")))))
+                held += 128 + 8 * (len(values[4]) + len(values[5]))
+                if held >= BATCH_BYTES:
+                    yield batch_of()
+                    out, held = [[] for _ in names], 0
+        yield batch_of()
+
+    with small_batches(pairs.sparkSession):
+        sent = _once(cut_lineage(fetch(wanted.groupBy("node").agg(F.collect_set("a").alias("partners")))))
     own = sent.where("a = b").dropDuplicates(["a"]).select("a", F.col("data").alias("other"))
     met = sent.where("a <> b").join(own, "a")
-    return cut_lineage(met.mapInArrow(compare, _COMPARED))
+    with small_batches(pairs.sparkSession):
+        return cut_lineage(met.mapInArrow(lean(compare), _COMPARED))
 
 
 def components_of(links: DataFrame) -> DataFrame:
