@@ -53,3 +53,11 @@ def test_conversations_with_nulls_ties_and_extra_columns(spark):
     spans = sorted(tuple(r) for r in c.loss_spans(formatted).where("conv_id = 1").collect())
     assert [b - a for _, a, b in spans] == [1, 1, 1]
     assert c.read_back(c.format_conversations(df.limit(0))).count() == 0
+
+
+def test_equal_turns_are_ordered_by_text_and_not_by_its_rendering(spark):
+    texts = ["a b", "a", "<", "</s>", "<s", "b", "", "[INST]", "[z", None]
+    df = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string")
+    out = c.read_back(c.format_conversations(df)).first()
+    ordered = sorted(t or "" for t in texts)
+    assert out["turns_sha256"] == hashlib.sha256("".join(f"user\n{t}\n" for t in ordered).encode()).hexdigest()

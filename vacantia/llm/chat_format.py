@@ -120,13 +120,13 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces = [render_turn(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            roles = [r or "" for r in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(pieces, pa.string())], ["conv_id", "turn", "role", "piece"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.string())], ["conv_id", "place", "piece"])
 
-    rows = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
-    rendered = rows.mapInArrow(render, "conv_id bigint, turn bigint, role string, piece string")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "piece")
-    return cut_lineage(rendered.select("conv_id", F.row_number().over(order).cast("bigint").alias("place"), "piece"))
+    told = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    rows = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), *told)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = rows.withColumn("place", F.row_number().over(order).cast("bigint")).select("conv_id", "place", "role", "text")
+    return cut_lineage(placed.mapInArrow(render, "conv_id bigint, place bigint, piece string"))
 
 
 def _in_order(formatted: DataFrame) -> DataFrame:
