@@ -56,3 +56,36 @@ def test_files_give_back_every_document(spark):
 
 def test_no_documents(spark):
     assert rows(t.token_table(spark, t.write_tokens(documents(spark, []), PATH, 1))) == []
+
+
+def test_word_route_only_for_the_described_layout(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert t.WordEncoder(path).by_word
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(described), encoding="utf-8")
+    words = t.WordEncoder(str(other))
+    assert not words.by_word
+    text = "Mixed 12ab34, it's 99"
+    assert np.frombuffer(words.encode(text), "<u4").tolist() == words.library.encode(text, add_special_tokens=False).ids
+
+
+def test_many_rows_of_one_id_keep_their_order(spark):
+    import public_tokenizers
+
+    given = [(5, f"{i % 400:04d} text") for i in range(1200)] + [(None, f"{i:04d}") for i in range(300)] + [(9, None)]
+    path = t.write_tokens(documents(spark, given), public_tokenizers.path("word_bpe_49k.json"), 1, block_ids=200)
+    out = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in t.token_table(spark, path).collect())
+    encoder, at, expected = t.encoder(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for i, text in sorted(given, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.append(np.frombuffer(encoder.encode(text or ""), "<u4"), np.uint32(1)).astype("<u4")
+        expected.append((at, i, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert out == expected
+    assert spark.read.parquet(path).select("shard").distinct().count() > 2

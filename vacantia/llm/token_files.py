@@ -30,13 +30,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from vacantia.llm.common import partitions, work_dir
+from vacantia.llm.common import lean, partitions, slices, work_dir
 
 BLOCK_IDS = 1 << 18
 MEMO_WORDS = 500_000
 #: Fixed values of the tokenizer file: its word pattern, and the last code point for which the plain route is used.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x00-\u024f]*")
+#: What the tokenizer file says besides vocabulary and special tokens. The word route holds for this description only; a file with any other
+#: goes to the library whole.
+LAYOUT = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "model": {
+        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False,
+        "byte_fallback": False, "ignore_merges": False,
+    },
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,9 +75,10 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         self.special = [t["content"] for t in described["added_tokens"]]
-        kinds = [n["type"] for n in (described["normalizer"] or {}).get("normalizers", [])]
-        suffix = described["model"].get("end_of_word_suffix")
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and bool(suffix)  # the one layout the word route is proved for
+        model = {k: v for k, v in described["model"].items() if k not in ("vocab", "merges")}
+        plain = all(not t["normalized"] and t["special"] for t in described["added_tokens"])
+        told = {k: described[k] for k in LAYOUT if k != "model"}
+        self.by_word = plain and {**told, "model": model} == LAYOUT
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
@@ -152,7 +172,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int, block_ids: i
             row = {"shard": shard, "block": block, "first": first, "n_ids": len(ids), "bits": bits, "doc_ids": doc_ids, "lengths": lengths, "payload": pack(ids, bits)}
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = words.encode(text or "") + end
                 doc_ids.append(doc_id)
@@ -167,8 +187,9 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int, block_ids: i
             yield closed()
 
     rows = documents.select(F.col("doc_id").cast("bigint"), "text")
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, BLOCK).write.parquet(path)
+    # rows of one doc_id may be many: the beginning of the text deals them too, in the order of the sort
+    rows = rows.repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(lean(encode), BLOCK).write.parquet(path)
     return path
 
 
@@ -195,4 +216,4 @@ def token_table(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = blocks(spark, path).select("start", "n_ids", "bits", "doc_ids", "lengths", "payload")
-    return rows.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
