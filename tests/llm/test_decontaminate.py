@@ -55,3 +55,47 @@ def test_empty_tables(spark):
     assert rows(d.contamination(documents(spark, []), benchmark)) == []
     out = d.contamination(documents(spark, [(1, "a b")]), benchmark.limit(0)).collect()
     assert [(r["n_words"], r["n_hit"], r["contaminated"]) for r in out] == [(2, 0, False)]
+
+
+def test_random_items_and_texts_of_few_words():
+    """Items that repeat and hold one another, texts pieced together from parts of items."""
+    import random
+
+    random_ = random.Random(3)
+    for _ in range(150):
+        vocabulary = random_.choice([2, 3, 20, 200])
+        items = [(i, " ".join(f"w{random_.randrange(vocabulary)}" for _ in range(random_.choice([0, 1, 3, 7, 12, 13, 14, 20, 27, 40])))) for i in range(random_.randrange(1, 8))]
+        parts = []
+        for _ in range(random_.randrange(8)):
+            words = random_.choice(items)[1].split()
+            a = random_.randrange(len(words) + 1)
+            parts += words[a : random_.randrange(a, len(words) + 1)] + [f"w{random_.randrange(vocabulary)}" for _ in range(random_.randrange(15))]
+        n, hits, names = d.Matcher(items).scan(" ".join(parts))
+        assert (n, sum(b - a + 1 for a, b in hits), sorted(names)) == brute(" ".join(parts), items)
+
+
+def test_memory_of_a_large_benchmark():
+    """Ten megabytes of items stay below 300 MB in a worker, measured in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, psutil
+from vacantia.llm import decontaminate as d
+random_ = random.Random(1)
+words = [f"{random_.getrandbits(30):x}" for _ in range(150_000)]
+items = [(i, " ".join(random_.choice(words) for _ in range(100))) for i in range(12_000)]
+assert sum(len(t) for _, t in items) > 10_000_000
+before = psutil.Process().memory_info().rss
+held = d.Matcher(items)
+print((psutil.Process().memory_info().rss - before) / 1e6)
+assert held.scan(items[7][1])[2] == {"7"}
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 300
+
+
+def test_periodic_text_and_many_equal_windows():
+    item = "a " * 2000
+    n, hits, names = d.Matcher([(1, item), (2, item + "b"), (3, "a a a")]).scan("a " * 50_000 + "c")
+    assert (n, hits, names) == (50_001, [(0, 49_999)], {"1", "2", "3"})

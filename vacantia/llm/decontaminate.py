@@ -1,9 +1,11 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised questions and answers.
 
 Text is normalised by lower-casing A-Z and turning every ASCII character other than a letter or digit into a break, so
-a word is a run of ASCII letters, digits and non-ASCII characters. Each window of 13 consecutive item words (or the
-whole item, when it has fewer) is one pattern; documents are scanned once, whole, and every match is mapped back to
-words and to character offsets of the original text.
+a word is a run of ASCII letters, digits and non-ASCII characters. A window is 13 consecutive item words, or the
+whole item when it has fewer. Item words are numbered, and the automaton's letters are digits of these numbers. Every window of 13 holds one of the item's
+blocks of 7 words that begin at a multiple of 7, so the patterns are these blocks (and whole short items): the automaton grows with the
+benchmark's words, not with its windows. A document is scanned once, whole; around each block found, the text's windows are looked up among the
+windows of the items and compared with them, and hits are mapped back to words and to character offsets of the original text.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; an item
 listed twice counts once; a null item_id still marks words but is not named; an empty benchmark contaminates nothing;
@@ -13,18 +15,23 @@ documents keep every column and every repeated row.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia.llm.common import cut_lineage, free_name
+from vacantia.llm import shingles
+from vacantia.llm.common import cut_lineage, free_name, release
 
 WINDOW = 13
-#: Text bytes of the benchmark that one automaton may cover; a larger benchmark takes one scan for each such share.
-AUTOMATON_BYTES = 32 << 20
+#: Letters of one place of a word's number in the automaton; few, as its nodes search their links one by one.
+BASE = 128
+#: Text bytes of the benchmark that one automaton may cover; a larger benchmark takes one scan for each such share. A megabyte of text of distinct
+#: words makes about 25 MB of automaton and tables in a worker.
+AUTOMATON_BYTES = 10 << 20
 SCAN = (
     "n_words bigint, hits array<struct<first:bigint,last:bigint>>, items array<string>, "
     "spans array<struct<start:bigint,stop:bigint>>"
@@ -38,45 +45,106 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def _joined(words: list[bytes]) -> str:
-    return (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
-
-
-def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[str, tuple[int, set[str]]]:
-    """Pattern to (number of words, names of the items it occurs in)."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item_id, text in items:
+class Matcher:
+    """The automaton and the window table of benchmark items (item_id, text)."""
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        self.window, self.block = window, (window + 1) // 2
+        distinct = {(None if i is None else str(i), tuple(words_of(text))) for i, text in items}
+        given = sorted(((name, words) for name, words in distinct if words), key=repr)
+        numbers: dict[bytes, int] = {}
+        self.ids = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int32) for _, words in given]
+        self.names = [name for name, _ in given]
+        self.digits = next(k for k in range(1, 10) if BASE**k > len(numbers))
+        self.numbers = numbers
+        # each place of a number has letters of its own, so a match begins and ends between words
+        self.letters = letters = ["".join(chr(k * BASE + n // BASE**k % BASE) for k in range(self.digits)) for n in range(len(numbers) + 1)]
+        self.automaton, self.short = ahocorasick.Automaton(), []
+        hashes, places = [], []
+        for k, ids in enumerate(self.ids):
+            if len(ids) < window:
+                pattern = "".join(letters[n] for n in ids.tolist())
+                known = self.automaton.get(pattern, None)
+                if known is None:
+                    self.short.append([])
+                    self.automaton.add_word(pattern, len(self.short) - 1)
+                    known = len(self.short) - 1
+                self.short[known].append((k, len(ids)))
+                continue
+            rolling = shingles.rolled(shingles.mixed(ids.astype(np.uint64)), window)
+            hashes.append(rolling)
+            places.append(np.stack([np.full(len(rolling), k), np.arange(len(rolling))]))
+        for ids in self.ids:
+            for at in range(0, len(ids) - self.block + 1, self.block) if len(ids) >= window else ():
+                pattern = "".join(letters[n] for n in ids[at : at + self.block].tolist())
+                if pattern not in self.automaton:
+                    self.automaton.add_word(pattern, -1)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.places = (np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64))[:, order].astype(np.int32)
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """(number of words, merged runs of hit words as (first, last), items with an occurring window)."""
         words = words_of(text)
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if words else 0):
-            names = found.setdefault(_joined(words[i : i + size]), (size, set()))[1]
-            if item_id is not None:
-                names.add(str(item_id))
-    return found
-
-
-def automaton(patterns: dict[str, tuple[int, set[str]]]) -> ahocorasick.Automaton:
-    built = ahocorasick.Automaton()
-    for pattern, (size, names) in patterns.items():
-        built.add_word(pattern, (len(pattern), size, tuple(names)))
-    built.make_automaton()
-    return built
-
-
-def scan_text(found: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """(number of words, merged runs of hit words as (first, last), items with an occurring window)."""
-    words = words_of(text)
-    if not words:
-        return 0, [], set()
-    normal = _joined(words)
-    matches = list(found.iter(normal)) if len(found) else []
-    if not matches:
-        return len(words), [], set()
-    starts = np.cumsum([0] + [len(w) + 1 for w in normal.split(" ")[1:-2]])
-    ends = np.array([end for end, _ in matches])
-    firsts = np.searchsorted(starts, ends + 1 - np.array([v[0] for _, v in matches]))
-    lasts = firsts + np.array([v[1] for _, v in matches]) - 1
-    return len(words), merged(zip(firsts.tolist(), lasts.tolist(), strict=True)), {n for _, v in matches for n in v[2]}
+        if not words or not len(self.automaton):
+            return len(words), [], set()
+        get, letters, step = self.numbers.get, self.letters, self.digits
+        matches = list(self.automaton.iter("".join([letters[get(w, 0)] for w in words])))
+        if not matches:
+            return len(words), [], set()
+        runs, names = [], set()
+        last = np.array([end for end, _ in matches]) // step
+        value = np.array([v for _, v in matches])
+        for end, known in zip(last[value >= 0].tolist(), value[value >= 0].tolist(), strict=True):
+            for item, n in self.short[known]:
+                runs.append((end - n + 1, end))
+                names.add(self.names[item])
+        runs += self._windows(words, np.unique(last), names)  # a short item may be a block of a long one too
+        names.discard(None)
+        return len(words), merged(runs), names
+
+    def _windows(self, words: list[bytes], ends: np.ndarray, names: set) -> list[tuple[int, int]]:
+        """Item windows of the text around blocks that end at the given words."""
+        if not len(self.hashes) or len(words) < self.window:
+            return []
+        starts = np.unique((ends[:, None] - np.arange(self.block - 1, self.window)[None, :]).ravel())
+        starts = starts[(starts >= 0) & (starts <= len(words) - self.window)]
+        if not len(starts):
+            return []
+        number = self.numbers.get
+        ids = np.array([number(w, 0) for w in words], np.int32)
+        own = shingles.rolled(shingles.mixed(ids.astype(np.uint64)), self.window)[starts]
+        low = np.searchsorted(self.hashes, own)
+        high = np.searchsorted(self.hashes, own, side="right")
+        runs = []
+        seen: dict[int, bool] = {}
+        for at, a, b in zip(starts.tolist(), low.tolist(), high.tolist(), strict=True):
+            if a == b:
+                continue
+            if a not in seen:  # equal windows of the text share the look at the items
+                mine, seen[a] = ids[at : at + self.window], False
+                for k, q in self.places[:, a:b].T.tolist():
+                    if np.array_equal(self.ids[k][q : q + self.window], mine):
+                        seen[a] = True
+                        names.add(self.names[k])
+            if seen[a]:
+                runs.append((at, at + self.window - 1))
+        return runs
+
+
+_held: dict[str, Matcher] = {}
+
+
+def matcher(items) -> Matcher:
+    """The matcher of the broadcast (name, items, window), built once in a Python worker; only the newest is held."""
+    name, given, window = items.value
+    if name not in _held:
+        _held.clear()
+        _held[name] = Matcher(given, window)
+    return _held[name]
 
 
 def merged(runs) -> list[tuple[int, int]]:
@@ -94,37 +162,42 @@ def _spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(places[first][0], places[last][1]) for first, last in hits]
 
 
-def _scanner(patterns, earlier: bool) -> Callable:
-    """A scalar UDF over (text) or (text, earlier result); the automaton is built once for each task."""
+_SCANNED = pa.struct(
+    [
+        ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string())),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+    ]
+)
+
 
-    def rows(found, texts, before):
-        for text, old in zip(texts, before, strict=True):
-            n, hits, names = scan_text(found, text)
-            if old is not None:
-                hits = merged([*hits, *((h["first"], h["last"]) for h in old[0])])
-                names |= set(old[1])
-            yield n, [{"first": a, "last": b} for a, b in hits], sorted(names), [
-                {"start": a, "stop": b} for a, b in _spans(text, hits)
-            ] if hits else []
+def _scanned(found: Matcher, text: str | None, old: dict | None) -> dict:
+    n, hits, names = found.scan(text)
+    if old is not None:
+        hits = merged([*hits, *((h["first"], h["last"]) for h in old["hits"])])
+        names |= set(old["items"])
+    spans = [{"start": a, "stop": b} for a, b in _spans(text, hits)] if hits else []
+    return {"n_words": n, "hits": [{"first": a, "last": b} for a, b in hits], "items": sorted(names), "spans": spans}
 
-    def frame(found, texts, before) -> pd.DataFrame:
-        return pd.DataFrame(list(rows(found, texts, before)), columns=["n_words", "hits", "items", "spans"])
 
+def _scanner(items, earlier: bool) -> Callable:
+    """A scalar UDF over (text) or (text, earlier result)."""
     if earlier:
 
-        @F.pandas_udf(SCAN)
-        def again(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-            found = automaton(patterns.value)
+        @F.arrow_udf(SCAN)
+        def again(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            found = matcher(items)
             for texts, old in batches:
-                yield frame(found, texts.tolist(), list(zip(old["hits"], old["items"], strict=True)))
+                yield pa.array([_scanned(found, t.as_py(), o.as_py()) for t, o in zip(texts, old, strict=True)], _SCANNED)
+            release()
 
         return again
 
-    @F.pandas_udf(SCAN)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = automaton(patterns.value)
+    @F.arrow_udf(SCAN)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = matcher(items)
         for texts in batches:
-            yield frame(found, texts.tolist(), [None] * len(texts))
+            yield pa.array([_scanned(found, t.as_py(), None) for t in texts], _SCANNED)
+        release()
 
     return scan
 
@@ -134,8 +207,8 @@ def scanned(
 ) -> DataFrame:
     """Documents with a struct column ``name``: n_words, hits, items, spans of the original text.
 
-    The patterns are broadcast only as far as their measured size stays below ``automaton_bytes``. A larger benchmark is
-    dealt into that many shares by hash and the documents are scanned once for each; the hits are united, so the result is the same.
+    The items' texts are broadcast up to ``automaton_bytes``, counted first. A larger benchmark is dealt into that many shares by hash and
+    the documents are scanned once for each; the hits are united, so the result is the same.
     """
     spark = documents.sparkSession
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
@@ -144,11 +217,11 @@ def scanned(
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(shares))
     for k in range(shares):
         part = [tuple(r) for r in items.where(share == k).collect()]
-        patterns = spark.sparkContext.broadcast(windows_of(part, window))
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, part, window))
         if k:
             documents = cut_lineage(documents)
         columns = [F.col("text")] + [F.col(name)] * bool(k)
-        documents = documents.withColumn(name, _scanner(patterns, bool(k))(*columns))
+        documents = documents.withColumn(name, _scanner(held, bool(k))(*columns))
     return documents
 
 
