@@ -92,3 +92,15 @@ def test_without_labels_or_documents(spark):
     assert [r["score"] for r in q.scored(docs, spark.createDataFrame([], schema), "score").collect()] == [1.0, 1.0]
     assert [r["score"] for r in q.scored(docs, spark.createDataFrame([(1, 0, 0)], schema), "score").collect()] == [0.0, 0.0]
     assert q.scored(documents(spark, []), spark.createDataFrame([(1, 0, 0)], schema), "score").count() == 0
+
+
+def test_training_is_bounded_by_lines_and_takes_a_document_once(spark):
+    texts, labels = corpus()
+    docs = documents(spark, texts + [(600, "good line here.\n" * 1_000_000), (604, "x\n" * 3000)] + [(3, texts[3][1])] * 3000 + [(8, "other row of an id")])
+    known = spark.createDataFrame([(*x, 0) for x in labels] + [(600, 1, 0), (604, 0, 0)], "doc_id long, quality int, toxic int")
+    plain = q.train(documents(spark, texts + [(8, "other row of an id")]), known)
+    chain = q.train(docs, known)
+    assert np.allclose(chain.weights, plain.weights) and np.allclose(chain.steps, plain.steps)
+    few = q.train(docs, known, train_lines=60)
+    assert isinstance(few, q.Chain) and not np.allclose(few.weights, plain.weights)
+    assert q.train(docs, known, train_lines=0) == 1.0

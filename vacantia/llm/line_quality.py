@@ -7,8 +7,9 @@ the document's quality through a logistic curve fitted on document labels.
 Only document labels exist, so lines are labelled in rounds: first each line as its document; then, in bad documents, each line as the fitted
 chain sees it, at least the worst line staying bad; and the chain is fitted again.
 
-Training uses a bounded sample: the ``SAMPLE_DOCS`` labelled documents of each class that come first in a hash order of doc_id, whole.
-Only their feature rows reach the driver. Scoring is one pass over all documents without a shuffle.
+Training uses a bounded sample: of the ``SAMPLE_DOCS`` labelled documents of each class that come first in a hash order of doc_id, those of at most
+``MAX_LINES`` lines, whole, as many as ``TRAIN_LINES`` lines hold; of a repeated doc_id one row. Only their feature rows reach
+the driver. Scoring is one pass over all documents without a shuffle.
 
 Defined results: null or empty text is one empty line and gets a score like any other; a document labelled more than once counts as its
 lowest label; null labels are ignored; without labels of both classes every score is the share of label 1, or 1 with no label at all; every row and
@@ -22,13 +23,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia.llm.common import free_name
+from vacantia.llm.common import cut_lineage, free_name, lean, release, slices
 
 SAMPLE_DOCS = 2500
+#: A labelled document of more lines is not trained on.
+MAX_LINES = 2000
+#: Lines that training looks at, half of them from each class.
+TRAIN_LINES = 200_000
 THRESHOLD = 0.7
 ROUNDS = 3
 _UPPER = bytes(range(65, 91))
@@ -210,7 +214,7 @@ def is_held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 4) == 2
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain | float:
+def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, train_lines: int = TRAIN_LINES) -> Chain | float:
     """The chain, or a constant score where labels of both classes are missing."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
@@ -219,16 +223,28 @@ def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     chosen = first[0].unionByName(first[1])  # at most 2 * sample_docs rows of two numbers
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             found = [line_features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary()), batch.column(1), batch.column(2)],
-                ["features", "lengths", "label", "doc_id"],
+                [pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary()), *batch.columns[1:]],
+                ["features", "lengths", "label", "doc_id", "n_lines", "place"],
             )
 
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", F.col("doc_id").cast("bigint"))
-    rows = texts.mapInArrow(describe, "features binary, lengths binary, label int, doc_id bigint").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.where(n_lines <= MAX_LINES).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    counted = texts.select("text", "label", "doc_id", n_lines.cast("bigint").alias("n_lines"), F.xxhash64(F.lit(11), "doc_id").alias("place"))
+    described = cut_lineage(counted.mapInArrow(lean(describe), "features binary, lengths binary, label int, doc_id bigint, n_lines bigint, place bigint"))
+    used = []
+    for y in (0, 1):  # in hash order, as many whole documents as fit
+        left = train_lines // 2
+        for r in described.where(F.col("label") == y).select("doc_id", "n_lines", "place").orderBy("place", "doc_id").collect():
+            if r["n_lines"] <= left:
+                used.append((r["doc_id"],))
+                left -= r["n_lines"]
+    spark = documents.sparkSession
+    rows = described.join(F.broadcast(spark.createDataFrame(used, "doc_id bigint")), "doc_id").select("features", "lengths", "label", "doc_id").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     given = [r["label"] for r in rows]
     if len(set(given)) < 2:
         return float(given[0]) if given else 1.0
@@ -239,14 +255,17 @@ def scored(documents: DataFrame, labels: DataFrame, name: str, **options) -> Dat
     """Documents with a column ``name``: the quality of the whole text, 0 to 1."""
     chain = documents.sparkSession.sparkContext.broadcast(train(documents, labels, **options))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = chain.value
-        for texts in batches:
-            if isinstance(model, float):
-                yield pd.Series([model] * len(texts), dtype="float64")
-            else:
-                yield pd.Series([model.quality(model.mean(*line_features(t))) for t in texts.tolist()], dtype="float64")
+        try:
+            for texts in batches:
+                if isinstance(model, float):
+                    yield pa.array([model] * len(texts), pa.float64())
+                else:  # one text at a time becomes a Python value
+                    yield pa.array((model.quality(model.mean(*line_features(t.as_py()))) for t in texts), pa.float64())
+        finally:
+            release()
 
     return documents.withColumn(name, score("text"))
 
