@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vacantia.session import cut_lineage
@@ -69,6 +68,8 @@ def in_ranges(rows: DataFrame, order: str, target_rows: int, name: str = "_chunk
     The ends come from a quantile sketch, so values that bunch up get narrow ranges. Rows of equal order stay together. Only the sizes of the
     ranges depend on the sketch; what is computed from them does not.
     """
+    from pyspark.ml.feature import Bucketizer  # only here: Python workers that import this module need not carry it
+
     n = rows.count()
     k = -(-n // max(1, target_rows))
     if k <= 1:
