@@ -86,3 +86,17 @@ def test_empty_tables(spark):
     only_held = next(i for i in range(100) if held_out(i))
     out = p.scores(documents(spark, [(only_held, "a b")])).collect()
     assert [(r["n_known"], r["train_tokens"], r["n_tokens"]) for r in out] == [(0, 0, 3)]
+
+
+def test_counts_are_merged_in_steps_and_never_clipped(spark, monkeypatch):
+    docs = p.prepared(documents(spark, corpus()).repartition(40))
+    monkeypatch.setattr(p, "FAN_IN", 3)
+    steps, whole = (sorted(p.counted(docs, 2, n).toPandas().itertuples(index=False), key=lambda r: r.shard) for n in (40, 1))
+    assert [tuple(r) for r in steps] == [tuple(r) for r in whole]
+    assert sum(r.tokens for r in steps) == sum(len(tokens(t)) for _, t in corpus())
+    one = np.array([7], np.uint64), np.array([1], np.uint32), np.array([3], np.uint16)
+    merged = p._merged([(*one, np.array([2**32 - 1], np.uint32)), (*one, np.array([5], np.uint32))])[2]
+    assert merged.tolist() == [2**32 + 4]
+    packed = [x.tobytes() for x in (*one, p.narrow(merged))]
+    assert p._unpack(*packed)[3].tolist() == [2**32 + 4] and p._unpack(*packed[:3], p.narrow(np.array([9])).tobytes())[3].tolist() == [9]
+    assert p._merged([p._unpack(*packed), (*one, np.array([5], np.uint32))])[2].tolist() == [2**32 + 9]

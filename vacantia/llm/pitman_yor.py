@@ -9,11 +9,13 @@ base over the known tokens and one unknown token:
 
 Seating is sampled by blocked Gibbs: given all others, the tables of one word in one restaurant have probability proportional to
 S(c_w, t) ((s + d t_all) p(w))^t with generalised Stirling numbers S. They are drawn exactly up to ``EXACT`` customers; further
-customers sit down in blocks, each opening a binomial number of tables. Totals of a restaurant are kept fixed within a sweep and brought
-up to date between sweeps. Probabilities are averaged over the samples after the first sweeps.
+customers sit down in blocks, each opening a binomial number of tables. This departs from a full sampler in three ways: the totals t_all of the restaurants
+and of the root are held fixed during the sweeps of a round and brought up to date once, between the first round and the second; a word's own
+customers stay in its weight; and the tables of the samples after the first sweeps are averaged and give one probability, instead of
+averaging the probabilities of the samples.
 
-As Spark jobs: training documents emit packed (word, context, count) combined per batch, dealt by word into shards of bounded size; a shard is merged,
-sampled in place and becomes a row of the model. Then all documents send packed (word, context, document) to the shards, a hot shard being
+As Spark jobs: training documents emit packed (word, context, count) combined per batch, dealt by word into shards of bounded size; a shard is merged
+step by step, sampled in place and becomes a row of the model. Then all documents send packed (word, context, document) to the shards, a hot shard being
 replicated over several salts, and get partial sums back, added up per batch. Only totals of a fixed size (``RESTAURANTS``) and single sums
 reach the driver or are broadcast; all counts cover all training documents.
 
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia.llm import shingles
-from vacantia.llm.common import cut_lineage
+from vacantia.llm.common import cut_lineage, lean, release, slices
 from vacantia.llm.line_quality import remainder
 
 RESTAURANTS = 1 << 16
@@ -41,6 +43,8 @@ RESTAURANTS = 1 << 16
 SHARD_BYTES = 20 << 20
 BATCH_BYTES = 6 << 20
 TASK_TOKENS = 10_000_000
+#: Partial counts that are merged at once.
+FAN_IN = 256
 STRENGTH = 1.0
 EXACT = 64
 BURN_IN, SAMPLES = 2, 3
@@ -84,7 +88,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, lis
     """(batch number, doc ids, texts, held-out flags) of bounded text size; the numbers are the same in every run of the task."""
     number = TaskContext.get().partitionId() << 32
     ids, texts, held, size = [], [], [], 0
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch)):
         for doc_id, text, out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             ids.append(doc_id)
             texts.append(text)
@@ -109,45 +113,65 @@ def _rows(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
 # Counting ----------------------------------------------------------------------------------------------------------------
 
 
-def counted(documents: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard: sorted words, number of contexts of each, contexts (sorted within a word) and their counts."""
+def counted(documents: DataFrame, shards: int, batches: int = 1) -> DataFrame:
+    """One row for each shard: sorted words, number of contexts of each, contexts (sorted within a word) and their counts in training, and ``tokens``,
+    how many tokens of all documents fall into the shard.
+
+    Partial counts of a shard are merged in steps of at most about FAN_IN, so a group stays small when one word is everywhere; ``batches`` is about
+    how many there are.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts, _ in _batches(batches):
-            tokens, contexts, _ = tokens_of(texts)
-            words, place = np.unique(tokens, return_inverse=True)
-            pairs, counts = np.unique(place.astype(np.uint64) << np.uint64(16) | contexts, return_counts=True)
+        for number, _, texts, held in _batches(batches):
+            tokens, contexts, counts = tokens_of(texts)
+            every = np.bincount(_shard_of(tokens, shards), minlength=shards)
+            training = np.repeat(~np.array(held, bool), counts)
+            words, place = np.unique(tokens[training], return_inverse=True)
+            pairs, counts = np.unique(place.astype(np.uint64) << np.uint64(16) | contexts[training], return_counts=True)
             owner = (pairs >> np.uint64(16)).astype(np.int64)
             sizes = np.bincount(owner, minlength=len(words))
             shard = _shard_of(words, shards)
             at = np.searchsorted(shard, np.arange(shards + 1))
             pair_at = np.concatenate([[0], np.cumsum(sizes)])[at]
-            rows: dict[str, list] = {c: [] for c in ("shard", *_COUNTS)}
-            for s in np.flatnonzero(np.diff(at)).tolist():
+            rows: dict[str, list] = {c: [] for c in ("shard", "part", "tokens", *_COUNTS)}
+            for s in np.flatnonzero(every).tolist():
                 a, b, p, q = at[s], at[s + 1], pair_at[s], pair_at[s + 1]
-                rows["shard"].append(s)
-                rows["words"].append(words[a:b].tobytes())
-                rows["sizes"].append(sizes[a:b].astype(np.uint32).tobytes())
-                rows["contexts"].append((pairs[p:q] & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                rows["counts"].append(counts[p:q].astype(np.uint32).tobytes())
-            yield _rows({c: (pa.int32() if c == "shard" else pa.binary(), v) for c, v in rows.items()})
+                values = (words[a:b], sizes[a:b].astype(np.uint32), (pairs[p:q] & np.uint64(0xFFFF)).astype(np.uint16), counts[p:q].astype(np.uint32))
+                for c, v in zip(rows, (s, number, int(every[s]), *(x.tobytes() for x in values)), strict=True):
+                    rows[c].append(v)
+            yield _rows({c: (_PART.get(c, pa.binary()), v) for c, v in rows.items()})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(*row) for row in frame[list(_COUNTS)].itertuples(index=False)]
         words, pairs, counts = _merged(parts)
         sizes = np.bincount((pairs >> np.uint64(16)).astype(np.int64), minlength=len(words)).astype(np.uint32)
-        row = (int(frame["shard"].iloc[0]), words.tobytes(), sizes.tobytes(), (pairs & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), counts.tobytes())
-        return pd.DataFrame([row], columns=["shard", *_COUNTS])
-
-    schema = "shard int, words binary, sizes binary, contexts binary, counts binary"
-    return cut_lineage(documents.where("not held").mapInArrow(emit, schema).groupBy("shard").applyInPandas(merge, schema))
+        first = frame.iloc[0]
+        row = (int(first["shard"]), int(first["part"]), int(frame["tokens"].sum()), words.tobytes(), sizes.tobytes(), (pairs & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), narrow(counts).tobytes())
+        release()
+        return pd.DataFrame([row], columns=["shard", "part", "tokens", *_COUNTS])
+
+    schema = "shard int, part bigint, tokens bigint, words binary, sizes binary, contexts binary, counts binary"
+    partial = documents.mapInArrow(lean(emit), schema)
+    parts = -(-batches // FAN_IN)
+    while True:
+        dealt = partial.withColumn("part", F.pmod(F.xxhash64(F.lit(parts), "part"), F.lit(parts)))
+        partial = cut_lineage(dealt.groupBy("shard", "part").applyInPandas(merge, schema))
+        if parts == 1:
+            return partial.drop("part")
+        parts = -(-parts // FAN_IN)
 
 
 _COUNTS = ("words", "sizes", "contexts", "counts")
+_PART = {"shard": pa.int32(), "part": pa.int64(), "tokens": pa.int64()}
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes while all fit, else in eight; the number of contexts tells which."""
+    return counts.astype(np.uint64 if len(counts) and counts.max() >= 1 << 32 else np.uint32)
 
 
 def _unpack(words: bytes, sizes: bytes, contexts: bytes, counts: bytes) -> tuple[np.ndarray, ...]:
-    kinds = (np.uint64, np.uint32, np.uint16, np.uint32)
+    kinds = (np.uint64, np.uint32, np.uint16, np.uint32 if len(counts) == 2 * len(contexts) else np.uint64)
     return tuple(np.frombuffer(x, k) for x, k in zip((words, sizes, contexts, counts), kinds, strict=True))
 
 
@@ -155,11 +179,11 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray
     """(words, pair keys word place << 16 | context, counts) over all parts of a shard."""
     words = np.unique(np.concatenate([p[0] for p in parts]))
     keys = [np.repeat(np.searchsorted(words, w), s).astype(np.uint64) << np.uint64(16) | c for w, s, c, _ in parts]
-    keys, counts = np.concatenate(keys), np.concatenate([p[3] for p in parts])
+    keys, counts = np.concatenate(keys), np.concatenate([p[3] for p in parts])  # of eight bytes if one part has them
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return words, keys[first], np.minimum(np.add.reduceat(counts.astype(np.uint64), first), 0xFFFFFFFF).astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return words, keys[first], np.add.reduceat(counts, first, dtype=np.uint64) if len(first) else counts
 
 
 # Seating -----------------------------------------------------------------------------------------------------------------
@@ -284,12 +308,12 @@ def first_totals(counts: DataFrame) -> Totals:
                 scalars = [len(words), (n == 1).sum(), (n == 2).sum(), (sizes == 1).sum(), (sizes == 2).sum()]
                 yield _total_rows(customers, np.bincount(contexts, minlength=RESTAURANTS).astype(float), [float(x) for x in scalars])
 
-    customers, tables, more = _summed(counts.mapInArrow(describe, _TOTAL))
+    customers, tables, more = _summed(counts.mapInArrow(lean(describe), _TOTAL))
     known, ones, twos, root_ones, root_twos = (more.get(i, 0.0) for i in range(5))
     return Totals(customers, tables, float(tables.sum()), known, int(known), _discount(ones, twos), _discount(root_ones, root_twos))
 
 
-_MODEL = "shard int, words binary, sizes binary, contexts binary, counts binary, tables binary, root_customers binary, root_tables binary"
+_MODEL = "shard int, tokens bigint, words binary, sizes binary, contexts binary, counts binary, tables binary, root_customers binary, root_tables binary"
 
 
 def model(counts: DataFrame, totals: Totals, seed: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
@@ -303,9 +327,9 @@ def model(counts: DataFrame, totals: Totals, seed: int, burn_in: int = BURN_IN,
                 tables, customers, root_tables = seat(shard, held.value, [seed, row["shard"]], burn_in, samples)
                 row["tables"] = tables[shard[3] > 1].astype(np.float32).tobytes()
                 row["root_customers"], row["root_tables"] = customers.astype(np.float64).tobytes(), root_tables.astype(np.float32).tobytes()
-                yield _rows({c: (pa.int32() if c == "shard" else pa.binary(), [row[c]]) for c in (x.split()[0] for x in _MODEL.split(", "))})
+                yield _rows({c: (_PART.get(c, pa.binary()), [row[c]]) for c in (x.split()[0] for x in _MODEL.split(", "))})
 
-    return cut_lineage(counts.mapInArrow(sample, _MODEL))
+    return cut_lineage(counts.mapInArrow(lean(sample), _MODEL))
 
 
 def _all_tables(counts: np.ndarray, tables: bytes) -> np.ndarray:
@@ -325,13 +349,13 @@ def updated(seated: DataFrame, totals: Totals) -> Totals:
                 scalars = [np.frombuffer(row["root_customers"]).sum(), np.frombuffer(row["root_tables"], np.float32).sum(dtype=np.float64)]
                 yield _total_rows(np.bincount(contexts, n, RESTAURANTS), tables, [float(x) for x in scalars])
 
-    customers, tables, more = _summed(seated.mapInArrow(describe, _TOTAL))
+    customers, tables, more = _summed(seated.mapInArrow(lean(describe), _TOTAL))
     return Totals(customers, tables, more.get(0, 0.0), more.get(1, 0.0), totals.known, totals.discount, totals.root_discount)
 
 
-def trained(documents: DataFrame, shards: int, seed: int = 1) -> tuple[DataFrame, Totals]:
+def trained(documents: DataFrame, shards: int, seed: int = 1, batches: int = 1) -> tuple[DataFrame, Totals]:
     """The model and its totals; two rounds of sweeps, with totals brought up to date in between."""
-    counts = counted(documents, shards)
+    counts = counted(documents, shards, batches)
     totals = first_totals(counts)
     totals = updated(model(counts, totals, seed, 1, 1), totals)
     seated = model(counts, totals, seed + 1)
@@ -398,7 +422,7 @@ def requests(documents: DataFrame, shards: int) -> DataFrame:
             kinds = {"batch": pa.int64(), "shard": pa.int32()}
             yield _rows({c: (kinds.get(c, pa.binary()), v) for c, v in rows.items()})
 
-    return documents.mapInArrow(emit, _ASKED)
+    return documents.mapInArrow(lean(emit), _ASKED)
 
 
 def _to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -415,8 +439,9 @@ def prepared(documents: DataFrame) -> DataFrame:
 def scores(documents: DataFrame, shard_bytes: int = SHARD_BYTES, task_tokens: int = TASK_TOKENS, seed: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents."""
     rows = prepared(documents)
-    shards = int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes) + 1
-    seated, totals = trained(rows, shards, seed)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = int(size // shard_bytes) + 1
+    seated, totals = trained(rows, shards, seed, int(size // BATCH_BYTES) + 1)
     held = documents.sparkSession.sparkContext.broadcast(totals)
 
     def score(asked: pd.DataFrame, model_rows: pd.DataFrame) -> pd.DataFrame:
@@ -431,6 +456,7 @@ def scores(documents: DataFrame, shard_bytes: int = SHARD_BYTES, task_tokens: in
             base = np.log((count + 0.5) / (totals.tokens + 0.5 * (totals.known + 1))) / _LOG10
             sums = [np.bincount(place, x, len(used)) for x in (np.log(p) / _LOG10, base, count > 0)]
             out.append((row.batch, used.tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes(), row.meta))
+        release()
         return pd.DataFrame(out, columns=[c.split()[0] for c in _ANSWER.split(", ")])
 
     def add_up(answers: pd.DataFrame) -> pd.DataFrame:
@@ -443,8 +469,7 @@ def scores(documents: DataFrame, shard_bytes: int = SHARD_BYTES, task_tokens: in
         frame = pd.DataFrame({"doc_id": pd.array(meta["doc_id"].to_pylist(), dtype="Int64"), "held_out": meta["held_out"].to_pylist(), "n_tokens": meta["n_tokens"].to_pylist()})
         return frame.assign(n_known=sums[0].astype(np.int64), base_score=sums[1], score=sums[2])
 
-    task_bytes = 4 * task_tokens  # of packed counts
-    salts = seated.select("shard", F.ceil(F.octet_length("counts") / task_bytes).cast("int").alias("salts"))
+    salts = seated.select("shard", F.ceil(F.col("tokens") / task_tokens).cast("int").alias("salts"))  # by the tokens that will be asked for
     salts = cut_lineage(salts.where("salts > 1"))
     spread = seated.join(salts, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     asked = requests(rows, shards).join(salts, "shard", "left")
