@@ -73,6 +73,18 @@ def test_a_commit_number_is_given_once(spark):
     assert log._create(1, "{}") and not log._create(1, "{}") and log.numbers() == [1]
 
 
+def test_commits_in_a_store_behind_a_path_only_spark_reads(spark):
+    """The route by a rename without overwriting, through a mount of a local folder."""
+    root = work_dir(spark, "t").removeprefix("file:")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tables.link./in", f"file://{root}")
+    far = "viewfs://tables/in"
+    snapshots.write_snapshot(numbers(spark, 30), far, "t", 1, key="id", buckets=2)
+    log = commits.CommitLog(spark, far)
+    assert not log._create(1, "{}") and log._create(7, "{}") and not log._create(7, "{}") and log.numbers() == [1, 7]
+    assert commits.CommitLog(spark, far).content(1)["number"] == 1
+    assert not [f for f in glob.glob(f"{root}/_commits/.*") if not f.endswith(".crc")]
+
+
 def test_read_buckets_guard_a_change(spark):
     log = commits.CommitLog(spark, work_dir(spark, "t"))
     first = log.commit(log.state(), [commits.Change("t", 1, {b: "a" for b in range(4)}, "id", 4, whole=True)])
