@@ -17,20 +17,20 @@ def test_repeats_are_found_and_the_first_stays(spark):
         (40, "\n".join([" ".join(prose(40, 50))] * 3)), (None, " ".join(prose(50, 45))), (51, " ".join(prose(50, 45))), (60, "é " * 100_000),
     ]
     docs = documents(spark, given)
-    out = p.repeated_paragraphs(docs).collect()
+    out = p.repeated_paragraphs(docs, skip_periodic=True).collect()
     assert {r["doc_id"] for r in out} == {4, 7, 10, 20, 21, None, 51}
     assert {r["doc_id"]: r["kept"] for r in out if not r["is_piece"]} == {4: True, 7: False, 10: False, None: False, 51: True}
     text = dict(given)
     found = [r for r in out if r["doc_id"] == 7][0]
     assert text[7][found["start"] : found["stop"]] == " ".join(near) and (found["first_doc_id"], found["first_start"]) == (4, 0)
     assert all(r["kept"] == (r["doc_id"] == 20) for r in out if r["is_piece"] and r["doc_id"] in (20, 21))
-    cleaned = p.without_repeats(docs)
+    cleaned = p.without_repeats(docs, skip_periodic=True)
     assert cleaned.columns == docs.columns
     after = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     assert after[7] == "start\n" and after[4] == text[4] and after[None] == "" and after[33] is None and after[30] == text[30]
     gone = sum(r["stop"] - r["start"] for r in out if r["doc_id"] == 21)
     assert gone > 80 and len(after[21]) == len(text[21]) - gone and after[20] == text[20]
-    within = p.repeated_paragraphs(docs, within_documents=True).where("doc_id = 40").collect()
+    within = p.repeated_paragraphs(docs, within_documents=True, skip_periodic=True).where("doc_id = 40").collect()
     assert sorted(r["kept"] for r in within) == [False, False, True]
 
 
@@ -78,3 +78,66 @@ def test_links_equal_all_pairs(spark):
 def test_no_documents(spark):
     assert rows(p.repeated_paragraphs(documents(spark, []))) == []
     assert p.without_repeats(documents(spark, [])).count() == 0
+
+
+def test_periodic_text_repeats_too(spark):
+    given = [(31, "short line\n" * 30), (32, "short line\n" * 30), (33, "one " * 60), (34, "x " + "one " * 52 + "y"), (60, "é " * 100_000), (61, "short line\n" * 9)]
+    out = p.repeated_paragraphs(documents(spark, given)).collect()
+    assert {(r["doc_id"], r["kept"]) for r in out} == {(31, True), (32, False), (33, True), (34, False)}
+    assert sorted(r["n_words"] for r in out if r["doc_id"] in (33, 34)) == [52, 60] and len(out) <= 8
+    after = {r["doc_id"]: r["text"].split() for r in p.without_repeats(documents(spark, given)).collect()}
+    assert after[31] == ["short", "line"] * 30 and after[32] == [] and after[34] == ["x", "y"] and len(after[60]) == 100_000 and len(after[61]) == 18
+
+
+def brute_runs(given, n=50):
+    """Words of each document that lie in a run of n words which another document holds too, but those of the first one."""
+    import collections
+
+    held, windows = collections.defaultdict(set), {}
+    for i, text in given:
+        words = text.split()
+        windows[i] = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        for w in windows[i]:
+            held[w].add(i)
+    gone = {}
+    for i, text in given:
+        cut = {k + j for k, w in enumerate(windows[i]) if min(held[w]) < i for j in range(n)}
+        gone[i] = [x for k, x in enumerate(text.split()) if k not in cut]
+    return gone
+
+
+def test_runs_equal_brute_force_on_random_texts(spark):
+    """Texts of shared and own parts without lines or sentences, below paragraph similarity: what is cut is what brute force finds."""
+    import random
+
+    random_ = random.Random(12)
+    pool = [[w.strip(".") for w in prose(900 + i, random_.choice([49, 50, 51, 70, 140]))] for i in range(12)]
+    given = []
+    for i in range(40):
+        parts = []
+        for k in range(3):
+            parts += [w.strip(".") for w in prose(1000 + 10 * i + k, random_.randrange(90, 200))]
+            shared = random_.choice(pool)
+            a = random_.choice([0, 0, random_.randrange(len(shared))])
+            parts += shared[a:]
+        given.append((i, " ".join(parts)))
+    after = {r["doc_id"]: r["text"].split() for r in p.without_repeats(documents(spark, given)).collect()}
+    assert after == brute_runs(given)
+
+
+def test_stretches_leave_out_only_windows_that_come_again():
+    import numpy as np
+
+    random_ = np.random.default_rng(4)
+    for _ in range(200):
+        period = random_.integers(1, 7)
+        words = np.concatenate([random_.integers(0, 3, random_.integers(0, 30)), np.tile(random_.integers(0, 3, period), 40), random_.integers(0, 3, random_.integers(0, 70))]).astype(np.uint64)
+        if len(words) < p.RUN_WORDS:
+            continue
+        asked = random_.random(len(words) - p.RUN_WORDS + 1) < random_.choice([0.7, 1.0])
+        at, last = p._stretches(words, asked)
+        window = lambda i: tuple(words[i : i + p.RUN_WORDS])
+        held = {window(i) for i in at.tolist()}
+        assert set(at.tolist()) <= set(np.flatnonzero(asked).tolist()) and {window(i) for i in np.flatnonzero(asked).tolist()} == held
+        covered = {k for i, j in zip(at.tolist(), last.tolist(), strict=True) for k in range(i, j + 1)}
+        assert covered >= set(np.flatnonzero(asked).tolist()) and all(asked[k] for k in covered)

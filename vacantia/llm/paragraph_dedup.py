@@ -2,7 +2,7 @@
 
 A paragraph is a line of at least ``MIN_WORDS`` words, or shorter lines that follow each other without a blank line and have as many together. Its set holds the distinct shingles of five words; paragraphs of equal sets form a
 class, classes that share a band are compared on full sets (Jaccard 0.8 or more), and components are taken over all links
-(``similar``). Six bands of two values: a pair at similarity 0.8 shares one with probability 0.998.
+(``similar``). Six bands of two values, the minimum and maximum of one permutation: a pair at similarity 0.8 shares one with probability 0.998.
 
 A passage may also stand inside a longer paragraph that is otherwise new, where no measure of the whole paragraph sees it. So paragraphs of more
 than ``LONG_WORDS`` words are also cut into pieces at sentence ends, each of at least ``PIECE_WORDS`` words; the cuts of two copies of a passage
@@ -11,10 +11,16 @@ fall together again after a sentence or two. Pieces take part in the first step
 In what the paragraphs leave, every run of ``RUN_WORDS`` words that stands in several documents is found, whatever lines and sentences it lies in
 (``repeated_runs``): the smallest hash of the ``PIECE_WORDS``-word shingles of such a window depends on the window alone, so documents that share
 a window share it; only windows whose smallest hash repeats are then compared by a 128-bit hash of all their words, and adjoining ones are joined
-to the whole run. Text that repeats fewer than ``SHINGLE`` words over and over is no run and no paragraph of joined lines.
+to the whole run. With ``skip_periodic`` text that repeats fewer than ``SHINGLE`` words over and over is no run and no paragraph of joined lines.
+
+What this does not see: a paragraph below ``MIN_WORDS`` words that no lines join; and a passage of 20 to 49 words inside a paragraph of at most
+``LONG_WORDS`` words that is otherwise new, unless both paragraphs reach the similarity.
+
+A text is read twice: once for its paragraphs, pieces and smallest window hashes, and, where some of these repeat, for the windows.
 
 In each component the occurrence in the smallest (doc_id, place) stays and all others are removed. Components that lie within one
-document are left alone unless ``within_documents`` is set.
+document are left alone unless ``within_documents`` is set. Of runs all places in the first document stay, with ``within_documents`` only those
+that overlap the first place.
 
 Defined results: null, empty and short-lined text has no paragraphs and stays as it is; a null doc_id comes last, so its
 paragraphs are removed before others; rows with one doc_id are one document, in which later repeats go too; no documents give no rows.
@@ -27,10 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vacantia.llm import shingles, similar
-from vacantia.llm.common import cut_lineage, free_name, likely
+from vacantia.llm.common import cut_lineage, free_name, lean, likely, slices, small_batches
 from vacantia.operators.skew import lookup_join
 
 MIN_WORDS = 20
@@ -40,18 +47,19 @@ RUN_WORDS = 50
 SHINGLE = 5
 PERCENT = 80
 BANDS = 6
-PERMUTATIONS_PER_BAND = 1
 NO_ID = (1 << 63) - 1
-_UNIT = "doc_id bigint, start bigint, stop bigint, n_words bigint, node binary, bands array<bigint>"
+_UNIT = "doc_id bigint, start bigint, stop bigint, n_words bigint, node binary, bands array<bigint>, marks array<bigint>"
 
 
-def places_of(text: str, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, data: bytes) -> list[tuple[int, int, bool]]:
+def places_of(
+    words: np.ndarray, starts: np.ndarray, stops: np.ndarray, data: bytes, skip_periodic: bool = False
+) -> list[tuple[int, int, bool]]:
     """(first word, end word, is a whole paragraph) of each paragraph and piece; starts and stops are byte offsets of the words."""
     lines = np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
     out, joined = [], 0
     for a, b in zip([0, *lines.tolist()], [*lines.tolist(), len(words)], strict=True):
         if not 0 < b - a < MIN_WORDS:
-            if a - joined >= MIN_WORDS and not is_periodic(words[joined:a], a - joined).any():
+            if a - joined >= MIN_WORDS and not (skip_periodic and is_periodic(words[joined:a], a - joined).any()):
                 out.append((joined, a, True))
             joined = b
         if b - a >= MIN_WORDS:
@@ -65,7 +73,7 @@ def places_of(text: str, words: np.ndarray, starts: np.ndarray, stops: np.ndarra
                         cut = end
                 if cut > a and b - cut >= PIECE_WORDS:
                     out.append((cut, b, False))
-    if len(words) - joined >= MIN_WORDS and not is_periodic(words[joined:], len(words) - joined).any():
+    if len(words) - joined >= MIN_WORDS and not (skip_periodic and is_periodic(words[joined:], len(words) - joined).any()):
         out.append((joined, len(words), True))
     return out
 
@@ -89,43 +97,74 @@ def least_hashes(words: np.ndarray) -> np.ndarray:
     return low
 
 
-def units(documents: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(doc_id, start, stop, n_words, node, bands) of every paragraph and piece; start and stop are character offsets; pieces have no bands."""
+def units(documents: DataFrame, bands: int = BANDS, skip_periodic: bool = False) -> DataFrame:
+    """(doc_id, start, stop, n_words, node, bands, marks): every paragraph and piece, and for each text a row with only its ``marks``, the distinct least
+    hashes of its windows; start and stop are character offsets; pieces have no bands."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             rows: list[tuple] = []
+            held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += _units_of(NO_ID if doc_id is None else doc_id, text or "", bands)
-                if len(rows) >= 5000:
+                own = _units_of(NO_ID if doc_id is None else doc_id, text or "", bands, skip_periodic)
+                rows += own
+                held += len(own) + (len(own[-1][6]) // 8 if own and own[-1][6] is not None else 0)
+                if held >= 5000:
                     yield _unit_batch(rows)
-                    rows = []
+                    rows, held = [], 0
             yield _unit_batch(rows)
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(find, _UNIT)
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(find), _UNIT)
 
 
 def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _UNIT.split(", ")])
 
 
-def _units_of(doc_id: int, text: str, bands: int) -> list[tuple]:
+def _units_of(doc_id: int, text: str, bands: int, skip_periodic: bool) -> list[tuple]:
     data = text.encode("utf-8", "surrogatepass").lower()
     words, starts, stops = shingles.words_with_places(data)
-    if len(words) < MIN_WORDS:
-        return []
-    chars = None if len(data) == len(text) else np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-    rolled = shingles.rolled(words, SHINGLE)
+    places = places_of(words, starts, stops, data, skip_periodic) if len(words) >= MIN_WORDS else []
     out = []
-    for a, b, whole in places_of(text, words, starts, stops, data):
-        values = np.unique(rolled[a : b - SHINGLE + 1])
-        start, stop = int(starts[a]), int(stops[b - 1])
-        if chars is not None:
-            start, stop = int(chars[start]), int(chars[stop])
-        hashes = similar.band_hashes(values, bands, PERMUTATIONS_PER_BAND) if whole else None
-        out.append((doc_id, start, stop, b - a, bytes.fromhex(similar.class_of(values)), hashes))
+    if places:
+        first, last = np.array([p[0] for p in places]), np.array([p[1] for p in places])
+        sets, sizes = _distinct(shingles.rolled(words, SHINGLE), first, last - first - SHINGLE + 1)
+        ends = np.cumsum(sizes)
+        whole = np.array([p[2] for p in places])
+        hashes = iter(_bands(sets[np.repeat(whole, sizes)], sizes[whole], bands).tolist())
+        if len(data) != len(text):
+            chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+            starts, stops = chars[starts], chars[stops]
+        raw = sets.tobytes()
+        spans = zip(starts[first].tolist(), stops[last - 1].tolist(), (last - first).tolist(), (ends - sizes).tolist(), ends.tolist(), whole.tolist(), strict=True)
+        out = [(doc_id, a, b, n, xxhash.xxh3_128_digest(raw[8 * p : 8 * q]), next(hashes) if w else None, None) for a, b, n, p, q, w in spans]
+    if len(words) >= RUN_WORDS:
+        low = least_hashes(words)
+        marks = np.unique(low[~is_periodic(words, RUN_WORDS)] if skip_periodic else low).astype(np.int64)
+        out.append((doc_id, None, None, None, None, None, marks))
+    return out
+
+
+def _distinct(rolled: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingles of every place, one place after the other; how many each has)."""
+    unit = np.repeat(np.arange(len(first)), sizes)
+    values = rolled[np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)]
+    order = np.lexsort((values, unit))
+    values, unit = values[order], unit[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (unit[1:] != unit[:-1])
+    return values[new], np.bincount(unit[new], minlength=len(first))
+
+
+def _bands(values: np.ndarray, sizes: np.ndarray, bands: int) -> np.ndarray:
+    """A row of band hashes for each set, of the minimum and maximum under the band's permutation."""
+    out = np.zeros((len(sizes), bands), np.int64)
+    starts = np.cumsum(sizes) - sizes
+    for i in range(bands if len(sizes) else 0):
+        low, high = (f.reduceat(similar.permuted(values, i), starts) for f in (np.minimum, np.maximum))
+        out[:, i] = shingles.mixed(low + shingles.mixed(high ^ np.uint64(i))).astype(np.int64)
     return out
 
 
@@ -136,7 +175,7 @@ def _texts_of(documents: DataFrame, classes: DataFrame) -> similar.Fetch:
         for batch in batches:
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingles.shingle_sets([text[w["start"] : w["stop"]] for w in asked], SHINGLE)
-                yield similar.sent_sets([w["partners"] for w in asked], [w["node"] for w in asked], found)
+                yield from similar.sent_sets([w["partners"] for w in asked], [w["node"] for w in asked], found)
 
     def fetch(wanted: DataFrame) -> DataFrame:
         asked = wanted.join(classes, "node")
@@ -151,26 +190,26 @@ def _by_owner(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _marks(documents: DataFrame) -> DataFrame:
-    """(owner, mark): the distinct least hashes of each text's windows."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = shingles.words_with_places(text.encode("utf-8", "surrogatepass").lower())[0]
-                if len(words) >= RUN_WORDS:
-                    marks = np.unique(least_hashes(words)[~is_periodic(words, RUN_WORDS)]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), owner)), pa.array(marks)], ["owner", "mark"])
-
-    return _by_owner(documents).mapInArrow(find, "owner bigint, mark bigint")
+_WINDOW = "node binary, owner bigint, at bigint, until bigint, start bigint, stop bigint"
 
 
-_WINDOW = "node binary, owner bigint, at bigint, start bigint, stop bigint"
+def _stretches(words: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the asked windows, place of the last window that each stands for). A window equal to one of the SHINGLE - 1 before it, as in text that
+    repeats a few words over and over, is left to the window before these: it repeats where that one does."""
+    same, n_asked = np.zeros(len(asked), bool), np.concatenate([[0], np.cumsum(asked)])
+    for period in range(1, min(SHINGLE, len(asked))):
+        equal = np.concatenate([[0], np.cumsum(words[period:] == words[:-period])])
+        whole = equal[RUN_WORDS:] - equal[:-RUN_WORDS] == RUN_WORDS  # window i + period equals window i
+        same[period:] |= whole[: len(asked) - period] & (n_asked[period + 1 :] - n_asked[: -period - 1] == period + 1)  # with all in between
+    at = np.flatnonzero(asked & ~same)
+    ends = np.flatnonzero(~same)  # a stretch lasts until the next window that is not left to another
+    after = np.append(ends, len(asked))[np.searchsorted(ends, at, side="right")]
+    return at, after - 1
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of (owner, text, marks, gone) with one of the marks and outside the spans that are gone."""
-    for batch in batches:
+    for batch in (part for batch in batches for part in slices(batch)):
         for owner, text, marks, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = text.encode("utf-8", "surrogatepass").lower()
             words, starts, stops = shingles.words_with_places(data)
@@ -184,21 +223,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 free[np.searchsorted(starts, span["start"])] += 1
                 free[np.searchsorted(starts, span["stop"])] -= 1
             taken = np.concatenate([[0], np.cumsum(np.cumsum(free[:-1]) > 0)])
-            asked = np.isin(least_hashes(words).astype(np.int64), marks) & ~is_periodic(words, RUN_WORDS)
-            at = np.flatnonzero(asked & (taken[RUN_WORDS:] == taken[:-RUN_WORDS]))
+            asked = np.isin(least_hashes(words).astype(np.int64), marks)
+            at, last = _stretches(words, asked & (taken[RUN_WORDS:] == taken[:-RUN_WORDS]))
             both = np.stack([shingles.rolled(w, RUN_WORDS)[at] for w in (words, shingles.mixed(words))], axis=1)
             for a in range(0, len(at), 10_000):
-                own = at[a : a + 10_000]
+                own, ends = at[a : a + 10_000], last[a : a + 10_000] + RUN_WORDS
                 columns = [pa.array([x.tobytes() for x in both[a : a + 10_000]], pa.binary()), pa.array(np.full(len(own), owner))]
-                columns += [pa.array(x.astype(np.int64)) for x in (own, starts[own], stops[own + RUN_WORDS - 1])]
+                columns += [pa.array(x.astype(np.int64)) for x in (own, ends, starts[own], stops[ends - 1])]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _WINDOW.split(", ")])
 
 
-def repeated_runs(documents: DataFrame, gone: DataFrame, within_documents: bool = False) -> DataFrame:
+def repeated_runs(documents: DataFrame, marks: DataFrame, gone: DataFrame, within_documents: bool = False) -> DataFrame:
     """(owner, start, stop, n_words, first_owner, first_start, kept): the longest runs of words, RUN_WORDS or more, whose windows all repeat and
-    have their first places side by side too. ``gone`` (owner, start, stop) is left out of account."""
+    have their first places side by side too. ``marks`` (owner, mark) are the texts' least hashes; ``gone`` (owner, start, stop) is left out of account."""
     several = "times > 1" if within_documents else "low <> high"
-    marks = cut_lineage(_marks(documents))
     known = marks.groupBy("mark").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("times"))
     # one document has each of its marks once, so repeats inside it show only in its windows
     known = known.select("mark", F.lit(True).alias("met")) if within_documents else cut_lineage(known.where(several).select("mark", F.lit(True).alias("met")))
@@ -208,30 +246,34 @@ def repeated_runs(documents: DataFrame, gone: DataFrame, within_documents: bool
     spans = gone.groupBy("owner").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     asked = cut_lineage(asked.join(spans, "owner", "left"))
     texts = likely(_by_owner(documents), "owner", asked).join(asked, "owner").select("owner", "text", "marks", "gone")
-    windows = cut_lineage(texts.mapInArrow(_windows, _WINDOW))
+    windows = cut_lineage(texts.mapInArrow(lean(_windows), _WINDOW))
     first = windows.groupBy("node").agg(
         F.min(F.struct("owner", "at", "start")).alias("first"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("times")
     )
     first = cut_lineage(first.where(several).select("node", "first"))
     rows = cut_lineage(likely(windows, "node", first))
     rows = lookup_join(rows, first, "node", row_count=rows.count()).where("first is not null")
-    rows = rows.select("owner", "at", "start", "stop", F.col("first.owner").alias("first_owner"), F.col("first.start").alias("first_start"), (F.col("first.at") - F.col("at")).alias("shift"))
+    rows = rows.select("owner", "at", "until", "start", "stop", F.col("first.owner").alias("first_owner"), F.col("first.start").alias("first_start"), (F.col("first.at") - F.col("at")).alias("shift"))
     rows = rows.distinct()
     side = ["owner", "first_owner", "shift"]
     place = F.row_number().over(Window.partitionBy(*side).orderBy("at"))
     runs = rows.withColumn("run", F.col("at") - place).groupBy(*side, "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.count("*") + RUN_WORDS - 1).alias("n_words"), F.min("first_start").alias("first_start")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("until") - F.min("at")).alias("n_words"), F.min("first_start").alias("first_start")
     )
-    kept = (F.col("owner") == F.col("first_owner")) & (F.col("shift") == 0)
+    near = F.lit(not within_documents) | (F.col("shift") > -RUN_WORDS)  # a later place that overlaps the first one would take from it
+    kept = (F.col("owner") == F.col("first_owner")) & near
     return cut_lineage(runs.select("owner", "start", "stop", "n_words", "first_owner", "first_start", kept.alias("kept")))
 
 
 def repeated_paragraphs(
-    documents: DataFrame, percent: int = PERCENT, bands: int = BANDS, within_documents: bool = False
+    documents: DataFrame, percent: int = PERCENT, bands: int = BANDS, within_documents: bool = False, skip_periodic: bool = False
 ) -> DataFrame:
     """(doc_id, start, stop, n_words, is_piece, first_doc_id, first_start, kept): every paragraph, piece or run that occurs again, with the
     occurrence of its component that stays. Runs count as pieces; a piece inside a run of its document is left to the run."""
-    found = cut_lineage(units(documents, bands))
+    with small_batches(documents.sparkSession):
+        read = cut_lineage(units(documents, bands, skip_periodic))
+    found = read.where("marks is null").drop("marks")
+    marks = read.where("marks is not null").select(F.col("doc_id").alias("owner"), F.explode("marks").alias("mark"))
     repeated = cut_lineage(found.groupBy("node").agg(F.count("*").alias("places")).where("places > 1").select("node"))
     candidates = found.where("bands is not null").unionByName(likely(found.where("bands is null"), "node", repeated))
     first = F.min(F.struct("doc_id", "start", "stop")).alias("first")
@@ -256,7 +298,7 @@ def repeated_paragraphs(
 
     repeats = cut_lineage(rows.withColumn("kept", kept))
     gone = repeats.where("not kept and not is_piece").select(F.col("doc_id").alias("owner"), "start", "stop")
-    runs = repeated_runs(documents, gone, within_documents)
+    runs = repeated_runs(documents, marks, gone, within_documents)
     inside = runs.select(F.col("owner").alias("doc_id"), F.col("start").alias("from_"), F.col("stop").alias("to_"))
     covered = repeats.where("is_piece").join(inside, "doc_id").where("from_ <= start and stop <= to_").select("doc_id", "start", "stop", "is_piece").distinct()
     repeats = repeats.join(covered, ["doc_id", "start", "stop", "is_piece"], "left_anti")
