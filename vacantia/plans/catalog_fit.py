@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia.config import GateOptions
 from vacantia.functions import keys
 from vacantia.operators import fit_review as fr, gate
+from vacantia.operators.entities import latest_wins
 from vacantia.plans import bindings as b
 from vacantia.plans.catalog_scoring import joined
 from vacantia.plans.catalog_text import CACHE_BODY, json_value as json_text
 from vacantia.plans.sql_text import GATED, NORM, QUEUED, TB, event_id, quote, ts_text
-from vacantia.session import work_dir
+from vacantia.session import cut_lineage, work_dir
 from vacantia import fixed_values as fv
 
 PROFILE_HASH = f"sha1({quote(b.PROFILE.to_json())})"
@@ -37,8 +38,10 @@ def _label_answers(spark, sf_dir) -> DataFrame:
 
 
 def _cache(spark, sf_dir) -> DataFrame:
+    """One row for each key: of labelled postings alike in every field the last one's answer holds, as in ``upsert_fit_cache``."""
     known = _keyed(spark, sf_dir).select("seq", "cache_key").join(_label_answers(spark, sf_dir), "seq")
-    return known.drop("seq").withColumn("updated_at", F.lit("2001-01-01 00:00:00").cast("timestamp"))
+    newest = latest_wins(cut_lineage(known), "cache_key")
+    return newest.drop("seq").withColumn("updated_at", F.lit("2001-01-01 00:00:00").cast("timestamp"))
 
 
 def join_fit_cache(spark, sf_dir):
