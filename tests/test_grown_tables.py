@@ -5,8 +5,9 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from vacantia.plans import catalog_fit
+from vacantia.plans import catalog_fit, catalog_sources
 from vacantia.session import work_dir
 
 COPY = 100
@@ -40,3 +41,12 @@ def test_copies_share_one_cache_row(spark, grown):
 def test_review_answers_gives_each_posting_once(spark, grown):
     rows = catalog_fit.review_answers(spark, grown).collect()
     assert rows and len(rows) == len({r["seq"] for r in rows})
+
+
+def test_landed_pages_do_not_depend_on_the_order_of_rows(spark, grown, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog_sources, "land", lambda rows, *_: seen.append(rows) or rows.select(*[F.lit(None).alias(c) for c in ("target", "kind", "priority", "company", "title", "location", "post_date", "url")]))
+    catalog_sources.landed_postings(spark, grown)
+    for page in seen[0].filter("priority = 3").collect():
+        places = [page["body"].index(f'"title":"red ring {i % COPY}"') for i in range(page["batch_seq"] * 20, page["batch_seq"] * 20 + 20)]
+        assert places == sorted(places)

@@ -273,7 +273,8 @@ def landed_postings(spark, sf_dir):
     part = F.col("batch_seq") % 3
     node = F.to_json(_json(**{"@type": F.lit("JobPosting")}, title=F.col("title"), datePosted=F.col("post_date"), url=F.col("url")))
     script = F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>"))
-    scripts = tb.groupBy(F.floor(F.col(K) / 20).alias("batch_seq")).agg(F.array_join(F.collect_list(script), "").alias("html"))
+    in_order = F.array_sort(F.collect_list(F.struct(K, script.alias("script"))))  # a body that is read again must be the same body
+    scripts = tb.groupBy(F.floor(F.col(K) / 20).alias("batch_seq")).agg(F.array_join(F.transform(in_order, lambda x: x["script"]), "").alias("html"))
     both = lists.join(scripts, "batch_seq")
 
     def response(priority: int, status: Column, kind: str, body: Column) -> Column:
