@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.plans import catalog_fit, catalog_sources
+from vacantia.plans import bindings as b, catalog_fit, catalog_review, catalog_sources
 from vacantia.session import work_dir
 
 COPY = 100
@@ -50,3 +50,37 @@ def test_landed_pages_do_not_depend_on_the_order_of_rows(spark, grown, monkeypat
     for page in seen[0].filter("priority = 3").collect():
         places = [page["body"].index(f'"title":"red ring {i % COPY}"') for i in range(page["batch_seq"] * 20, page["batch_seq"] * 20 + 20)]
         assert places == sorted(places)
+
+
+def test_texts_are_shuffled_once_when_no_table_is_small(spark, grown):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = b.postings(spark, grown)._jdf.queryExecution().executedPlan().toString()
+        rows = b.postings(spark, grown).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") <= 4  # the texts and the three tables joined to them
+    assert {r["seq"]: r["url"] for r in rows} == {i: f"https://e.com/{i // 4}" if i % 5 else None for i in [*range(60), *range(COPY, COPY + 60)]}
+
+
+def test_page_numbers_below_zero_link_like_a_division(spark):
+    root = work_dir(spark, "negative")
+    ids = list(range(-9, 10))
+    tables = {
+        "documents": ([(i, "t", "en", "s") for i in ids], "doc_id bigint, text string, lang string, source string"),
+        "part": ([(i, "n", 3) for i in ids], "p_partkey bigint, p_name string, p_size int"),
+        "orders": ([(i, datetime(2001, 1, 1)) for i in ids], "o_orderkey bigint, o_orderdate timestamp"),
+        "nation": ([(i, f"nation_{i}") for i in range(-24, 25)], "n_nationkey int, n_name string"),
+        "pages": ([(i, f"https://e.com/{i}") for i in range(-3, 4)], "page_id bigint, url string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/{name}.parquet")
+    found = {r["seq"]: r["url"] for r in b.postings(spark, root).collect()}
+    assert found == {i: f"https://e.com/{int(i / 4)}" if i % 5 else None for i in ids}
+
+
+def test_sort_postings_scores_the_texts_once(spark, grown, monkeypatch):
+    ranked, plans = catalog_review.rv.ranked_postings, []
+    monkeypatch.setattr(catalog_review.rv, "ranked_postings", lambda rows, mode: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or ranked(rows, mode))
+    assert catalog_review.sort_postings(spark, grown).count() == 5 * 120
+    assert len(plans) == 5 and not any("Join" in p for p in plans)

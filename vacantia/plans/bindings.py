@@ -42,18 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
-    """One posting per document; ``documents`` may be a stream. Four documents share a page link."""
+    """One posting per document; ``documents`` may be a stream. Four documents share a page link. Every table that grows is joined on the document's
+    number, so the texts are shuffled once at most."""
     d = spread(table(spark, sf_dir, "documents"), "doc_id") if documents is None else documents
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    g = table(spark, sf_dir, "pages").select("page_id", "url")
+    page = F.col("page_id")
+    sharing = F.sequence(page * 4 - F.when(page > 0, 0).otherwise(3), page * 4 + F.when(page < 0, 0).otherwise(3))  # ids with ``id div 4`` = page
+    g = table(spark, sf_dir, "pages").select(F.explode(sharing).alias("_linked"), "url")
     joined = (
         d.select("doc_id", "text", "lang", "source")
         .join(p, F.col("p_partkey") == F.col("doc_id"))
-        .join(n, F.col("n_nationkey") == F.col("doc_id") % 25)
         .join(o, F.col("o_orderkey") == F.col("doc_id"))
-        .join(g, F.col("page_id") == F.expr("doc_id div 4"))
+        .join(g, F.col("_linked") == F.col("doc_id"))
+        .join(F.broadcast(n), F.col("n_nationkey") == F.col("doc_id") % 25)
     )
     return joined.select(
         F.col("doc_id").alias("seq"), F.col("source").alias("company"), F.col("p_name").alias("title"),

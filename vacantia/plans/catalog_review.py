@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia.operators import filters as flt, review as rv
 from vacantia.plans import bindings as b
 from vacantia.plans.sql_text import EVENT_ROWS, QUEUED, ts_text
+from vacantia.session import cut_lineage
 
 QUEUE_AS_OF = "2001-08-02"
 FILTERS = rv.ReviewFilters(q="ring", min_score=-50)
@@ -42,7 +43,7 @@ def list_total(spark, sf_dir):
 
 def sort_postings(spark, sf_dir):
     """Every row with its place under each order."""
-    q = b.queue(spark, sf_dir).select("id", "post_date", "score", "company")
+    q = cut_lineage(b.queue(spark, sf_dir).select("id", "post_date", "score", "company"))  # the texts are scored once for all orders
     ordered = [
         rv.ranked_postings(q, mode).withColumn("mode", F.lit(mode or "default")) for mode in ("newest", "oldest", "score", "company", None)
     ]

@@ -52,9 +52,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A scan with fewer splits than the cluster has slots, shuffled by key so that costly row work uses them
-    all; a scan that already has enough splits stays as it is."""
+    all; a scan that already has enough splits stays as it is. The number of partitions is the session's, so a join on the key needs no second shuffle."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(key) if df.rdd.getNumPartitions() < slots else df
 
 
 def hold_filters(df: DataFrame) -> DataFrame:
