@@ -84,3 +84,15 @@ def test_sort_postings_scores_the_texts_once(spark, grown, monkeypatch):
     monkeypatch.setattr(catalog_review.rv, "ranked_postings", lambda rows, mode: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or ranked(rows, mode))
     assert catalog_review.sort_postings(spark, grown).count() == 5 * 120
     assert len(plans) == 5 and not any("Join" in p for p in plans)
+
+
+def test_submit_batch_gates_the_queue_once(spark, grown, monkeypatch):
+    submit, plans = catalog_fit.fr.submit_batch, []
+
+    def spied(queue, pending, items, *rest):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in (pending, items))
+        return submit(queue, pending, items, *rest)
+
+    monkeypatch.setattr(catalog_fit.fr, "submit_batch", spied)
+    catalog_fit.submit_batch(spark, grown)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)

@@ -179,6 +179,7 @@ def submit_batch(spark, sf_dir):
     queue = b.queue(spark, sf_dir)
     options = GateOptions(45, 20, 44, review_mode="batch")
     gated = gate.fit_gate(keys.normalize_posting(queue), b.PROFILE, options).filter("needs_review")
+    gated = cut_lineage(gated.select("id", "company", "title", "location", "source", "url", "jd_text"))  # read for the requests and for the items
     pending = gated.withColumn("job_id", F.col("id"))
     items = gated.filter(F.substring("id", -1, 1).isin("0", "3", "6", "9")).select(F.lit(3).cast("bigint").alias("run_id"), F.col("id").alias("job_id"), F.lit("queued").alias("state"))
     marked, new_items, batch, lines = fr.submit_batch(queue, pending, items, b.PROFILE, options, 3, b.AS_OF, work_dir(spark, "requests"), "batch-3")
