@@ -7,7 +7,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.plans import bindings as b, catalog_fit, catalog_review, catalog_sources
+from vacantia.config import GateOptions, KeywordRules
+from vacantia.plans import bindings as b, catalog_fit, catalog_review, catalog_sources, table_run
 from vacantia.session import work_dir
 
 COPY = 100
@@ -96,3 +97,13 @@ def test_submit_batch_gates_the_queue_once(spark, grown, monkeypatch):
     monkeypatch.setattr(catalog_fit.fr, "submit_batch", spied)
     catalog_fit.submit_batch(spark, grown)
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_a_run_without_review_writes_the_texts_twice(spark, monkeypatch):
+    cut, written = table_run.cut_lineage, []
+    monkeypatch.setattr(table_run, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    rows = spark.createDataFrame([(1, "Co", "Ring", "nation_1", "2001-01-01", "s", "https://e.com/1", "red ring")], "seq bigint, company string, title string, location string, post_date string, source string, url string, jd_text string")
+    root = work_dir(spark, "run")
+    assert table_run.run_on_tables(spark, root, rows, table_run.RunSettings(KeywordRules(), b.PROFILE, GateOptions(45, 20, 44)), b.AS_OF, "run", 0) is not None
+    assert sum("jd_text" in columns for columns in written) == 2  # as they came and as they are gated
+    assert table_run.read_rows(spark, root, "job_sources").count() == 1

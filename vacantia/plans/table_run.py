@@ -70,7 +70,9 @@ def run_on_tables(
         numbered = numbered.filter(exempt | (freshness_class(hours, unknown, as_of) == "kept"))
     gated = cut_lineage(gate_postings(numbered, settings.rules, settings.profile, settings.options, as_of))
     answers, new_cache, reservation = _reviewed(spark, root, gated, settings, as_of, f"{writer}/{batch}")
-    scored = cut_lineage(settle_postings(gated, settings.options, answers))
+    scored = settle_postings(gated, settings.options, answers)
+    if answers is not None:  # without answers it is a projection of what is stored already
+        scored = cut_lineage(scored)
     new_keys = cut_lineage(row_keys(scored.withColumn("id", F.col("seq").cast("string"))))
     batch_keys = new_keys.select(F.explode("keys").alias("key"))
     n_calls = new_cache.count() if new_cache is not None else 0
