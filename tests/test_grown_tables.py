@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.config import GateOptions, KeywordRules
-from vacantia.plans import bindings as b, catalog_fit, catalog_review, catalog_sources, table_run
+from vacantia.plans import bindings as b, catalog_entities, catalog_fit, catalog_review, catalog_sources, table_run
 from vacantia.session import work_dir
 
 COPY = 100
@@ -107,3 +107,10 @@ def test_a_run_without_review_writes_the_texts_twice(spark, monkeypatch):
     assert table_run.run_on_tables(spark, root, rows, table_run.RunSettings(KeywordRules(), b.PROFILE, GateOptions(45, 20, 44)), b.AS_OF, "run", 0) is not None
     assert sum("jd_text" in columns for columns in written) == 2  # as they came and as they are gated
     assert table_run.read_rows(spark, root, "job_sources").count() == 1
+
+
+def test_the_old_queue_leaves_the_other_half_out_before_scoring(spark, grown):
+    queue = catalog_entities.old_queue(spark, grown)
+    plan = queue._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 2) = 0" in plan[plan.rindex("CollectMetrics"):]  # below the scoring, which later filters do not pass
+    assert {r["id"] for r in queue.select("id").collect()} == {f"j{i:012d}" for i in [*range(0, 60, 2), *range(COPY, COPY + 60, 2)]}

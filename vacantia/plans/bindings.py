@@ -67,8 +67,8 @@ def postings(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = fingerprint(posting_keys(normalize_posting(postings(spark, sf_dir))))
+def scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    keyed = fingerprint(posting_keys(normalize_posting(postings(spark, sf_dir) if rows is None else rows)))
     return fit_gate(keyword_score(keyed, RULES, AS_OF), PROFILE, OPTIONS)
 
 
@@ -78,10 +78,10 @@ def minutes_after(base: str, n: Column | str) -> Column:
     return F.timestamp_micros(start + count * F.lit(60_000_000))
 
 
-def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every posting as a queue row of its own, in mixed states, the state following its number."""
+def queue(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Every posting, or those of ``rows``, as a queue row of its own, in mixed states, the state following its number."""
     c = F.col
-    rows = scored(spark, sf_dir).withColumn("years_req", years_requirement("jd_text"))
+    rows = scored(spark, sf_dir, rows).withColumn("years_req", years_requirement("jd_text"))
     state = F.get(F.array(*[F.lit(s) for s in ("inbox", "approved", "skipped", "applied", "filtered", "inbox")]), (c("seq") % 6).cast("int"))
     review = F.when(c("seq") % 6 == 5, "pending").when(c("seq") % 6 == 4, "failed").when(c("seq") % 6 != 3, "none")
     full = rows.withColumns(

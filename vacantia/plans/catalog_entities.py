@@ -26,8 +26,8 @@ def keyed_postings(spark, sf_dir) -> DataFrame:
 
 
 def old_queue(spark, sf_dir) -> DataFrame:
-    """The even half of the postings as an existing queue."""
-    return b.queue(spark, sf_dir).filter(F.substring("id", -1, 1).isin("0", "2", "4", "6", "8"))
+    """The even half of the postings as an existing queue; the other half is left out before it is scored."""
+    return b.queue(spark, sf_dir, b.postings(spark, sf_dir).filter(F.col("seq") % 2 == 0))
 
 
 def new_batch(spark, sf_dir) -> DataFrame:
