@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.config import GateOptions, KeywordRules
+from vacantia.operators import state
 from vacantia.plans import bindings as b, catalog_entities, catalog_fit, catalog_review, catalog_sources, table_run
 from vacantia.session import work_dir
 
@@ -114,3 +115,15 @@ def test_the_old_queue_leaves_the_other_half_out_before_scoring(spark, grown):
     plan = queue._jdf.queryExecution().optimizedPlan().toString()
     assert "% 2) = 0" in plan[plan.rindex("CollectMetrics"):]  # below the scoring, which later filters do not pass
     assert {r["id"] for r in queue.select("id").collect()} == {f"j{i:012d}" for i in [*range(0, 60, 2), *range(COPY, COPY + 60, 2)]}
+
+
+def test_the_outcome_alone_writes_no_texts_and_scores_no_keywords(spark, grown, monkeypatch):
+    cut, written = state.cut_lineage, []
+    monkeypatch.setattr(state, "cut_lineage", lambda df: written.append(df) or cut(df))
+    alone = catalog_entities.append_lineage(spark, grown)
+    assert not any("jd_text" in df.columns for df in written)
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload_hash" in plan and "+A:ringx" not in plan
+    both = state.upsert_postings(catalog_entities.old_queue(spark, grown), catalog_entities.evaluated_batch(spark, grown), catalog_entities.RUN, b.AS_OF)[1]
+    whole = state.append_lineage(both, catalog_entities.RUN, b.AS_OF).withColumn("ingested_at", catalog_entities.ts("ingested_at"))
+    assert alone.count() == 60 and sorted(map(str, alone.collect())) == sorted(map(str, whole.collect()))

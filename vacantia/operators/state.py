@@ -23,6 +23,11 @@ from vacantia.session import cut_lineage
 QUEUE = TABLES["job_queue"]
 EVENT = TABLES["job_events"]
 SMALL_ROWS = 500_000
+ENTITY_COLUMNS = ("canonical_fingerprint", "company_key", "title_key", "location_key", "post_date_key", "company", "title", "url")
+DETAIL_COLUMNS = (
+    "source", "source_job_key", "post_date", "payload_hash", "canonical_fingerprint", "dedup_reason", "quality_bucket", "admitted",
+    "admission_status", "reason_codes", "llm_used", "llm_eligible", "llm_attempted", "llm_skipped_reason", "llm_queued",
+)
 
 # Messages of the event log.
 MESSAGES = {
@@ -107,14 +112,13 @@ def place_batch(queue: DataFrame, scored: DataFrame, run_id: int, **hot: int) ->
     Entities are connected components over the three keys across queue and batch. The earliest existing row
     of an entity owns it; an entity without one gets a new id.
     """
-    key_columns = ["canonical_fingerprint", "company_key", "title_key", "location_key", "post_date_key", "company", "title", "url"]
     owner_type = "struct<first_seen_at:timestamp,id:string,status:string,created_at:timestamp>"
     of_batch = scored.select(
-        *key_columns, "seq", "admission_status", F.lit(None).cast(owner_type).alias("owner"),
+        *ENTITY_COLUMNS, "seq", "admission_status", F.lit(None).cast(owner_type).alias("owner"),
         F.concat(F.lit("b"), F.col("seq").cast("string")).alias("node_id"),
     )
     of_queue = queue.select(
-        *key_columns, F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("admission_status"),
+        *ENTITY_COLUMNS, F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("admission_status"),
         F.struct("first_seen_at", "id", "status", "created_at").alias("owner"), F.concat(F.lit("q"), F.col("id")).alias("node_id"),
     )
     members = cut_lineage(
@@ -168,12 +172,7 @@ def next_queue(queue: DataFrame, scored: DataFrame, outcome: DataFrame, run_id:
 
 def outcome_detail(scored: DataFrame, outcome: DataFrame) -> DataFrame:
     """Outcome rows with what lineage, events and counters need of the posting; both sides have ``seq`` once."""
-    short = scored.select(
-        "seq", "source", "source_job_key", "post_date", "payload_hash", "canonical_fingerprint", "dedup_reason",
-        "quality_bucket", "admitted", "admission_status", "reason_codes", "llm_used", "llm_eligible", "llm_attempted",
-        "llm_skipped_reason", "llm_queued",
-    )
-    return outcome.drop("owner", "is_winner").join(short, "seq")
+    return outcome.drop("owner", "is_winner").join(scored.select("seq", *DETAIL_COLUMNS), "seq")
 
 
 def upsert_postings(
@@ -185,6 +184,12 @@ def upsert_postings(
     return next_queue(queue, scored, outcome, run_id, as_of), outcome_detail(scored, outcome)
 
 
+def upsert_outcome(queue: DataFrame, scored: DataFrame, run_id: int, **hot: int) -> DataFrame:
+    """The outcome detail of ``upsert_postings`` alone. What only queue rows hold (texts, keyword scores) is neither computed nor written."""
+    short = cut_lineage(scored.select("seq", *dict.fromkeys((*ENTITY_COLUMNS, *DETAIL_COLUMNS))))
+    return outcome_detail(short, place_batch(queue, short, run_id, **hot))
+
+
 def append_lineage(outcome: DataFrame, run_id: int, as_of: datetime) -> DataFrame:
     """One lineage row per ingested row, repeats too."""
     return outcome.select(

@@ -35,9 +35,12 @@ def new_batch(spark, sf_dir) -> DataFrame:
     return b.postings(spark, sf_dir).filter(F.col("seq") % 2 == 1)
 
 
-def upserted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    scored = state.evaluate_postings(new_batch(spark, sf_dir), b.RULES, b.PROFILE, b.OPTIONS, b.AS_OF)
-    return state.upsert_postings(old_queue(spark, sf_dir), scored, RUN, b.AS_OF)
+def evaluated_batch(spark, sf_dir) -> DataFrame:
+    return state.evaluate_postings(new_batch(spark, sf_dir), b.RULES, b.PROFILE, b.OPTIONS, b.AS_OF)
+
+
+def outcome_of_batch(spark, sf_dir) -> DataFrame:
+    return state.upsert_outcome(old_queue(spark, sf_dir), evaluated_batch(spark, sf_dir), RUN)
 
 
 def match_existing(spark, sf_dir):
@@ -71,21 +74,21 @@ def queue_columns(queue: DataFrame) -> DataFrame:
 
 
 def upsert_postings(spark, sf_dir):
-    return queue_columns(upserted(spark, sf_dir)[0])
+    return queue_columns(state.upsert_postings(old_queue(spark, sf_dir), evaluated_batch(spark, sf_dir), RUN, b.AS_OF)[0])
 
 
 def upsert_outcome(spark, sf_dir):
-    _, outcome = upserted(spark, sf_dir)
+    outcome = outcome_of_batch(spark, sf_dir)
     return outcome.select("seq", "job_id", "result", "previous_status", F.col("resurfaced").cast("int").alias("resurfaced"), "admission_status")
 
 
 def append_lineage(spark, sf_dir):
-    _, outcome = upserted(spark, sf_dir)
+    outcome = outcome_of_batch(spark, sf_dir)
     return state.append_lineage(outcome, RUN, b.AS_OF).withColumn("ingested_at", ts("ingested_at"))
 
 
 def append_events(spark, sf_dir):
-    _, outcome = upserted(spark, sf_dir)
+    outcome = outcome_of_batch(spark, sf_dir)
     return state.append_events(outcome, RUN, b.AS_OF).withColumn("created_at", ts("created_at"))
 
 
@@ -274,7 +277,7 @@ def snapshot_roundtrip(spark, sf_dir):
 
 
 def finished_run(spark, sf_dir):
-    _, outcome = upserted(spark, sf_dir)
+    outcome = outcome_of_batch(spark, sf_dir)
     summary = run_summary(
         RUN, "manual", "core", ["en", "fr"], b.AS_OF, b.AS_OF, new_batch(spark, sf_dir).select("source"), outcome, ["fr: timeout"]
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from vacantia.functions.links import resolve_best_link
 from vacantia.operators import metrics as mt
 from vacantia.plans import bindings as b
-from vacantia.plans.catalog_entities import UPSERT_ODD, new_batch, upserted
+from vacantia.plans.catalog_entities import UPSERT_ODD, new_batch, outcome_of_batch
 from vacantia.plans.catalog_text import linked_pages
 from vacantia.plans.sql_text import ts_text
 
@@ -32,7 +32,7 @@ def search_stats(spark, sf_dir):
 
 
 def run_totals(spark, sf_dir):
-    _, outcome = upserted(spark, sf_dir)
+    outcome = outcome_of_batch(spark, sf_dir)
     return mt.run_totals(new_batch(spark, sf_dir), outcome)
 
 
@@ -51,11 +51,11 @@ _COUNTS = """count(*) as fetched, count(*) filter (result = 'inserted') as inser
 
 
 def quality_stats(spark, sf_dir):
-    return mt.quality_stats(upserted(spark, sf_dir)[1])
+    return mt.quality_stats(outcome_of_batch(spark, sf_dir))
 
 
 def llm_stats(spark, sf_dir):
-    return mt.llm_stats(upserted(spark, sf_dir)[1])
+    return mt.llm_stats(outcome_of_batch(spark, sf_dir))
 
 
 def run_status(spark, sf_dir):
