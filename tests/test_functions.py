@@ -130,3 +130,24 @@ def test_normalize_fit_payload(spark):
 def test_join_parts(spark):
     df = spark.createDataFrame([("a", "", "c"), ("", None, None)], "x string, y string, z string")
     assert [r[0] for r in df.select(text.join_parts("x", "y", "z", fallback=F.lit("remote"))).collect()] == ["a, c", "remote"]
+
+
+def test_words_are_found_before_their_boundaries_are_looked_at(spark):
+    """The patterns begin with the word, which the engine finds fast, and find what boundaries in front find."""
+    words = ["ring", "c++", "+x", "a.b", "r", "naïve"]
+    texts = ["", "ring", "a ring.", "rings", "string", "ring ring", "ringring ring", "c++", "c++x", "xc++ ", "y+x", "y+xz", "y+x c++a", "a.b", "axb", "_ring", "éring", "ringé", "naïve", "r r_r", "1r 2"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for word in words:
+        pattern = text.word_pattern(word)
+        assert pattern.startswith(text.escape_pattern(word))
+        is_word = [ch.isascii() and (ch.isalnum() or ch == "_") for ch in word]
+        plain = (r"(?<!\w)" if is_word[0] else r"(?<=\w)") + text.escape_pattern(word) + (r"(?!\w)" if is_word[-1] else r"(?=\w)")
+        found = rows.select(F.regexp_count("t", F.lit(pattern)).alias("new"), F.regexp_count("t", F.lit(plain)).alias("old"))
+        assert [r["new"] for r in found.collect()] == [r["old"] for r in found.collect()]
+    free = ["ring", "c++", ""]
+    for chosen in (free, free[:2], free[:1]):
+        plain = r"(?<!\w)(?:" + "|".join(text.escape_pattern(w) for w in chosen) + r")(?!\w)"
+        found = rows.select(F.expr(text.has_free_word("t", chosen)).alias("new"), F.col("t").rlike(plain).alias("old"))
+        assert all(r["new"] == r["old"] for r in found.collect())
+    years = rows.select(F.lit("x40 years, 07 yrs, 39+ years, 4 0 years 140 years").alias("t")).limit(1)
+    assert [years.select(text.min_years_hit("t", k).alias("h")).first()["h"] for k in (0, 7, 39, 40, 100)] == [True, True, True, False, False]

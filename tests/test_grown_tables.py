@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.config import GateOptions, KeywordRules
-from vacantia.operators import state
+from vacantia.operators import fit_review, state
 from vacantia.plans import bindings as b, catalog_entities, catalog_fit, catalog_review, catalog_sources, table_run
 from vacantia.session import work_dir
 
@@ -127,3 +127,18 @@ def test_the_outcome_alone_writes_no_texts_and_scores_no_keywords(spark, grown,
     both = state.upsert_postings(catalog_entities.old_queue(spark, grown), catalog_entities.evaluated_batch(spark, grown), catalog_entities.RUN, b.AS_OF)[1]
     whole = state.append_lineage(both, catalog_entities.RUN, b.AS_OF).withColumn("ingested_at", catalog_entities.ts("ingested_at"))
     assert alone.count() == 60 and sorted(map(str, alone.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_verdicts_meet_the_queue_without_moving_its_texts(spark, grown):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queue = b.queue(spark, grown)
+        answer = F.struct(F.lit("high").alias("fit_label"), F.lit(70).alias("fit_score"), F.lit(0.5).alias("confidence"), *[F.array().cast("array<string>").alias(c) for c in ("reason_codes", "missing_must_have")])
+        results = spark.range(2).select("id", F.col("id").alias("seq"), F.col("id").cast("string").alias("custom_id"), F.lit("j000000000005").alias("job_id"), F.lit(1).cast("bigint").alias("run_id"), F.lit("completed").alias("state"), answer.alias("answer")).drop("id")
+        changed, events = fit_review.apply_llm_results(queue, results, 65, b.AS_OF)
+        plans = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") for df in (queue, changed)]
+        found = {r["id"]: r["fit_source"] for r in changed.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0] == plans[1] and events.count() == 2
+    assert len(found) == 120 and [i for i, source in found.items() if source == "llm"] == ["j000000000005"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from vacantia.fixed_values import BLANK_CHARS, BLANK_CLASS
@@ -71,15 +73,15 @@ def escape_pattern(keyword: str) -> str:
 
 
 def word_pattern(keyword: str) -> str:
-    """The keyword between ASCII word boundaries. Its end characters are known, so each boundary is one look."""
+    """The keyword between ASCII word boundaries. Its end characters are known, so each boundary is one look, made where the keyword is found."""
     word = keyword.lower()
 
     def is_word(ch: str) -> bool:
         return ch.isascii() and (ch.isalnum() or ch == "_")
 
-    before = r"(?<!\w)" if is_word(word[0]) else r"(?<=\w)"
+    before = "(?<!" if is_word(word[0]) else "(?<="
     after = r"(?!\w)" if is_word(word[-1]) else r"(?=\w)"
-    return before + escape_pattern(word) + after
+    return rf"{escape_pattern(word)}{before}\w{escape_pattern(word)}){after}"
 
 
 def count_word(text: Column | str, keyword: str) -> Column:
@@ -100,6 +102,12 @@ def has_word(lowered: str, keyword: str) -> str:
     return f"(contains({lowered}, {sql_text(keyword.lower())}) and rlike({lowered}, {sql_text(word_pattern(keyword))}))"
 
 
+def has_free_word(text: str, words: Sequence[str]) -> str:
+    """SQL test whether a text column holds any of the words, as they are written, with no word character on either side."""
+    tests = [rf"{escape_pattern(w)}(?<!\w{escape_pattern(w)})(?!\w)" for w in words]
+    return "(" + (" or ".join(f"(contains({text}, {sql_text(w)}) and rlike({text}, {sql_text(t)}))" for w, t in zip(words, tests)) or "false") + ")"
+
+
 def at_least_pattern(k: int) -> str:
     """Pattern of the one- and two-digit numbers that are at least ``k``."""
     if k <= 0:
@@ -114,7 +122,7 @@ def at_least_pattern(k: int) -> str:
 
 
 def min_years_pattern(k: int) -> str:
-    return rf"(?<!\w)(?:{at_least_pattern(k)}){BLANK_CLASS}*\+?{BLANK_CLASS}*(?:years?|yrs?)(?!\w)"
+    return rf"(?=\d)(?<!\w)(?:{at_least_pattern(k)}){BLANK_CLASS}*\+?{BLANK_CLASS}*(?:years?|yrs?)(?!\w)"
 
 
 def min_years_hit(text: Column | str, k: int) -> Column:

@@ -19,6 +19,7 @@ from vacantia.operators.state import event_id, sticky_status
 from vacantia.session import cut_lineage
 
 Classifier = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+SMALL_BYTES = 64_000_000
 ANSWER_FIELDS = ("fit_label", "fit_score", "confidence", "reason_codes", "missing_must_have")
 
 
@@ -262,7 +263,9 @@ def apply_llm_results(
     newest = done.groupBy(F.col("job_id").alias("id")).agg(last).select(
         "id", F.col("_last.answer").alias("_a"), F.col("_last.run_id").alias("_run")
     )
-    joined = queue.join(newest, "id", "left")
+    newest = cut_lineage(newest)
+    size = newest.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    joined = queue.join(F.broadcast(newest) if size <= SMALL_BYTES else newest, "id", "left")  # a counted broadcast leaves the texts where they are
     a, hit, now = F.col("_a"), F.col("_a").isNotNull(), instant(as_of)
     admitted = (a["fit_label"] == "high") | (a["fit_score"] >= threshold)
     new = {
@@ -275,15 +278,20 @@ def apply_llm_results(
         "status": sticky_status(F.col("status"), F.when(admitted, "inbox").otherwise("filtered")),
     }
     changed = joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in queue.columns])
+    return changed, result_events(results, threshold, as_of)
+
+
+def result_events(results: DataFrame, threshold: int, as_of: datetime) -> DataFrame:
+    """One event for each completed result."""
+    done = results.filter(F.col("state") == "completed").select("seq", "custom_id", "job_id", "run_id", "answer")
     d = F.col("answer")
     taken = (d["fit_label"] == "high") | (d["fit_score"] >= threshold)
-    events = done.select(
+    return done.select(
         event_id(as_of, F.lit("llm_batch_completed"), "custom_id", "seq").alias("id"), "job_id", "run_id", F.lit("llm_batch_completed").alias("event_type"),
         F.format_string("Review result applied: %s, %s", d["fit_label"], d["fit_score"].cast("string")).alias("message"),
         F.to_json(F.struct(d["fit_label"].alias("fitLabel"), d["fit_score"].alias("fitScore"), taken.alias("admitted"))).alias("payload_json"),
-        now.alias("created_at"),
+        instant(as_of).alias("created_at"),
     )
-    return changed, events
 
 
 def fail_batches(

@@ -10,7 +10,7 @@ from vacantia.config import KeywordRules
 from vacantia.fixed_values import HARD_WORD_PENALTY
 from vacantia.functions.dates import epoch_seconds, posted_at_granularity
 from vacantia.functions.keywords import MANY, rules_present
-from vacantia.functions.text import compact_list, escape_pattern, sql_text
+from vacantia.functions.text import compact_list, escape_pattern, has_free_word, sql_text
 from vacantia.session import hold_filters
 
 
@@ -27,7 +27,7 @@ def _count(keyword: str) -> str:
     word = keyword.lower()
     if not word:
         return "0"
-    return f"(length(_text) - length(replace(_text, {sql_text(word)}, ''))) div {len(word)}"
+    return f"if(contains(_text, {sql_text(word)}), (length(_text) - length(replace(_text, {sql_text(word)}, ''))) div {len(word)}, 0)"
 
 
 def _score_many(lowered: DataFrame, keywords: list[tuple[str, str, int]], rules: KeywordRules, hard: str, now: float) -> DataFrame:
@@ -70,6 +70,8 @@ def keyword_score(postings: DataFrame, rules: KeywordRules, as_of: datetime) ->
     keywords = _keyword_list(rules)
     words = "|".join(escape_pattern(w) for w in rules.hard_words)
     hard = f"rlike(_text, {sql_text(rf'(?<!\w)(?:{words})(?!\w)')})" if words else "false"
+    if words and len(rules.hard_words) <= MANY:
+        hard = has_free_word("_text", rules.hard_words)
     now = epoch_seconds(as_of)
     lowered = postings.withColumns(
         {

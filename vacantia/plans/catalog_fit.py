@@ -114,17 +114,13 @@ def upsert_fit_cache(spark, sf_dir):
     return out.select("cache_key", "fit_label", "fit_score", joined("reason_codes"), ts("updated_at"))
 
 
-def _applied(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return fr.apply_llm_results(b.queue(spark, sf_dir), fr.reconcile_results(*results_and_items(spark, sf_dir)), 65, b.AS_OF)
-
-
 def apply_llm_results(spark, sf_dir):
-    queue, _ = _applied(spark, sf_dir)
+    queue, _ = fr.apply_llm_results(b.queue(spark, sf_dir), fr.reconcile_results(*results_and_items(spark, sf_dir)), 65, b.AS_OF)
     return queue.select("id", "status", "fit_score", "fit_label", "fit_source", "quality_bucket", "llm_review_state", "llm_pending_batch_id", "last_run_id", ts("updated_at"))
 
 
 def apply_llm_events(spark, sf_dir):
-    _, events = _applied(spark, sf_dir)
+    events = fr.result_events(fr.reconcile_results(*results_and_items(spark, sf_dir)), 65, b.AS_OF)
     return events.withColumn("created_at", ts("created_at"))
 
 

@@ -12,7 +12,7 @@ from vacantia.functions.dates import instant
 from vacantia.operators.commits import CommitLog, State
 from vacantia.operators.filters import freshness_class, freshness_filter
 from vacantia.operators.fit_review import (
-    apply_llm_results, batch_outcome, complete_batches, reconcile_results, settle_items, upsert_fit_cache,
+    apply_llm_results, batch_outcome, complete_batches, reconcile_results, result_events, settle_items, upsert_fit_cache,
 )
 from vacantia.operators.metrics import freshness_stats
 from vacantia.operators.snapshots import BUCKETS, bucket_of, read_parts, retried, staged, staged_change, staged_rows, touched_buckets
@@ -211,7 +211,7 @@ def stream_llm_results(
             ]
             rows = {
                 "llm_usage": evolve_schema(batch_outcome(matched).withColumn("created_at", instant(now)), TABLES["llm_usage"]),
-                "job_events": apply_llm_results(empty_table(spark, "job_queue"), matched, threshold, now)[1],
+                "job_events": result_events(matched, threshold, now),
             }
             appended = {t: [staged_rows(df, root, t, name, batch_id)] for t, df in rows.items()}
             return CommitLog(spark, root).commit(state, done, appended, name, batch_id)
