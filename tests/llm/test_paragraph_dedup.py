@@ -141,3 +141,50 @@ def test_stretches_leave_out_only_windows_that_come_again():
         assert set(at.tolist()) <= set(np.flatnonzero(asked).tolist()) and {window(i) for i in np.flatnonzero(asked).tolist()} == held
         covered = {k for i, j in zip(at.tolist(), last.tolist(), strict=True) for k in range(i, j + 1)}
         assert covered >= set(np.flatnonzero(asked).tolist()) and all(asked[k] for k in covered)
+
+
+def test_chunks_hold_each_window_once_in_few_rows(spark):
+    """Windows side by side travel as one row; taken apart again they are all windows outside what is gone, with their places in the text."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vacantia.llm import shingles
+
+    given = [(1, "é " + " ".join(prose(1, 400))), (2, " ".join([*prose(2, 60), *["a", "b", "c", "d", "e", "f", "g"] * 60, *prose(3, 60)])), (3, "x y " * 100), (4, " ".join(prose(1, 400)[100:200]))]
+    gone = {1: [(0, 300)], 2: [], 3: [], 4: []}
+    expected = {}
+    for i, text in given:
+        words, starts, stops = shingles.words_with_places(text.lower().encode())
+        chars = np.cumsum([(c & 0xC0) != 0x80 for c in b"x" + text.lower().encode()]) - 1
+        starts, stops = chars[starts], chars[stops]
+        free = np.array([all(not a <= s < b for a, b in gone[i]) for s in starts.tolist()])
+        at, last = p._stretches(words, np.array([free[k : k + p.RUN_WORDS].all() for k in range(len(words) - p.RUN_WORDS + 1)]))
+        for k, j in zip(at.tolist(), last.tolist(), strict=True):
+            end = j + p.RUN_WORDS
+            expected[i, k] = (end, starts[k], stops[end - 1], tuple(words[k : k + p.RUN_WORDS].tolist()))
+    marks = {i: np.unique(p.least_hashes(shingles.words_with_places(t.lower().encode())[0]).astype(np.int64)).tolist() for i, t in given}
+    rows_ = [(i, t, marks[i], [{"start": a, "stop": b} for a, b in gone[i]]) for i, t in given]
+    asked = spark.createDataFrame(rows_, "owner bigint, text string, marks array<bigint>, gone array<struct<start:bigint,stop:bigint>>")
+    chunks = asked.mapInArrow(p._chunks, p._CHUNK)
+    found = p._windows_of(chunks).collect()
+    assert len(found) == len(expected) and {(r["owner"], r["at"]): (r["until"], r["start"], r["stop"]) for r in found} == {k: v[:3] for k, v in expected.items()}
+    nodes = {(bytes(r["node"]), expected[r["owner"], r["at"]][3]) for r in found}
+    assert len({n for n, _ in nodes}) == len({w for _, w in nodes}) == len(nodes)
+    prose_rows = chunks.where("owner = 4").agg(F.count("*").alias("rows"), F.sum("n").alias("windows")).first()
+    assert 5 * prose_rows["rows"] < prose_rows["windows"] == 51
+
+
+def test_distinct_shingles_and_bands_of_each_place():
+    import numpy as np
+
+    random_ = np.random.default_rng(5)
+    words = random_.integers(0, 40, 900).astype(np.uint64)
+    first = np.array([0, 0, 300, 880])
+    sizes = np.array([900, 200, 60, 20])
+    sets, n = p._distinct(words, first, sizes)
+    assert [x.tolist() for x in np.split(sets, np.cumsum(n)[:-1])] == [sorted(set(words[a : a + k].tolist())) for a, k in zip(first, sizes, strict=True)]
+    bands = p._bands(sets, n, 6)
+    for row, own in zip(bands, np.split(sets, np.cumsum(n)[:-1]), strict=True):
+        for i in range(6):
+            hashed = p.similar.permuted(own, i)
+            assert row[i] == p.shingles.mixed(hashed.min(keepdims=True) + p.shingles.mixed(hashed.max(keepdims=True) ^ np.uint64(i))).astype(np.int64)[0]

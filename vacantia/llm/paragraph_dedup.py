@@ -10,8 +10,8 @@ fall together again after a sentence or two. Pieces take part in the first step
 
 In what the paragraphs leave, every run of ``RUN_WORDS`` words that stands in several documents is found, whatever lines and sentences it lies in
 (``repeated_runs``): the smallest hash of the ``PIECE_WORDS``-word shingles of such a window depends on the window alone, so documents that share
-a window share it; only windows whose smallest hash repeats are then compared by a 128-bit hash of all their words, and adjoining ones are joined
-to the whole run. With ``skip_periodic`` text that repeats fewer than ``SHINGLE`` words over and over is no run and no paragraph of joined lines.
+a window share it; only windows whose smallest hash repeats, outside the removed paragraphs too, are then compared by a 128-bit hash of all their words, and adjoining ones are joined
+to the whole run. Windows side by side with one smallest hash travel as one row up to that choice. With ``skip_periodic`` text that repeats fewer than ``SHINGLE`` words over and over is no run and no paragraph of joined lines.
 
 What this does not see: a paragraph below ``MIN_WORDS`` words that no lines join; and a passage of 20 to 49 words inside a paragraph of at most
 ``LONG_WORDS`` words that is otherwise new, unless both paragraphs reach the similarity.
@@ -28,6 +28,7 @@ paragraphs are removed before others; rows with one doc_id are one document, in
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ SHINGLE = 5
 PERCENT = 80
 BANDS = 6
 NO_ID = (1 << 63) - 1
+_SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in "!.?"])
 _UNIT = "doc_id bigint, start bigint, stop bigint, n_words bigint, node binary, bands array<bigint>, marks array<bigint>"
 
 
@@ -55,7 +57,9 @@ def places_of(
     words: np.ndarray, starts: np.ndarray, stops: np.ndarray, data: bytes, skip_periodic: bool = False
 ) -> list[tuple[int, int, bool]]:
     """(first word, end word, is a whole paragraph) of each paragraph and piece; starts and stops are byte offsets of the words."""
-    lines = np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
+    raw = np.frombuffer(data, np.uint8)
+    lines = np.searchsorted(starts, np.flatnonzero(raw == 10))
+    sentences = (np.flatnonzero(_SENTENCE_END[raw[stops - 1]]) + 1).tolist()
     out, joined = [], 0
     for a, b in zip([0, *lines.tolist()], [*lines.tolist(), len(words)], strict=True):
         if not 0 < b - a < MIN_WORDS:
@@ -66,8 +70,7 @@ def places_of(
             out.append((a, b, True))
             if b - a > LONG_WORDS:
                 cut = a
-                ends = np.flatnonzero(np.isin(np.frombuffer(data, np.uint8)[stops[a:b] - 1], (33, 46, 63))) + a + 1
-                for end in ends.tolist():
+                for end in sentences[bisect_right(sentences, a) : bisect_right(sentences, b)]:
                     if end - cut >= PIECE_WORDS and (cut, end) != (a, b):
                         out.append((cut, end, False))
                         cut = end
@@ -87,9 +90,17 @@ def is_periodic(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def span_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words that begin at each word, from differences of running sums: its cost does not grow with ``size``."""
+    n = len(words) - size + 1
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.add.accumulate(words * shingles.powers(len(words)), out=sums[1:])
+    return shingles.mixed((sums[size:] - sums[:-size]) * shingles.inverse_powers(n)) if n > 0 else np.zeros(0, np.uint64)
+
+
 def least_hashes(words: np.ndarray) -> np.ndarray:
     """The smallest hash of the shingles of PIECE_WORDS words in each window of RUN_WORDS words."""
-    low, width, size = shingles.rolled(words, PIECE_WORDS), 1, RUN_WORDS - PIECE_WORDS + 1
+    low, width, size = span_hashes(words, PIECE_WORDS), 1, RUN_WORDS - PIECE_WORDS + 1
     while width < size:
         step = min(width, size - width)
         low = np.minimum(low[:-step], low[step:])
@@ -149,23 +160,23 @@ def _units_of(doc_id: int, text: str, bands: int, skip_periodic: bool) -> list[t
 
 def _distinct(rolled: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingles of every place, one place after the other; how many each has)."""
-    unit = np.repeat(np.arange(len(first)), sizes)
-    values = rolled[np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)]
-    order = np.lexsort((values, unit))
-    values, unit = values[order], unit[order]
+    starts = np.cumsum(sizes) - sizes
+    values = np.concatenate([np.sort(rolled[a : a + n]) for a, n in zip(first.tolist(), sizes.tolist(), strict=True)])
     new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (unit[1:] != unit[:-1])
-    return values[new], np.bincount(unit[new], minlength=len(first))
+    new[1:] = values[1:] != values[:-1]
+    new[starts] = True
+    return values[new], np.add.reduceat(new.astype(np.int64), starts)
 
 
 def _bands(values: np.ndarray, sizes: np.ndarray, bands: int) -> np.ndarray:
     """A row of band hashes for each set, of the minimum and maximum under the band's permutation."""
-    out = np.zeros((len(sizes), bands), np.int64)
+    low, high = np.zeros((2, bands, len(sizes)), np.uint64)
     starts = np.cumsum(sizes) - sizes
     for i in range(bands if len(sizes) else 0):
-        low, high = (f.reduceat(similar.permuted(values, i), starts) for f in (np.minimum, np.maximum))
-        out[:, i] = shingles.mixed(low + shingles.mixed(high ^ np.uint64(i))).astype(np.int64)
-    return out
+        values_i = similar.permuted(values, i)
+        np.minimum.reduceat(values_i, starts, out=low[i])
+        np.maximum.reduceat(values_i, starts, out=high[i])
+    return shingles.mixed(low + shingles.mixed(high ^ np.arange(bands, dtype=np.uint64)[:, None])).astype(np.int64).T
 
 
 def _texts_of(documents: DataFrame, classes: DataFrame) -> similar.Fetch:
@@ -190,7 +201,10 @@ def _by_owner(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-_WINDOW = "node binary, owner bigint, at bigint, until bigint, start bigint, stop bigint"
+#: Windows of one chunk at most.
+CHUNK = 64
+#: A chunk is ``n`` windows side by side that have one mark: 16 bytes of ``nodes`` for each, and where each starts and stops, counted from ``start``.
+_CHUNK = "mark bigint, owner bigint, at bigint, until bigint, n bigint, start bigint, nodes binary, starts array<int>, stops array<int>"
 
 
 def _stretches(words: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +212,10 @@ def _stretches(words: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.nda
     repeats a few words over and over, is left to the window before these: it repeats where that one does."""
     same, n_asked = np.zeros(len(asked), bool), np.concatenate([[0], np.cumsum(asked)])
     for period in range(1, min(SHINGLE, len(asked))):
-        equal = np.concatenate([[0], np.cumsum(words[period:] == words[:-period])])
+        alike = words[period:] == words[:-period]
+        if np.count_nonzero(alike) < RUN_WORDS:
+            continue  # as in most texts
+        equal = np.concatenate([[0], np.cumsum(alike)])
         whole = equal[RUN_WORDS:] - equal[:-RUN_WORDS] == RUN_WORDS  # window i + period equals window i
         same[period:] |= whole[: len(asked) - period] & (n_asked[period + 1 :] - n_asked[: -period - 1] == period + 1)  # with all in between
     at = np.flatnonzero(asked & ~same)
@@ -207,9 +224,21 @@ def _stretches(words: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, after - 1
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of (owner, text, marks, gone) with one of the marks and outside the spans that are gone."""
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are among the distinct ``known``, of which there is one at least; long texts have the same value many times in a row."""
+    known.sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    own = values[new]
+    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return (known[place] == own)[np.cumsum(new) - 1]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the windows of (owner, text, marks, gone) with one of the marks and outside the spans that are gone."""
     for batch in (part for batch in batches for part in slices(batch)):
+        held: list[tuple] = []
+        n_held = 0
         for owner, text, marks, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = text.encode("utf-8", "surrogatepass").lower()
             words, starts, stops = shingles.words_with_places(data)
@@ -223,14 +252,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 free[np.searchsorted(starts, span["start"])] += 1
                 free[np.searchsorted(starts, span["stop"])] -= 1
             taken = np.concatenate([[0], np.cumsum(np.cumsum(free[:-1]) > 0)])
-            asked = np.isin(least_hashes(words).astype(np.int64), marks)
-            at, last = _stretches(words, asked & (taken[RUN_WORDS:] == taken[:-RUN_WORDS]))
-            both = np.stack([shingles.rolled(w, RUN_WORDS)[at] for w in (words, shingles.mixed(words))], axis=1)
+            least = least_hashes(words).astype(np.int64)
+            at, last = _stretches(words, _among(least, np.array(marks, np.int64)) & (taken[RUN_WORDS:] == taken[:-RUN_WORDS]))
+            both = np.stack([span_hashes(w, RUN_WORDS)[at] for w in (words, shingles.mixed(words))], axis=1)
             for a in range(0, len(at), 10_000):
                 own, ends = at[a : a + 10_000], last[a : a + 10_000] + RUN_WORDS
-                columns = [pa.array([x.tobytes() for x in both[a : a + 10_000]], pa.binary()), pa.array(np.full(len(own), owner))]
-                columns += [pa.array(x.astype(np.int64)) for x in (own, ends, starts[own], stops[ends - 1])]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _WINDOW.split(", ")])
+                held.append((np.full(len(own), owner), least[own], own, ends, both[a : a + 10_000], starts[own], stops[ends - 1]))
+                n_held += len(own)
+                if n_held >= 10_000:
+                    yield _chunk_batch(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, n_held = [], 0
+        if held:
+            yield _chunk_batch(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _chunk_batch(owners: np.ndarray, marks: np.ndarray, at: np.ndarray, until: np.ndarray, nodes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+    new = np.ones(len(at), bool)
+    new[1:] = (marks[1:] != marks[:-1]) | (at[1:] != at[:-1] + 1) | (owners[1:] != owners[:-1])
+    every = np.arange(len(at))
+    new |= (every - np.maximum.accumulate(np.where(new, every, 0))) % CHUNK == 0
+    begun = np.flatnonzero(new)
+    ends = np.append(begun, len(at)).astype(np.int32)
+    n = ends[1:] - ends[:-1]
+    base = np.repeat(starts[begun], n)
+    binary = pa.Array.from_buffers(pa.binary(), len(begun), [None, pa.py_buffer(16 * ends), pa.py_buffer(nodes)])
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array((x - base).astype(np.int32))) for x in (starts, stops)]
+    numbers = (marks[begun], owners[begun], at[begun], until[begun + n - 1], n, starts[begun])
+    columns = [pa.array(x.astype(np.int64, copy=False)) for x in numbers]
+    return pa.RecordBatch.from_arrays([*columns, binary, *lists], [c.split()[0] for c in _CHUNK.split(", ")])
+
+
+def _windows_of(chunks: DataFrame) -> DataFrame:
+    """(node, owner, at, until, start, stop) of each window; all windows of a chunk but the last one stand for themselves only."""
+    each = chunks.select("owner", "at", "until", "n", "start", "nodes", "stops", F.posexplode("starts").alias("i", "from_"))
+    return each.select(
+        F.substring("nodes", 16 * F.col("i") + 1, F.lit(16)).alias("node"), "owner", (F.col("at") + F.col("i")).alias("at"),
+        F.when(F.col("i") == F.col("n") - 1, F.col("until")).otherwise(F.col("at") + F.col("i") + RUN_WORDS).alias("until"),
+        (F.col("start") + F.col("from_")).alias("start"), (F.col("start") + F.get("stops", F.col("i"))).alias("stop"),
+    )
 
 
 def repeated_runs(documents: DataFrame, marks: DataFrame, gone: DataFrame, within_documents: bool = False) -> DataFrame:
@@ -246,7 +305,10 @@ def repeated_runs(documents: DataFrame, marks: DataFrame, gone: DataFrame, withi
     spans = gone.groupBy("owner").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     asked = cut_lineage(asked.join(spans, "owner", "left"))
     texts = likely(_by_owner(documents), "owner", asked).join(asked, "owner").select("owner", "text", "marks", "gone")
-    windows = cut_lineage(texts.mapInArrow(lean(_windows), _WINDOW))
+    chunks = cut_lineage(texts.mapInArrow(lean(_chunks), _CHUNK))
+    # most marks repeat only in what is gone, so few of them still have windows in several documents
+    still = chunks.groupBy("mark").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.sum("n").alias("times")).where(several)
+    windows = cut_lineage(_windows_of(likely(chunks, "mark", still.select("mark"))))
     first = windows.groupBy("node").agg(
         F.min(F.struct("owner", "at", "start")).alias("first"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("times")
     )

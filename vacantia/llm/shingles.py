@@ -33,6 +33,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    return _power(_BASE, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _power(_INVERSE, n)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
