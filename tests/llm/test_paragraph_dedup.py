@@ -188,3 +188,49 @@ def test_distinct_shingles_and_bands_of_each_place():
         for i in range(6):
             hashed = p.similar.permuted(own, i)
             assert row[i] == p.shingles.mixed(hashed.min(keepdims=True) + p.shingles.mixed(hashed.max(keepdims=True) ^ np.uint64(i))).astype(np.int64)[0]
+
+
+def test_short_texts_are_hashed_together(spark, monkeypatch):
+    """Many texts take a few calls, and give what each gives alone: odd ones, repeated ids, blank lines at both ends, characters of several bytes."""
+    import pyarrow as pa
+
+    from tests.llm.helpers import SCHEMA
+
+    odd = [None, "", "\n\n", "é \n\n" + "one two. three! " * 40 + "\n", "\n\nx y z\n" * 30, "a\n" * 300 + "\n\n", "x " * 9 + "\n" + "y " * 12 + "\n\nz", "ü " * 300_000, "\ud800 " * 60]
+    given = odd + [("\n" * (i % 3)).join([" ".join(prose(i, 10 + i)), " ".join(prose(i % 7, 70)), "é\n"]) for i in range(200)] + odd
+    batch = pa.RecordBatch.from_arrays([pa.array([None if i % 50 == 9 else i % 150 for i in range(len(given))], pa.int64()), pa.array([t and t.replace("\ud800", "") for t in given])], ["doc_id", "text"])
+    kept, calls = [], []
+    monkeypatch.setattr(type(spark.createDataFrame([], SCHEMA)), "mapInArrow", lambda self, work, schema: kept.append(work))
+    whole = p.shingles.words_with_places
+    monkeypatch.setattr(p.shingles, "words_with_places", lambda data: calls.append(len(data)) or whole(data))
+    for skip in (False, True):
+        p.units(documents(spark, []), skip_periodic=skip)
+
+        def rows_of(batches):
+            return sorted(repr(list(r.items())) for out in kept[-1](iter(batches)) for r in out.to_pylist())  # noqa: B023
+
+        alone = rows_of([batch.slice(i, 1) for i in range(len(batch))])
+        assert len(calls) == len(batch)
+        calls.clear()
+        assert rows_of([batch]) == alone and len(alone) > 1000 and len(calls) < 30
+        calls.clear()
+    texts = [t for some in p.side_by_side(given) for t in zip(some.begin.tolist(), some.end.tolist(), strict=True)]
+    assert [b - a for a, b in texts] == [len((t or "").split()) for t in given]
+
+
+def test_filter_before_a_join_has_every_slot_right(spark, capsys):
+    """The rows whose slot some key has, in few and in many bitmaps; no row takes bytes of a bitmap apart."""
+    from pyspark.sql import functions as F
+
+    from vacantia.llm.common import likely
+
+    given = spark.range(20_000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    keys = given.where("k % 7 = 0").select("k")
+    for bits in (64, 4096, 100_000, 1 << 26):
+        slots = {r["k"]: r["s"] for r in given.select("k", F.pmod(F.xxhash64("k"), F.lit(bits)).alias("s")).collect()}
+        taken = {slots[k] for k in range(0, 20_000, 7)}
+        assert {r["k"] for r in likely(given, "k", keys, bits).collect()} == {k for k, s in slots.items() if s in taken}
+    out = likely(given, "k", keys)
+    assert out.columns == ["k", "v"] and likely(given, "k", keys.limit(0)).count() == 0
+    out.explain()
+    assert "conv(" not in (plan := capsys.readouterr().out) and "substring" not in plan

@@ -28,8 +28,9 @@ paragraphs are removed before others; rows with one doc_id are one document, in
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -53,31 +54,73 @@ _SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in "!.?"])
 _UNIT = "doc_id bigint, start bigint, stop bigint, n_words bigint, node binary, bands array<bigint>, marks array<bigint>"
 
 
-def places_of(
-    words: np.ndarray, starts: np.ndarray, stops: np.ndarray, data: bytes, skip_periodic: bool = False
-) -> list[tuple[int, int, bool]]:
-    """(first word, end word, is a whole paragraph) of each paragraph and piece; starts and stops are byte offsets of the words."""
-    raw = np.frombuffer(data, np.uint8)
-    lines = np.searchsorted(starts, np.flatnonzero(raw == 10))
-    sentences = (np.flatnonzero(_SENTENCE_END[raw[stops - 1]]) + 1).tolist()
-    out, joined = [], 0
-    for a, b in zip([0, *lines.tolist()], [*lines.tolist(), len(words)], strict=True):
+class Texts(NamedTuple):
+    """Texts side by side, so that numpy works on many short ones at once: word i has bytes ``starts[i]`` to ``stops[i]`` of ``data`` and characters
+    ``chars[0][i]`` to ``chars[1][i]`` of its own text; text k has the words ``begin[k]`` to ``end[k]``."""
+
+    data: bytes
+    words: np.ndarray
+    starts: np.ndarray
+    stops: np.ndarray
+    chars: tuple[np.ndarray, np.ndarray]
+    begin: np.ndarray
+    end: np.ndarray
+
+
+def side_by_side(texts: list[str | None]) -> Iterator[Texts]:
+    """All texts in order, some ``shingles.BATCH_BYTES`` at once; a longer one is alone."""
+    held, total = [], 0
+    for text in texts:
+        own = (text or "").encode("utf-8", "surrogatepass").lower()
+        if held and total + len(own) > shingles.BATCH_BYTES:
+            yield _joined(held)
+            held, total = [], 0
+        held.append(own)
+        total += len(own) + 1
+    if held:
+        yield _joined(held)
+
+
+def _joined(texts: list[bytes]) -> Texts:
+    data = b" ".join(texts)
+    words, starts, stops = shingles.words_with_places(data)
+    until = np.cumsum([len(t) + 1 for t in texts])
+    end = np.searchsorted(starts, until)
+    begin = np.concatenate([[0], end[:-1]])
+    chars, base = (starts, stops), np.concatenate([[0], until[:-1]])
+    if not data.isascii():
+        before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+        chars, base = (before[starts], before[stops]), before[base]
+    base = np.repeat(base, end - begin)
+    return Texts(data, words, starts, stops, (chars[0] - base, chars[1] - base), begin, end)
+
+
+def places_of(words: np.ndarray, begin: int, end: int, lines: list[int], sentences: list[int], skip_periodic: bool = False) -> list[tuple[int, int, bool]]:
+    """(first word, end word, is a whole paragraph) of each paragraph and piece of the text whose words are ``begin`` to ``end`` of ``words``; ``lines`` and
+    ``sentences`` are the words that lines and sentences end before, in order, of this text and others."""
+
+    def joins(a: int, b: int) -> bool:
+        return b - a >= MIN_WORDS and not (skip_periodic and is_periodic(words[a:b], b - a).any())
+
+    out, joined, a = [], begin, begin
+    for b in [*lines[bisect_right(lines, begin) : bisect_left(lines, end)], end]:
         if not 0 < b - a < MIN_WORDS:
-            if a - joined >= MIN_WORDS and not (skip_periodic and is_periodic(words[joined:a], a - joined).any()):
+            if joins(joined, a):
                 out.append((joined, a, True))
             joined = b
         if b - a >= MIN_WORDS:
             out.append((a, b, True))
             if b - a > LONG_WORDS:
                 cut = a
-                for end in sentences[bisect_right(sentences, a) : bisect_right(sentences, b)]:
-                    if end - cut >= PIECE_WORDS and (cut, end) != (a, b):
-                        out.append((cut, end, False))
-                        cut = end
+                for stop in sentences[bisect_right(sentences, a) : bisect_right(sentences, b)]:
+                    if stop - cut >= PIECE_WORDS and (cut, stop) != (a, b):
+                        out.append((cut, stop, False))
+                        cut = stop
                 if cut > a and b - cut >= PIECE_WORDS:
                     out.append((cut, b, False))
-    if len(words) - joined >= MIN_WORDS and not (skip_periodic and is_periodic(words[joined:], len(words) - joined).any()):
-        out.append((joined, len(words), True))
+        a = b
+    if joins(joined, end):
+        out.append((joined, end, True))
     return out
 
 
@@ -114,54 +157,71 @@ def units(documents: DataFrame, bands: int = BANDS, skip_periodic: bool = False)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch)):
-            rows: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _units_of(NO_ID if doc_id is None else doc_id, text or "", bands, skip_periodic)
-                rows += own
-                held += len(own) + (len(own[-1][6]) // 8 if own and own[-1][6] is not None else 0)
-                if held >= 5000:
-                    yield _unit_batch(rows)
-                    rows, held = [], 0
-            yield _unit_batch(rows)
+            ids, at = batch.column(0).fill_null(NO_ID).to_numpy(), 0
+            for texts in side_by_side(batch.column(1).to_pylist()):
+                yield from _units_of(ids[at : at + len(texts.begin)], texts, bands, skip_periodic)
+                at += len(texts.begin)
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(find), _UNIT)
 
 
-def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _UNIT.split(", ")])
+_UNIT_TYPES = [*[pa.int64()] * 4, pa.binary(), *[pa.list_(pa.int64())] * 2]
 
 
-def _units_of(doc_id: int, text: str, bands: int, skip_periodic: bool) -> list[tuple]:
-    data = text.encode("utf-8", "surrogatepass").lower()
-    words, starts, stops = shingles.words_with_places(data)
-    places = places_of(words, starts, stops, data, skip_periodic) if len(words) >= MIN_WORDS else []
-    out = []
+def _unit_batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _UNIT.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, _UNIT_TYPES, strict=True)], names)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, nulls: np.ndarray | None = None) -> pa.ListArray:
+    ends = np.cumsum(counts, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.array(values), mask=None if nulls is None else pa.array(nulls))
+
+
+def _units_of(ids: np.ndarray, texts: Texts, bands: int, skip_periodic: bool) -> Iterator[pa.RecordBatch]:
+    words, raw = texts.words, np.frombuffer(texts.data, np.uint8)
+    lines = np.searchsorted(texts.starts, np.flatnonzero(raw == 10)).tolist()
+    sentences = (np.flatnonzero(_SENTENCE_END[raw[texts.stops - 1]]) + 1).tolist()
+    places, counts = [], []
+    for begin, end in zip(texts.begin.tolist(), texts.end.tolist(), strict=True):
+        before = len(places)
+        if end - begin >= MIN_WORDS:
+            places += places_of(words, begin, end, lines, sentences, skip_periodic)
+        counts.append(len(places) - before)
     if places:
-        first, last = np.array([p[0] for p in places]), np.array([p[1] for p in places])
+        first, last, whole = (np.array(c) for c in zip(*places, strict=True))
         sets, sizes = _distinct(shingles.rolled(words, SHINGLE), first, last - first - SHINGLE + 1)
-        ends = np.cumsum(sizes)
-        whole = np.array([p[2] for p in places])
-        hashes = iter(_bands(sets[np.repeat(whole, sizes)], sizes[whole], bands).tolist())
-        if len(data) != len(text):
-            chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-            starts, stops = chars[starts], chars[stops]
-        raw = sets.tobytes()
-        spans = zip(starts[first].tolist(), stops[last - 1].tolist(), (last - first).tolist(), (ends - sizes).tolist(), ends.tolist(), whole.tolist(), strict=True)
-        out = [(doc_id, a, b, n, xxhash.xxh3_128_digest(raw[8 * p : 8 * q]), next(hashes) if w else None, None) for a, b, n, p, q, w in spans]
-    if len(words) >= RUN_WORDS:
-        low = least_hashes(words)
-        marks = np.unique(low[~is_periodic(words, RUN_WORDS)] if skip_periodic else low).astype(np.int64)
-        out.append((doc_id, None, None, None, None, None, marks))
-    return out
+        ends = 8 * np.cumsum(sizes)
+        own = memoryview(sets).cast("B")
+        nodes = [xxhash.xxh3_128_digest(own[a:b]) for a, b in zip((ends - 8 * sizes).tolist(), ends.tolist(), strict=True)]
+        hashes = _bands(sets[np.repeat(whole, sizes)], sizes[whole], bands)
+        spans = {"start": pa.array(texts.chars[0][first]), "stop": pa.array(texts.chars[1][last - 1]), "n_words": pa.array(last - first)}
+        banded = _lists(hashes.ravel(), np.where(whole, bands, 0), ~whole)
+        yield _unit_batch(len(places), doc_id=pa.array(np.repeat(ids, counts)), **spans, node=pa.array(nodes, pa.binary()), bands=banded)
+    n = np.maximum(texts.end - texts.begin - RUN_WORDS + 1, 0)
+    if n.any():
+        at = np.arange(n.sum()) + np.repeat(texts.begin - np.cumsum(n) + n, n)  # windows that lie in one text
+        owner, marks = np.repeat(np.arange(len(n)), n), least_hashes(words)[at]
+        if skip_periodic:
+            free = ~is_periodic(words, RUN_WORDS)[at]
+            owner, marks = owner[free], marks[free]
+        for _ in range(2):  # windows side by side mostly have one mark; what is left is sorted
+            new = np.ones(len(marks), bool)
+            new[1:] = (marks[1:] != marks[:-1]) | (owner[1:] != owner[:-1])
+            owner, marks = owner[new], marks[new]
+            order = np.lexsort((marks, owner))
+            owner, marks = owner[order], marks[order]
+        asked = n > 0
+        yield _unit_batch(int(asked.sum()), doc_id=pa.array(ids[asked]), marks=_lists(marks.astype(np.int64), np.bincount(owner, minlength=len(n))[asked]))
 
 
 def _distinct(rolled: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingles of every place, one place after the other; how many each has)."""
-    starts = np.cumsum(sizes) - sizes
-    values = np.concatenate([np.sort(rolled[a : a + n]) for a, n in zip(first.tolist(), sizes.tolist(), strict=True)])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    values = rolled[np.arange(sizes.sum()) + np.repeat(first - starts, sizes)]
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        values[a:b].sort()
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
     new[starts] = True
@@ -183,10 +243,10 @@ def _texts_of(documents: DataFrame, classes: DataFrame) -> similar.Fetch:
     """Reads the paragraphs of the classes in question again, one place for each class, a document once for all its paragraphs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingles.shingle_sets([text[w["start"] : w["stop"]] for w in asked], SHINGLE)
-                yield from similar.sent_sets([w["partners"] for w in asked], [w["node"] for w in asked], found)
+        for batch in (part for batch in batches for part in slices(batch)):
+            every = [(text, w) for text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in asked]
+            found = shingles.shingle_sets([text[w["start"] : w["stop"]] for text, w in every], SHINGLE)
+            yield from similar.sent_sets([w["partners"] for _, w in every], [w["node"] for _, w in every], found)
 
     def fetch(wanted: DataFrame) -> DataFrame:
         asked = wanted.join(classes, "node")
@@ -239,29 +299,34 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for batch in batches for part in slices(batch)):
         held: list[tuple] = []
         n_held = 0
-        for owner, text, marks, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode("utf-8", "surrogatepass").lower()
-            words, starts, stops = shingles.words_with_places(data)
-            if len(words) < RUN_WORDS:
-                continue
-            if len(data) != len(text):
-                chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-                starts, stops = chars[starts], chars[stops]
-            free = np.zeros(len(words) + 1, np.int64)
-            for span in gone or []:
-                free[np.searchsorted(starts, span["start"])] += 1
-                free[np.searchsorted(starts, span["stop"])] -= 1
-            taken = np.concatenate([[0], np.cumsum(np.cumsum(free[:-1]) > 0)])
-            least = least_hashes(words).astype(np.int64)
-            at, last = _stretches(words, _among(least, np.array(marks, np.int64)) & (taken[RUN_WORDS:] == taken[:-RUN_WORDS]))
-            both = np.stack([span_hashes(w, RUN_WORDS)[at] for w in (words, shingles.mixed(words))], axis=1)
-            for a in range(0, len(at), 10_000):
-                own, ends = at[a : a + 10_000], last[a : a + 10_000] + RUN_WORDS
-                held.append((np.full(len(own), owner), least[own], own, ends, both[a : a + 10_000], starts[own], stops[ends - 1]))
-                n_held += len(own)
-                if n_held >= 10_000:
-                    yield _chunk_batch(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                    held, n_held = [], 0
+        owners, given, every_mark, spans = batch.columns
+        ends, marks = every_mark.offsets.to_numpy(), every_mark.values.to_numpy()
+        rows = zip(owners.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), spans.to_pylist(), strict=True)
+        for texts in side_by_side(given.to_pylist()):
+            hashes = least = None
+            for begin, end in zip(texts.begin.tolist(), texts.end.tolist(), strict=True):
+                owner, first, after, gone = next(rows)
+                if end - begin < RUN_WORDS:
+                    continue
+                if hashes is None:
+                    least = least_hashes(texts.words).astype(np.int64)
+                    hashes = np.stack([span_hashes(w, RUN_WORDS) for w in (texts.words, shingles.mixed(texts.words))], axis=1)
+                words, starts, stops = texts.words[begin:end], texts.chars[0][begin:end], texts.chars[1][begin:end]
+                marked = _among(least[begin : end - RUN_WORDS + 1], np.array(marks[first:after]))
+                if gone:
+                    free = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(free, np.searchsorted(starts, [span["start"] for span in gone]), 1)
+                    np.subtract.at(free, np.searchsorted(starts, [span["stop"] for span in gone]), 1)
+                    taken = np.concatenate([[0], np.cumsum(np.cumsum(free[:-1]) > 0)])
+                    marked &= taken[RUN_WORDS:] == taken[:-RUN_WORDS]
+                at, last = _stretches(words, marked)
+                for a in range(0, len(at), 10_000):
+                    own, until = at[a : a + 10_000], last[a : a + 10_000] + RUN_WORDS
+                    held.append((np.full(len(own), owner), least[begin + own], own, until, hashes[begin + own], starts[own], stops[until - 1]))
+                    n_held += len(own)
+                    if n_held >= 10_000:
+                        yield _chunk_batch(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                        held, n_held = [], 0
         if held:
             yield _chunk_batch(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
