@@ -233,4 +233,5 @@ def test_filter_before_a_join_has_every_slot_right(spark, capsys):
     out = likely(given, "k", keys)
     assert out.columns == ["k", "v"] and likely(given, "k", keys.limit(0)).count() == 0
     out.explain()
-    assert "conv(" not in (plan := capsys.readouterr().out) and "substring" not in plan
+    looks = [line for line in capsys.readouterr().out.splitlines() if "& 63)" in line]  # the steps that look at a bit
+    assert looks and not any("conv(" in line or "substring" in line for line in looks)

@@ -6,7 +6,6 @@ import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,14 +32,6 @@ def free_name(df: DataFrame, wish: str) -> str:
 FILTER_BITS = 1 << 26
 
 
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps as arrays of 64-bit numbers: a row that looks at one reads it where it lies, while binary is copied whole for every row."""
-    for batch in batches:
-        flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-        ends = np.arange(len(batch) + 1, dtype=np.int32) * (len(flat) // max(1, len(batch)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["bucket_", "map_"])
-
-
 def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The rows whose key may be among ``keys`` (same column name), before a shuffle that would carry all of them.
 
@@ -50,10 +41,14 @@ def likely(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS)
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
     maps = keys.select(slot.alias("slot_")).groupBy(F.bitmap_bucket_number("slot_").alias("bucket_"))
     maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot_")).alias("map_"))
-    maps = maps.mapInArrow(_numbers, "bucket_ bigint, map_ array<bigint>")
+    # as 64-bit numbers of eight bytes: a row reads one where it lies, while binary is copied whole, 4096 bytes, for every row that looks at a bit
+    eight = lambda at: F.substring("map_", at, F.lit(8))
+    number = lambda at: F.when(eight(at) == F.lit(bytes(8)), F.lit(0)).otherwise(F.conv(F.hex(eight(at)), 16, -10).cast("bigint"))
+    maps = maps.select("bucket_", F.transform(F.sequence(F.lit(1), F.length("map_"), F.lit(8)), number).alias("map_"))
     marked = rows.withColumn("slot_", slot).withColumns({"bucket_": F.bitmap_bucket_number("slot_"), "bit_": F.bitmap_bit_position("slot_").cast("int")})
     met = marked.join(F.broadcast(maps), "bucket_")
-    is_set = F.call_function("shiftright", F.get("map_", F.shiftright("bit_", 6)), F.col("bit_").bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) != 0
+    place = F.col("bit_").bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56))  # the first of eight bytes is the highest
+    is_set = F.call_function("shiftright", F.get("map_", F.shiftright("bit_", 6)), place).bitwiseAND(F.lit(1)) != 0
     return met.where(is_set).select(*rows.columns)
 
 
